@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import bpe_segtree, covering_simhash, mixing, quality_rules, warc_chunks
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,13 +15,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.stored(_table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_segtree.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op4_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_warc_chunks, op4_mixing, op8_bpe, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op4_mixing": mixing.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op3_warc_chunks": warc_chunks.ORACLE, "op4_mixing": mixing.ORACLE}
