@@ -91,3 +91,33 @@ def npz_bytes(**arrays) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
     return out.getvalue()
+
+
+def arrow_columns(df: DataFrame, column: str, made: list, start, rows: int = 1024) -> DataFrame:
+    """df with the columns `made` (pairs of name and Spark type), which replace columns of these names.
+
+    In each task start() returns a function from an Arrow array of `column` to as many Arrow arrays as `made` names; it
+    gets at most `rows` rows at a time. Input columns travel under other names, so theirs may clash in any way.
+    """
+    from pyspark.sql import types as T
+
+    ship(df.sparkSession)
+    names = [n for n, _ in made]
+    kept = [(i, f) for i, f in enumerate(df.schema) if f.name.lower() not in names]
+    place = next(i for i, f in enumerate(df.schema) if f.name.lower() == column.lower())
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    inner = plain.select(*[f"_{i}" for i, _ in kept], plain[f"_{place}"].alias("_in"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = start()
+        for batch in batches:
+            for a in range(0, batch.num_rows, rows):
+                part = batch.slice(a, rows)
+                arrays = work(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=[*part.schema.names[:-1], *names])
+
+    schema = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in kept] + [T.StructField(n, t) for n, t in made])
+    out = inner.mapInArrow(run, schema)
+    return out.toDF(*[f.name for _, f in kept], *names)

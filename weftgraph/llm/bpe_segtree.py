@@ -24,8 +24,9 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from ._shared import ship
+from ._shared import arrow_columns
 
 #: A leaf without a pair that merges. Arrays hold 32-bit values, lists any.
 NONE = np.iinfo(np.int32).max
@@ -314,33 +315,24 @@ def chunks(texts: list[str | None]):
         yield a, len(texts)
 
 
-def _mapped(df: DataFrame, path: str, column: str, schema: str, work) -> DataFrame:
-    """df with further columns that work(codec, texts) returns as lists."""
-    import pyarrow as pa
-
+def _mapped(df: DataFrame, path: str, column: str, made: list, work) -> DataFrame:
+    """df with further columns that work(codec, values) returns as Arrow arrays."""
     spark = df.sparkSession
-    ship(spark)
     key = f"{spark.sparkContext.applicationId}:{path}"
     tables = spark.sparkContext.broadcast(load(path))
-    names = [c.split()[0] for c in schema.split(", ")]
-    kept = [c for c in df.columns if c.lower() not in names]
-    df = df.select(*[df[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(kept)], df[f"`{column}`"].alias("_text"))
-    place = kept.index(column)
 
-    def run(batches):
+    def start():
         codec = _codec(key, tables)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for start in range(0, batch.num_rows, 256):  # texts as Python strings, some at a time
-                part = texts.slice(start, 256).to_pylist()
-                for a, b in chunks(part):
-                    made = work(codec, part[a:b])
-                    yield pa.RecordBatch.from_arrays([*[c.slice(start + a, b - a) for c in batch.columns[:-1]], *made], names=[*batch.schema.names[:-1], *names])
 
-    fields = ", ".join(f"`_{i}` {df.schema[i].dataType.simpleString()}" for i in range(len(kept)))
-    out = df.mapInArrow(run, f"{fields}, {schema}")
-    assert place >= 0
-    return out.select(*[out[f"_{i}"].alias(c) for i, c in enumerate(kept)], *names)
+        def each(values):
+            import pyarrow as pa
+
+            parts = [work(codec, part[a:b]) for part in [values.to_pylist()] for a, b in chunks(part)]
+            return [pa.concat_arrays(c) for c in zip(*parts)]
+
+        return each
+
+    return arrow_columns(df, column, made, start, rows=512)
 
 
 def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
@@ -351,14 +343,14 @@ def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
         ids = codec.encode(texts)
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
 
-    return _mapped(df, path, column, "n_tokens bigint, ids array<int>", work)
+    return _mapped(df, path, column, [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType()))], work)
 
 
 def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """df with `decoded`, the text of its ids."""
     import pyarrow as pa
 
-    return _mapped(df, path, column, "decoded string", lambda codec, rows: [pa.array([codec.decode(x or []) for x in rows], pa.string())])
+    return _mapped(df, path, column, [("decoded", T.StringType())], lambda codec, rows: [pa.array([codec.decode(x or []) for x in rows], pa.string())])
 
 
 def round_trip(df: DataFrame, path: str) -> DataFrame:
@@ -369,4 +361,4 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
         n, ids, text = zip(*codec.digests(texts))
         return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
 
-    return _mapped(df.select("doc_id", "text"), path, "text", "n_tokens bigint, ids_sha256 string, decoded_sha256 string", work).drop("text")
+    return _mapped(df.select("doc_id", "text"), path, "text", [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], work).drop("text")

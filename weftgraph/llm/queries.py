@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_segtree, covering_simhash, mixing, quality_rules, warc_chunks
+from . import bpe_segtree, covering_simhash, gam_quality, mixing, quality_rules, toxic_segments, warc_chunks, zstd_langid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -37,8 +45,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_segments.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_warc_chunks, op4_mixing, op8_bpe, op9_simhash)}
+    made = (op1_quality_rules, op3_warc_chunks, op4_mixing, op5_gam_quality, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
