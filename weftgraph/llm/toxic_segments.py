@@ -3,7 +3,9 @@
 Tokens get the log-odds of their rates in toxic and other labelled documents, smoothed by a Dirichlet prior that follows
 the rates of all; only those whose z-score is at least Z count, the others score 0. Every token then pays OFFSET, so that
 benign text drifts down and a segment that scores above zero stands out. A linear scan finds all maximal scoring
-segments. Words never seen may score by their first PREFIX characters, if several telling words share these.
+segments. Evidence counts once per context: a toxic word is telling only if the pairs of its neighbours are, so that
+copies of one passage don't make its words telling. Words never seen may score by a prefix that several telling words
+share and that other documents hardly have.
 
 Calibration: lambda solves sum(p * exp(lambda * s)) = 1 over benign rates, as for the extreme values of segment scores.
 The threshold u divides the best scores of the labelled documents best, and benign segments at or above u have a rate K
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import is_held_out, sample
-from ._shared import arrow_columns, ship
+from ._shared import arrow_columns, materialise, ship
 
 SAMPLE = 20_000
 #: Weight of the Dirichlet prior that follows the common rates, and its least count for any word.
@@ -37,7 +39,8 @@ PRIOR, LEAST_PRIOR = 500.0, 0.5
 Z = 3.3
 LEAST_COUNT = 3
 OFFSET = 0.35
-PREFIX = 5
+#: Bytes of a prefix, the longest first, and how many telling words must share it.
+PREFIXES = (8, 7, 6, 5, 4)
 PREFIX_WORDS = 4
 #: Bytes of words; A-Z become lower, other ASCII characters spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -74,13 +77,17 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class Scorer:
     def __init__(self, model: dict):
         self.words, self.prefixes, self.u, self.decay, self.rate = (model[k] for k in ("words", "prefixes", "u", "lambda", "K"))
+        self.stems = {p[: PREFIXES[-1]] for p in self.prefixes}
 
     def token_scores(self, words: list[bytes]) -> np.ndarray:
-        known, prefixes = self.words, self.prefixes
-        if prefixes:
-            return np.array([known[w] if w in known else prefixes.get(w[:PREFIX], 0.0) for w in words]) - OFFSET
+        known, shortest = self.words, PREFIXES[-1]
+        if self.stems:
+            return np.array([known[w] if w in known else self.by_prefix(w) if w[:shortest] in self.stems else 0.0 for w in words]) - OFFSET
         return np.array([known.get(w, 0.0) for w in words]) - OFFSET
 
+    def by_prefix(self, word: bytes) -> float:
+        return next((self.prefixes[word[:k]] for k in PREFIXES if len(word) > k and word[:k] in self.prefixes), 0.0)
+
     def best(self, text: str | None) -> tuple[int, float]:
         """(number of tokens, score of the best segment)"""
         words = tokens(text)
@@ -99,11 +106,11 @@ class Scorer:
         return float(0.5 + 0.5 * np.exp(-expected)), top
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """(log-odds, z-scores) of counts in both kinds, with a Dirichlet prior of weight `prior` in proportion to their sum."""
-    n1, n0 = toxic.sum(), other.sum()
-    a = LEAST_PRIOR + prior * (toxic + other) / max(1.0, n1 + n0)
-    rest = n1 + a.sum() - toxic - a, n0 + a.sum() - other - a
+def log_odds(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds, z-scores) of counts in both kinds, of n1 and n0 tokens, with a Dirichlet prior of weight `prior` in
+    proportion to the common rates and LEAST_PRIOR for each word."""
+    a = LEAST_PRIOR + prior * (toxic + other) / (n1 + n0)
+    rest = np.maximum(n1 + prior - toxic - a, 1), np.maximum(n0 + prior - other - a, 1)
     delta = np.log((toxic + a) / rest[0]) - np.log((other + a) / rest[1])
     return delta, delta / np.sqrt(1 / (toxic + a) + 1 / (other + a))
 
@@ -127,41 +134,70 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.select("text", "y").mapInArrow(run, "w binary, c1 bigint, c0 bigint").groupBy("w").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
 
 
+def contexts(rows: DataFrame, words: set[bytes]) -> dict[bytes, list[int]]:
+    """word -> in how many different pairs of neighbours it stands in [toxic, other] documents, for the given words."""
+    import pyarrow as pa
+
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        found = set()
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
+                ws = [b"", *tokens(text.as_py()), b""]
+                found.update((w, int(y > 0), ws[i] + b" " + ws[i + 2]) for i, w in enumerate(ws[1:-1]) if w in shared.value)
+        for a in range(0, len(found), 50_000):
+            w, y, c = zip(*list(found)[a : a + 50_000])
+            yield pa.RecordBatch.from_pydict({"w": pa.array(w, pa.binary()), "y": pa.array(y, pa.int32()), "c": pa.array(c, pa.binary())})
+
+    made = rows.select("text", "y").mapInArrow(run, "w binary, y int, c binary").distinct().groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    return {bytes(r["w"]): [r["a"], r["b"]] for r in made.collect()}
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_by: int = 5, held: int = 0, most: int = SAMPLE) -> dict:
     rows = sample(docs, labels, label, held_by, held, most).filter("text IS NOT NULL")
-    rows = rows.groupBy("text").agg(F.max("y").alias("y"))  # copies teach once
-    counts = counted(rows).filter(F.col("c1") + F.col("c0") >= LEAST_COUNT).collect()  # bounded by the sample
+    rows = materialise(rows.groupBy("text").agg(F.max("y").alias("y")), "toxic-sample")  # copies teach once
+    every = materialise(counted(rows), "toxic-counts")
+    n1, n0 = (float(x or 0) for x in every.agg(F.sum("c1"), F.sum("c0")).first())
     model = {"words": {}, "prefixes": {}, "u": 1.0, "lambda": 1.0, "K": 0.0}
-    c1, c0 = (np.array([r[k] for r in counts], dtype=float) for k in ("c1", "c0"))
-    if not len(counts) or not c1.sum() or not c0.sum():
+    if not n1 or not n0:
         return model
-    delta, z = log_odds(c1, c0)
+    counts = every.filter(F.col("c1") + F.col("c0") >= LEAST_COUNT).collect()  # bounded by the sample
+    words = [bytes(r["w"]) for r in counts]
+    c1, c0 = (np.array([r[k] for r in counts], dtype=float) for k in ("c1", "c0"))
+    delta, z = log_odds(c1, c0, n1, n0)
+    seen = contexts(rows, {w for w, x in zip(words, z) if x >= Z})
+    for at, w in enumerate(words):
+        if w in seen:
+            d, x = log_odds(*(np.array([float(v)]) for v in seen[w]), n1, n0)
+            delta[at], z[at] = d[0], x[0]
     telling = np.abs(z) >= Z
-    model["words"] = {bytes(r["w"]): float(d) for r, d, t in zip(counts, delta, telling) if t}
-    model["prefixes"] = _prefixes(counts, c1, c0, delta, telling)
+    model["words"] = {w: float(d) for w, d, t in zip(words, delta, telling) if t}
+    model["prefixes"] = _prefixes(every, [w for w, d in model["words"].items() if d > 0], n1, n0)
     s = np.where(telling, delta, 0.0) - OFFSET
-    p = (c0 + PRIOR * (c1 + c0) / (c1 + c0).sum()) / (c0.sum() + PRIOR)
-    low, high = 0.0, 50.0 / max(1.0, float(s.max()))
+    p = (c0 + PRIOR * (c1 + c0) / (n1 + n0)) / (n0 + PRIOR)
+    low, high = 0.0, 50.0 / max(1.0, float(s.max(initial=1.0)))
+    rest = max(0.0, 1.0 - p.sum())  # rare words score as common ones that tell nothing
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if (p * np.exp(mid * s)).sum() < 1 else (low, mid)
-    model["lambda"] = high
-    best = _best(rows, model)
-    return model | _threshold(best, high)
-
-
-def _prefixes(counts, c1, c0, delta, telling) -> dict[bytes, float]:
-    """Prefixes that PREFIX_WORDS telling toxic words share and that other documents hardly have."""
-    words: dict[bytes, list] = {}
-    for r, a, b, d, t in zip(counts, c1, c0, delta, telling):
-        if len(r["w"]) > PREFIX:
-            x = words.setdefault(bytes(r["w"][:PREFIX]), [0, 0.0, 0.0, []])
-            x[1] += a
-            x[2] += b
-            if t and d > 0:
-                x[0] += 1
-                x[3].append(d)
-    return {p: 0.8 * float(np.median(ds)) for p, (k, a, b, ds) in words.items() if k >= PREFIX_WORDS and b <= 0.02 * a}
+        low, high = (mid, high) if (p * np.exp(mid * s)).sum() + rest * np.exp(-mid * OFFSET) < 1 else (low, mid)
+    return model | _threshold(_best(rows, model), high)
+
+
+def _prefixes(every: DataFrame, words: list[bytes], n1: float, n0: float) -> dict[bytes, float]:
+    """Prefixes of PREFIX_WORDS telling toxic words or more, whose words, rare ones included, are toxic as a whole."""
+    shared = Counter(w[:k] for w in words for k in PREFIXES if len(w) > k)
+    wanted = sorted(p for p, n in shared.items() if n >= PREFIX_WORDS)
+    out: dict[bytes, float] = {}
+    for k in PREFIXES if wanted else ():
+        p = F.substring("w", 1, k)
+        mine = [x for x in wanted if len(x) == k]
+        if mine:
+            for r in every.filter((F.length("w") > k) & p.isin(mine)).groupBy(p.alias("p")).agg(F.sum("c1").alias("a"), F.sum("c0").alias("b")).collect():
+                d, z = log_odds(np.array([float(r["a"])]), np.array([float(r["b"])]), n1, n0)
+                if z[0] >= Z and r["b"] <= 0.02 * r["a"]:
+                    out[bytes(r["p"])] = 0.8 * float(d[0])
+    return out
 
 
 def _best(rows: DataFrame, model: dict) -> list:
