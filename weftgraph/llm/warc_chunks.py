@@ -1,6 +1,6 @@
 """WARC archives as a chunked record table.
 
-`write` stores each row as a WARC/1.0 record, one archive per task, and `read_chunks` streams archives back as rows of
+`write` stores each row as a WARC/1.0 record, a gzip member of its own, one archive per task, and `read_chunks` streams archives back as rows of
 record identifier and chunk number. A payload is written and read CHUNK bytes at a time; each chunk row carries the
 length and the SHA-1 of the payload up to its end, so that the last one has those of the whole, and no step gathers the
 chunks of a record. Equal payloads of LEAST bytes or more are stored once: the largest page_id has the response record,
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.warc"
+        name = f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.warc.gz"
         files, path = store(name)
         out, records, size = None, 0, 0
         for batch in batches:
@@ -82,7 +83,7 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
             for i in range(batch.num_rows):
                 if out is None:
                     files.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = files.open_output_stream(f"{path}.open")
+                    out = files.open_output_stream(f"{path}.open", compression=None)
                 payload = memoryview(html[i].as_buffer())
                 parts = [payload[a : a + CHUNK] for a in range(0, len(payload), CHUNK)]
                 sha = hashlib.sha1()
@@ -95,9 +96,11 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
                 else:
                     more = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first)}", f"X-Payload-Length: {len(payload)}"]
                     head, body = _head("revisit", page, url, len(HTTP), digest, more), []
+                member = zlib.compressobj(1, zlib.DEFLATED, 31)
                 for x in (head, HTTP, *body, b"\r\n\r\n"):
-                    out.write(x)
+                    out.write(member.compress(x))
                     size += len(x)
+                out.write(member.flush())
                 records += 1
         if out is not None:
             out.close()
@@ -107,6 +110,24 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return materialise(assign(pages, least).mapInArrow(run, "path string, records bigint, bytes bigint"), "warc-manifest")
 
 
+class Inflated:
+    """The bytes of a stream of gzip members, a bounded number at a time."""
+
+    def __init__(self, stream):
+        self.stream, self.member, self.held = stream, zlib.decompressobj(31), b""
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if self.member.eof:
+                self.held, self.member = self.member.unused_data, zlib.decompressobj(31)
+            if not self.held and not (more := self.stream.read(BLOCK)):
+                return b""
+            out = self.member.decompress(self.held or more, n)
+            self.held = b"" if self.member.eof else self.member.unconsumed_tail
+            if out:
+                return out
+
+
 class Reader:
     """Pulls lines and bytes from a stream, a block at a time."""
 
@@ -177,8 +198,8 @@ def read_chunks(manifest: DataFrame, with_data: bool = True) -> DataFrame:
 
     def rows(path: str):
         files, local = store(path)
-        with files.open_input_stream(local) as stream:
-            for head, chunks in records(stream):
+        with files.open_input_stream(local, compression=None) as stream:
+            for head, chunks in records(Inflated(stream)):
                 own, kind = head["warc-record-id"], head["warc-type"]
                 refers = page_of(head["warc-refers-to"]) if "warc-refers-to" in head else None
                 fixed = (kind, page_of(own), head.get("warc-target-uri"), refers)
