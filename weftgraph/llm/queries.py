@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_segtree, covering_simhash, gam_quality, mixing, quality_rules, toxic_segments, warc_chunks, zstd_langid
+from . import bpe_segtree, covering_simhash, gam_quality, mixing, pca_neardup, quality_rules, toxic_segments, warc_chunks, zstd_langid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca_neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = (op1_quality_rules, op3_warc_chunks, op4_mixing, op5_gam_quality, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments)
+    made = (op1_quality_rules, op3_warc_chunks, op4_mixing, op5_gam_quality, op6_pca_tiles, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments)
     return {f.__name__: f for f in made}
 
 
