@@ -1,11 +1,65 @@
-"""A corpus pipeline over the operators of weftgraph.llm."""
+"""A corpus pipeline over the operators of weftgraph.llm.
 
-STAGES = []
+Each stage works on all that its predecessor kept, and all but the last return the columns of documents: language ID drops
+texts whose language it rejects, the quality classifier those it scores below 0.5, near-dedup all but one document of each
+group, mixing takes documents as often as their source's target asks, and BPE encodes what is left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.llm import bpe_segtree, covering_simhash, gam_quality, mixing, zstd_langid
+from weftgraph.llm._shared import materialise
+from weftgraph.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told apart by the least margin."""
+    found = zstd_langid.annotate(docs, zstd_langid.learn(docs))
+    return found.filter(~F.col("rejected")).select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of score 0.5 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = gam_quality.annotate(docs, gam_quality.learn(docs, labels))
+    return found.filter(F.col("predicted") == 1).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each group; of rows that repeat that id, one."""
+    kept = covering_simhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    chosen = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return chosen.dropDuplicates(["doc_id"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeated(docs)
+
+
+def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, the ids of the text and their number."""
+    return bpe_segtree.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).select("doc_id", "source", "n_tokens", "ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe_encode", bpe_encode),
+]
+
+#: Models and hashes beyond SQL decide the rows; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_segtree, covering_simhash, gam_quality, mixing, pca_neardup, quality_rules, toxic_segments, warc_chunks, zstd_langid
+from . import bpe_segtree, covering_simhash, gam_quality, lm_trie, mixing, pca_neardup, quality_rules, toxic_segments, warc_chunks, zstd_langid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.stored(_table(spark, sf_dir, "pages"))
 
@@ -54,7 +58,7 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = (op1_quality_rules, op3_warc_chunks, op4_mixing, op5_gam_quality, op6_pca_tiles, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments)
+    made = (op1_quality_rules, op2_lm_trie, op3_warc_chunks, op4_mixing, op5_gam_quality, op6_pca_tiles, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments)
     return {f.__name__: f for f in made}
 
 
