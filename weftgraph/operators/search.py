@@ -83,7 +83,7 @@ def matches(names: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Each pair of a name of side a and one of side b with its first rule that hits: equal letters 1.0, equal after the
     plural's end is cut .9, token Jaccard above .6 .8, edit similarity above .75. Names of an ontology are few."""
     letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
-    stem = lambda c: F.regexp_replace(letters(c), "(ies|es|s)$", "")
+    stem = lambda c: F.regexp_replace(letters(c), "(ies|es|s|e|y)$", "")
     a, b = (names.filter(F.col("side") == s).select(F.col("name").alias(c)).distinct() for s, c in (("a", "x"), ("b", "y")))
     p = a.join(F.broadcast(b)).join(token_matches(names), ["x", "y"], "left")
     ratio = 1 - F.levenshtein(letters(F.col("x")), letters(F.col("y"))) / F.greatest(F.length(letters(F.col("x"))), F.length(letters(F.col("y"))))
