@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import enrich, graph, ontology, propagation, search, series
+from ..functions import columns
+from ..operators import enrich, graph, ontology, propagation, search, series, views
 from ..sources import ingest
 from ..sources import star_graph as star
+from ..streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -437,3 +439,24 @@ add("fuzzy_tokens", lambda s, d: search.name_tokens(P(s, d).select(F.lit("a").al
 add("fuzzy_match", lambda s, d: search.matches(_names(s, d), 0.5))
 STEPS = [("start", "load"), ("load", "check"), ("check", "fix"), ("check", "report"), ("fix", "report"), ("report", "end")]
 add("process_walk", lambda s, d: search.walk(s.createDataFrame(STEPS, "src string, dst string"), "start"), "SELECT * FROM (VALUES (0, 'start'), (1, 'load'), (2, 'check'), (3, 'fix'), (4, 'report'), (5, 'end')) v(step, node)", False)
+
+# --- views, streams
+
+add("naming_score", lambda s, d: views.naming(N(s, d), P(s, d)).filter("type <> 'order' AND prop NOT IN ('c_acctbal', 's_acctbal', 'p_retailprice')"), with_(PC, "ln AS (SELECT type, prop, avg(length(s_val)) AS l FROM p GROUP BY 1, 2)") + f"SELECT type, prop, round(CASE {UNI} WHEN 'unique' THEN 10.0::DOUBLE WHEN 'variable' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + present / CAST(total AS DOUBLE) * 10 + CASE WHEN l <= 30 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS score FROM pc JOIN ln USING (type, prop) WHERE type <> 'order' AND prop NOT IN ('c_acctbal', 's_acctbal', 'p_retailprice')")
+add("hierarchy_buckets", lambda s, d: views.hierarchy_buckets(E(s, d)), "SELECT CASE WHEN contains(edge_type, 'contains') OR contains(edge_type, 'has') OR contains(edge_type, 'in_') THEN 'containment' WHEN edge_type = 'placed' THEN 'ownership' WHEN edge_type = 'supplies' THEN 'supply' ELSE 'other' END AS kind, edge_type, count(*) AS n FROM e GROUP BY 1, 2")
+add("categorization", lambda s, d: views.categories(N(s, d), P(s, d), E(s, d)), with_(REL, "rt AS (SELECT type, count(*) AS relationships FROM (SELECT src_type AS type, edge_type, src_type, dst_type FROM r UNION SELECT dst_type, edge_type, src_type, dst_type FROM r) GROUP BY 1)", "ns AS (SELECT type, round(count(*) FILTER (k) / CAST(count(*) AS DOUBLE), 6) AS numeric_share FROM (SELECT type, prop, bool_or(d_val IS NOT NULL) AS k FROM p GROUP BY 1, 2) GROUP BY 1)", "ty AS (SELECT DISTINCT type FROM n)", "z AS (SELECT type, coalesce(relationships, 0) AS relationships, coalesce(numeric_share, 0.0::DOUBLE) AS numeric_share FROM ty LEFT JOIN rt USING (type) LEFT JOIN ns USING (type))") + "SELECT *, CAST(CASE WHEN relationships > 2 THEN 2 ELSE 0 END + CASE WHEN numeric_share > 0.3 THEN 1 ELSE 0 END AS INTEGER) AS score FROM z")
+add("measurement_ranges", lambda s, d: views.ranges(P(s, d)), with_("q AS (SELECT type, prop, d_val, min(d_val) OVER (PARTITION BY type, prop) AS a, max(d_val) OVER (PARTITION BY type, prop) AS b FROM p WHERE d_val IS NOT NULL)") + "SELECT type, prop, CAST(CASE WHEN a = b THEN 0 ELSE least(3, floor((d_val - a) * 4 / (b - a))) END AS INTEGER) AS part, count(*) AS n FROM q GROUP BY 1, 2, 3")
+add("value_samples", lambda s, d: views.value_samples(P(s, d)), with_("q AS (SELECT type, prop, quantile_cont(d_val, [0.0, 0.25, 0.5, 0.75, 1.0]) AS v FROM p WHERE d_val IS NOT NULL GROUP BY 1, 2)") + "SELECT type, prop, CAST(i - 1 AS INTEGER) AS i, round(v[i], 4) AS value FROM (SELECT type, prop, v, unnest([1, 2, 3, 4, 5]) AS i FROM q)")
+add("parent_context", lambda s, d: views.parents(E(s, d, ("in_nation", "in_region")), ("in_nation", "in_region")), "SELECT src AS node_id, dst AS parent, 1 AS level FROM e WHERE edge_type = 'in_nation' UNION ALL SELECT x.src, y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.edge_type = 'in_nation' AND y.edge_type = 'in_region'")
+add("sorted_by_children", lambda s, d: views.ordered(N(s, d), E(s, d)), "SELECT type, node_id, children, row_number() OVER (PARTITION BY type ORDER BY children DESC, node_id) AS place FROM (SELECT dst AS node_id, count(*) AS children FROM e GROUP BY 1) JOIN n USING (node_id) QUALIFY place <= 10")
+add("lifespan_overlap", lambda s, d: views.overlaps(_spans(s, d)), SPANS + ", y AS (SELECT unnest(generate_series(created, destroyed)) AS year FROM sp) SELECT CAST(year AS INTEGER) AS year, count(*) AS alive, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM y GROUP BY 1", False)
+METHODS = [("file", "extension", "FileExtension"), ("token", "timestamp", "DateDetection"), ("file", "token", "Tokenize"), ("timestamp", "timeline", "Timeline"), ("timeline", "file", "Export")]
+add("process_paths", lambda s, d: views.method_paths(s.createDataFrame(METHODS, "src string, dst string, method string"), 3), "WITH RECURSIVE m(src, dst, method) AS (VALUES ('file', 'extension', 'FileExtension'), ('token', 'timestamp', 'DateDetection'), ('file', 'token', 'Tokenize'), ('timestamp', 'timeline', 'Timeline'), ('timeline', 'file', 'Export')), w AS (SELECT [src, dst] AS nodes, [method] AS methods FROM m UNION ALL SELECT list_append(nodes, dst), list_append(methods, method) FROM w JOIN m ON m.src = nodes[-1] WHERE NOT list_contains(nodes, dst) AND len(methods) < 3) SELECT array_to_string(nodes, '>') AS path, array_to_string(methods, '>') AS methods FROM w", False)
+add("method_catalog", lambda s, d: s.createDataFrame(METHODS, "src string, dst string, method string").groupBy(F.col("src").alias("class")).agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods")), "SELECT src AS class, string_agg(method, ',' ORDER BY method) AS methods FROM (VALUES ('file', 'FileExtension'), ('token', 'DateDetection'), ('file', 'Tokenize'), ('timestamp', 'Timeline'), ('timeline', 'Export')) v(src, method) GROUP BY 1", False)
+add("channel_activity", lambda s, d: T(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).groupBy(columns.activity(F.col("n")).alias("activity")).agg(F.count("*").alias("channels")), "SELECT CASE WHEN n <= 2 THEN 'low' WHEN n <= 9 THEN 'medium' ELSE 'high' END AS activity, count(*) AS channels FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) GROUP BY 1", False)
+add("naming_styles", lambda s, d: P(s, d).select("prop").distinct().select("prop", columns.naming_style(F.col("prop")).alias("style")), "SELECT DISTINCT prop, 'snake_case' AS style FROM p")
+add("parse_times", lambda s, d: T(s, d, "orders").select("o_orderkey", columns.parse_time(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("t")), "SELECT o_orderkey, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS t FROM orders", False)
+add("turbofan_downsample", lambda s, d: ingest.every_second(T(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey", ["l_orderkey", "l_linenumber"]).groupBy("l_suppkey").agg(F.count("*").alias("n")), "SELECT l_suppkey, CASE WHEN count(*) > 100 THEN (count(*) + 1) // 2 ELSE count(*) END AS n FROM lineitem GROUP BY 1", False)
+STREAM = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP WITH TIME ZONE) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2"
+add("event_windows", lambda s, d: stream.windows(T(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")), STREAM.replace(" WITH TIME ZONE", ""), False)
+add("stream_event_windows", lambda s, d: stream.run_available(s, d, "events.parquet", stream.windows).withColumn("start", F.col("start").cast("timestamp_ntz")), STREAM.replace(" WITH TIME ZONE", ""), False)
