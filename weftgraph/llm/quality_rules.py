@@ -41,9 +41,9 @@ class Rule:
 RULES = (
     Rule("n_words", least=50),
     Rule("mean_word_chars", least=2, most=20),
-    Rule("symbol_ratio", most=0.1),
+    Rule("symbol_ratio", most=0.05),
     Rule("stop_word_ratio", least=0.02),
-    Rule("dup_line_ratio", most=0.3),
+    Rule("dup_line_ratio", most=0.4),
     Rule("repeat_word_ratio", most=0.5),
     Rule("bullet_line_ratio", most=0.9),
     Rule("ellipsis_line_ratio", most=0.3),
