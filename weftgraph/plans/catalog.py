@@ -403,7 +403,7 @@ SRC = "so AS (SELECT node_id, d_val AS value, min(d_val) OVER () AS a, max(d_val
 HOP = "hp AS (SELECT so.node_id AS source, e.dst AS node_id, 1 AS distance, 0.7::DOUBLE AS influence, value FROM so JOIN e ON e.src = so.node_id AND e.edge_type = 'in_nation' UNION ALL SELECT so.node_id, f.dst, 2, 0.7::DOUBLE * 0.7::DOUBLE, value FROM so JOIN e ON e.src = so.node_id AND e.edge_type = 'in_nation' JOIN e f ON f.src = e.dst AND f.edge_type = 'in_region')"
 add("propagate_sources", _src, with_(SRC) + "SELECT node_id, value, round(greatest(0.001::DOUBLE, least(0.999::DOUBLE, (value - a + 0.1 * (b - a)) / ((b - a) * 1.2))), 9) AS x FROM so")
 add("propagate_matrix_hops", lambda s, d: _hops(s, d).withColumn("influence", F.round("influence", 6)), with_(SRC, HOP) + "SELECT source, node_id, distance, round(influence, 6) AS influence FROM hp")
-add("propagate_values", lambda s, d: propagation.means(_hops(s, d), _src(s, d)).withColumn("evidence", F.round("evidence", 3)).withColumn("mean", F.round("mean", 2)), with_(SRC, HOP) + "SELECT node_id, count(*) AS n, round(sum(influence), 3) AS evidence, round(sum(influence * value) / sum(influence), 2) AS mean FROM hp GROUP BY 1")
+add("propagate_values", lambda s, d: propagation.means(_hops(s, d), _src(s, d)).withColumn("evidence", F.round("evidence", 3)).withColumn("mean", F.round(F.col("mean") + 1e-7, 2)), with_(SRC, HOP) + "SELECT node_id, count(*) AS n, round(sum(influence), 3) AS evidence, round(round(sum(influence * value) / sum(influence), 4) + 1e-7, 2) AS mean FROM hp GROUP BY 1")
 add("propagate_mixtures", lambda s, d: propagation.mixtures(_hops(s, d), _src(s, d)))
 add("gmm_range_filter", lambda s, d: propagation.in_range(propagation.means(_hops(s, d), _src(s, d)), 4000.0, 5000.0).select("node_id", "n"), with_(SRC, HOP) + "SELECT node_id, count(*) AS n FROM hp GROUP BY 1 HAVING round(sum(influence * value) / sum(influence), 4) BETWEEN 4000 AND 5000")
 add("gmm_similarity", lambda s, d: (lambda x: x.select(F.col("node_id").alias("a"), F.col("x").alias("xa")).join(F.broadcast(x.filter("node_id = 'customer:1'").select(F.col("node_id").alias("b"), F.col("x").alias("xb")))).select("a", "b", F.round(propagation.similarity(F.col("xa"), F.col("xb")), 6).alias("similarity")))(_src(s, d)), with_(SRC, "nx AS (SELECT node_id, round(greatest(0.001::DOUBLE, least(0.999::DOUBLE, (value - a + 0.1 * (b - a)) / ((b - a) * 1.2))), 9) AS x FROM so)") + "SELECT u.node_id AS a, v.node_id AS b, round(greatest(0.0::DOUBLE, 1 - 2 * abs(u.x - v.x)), 6) AS similarity FROM nx u, nx v WHERE v.node_id = 'customer:1'")
