@@ -232,3 +232,16 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = own.groupBy("c").agg(F.min("vec_id").alias("component_id"))
     own = own.join(least, "c").select("vec_id", (F.col("links") + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
     return own.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (SELECT r, x, len(x) AS d, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS size FROM v
+      WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.r <> b.r AND a.d = b.d AND list_dot_product(a.x, b.x) / (a.size * b.size) >= {THRESHOLD}),
+w(a, b) AS (SELECT r, r FROM v UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT w.a, min(v.vec_id) AS component_id FROM w JOIN v ON v.r = w.b GROUP BY w.a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c ON c.a = v.r LEFT JOIN n ON n.a = v.r
+"""

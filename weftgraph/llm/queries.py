@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op3_warc_chunks": warc_chunks.ORACLE, "op4_mixing": mixing.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op3_warc_chunks": warc_chunks.ORACLE, "op4_mixing": mixing.ORACLE, "op6_pca_tiles": pca_neardup.ORACLE}
