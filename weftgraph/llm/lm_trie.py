@@ -91,21 +91,25 @@ def ef_pack(name: str, values: np.ndarray, universe: int) -> dict[str, np.ndarra
     return {f"{name}.low": np.concatenate([low, np.zeros(8, dtype=np.uint8)]), f"{name}.high": words, f"{name}.before": before, f"{name}.shape": np.array([n, low_bits], dtype=np.int64)}
 
 
-def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Places of the k-th set bits (from 0) of words, whose set bits up to each word are in before."""
-    at = np.searchsorted(before, k, side="right") - 1
-    w, left = words.take(at), k - before.take(at)
-    place = at * 64
+def _in_word(w: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Places of the left-th set bits (from 0) of the words w."""
+    place = np.zeros(len(w), dtype=np.int64)
     for width in (32, 16, 8, 4, 2, 1):
         low = w & np.uint64((1 << width) - 1)
         ones = np.bitwise_count(low).astype(np.int64)
         up = left >= ones
-        left -= np.where(up, ones, 0)
+        left = left - ones * up
         w = np.where(up, w >> np.uint64(width), low)
-        place += np.where(up, width, 0)
+        place += width * up
     return place
 
 
+def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Places of the k-th set bits (from 0) of words, whose set bits up to each word are in before."""
+    at = np.searchsorted(before, k, side="right") - 1
+    return at * 64 + _in_word(words.take(at), k - before.take(at))
+
+
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.low_bits = arrays[f"{name}.shape"].tolist()
@@ -129,10 +133,13 @@ class EliasFano:
         if not self.n:
             return np.full(len(v), -1, dtype=np.int64)
         h = v >> self.low_bits
-        inverse = ~self.high
-        edge = _select(inverse, self.zeros, np.concatenate([np.maximum(h - 1, 0), h]))
-        start = np.where(h > 0, edge[: len(h)] + 1 - h, 0)
-        end = edge[len(h) :] - h
+        first = np.maximum(h - 1, 0)
+        at = np.searchsorted(self.zeros, first, side="right") - 1
+        start = at * 64 + _in_word(~self.high.take(at), first - self.zeros.take(at)) + 1 - h
+        start[h == 0] = 0
+        far = np.flatnonzero(self.zeros.take(at + 1) <= h)  # the bucket's end is seldom in another word
+        at[far] = np.searchsorted(self.zeros, h[far], side="right") - 1
+        end = at * 64 + _in_word(~self.high.take(at), h - self.zeros.take(at)) - h
         want = v & ((1 << self.low_bits) - 1)
         low, high = start.copy(), end.copy()
         live = np.flatnonzero(low < high)
@@ -460,7 +467,7 @@ class Model:
             if len(ask):
                 pair = ids[ask - 1] * vocabulary.universe + ids[ask]
                 shard = shard_of(pair, self.meta["shards"])
-                order = np.argsort(shard, kind="stable")
+                order = np.lexsort((pair, shard))  # in order within a shard, which keeps close what is read together
                 ask, shard = ask[order], shard[order]
                 after = np.append(ids, vocabulary.end)
                 cuts = np.flatnonzero(np.diff(shard)) + 1
