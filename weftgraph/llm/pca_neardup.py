@@ -129,6 +129,21 @@ def compare(a, b, same: bool, threshold: float):
     return i[keep], j[keep]
 
 
+def joined(rows: list[dict]) -> list[dict]:
+    """Files that follow each other as tiles of at most TILE vectors, so that tiles are as large however many tasks wrote
+    them. Every job joins them alike."""
+    out: list[dict] = []
+    for r in rows:
+        if out and out[-1]["n"] + r["n"] <= TILE:
+            t = out[-1]
+            t["names"].append(r["name"])
+            t["n"] += r["n"]
+            t["low"], t["high"] = np.minimum(t["low"], r["low"]), np.maximum(t["high"], r["high"])
+        else:
+            out.append({"names": [r["name"]], "n": r["n"], "low": np.array(r["low"]), "high": np.array(r["high"])})
+    return out
+
+
 class Forest:
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -153,16 +168,18 @@ def link(manifest: DataFrame, folder: str, threshold: float) -> DataFrame:
     import pyarrow as pa
 
     spark = manifest.sparkSession
-    tiles = manifest.count()
-    pairs = tiles * (tiles + 1) // 2
-    jobs = max(1, min(pairs, 64 * max(1, tiles // 8)))
-    files_of = manifest.inputFiles()  # of the manifest itself: a row per tile
+    tiles = max(1, -(-(manifest.agg(F.sum("n")).first()[0] or 0) // TILE))
+    jobs = max(1, min(tiles * (tiles + 1) // 2, 64 * max(1, tiles // 8)))
+    files_of = manifest.inputFiles()  # of the manifest itself: a row per tile file
 
-    def tile(name: str):
-        files, path = store(f"{folder}/{name}")
-        with files.open_input_file(path) as f:
-            got = np.load(io.BytesIO(f.read()))
-        return {k: got[k] for k in ("rid", "n", "y")} | {"u": unit(got["x"])}
+    def tile(names: list[str]):
+        parts = []
+        for name in names:
+            files, path = store(f"{folder}/{name}")
+            with files.open_input_file(path) as f:
+                parts.append(dict(np.load(io.BytesIO(f.read()))))
+        got = {k: np.concatenate([p[k] for p in parts]) for k in ("rid", "n", "y", "x")}
+        return got | {"u": unit(got.pop("x"))}
 
     def run(batches):
         import pyarrow.parquet as pq
@@ -172,8 +189,9 @@ def link(manifest: DataFrame, folder: str, threshold: float) -> DataFrame:
             files, path = store(uri)
             with files.open_input_file(path) as f:
                 rows += pq.read_table(f).to_pylist()
-        rows.sort(key=lambda r: r["name"])
+        rows = joined(sorted(rows, key=lambda r: r["name"]))
         low, high = (np.array([r[k] for r in rows]) for k in ("low", "high"))
+        pairs = len(rows) * (len(rows) + 1) // 2
         reach = 2 - 2 * threshold + SLACK  # squared distance of two linked unit vectors, at most
         held: tuple[int, dict] = (-1, {})
         for batch in batches:
@@ -189,8 +207,8 @@ def link(manifest: DataFrame, folder: str, threshold: float) -> DataFrame:
                     if (apart**2).sum() > reach:
                         continue
                     if held[0] != j:
-                        held = (j, tile(rows[j]["name"]))
-                    a, b = held[1], held[1] if i == j else tile(rows[i]["name"])
+                        held = (j, tile(rows[j]["names"]))
+                    a, b = held[1], held[1] if i == j else tile(rows[i]["names"])
                     at, to = compare(a, b, i == j, threshold)
                     for side, other, x, y in ((a, b, at, to), (b, a, to, at)):
                         sums = np.bincount(x, weights=other["n"][y], minlength=len(side["rid"]))
