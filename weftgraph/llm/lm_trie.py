@@ -32,7 +32,7 @@ from ._labels import is_held_out, remainder
 from ._shared import arrow_columns, materialise, open_map, shared_dir, ship, write_bytes
 
 #: Tokens whose n-grams are aggregated before the shuffle at once, and per shard of the trie and piece of the vocabulary.
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 700_000
 SHARD_TOKENS = 2_000_000
 COUNTED_WORDS = 400_000
 SCORE_ROWS = 512
