@@ -20,6 +20,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import re
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +34,11 @@ NONE = np.iinfo(np.int32).max
 #: Fixed value: the public byte-level pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_WORDS = 300_000
+#: Segments of more characters aren't kept between batches.
+LONG = 40
+#: Neither letters, digits nor spaces, nor the sign of contractions.
+MARKS = ".,!?;:#*$%&|"
+_SPACES = re.compile(r" (?:\s|\Z)")
 #: Texts whose distinct words are merged together, by characters.
 CHUNK_CHARS = 4_000_000
 #: Leaves that are merged side by side.
@@ -73,7 +79,9 @@ class Codec:
         self.into, self.byte_ids, self.pieces, self.added = tables["into"], tables["bytes"], tables["pieces"], tables["added"]
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.cache: dict[str, tuple] = {}
+        self.names = [str(i) for i in range(max(self.base, *self.added.values(), *self.pieces) + 1)]
+        self.cache: dict = {}
+        self.long: list = []
 
     # --- the tree
 
@@ -233,36 +241,46 @@ class Codec:
             at = m.end()
         return out + self.words.findall(text[at:])
 
-    def segments(self, text: str) -> list[str]:
-        """Parts that are cut and merged on their own: a part but the first begins with the space before it. Texts with
-        special strings, or with a space before white space, are one part."""
-        if self.special and self.special.search(text):
-            return [text]
+    def segments(self, text: str) -> list:
+        """Parts that are cut and merged on their own: (start,) and then strings that follow a space. Texts with special
+        strings, or with a space before white space, are one part."""
+        if self.special and self.special.search(text) or _SPACES.search(text):
+            return [(text,)]
         parts = text.split(" ")
-        if any(not x or x[0].isspace() for x in parts[1:]):
-            return [text]
-        return [parts[0], *[" " + x for x in parts[1:]]] if parts[0] else [" " + x for x in parts[1:]]
-
-    def look_up(self, texts: list[list[str]]) -> dict[str, tuple]:
-        """For each segment: its ids, these as text, and the bytes that the ids decode to."""
-        need, cache = set().union(*texts), self.cache
-        found = {s: cache[s] for s in need if s in cache}
-        missing = [s for s in need if s not in found]
-        cut = [self.cut(s) for s in missing]
+        parts[0] = (parts[0],)
+        return parts
+
+    def cut_segment(self, s) -> list[str]:
+        """cut() of a segment; letters, with marks after them or not, need no pattern."""
+        if not isinstance(s, str):
+            return self.cut(s[0])
+        if s.isalpha():
+            return [" " + s]
+        letters = s.rstrip(MARKS)
+        return [" " + letters, s[len(letters) :]] if letters.isalpha() else self.words.findall(" " + s)
+
+    def look_up(self, texts: list[list]) -> dict:
+        """The cache, with each segment of texts: its ids, these as text, and the bytes that the ids decode to."""
+        cache = self.cache
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        missing = list(set().union(*texts).difference(cache))
+        cut = [self.cut_segment(s) for s in missing]
         words = list(set().union(*cut))
         ids_of = dict(zip(words, self.merge([w.encode() for w in words])))
         # a word as the pattern cuts it is never a special string: those hold both letters and signs
         ids_of |= {w: [i] for w, i in self.added.items() if w in ids_of}
-        fresh = {}
+        names = self.names
         for s, ws in zip(missing, cut):
             ids = ids_of[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids_of[w]]
-            fresh[s] = (ids, ",".join(map(str, ids)), self.piece_bytes(ids))
-        short = {s: v for s, v in fresh.items() if len(s) < 40}
-        if len(cache) + len(short) > CACHE_WORDS:
-            cache.clear()
-        if len(short) <= CACHE_WORDS:
-            cache |= short
-        return found | fresh
+            cache[s] = (ids, ",".join([names[i] for i in ids]), self.piece_bytes(ids))
+        self.long = [s for s in missing if len(s if isinstance(s, str) else s[0]) > LONG]
+        return cache
+
+    def forget(self) -> None:
+        """Takes long segments out of the cache."""
+        for s in self.long:
+            del self.cache[s]
 
     def piece_bytes(self, ids) -> bytes:
         get = self.pieces.get
@@ -271,7 +289,9 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.segments(t or "") for t in texts]
         known = self.look_up(cut)
-        return [[i for w in ws for i in known[w][0]] for ws in cut]
+        out = [[i for w in ws for i in known[w][0]] for ws in cut]
+        self.forget()
+        return out
 
     def decode(self, ids) -> str:
         return self.piece_bytes(ids).decode("utf-8", errors="replace")
@@ -280,13 +300,14 @@ class Codec:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text) of each text."""
         cut = [self.segments(t or "") for t in texts]
         known = self.look_up(cut)
-        joined, decoded = ({w: v[k] for w, v in known.items()} for k in (1, 2))
         out = []
         for ws in cut:
-            ids = ",".join([joined[w] for w in ws if w])
-            raw = b"".join([decoded[w] for w in ws])
+            found = [known[w] for w in ws]
+            ids = ",".join([x[1] for x in found if x[1]])
+            raw = b"".join([x[2] for x in found])
             whole = raw.decode("utf-8", errors="replace").encode()
             out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()))
+        self.forget()
         return out
 
 
@@ -332,7 +353,7 @@ def _mapped(df: DataFrame, path: str, column: str, made: list, work) -> DataFram
 
         return each
 
-    return arrow_columns(df, column, made, start, rows=512)
+    return arrow_columns(df, column, made, start, rows=1024)
 
 
 def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
