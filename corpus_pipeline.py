@@ -29,10 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group; of rows that repeat that id, one."""
-    kept = covering_simhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    chosen = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    """Keeps one row of each group, that of least id; rows without an id or with a repeated one are rows like any other."""
+    return covering_simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

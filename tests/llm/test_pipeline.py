@@ -9,6 +9,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from weftgraph.llm import covering_simhash, gam_quality, mixing, queries, zstd_langid
 
+from .conftest import make, prose
+from .test_corpus_operators import classes
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
@@ -44,3 +47,21 @@ def test_repeated_rows_leave_one(spark):
     twice = docs.union(docs)
     kept = corpus_pipeline.near_dedup(spark, twice, SF).collect()
     assert len({r.doc_id for r in kept}) == len(kept)
+
+
+def test_one_row_a_group_whatever_the_ids(spark, odd):
+    apart = [(None, prose(i, 80), "en", "s") for i in range(5)] + [(None, prose(0, 80), "de", "t")]
+    apart += [(7000, prose(i, 80), "en", "s") for i in range(10, 14)] + [(6999, prose(10, 80), "en", "s")]
+    docs = odd.union(make(spark, apart))
+    rows = docs.collect()
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    fps = [covering_simhash.fingerprint(r.text) for r in rows]
+    found = classes(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    group = {r: c for r, c in zip(rows, found)}
+    least = {}
+    for r, c in zip(rows, found):
+        least[c] = min(least.get(c, 1 << 62), 1 << 62 if r.doc_id is None else r.doc_id)
+    got = kept.collect()
+    assert Counter(group[r] for r in got) == Counter(set(found))
+    assert all((1 << 62 if r.doc_id is None else r.doc_id) == least[group[r]] for r in got)

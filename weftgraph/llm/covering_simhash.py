@@ -63,8 +63,8 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, *also, fp): fp is the fingerprint as a signed long."""
     import pyarrow as pa
 
     ship(df.sparkSession)
@@ -74,10 +74,11 @@ def fingerprints(df: DataFrame) -> DataFrame:
             texts, made = batch.column(1), np.zeros(batch.num_rows, dtype=np.uint64)
             for i in range(batch.num_rows):
                 made[i] = fingerprint(texts[i].as_py())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(made.view(np.int64))], names=["doc_id", *also, "fp"])
 
-    df = df.select("doc_id", "text")
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    df = df.select("doc_id", "text", *also)
+    kept = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in ("doc_id", *also))
+    return df.mapInArrow(run, f"{kept}fp bigint")
 
 
 def _signed(mask: int) -> int:
@@ -100,13 +101,30 @@ def links(distinct: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept (the first of its component)."""
-    marked = materialise(fingerprints(docs), "simhash")
+def _classes(marked: DataFrame) -> DataFrame:
+    """marked(doc_id, fp, ...) -> (_fp, c, component_id): of each fingerprint, its component and the least id there."""
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-fp")
     found = components(links(distinct.select("fp")), "simhash-cc")
     joined = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     least = joined.groupBy("c").agg(F.min("first").alias("component_id"))
-    classes = joined.join(least, "c").select(F.col("fp").alias("_fp"), "component_id")
-    out = marked.join(classes, marked["fp"] == classes["_fp"])
+    return joined.join(least, "c").select(F.col("fp").alias("_fp"), "c", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept (the first of its component)."""
+    marked = materialise(fingerprints(docs), "simhash")
+    out = marked.join(_classes(marked), F.col("fp") == F.col("_fp"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Exactly one row of docs per component, whatever the ids: that of least doc_id, nulls last, and of least row key.
+
+    The row key is two 64-bit hashes of all columns, so texts travel once, and rows without an id are told apart.
+    """
+    keys = ["_row_a", "_row_b"]
+    keyed = docs.select("*", F.xxhash64(F.lit(1), "*").alias(keys[0]), F.xxhash64(F.lit(2), "*").alias(keys[1]))
+    marked = materialise(fingerprints(keyed, *keys), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("x")
+    chosen = marked.join(_classes(marked), F.col("fp") == F.col("_fp")).groupBy("c").agg(first).select(*[F.col(f"x.{k}").alias(k) for k in keys])
+    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).drop(*keys)
