@@ -1,6 +1,7 @@
 """Small fixtures whose results are known by hand."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,17 @@ def test_fuzzy_names(spark):
     n = spark.createDataFrame([("a", "total_price"), ("b", "TotalPrices"), ("b", "other")], "side string, name string")
     got = search.matches(n).collect()
     assert [(r.x, r.y) for r in got] == [("total_price", "TotalPrices")] and got[0].score == 0.9
+
+
+def test_components_and_cycles_of_long_paths(spark):
+    order = random.Random(3).sample(range(1000, 1400), 400)
+    path = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in zip(order, order[1:])] + [("x", "x"), ("y", "z")], "src string, dst string")
+    want = {f"n{i}": "n1000" for i in order} | {"x": "x", "y": "y", "z": "y"}
+    assert {r.node_id: r.component for r in graph.weak_labels(path).collect()} == want
+    chain = path.filter("src LIKE 'n%'")
+    nodes = chain.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    assert graph.is_tree(nodes, chain).first().is_tree
+    assert not graph.has_cycle(chain)
+    assert graph.has_cycle(chain.union(spark.createDataFrame([(f"n{order[300]}", f"n{order[290]}")], "src string, dst string")))
+    assert graph.has_cycle(path)
+    assert not graph.has_cycle(chain.limit(0))

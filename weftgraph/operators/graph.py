@@ -134,24 +134,34 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
 
 
-def weak_labels(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node_id, component): the least id reachable, by hooking to the least neighbour label and shortening paths."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Large: every greater neighbour is linked to the node's least one. Small: every smaller one and the node itself are."""
+    if large:
+        sides = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    joined = sides.join(least, "u")
+    if large:
+        moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    return moved.filter("u <> v").distinct()
+
+
+def weak_labels(edges: DataFrame) -> DataFrame:
+    """(node_id, component): the least id reachable, by large-star and small-star steps until a round changes nothing, which
+    takes about log(n) rounds on a path too."""
     from .tables import materialise
 
-    arcs = both_ways(edges).select("node_id", "other").distinct()
-    labels = arcs.groupBy("node_id").agg(F.least(F.min("other"), F.col("node_id")).alias("component"))
-    arcs, labels = materialise(arcs), materialise(labels)
-    for _ in range(rounds):
-        near = arcs.join(labels.withColumnRenamed("node_id", "other"), "other").groupBy("node_id").agg(F.min("component").alias("m"))
-        hooked = labels.join(near, "node_id").select("node_id", F.least("component", "m").alias("component"))
-        root = hooked.select(F.col("node_id").alias("component"), F.col("component").alias("up"))
-        jumped = hooked.join(root, "component", "left").select("node_id", F.least("component", F.coalesce("up", "component")).alias("component"))
-        now = materialise(jumped)
-        changed = now.join(labels.withColumnRenamed("component", "old"), "node_id").filter("component <> old").isEmpty()
-        labels = now
-        if changed:
+    ends = materialise(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).dropna().distinct())
+    now = materialise(ends.filter("u <> v"))
+    while True:
+        before, now = now, materialise(_star(_star(now, True), False))
+        if now.count() == before.count() and now.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-    return labels
+    every = ends.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    return every.join(now.select(F.col("u").alias("node_id"), F.col("v").alias("component")), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def is_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -161,20 +171,29 @@ def is_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.select("n", "e", "components", ((F.col("components") == 1) & (F.col("e") == F.col("n") - 1)).alias("is_tree"))
 
 
-def has_cycle(edges: DataFrame, rounds: int = 100) -> bool:
-    """Whether the directed graph has a cycle: nodes without incoming edges are peeled off until none is left or none goes."""
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether the directed graph has a cycle: nodes without incoming edges are peeled off until none is left or none goes.
+    Between two peels, some nodes with one incoming edge are merged into its source, which neither makes nor breaks a cycle
+    (one of the two alone becomes a loop), so that a chain takes about log(n) rounds."""
     from .tables import materialise
 
-    now = edges.select("src", "dst").distinct()
-    left = now.count()
-    for _ in range(rounds):
+    now = materialise(edges.select("src", "dst").dropna().distinct())
+    left, i = now.count(), 0
+    while left:
         heads = now.select(F.col("dst").alias("src")).distinct()
-        now = materialise(now.join(heads, "src", "left_semi"))
-        size = now.count()
+        peeled = materialise(now.join(heads, "src", "left_semi"))
+        size = peeled.count()
         if size in (0, left):
             return size > 0
-        left = size
-    return True
+        if not peeled.filter("src = dst").isEmpty():
+            return True
+        coin = lambda c: F.xxhash64(F.lit(i), c).bitwiseAND(F.lit(1))
+        single = peeled.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up")).filter("n = 1")
+        merged = single.filter((coin(F.col("dst")) == 1) & (coin(F.col("up")) == 0)).select(F.col("dst").alias("gone"), "up")
+        rest = peeled.join(merged.select(F.col("gone").alias("dst")), "dst", "left_anti").join(merged, F.col("src") == F.col("gone"), "left")
+        now = materialise(rest.select(F.coalesce("up", "src").alias("src"), "dst").distinct())
+        left, i = now.count(), i + 1
+    return False
 
 
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
