@@ -420,6 +420,9 @@ add("text_semantic", lambda s, d: search.cosine(T(s, d, "embeddings"), T(s, d, "
 add("text_context", lambda s, d: search.context(E(s, d, GEO), N(s, d).filter("node_id = 'nation:3'")), with_(BOTH) + "SELECT DISTINCT other AS node_id, 0.7::DOUBLE AS similarity FROM b WHERE node_id = 'nation:3' ORDER BY node_id LIMIT 8")
 add("node_text", lambda s, d: search.node_text(N(s, d).filter("type <> 'order'"), P(s, d).filter("d_val IS NULL AND type <> 'order'")), with_("t AS (SELECT node_id, string_agg(prop || ': ' || s_val, ' | ' ORDER BY prop) AS t FROM p WHERE d_val IS NULL GROUP BY 1)") + "SELECT node_id, 'type: ' || type || ' | value: ' || value || coalesce(' | ' || t, '') AS text FROM n LEFT JOIN t USING (node_id) WHERE type <> 'order'")
 add("edge_text", lambda s, d: search.edge_text(E(s, d, GEO), N(s, d)), "SELECT e.src, e.dst, edge_type, src_type || ':' || x.value || ' ' || edge_type || ' ' || dst_type || ':' || y.value AS text FROM e JOIN n x ON x.node_id = e.src JOIN n y ON y.node_id = e.dst WHERE edge_type IN ('in_nation', 'in_region')")
+#: The same over all nodes, properties and edges; node_text and edge_text are on parts of them.
+add("node_text_full", lambda s, d: search.node_text(N(s, d), P(s, d)), with_("t AS (SELECT node_id, string_agg(prop || ': ' || s_val, ' | ' ORDER BY prop) AS t FROM p GROUP BY 1)") + "SELECT node_id, 'type: ' || type || ' | value: ' || value || coalesce(' | ' || t, '') AS text FROM n LEFT JOIN t USING (node_id)")
+add("edge_text_full", lambda s, d: search.edge_text(E(s, d), N(s, d)), "SELECT e.src, e.dst, edge_type, src_type || ':' || x.value || ' ' || edge_type || ' ' || dst_type || ':' || y.value AS text FROM e JOIN n x ON x.node_id = e.src JOIN n y ON y.node_id = e.dst")
 
 
 def _statuses(s: SparkSession, d: str) -> DataFrame:
@@ -443,6 +446,7 @@ add("process_walk", lambda s, d: search.walk(s.createDataFrame(STEPS, "src strin
 # --- views, streams
 
 add("naming_score", lambda s, d: views.naming(N(s, d), P(s, d)).filter("type <> 'order' AND prop NOT IN ('c_acctbal', 's_acctbal', 'p_retailprice')"), with_(PC, "ln AS (SELECT type, prop, avg(length(s_val)) AS l FROM p GROUP BY 1, 2)") + f"SELECT type, prop, round(CASE {UNI} WHEN 'unique' THEN 10.0::DOUBLE WHEN 'variable' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + present / CAST(total AS DOUBLE) * 10 + CASE WHEN l <= 30 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS score FROM pc JOIN ln USING (type, prop) WHERE type <> 'order' AND prop NOT IN ('c_acctbal', 's_acctbal', 'p_retailprice')")
+add("naming_score_full", lambda s, d: views.naming(N(s, d), P(s, d)), with_(PC, "ln AS (SELECT type, prop, avg(length(s_val)) AS l FROM p GROUP BY 1, 2)") + f"SELECT type, prop, round(CASE {UNI} WHEN 'unique' THEN 10.0::DOUBLE WHEN 'variable' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + present / CAST(total AS DOUBLE) * 10 + CASE WHEN l <= 30 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS score FROM pc JOIN ln USING (type, prop)")
 add("hierarchy_buckets", lambda s, d: views.hierarchy_buckets(E(s, d)), "SELECT CASE WHEN contains(edge_type, 'contains') OR contains(edge_type, 'has') OR contains(edge_type, 'in_') THEN 'containment' WHEN edge_type = 'placed' THEN 'ownership' WHEN edge_type = 'supplies' THEN 'supply' ELSE 'other' END AS kind, edge_type, count(*) AS n FROM e GROUP BY 1, 2")
 add("categorization", lambda s, d: views.categories(N(s, d), P(s, d), E(s, d)), with_(REL, "rt AS (SELECT type, count(*) AS relationships FROM (SELECT src_type AS type, edge_type, src_type, dst_type FROM r UNION SELECT dst_type, edge_type, src_type, dst_type FROM r) GROUP BY 1)", "ns AS (SELECT type, round(count(*) FILTER (k) / CAST(count(*) AS DOUBLE), 6) AS numeric_share FROM (SELECT type, prop, bool_or(d_val IS NOT NULL) AS k FROM p GROUP BY 1, 2) GROUP BY 1)", "ty AS (SELECT DISTINCT type FROM n)", "z AS (SELECT type, coalesce(relationships, 0) AS relationships, coalesce(numeric_share, 0.0::DOUBLE) AS numeric_share FROM ty LEFT JOIN rt USING (type) LEFT JOIN ns USING (type))") + "SELECT *, CAST(CASE WHEN relationships > 2 THEN 2 ELSE 0 END + CASE WHEN numeric_share > 0.3 THEN 1 ELSE 0 END AS INTEGER) AS score FROM z")
 add("measurement_ranges", lambda s, d: views.ranges(P(s, d)), with_("q AS (SELECT type, prop, d_val, min(d_val) OVER (PARTITION BY type, prop) AS a, max(d_val) OVER (PARTITION BY type, prop) AS b FROM p WHERE d_val IS NOT NULL)") + "SELECT type, prop, CAST(CASE WHEN a = b THEN 0 ELSE least(3, floor((d_val - a) * 4 / (b - a))) END AS INTEGER) AS part, count(*) AS n FROM q GROUP BY 1, 2, 3")
