@@ -169,3 +169,10 @@ def test_components_and_cycles_of_long_paths(spark):
     assert graph.has_cycle(chain.union(spark.createDataFrame([(f"n{order[300]}", f"n{order[290]}")], "src string, dst string")))
     assert graph.has_cycle(path)
     assert not graph.has_cycle(chain.limit(0))
+
+
+def test_affixes_of_any_length(spark):
+    values = {"code": [f"P-{i}{i}" for i in range(10, 20)], "long": [f"measurement {i} unit" for i in range(10)], "name": ["Red Car", "Blue Boat", "Old Town", "New York", "x"]}
+    props = spark.createDataFrame([(str(i), "t", p, v, None) for p, vs in values.items() for i, v in enumerate(vs)], "node_id string, type string, prop string, s_val string, d_val double")
+    got = {(r.prop, r.what): (r.x, r.n) for r in ontology.string_affixes(props).collect()}
+    assert got == {("code", "prefix"): ("P", 10), ("code", "capitalization"): ("all_uppercase", 10), ("long", "prefix"): ("m", 10), ("long", "suffix"): ("t", 10), ("long", "capitalization"): ("all_lowercase", 10), ("name", "capitalization"): ("title_case", 4)}

@@ -134,6 +134,26 @@ def string_shape(props: DataFrame, least: float = 0.8) -> DataFrame:
     return n.join(F.broadcast(total), ["type", "prop"]).filter(F.col("n") >= least * F.col("total")).select("type", "prop", "what", "x", "n")
 
 
+def string_affixes(props: DataFrame, least: float = 0.8, longest: int = 9) -> DataFrame:
+    """The most frequent prefix and suffix of 1 to min(length // 2, longest) characters and the capitalisation that at least
+    that share of a text property's values has; of equally frequent ones the shorter."""
+    p = props.filter("d_val IS NULL")
+    total = p.groupBy("type", "prop").agg(F.count("*").alias("total"))
+    v = F.col("s_val")
+    low, up = v.rlike(r"\p{Ll}"), v.rlike(r"\p{Lu}")
+    title = ~v.rlike(r"(^|\P{L})\p{Ll}") & ~v.rlike(r"\p{L}\p{Lu}")
+    case = F.when(low & ~up, "all_lowercase").when(up & ~low, "all_uppercase").when(title, "title_case").when(v.rlike(r"^\p{Lu}\P{Lu}*$"), "sentence_case").otherwise("mixed_case")
+    sizes = F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda k: k * 2 <= F.length(v))
+    parts = [
+        F.transform(sizes, lambda k: F.struct(F.lit("prefix").alias("what"), F.substring(v, F.lit(1), k).alias("x"))),
+        F.transform(sizes, lambda k: F.struct(F.lit("suffix").alias("what"), F.substring(v, -k, k).alias("x"))),
+    ]
+    each = F.concat(F.array(F.struct(F.lit("capitalization").alias("what"), case.alias("x"))), *parts)
+    n = p.select("type", "prop", F.explode(each).alias("t")).groupBy("type", "prop", "t.what", "t.x").agg(F.count("*").alias("n"))
+    best = n.join(F.broadcast(total), ["type", "prop"]).filter(F.col("n") >= least * F.col("total")).groupBy("type", "prop", "what").agg(F.max(F.struct("n", (-F.length("x")).alias("k"), "x")).alias("b"))
+    return best.select("type", "prop", "what", "b.x", "b.n")
+
+
 def regex_by_position(props: DataFrame, longest: int = 20, least: int = 3) -> DataFrame:
     """A pattern for text properties whose values have one length: a class or literal for each place."""
     p = props.filter("d_val IS NULL").select("type", "prop", "s_val").distinct()

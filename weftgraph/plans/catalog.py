@@ -232,6 +232,13 @@ add(
     with_("z AS (SELECT type, prop, s_val, count(*) OVER (PARTITION BY type, prop) AS total FROM p WHERE d_val IS NULL)", "u AS (SELECT type, prop, total, 'class' AS what, CASE WHEN regexp_matches(s_val, '^[0-9]+$') THEN 'digits' WHEN regexp_matches(s_val, '^[A-Z]+$') THEN 'upper' WHEN regexp_matches(s_val, '^[a-z]+$') THEN 'lower' WHEN regexp_matches(s_val, '^[A-Za-z]+$') THEN 'letters' WHEN regexp_matches(s_val, '^[A-Za-z0-9]+$') THEN 'alphanumeric' ELSE 'mixed' END AS x FROM z UNION ALL SELECT type, prop, total, 'prefix', s_val[1:3] FROM z UNION ALL SELECT type, prop, total, 'suffix', right(s_val, 3) FROM z)")
     + "SELECT type, prop, what, x, count(*) AS n FROM u GROUP BY type, prop, what, x HAVING count(*) >= 0.8 * any_value(total)",
 )
+#: string_shape has prefixes and suffixes of three characters only.
+add(
+    "string_affixes",
+    lambda s, d: ontology.string_affixes(P(s, d)),
+    with_("z AS (SELECT type, prop, s_val, count(*) OVER (PARTITION BY type, prop) AS total FROM p WHERE d_val IS NULL)", "k AS (SELECT unnest(generate_series(1, 9)) AS k)", r"u AS (SELECT type, prop, total, 'capitalization' AS what, CASE WHEN regexp_matches(s_val, '\p{Ll}') AND NOT regexp_matches(s_val, '\p{Lu}') THEN 'all_lowercase' WHEN regexp_matches(s_val, '\p{Lu}') AND NOT regexp_matches(s_val, '\p{Ll}') THEN 'all_uppercase' WHEN NOT regexp_matches(s_val, '(^|\P{L})\p{Ll}') AND NOT regexp_matches(s_val, '\p{L}\p{Lu}') THEN 'title_case' WHEN regexp_matches(s_val, '^\p{Lu}\P{Lu}*$') THEN 'sentence_case' ELSE 'mixed_case' END AS x FROM z UNION ALL SELECT type, prop, total, 'prefix', left(s_val, k) FROM z, k WHERE k * 2 <= length(s_val) UNION ALL SELECT type, prop, total, 'suffix', right(s_val, k) FROM z, k WHERE k * 2 <= length(s_val))")
+    + "SELECT type, prop, what, x, n FROM (SELECT type, prop, what, x, count(*) AS n FROM u GROUP BY type, prop, what, x HAVING count(*) >= 0.8 * any_value(total)) QUALIFY row_number() OVER (PARTITION BY type, prop, what ORDER BY n DESC, length(x)) = 1",
+)
 add(
     "regex_synthesis",
     lambda s, d: ontology.regex_by_position(P(s, d)),
