@@ -176,3 +176,10 @@ def test_affixes_of_any_length(spark):
     props = spark.createDataFrame([(str(i), "t", p, v, None) for p, vs in values.items() for i, v in enumerate(vs)], "node_id string, type string, prop string, s_val string, d_val double")
     got = {(r.prop, r.what): (r.x, r.n) for r in ontology.string_affixes(props).collect()}
     assert got == {("code", "prefix"): ("P", 10), ("code", "capitalization"): ("all_uppercase", 10), ("long", "prefix"): ("m", 10), ("long", "suffix"): ("t", 10), ("long", "capitalization"): ("all_lowercase", 10), ("name", "capitalization"): ("title_case", 4)}
+
+
+def test_json_of_any_depth(spark):
+    deep = '{"a": ' * 12 + "[1, {}]" + "}" * 12
+    got = {(r.path, r.type, r.value) for r in ingest.json_nodes(spark.createDataFrame([(1, deep), (2, None)], "doc int, j string"), "j").collect()}
+    want = {("root" + ".a" * i, "dict", None) for i in range(12)} | {("root" + ".a" * 12, "list", None), ("root" + ".a" * 12 + ".0", "int", "1"), ("root" + ".a" * 12 + ".1", "dict", None)}
+    assert got == want

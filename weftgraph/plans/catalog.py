@@ -79,7 +79,7 @@ add(
 )
 add(
     "json_nodes",
-    lambda s, d: ingest.json_nodes(T(s, d, "events").select(F.col("event_id").alias("doc"), "props"), "props", 3),
+    lambda s, d: ingest.json_nodes(T(s, d, "events").select(F.col("event_id").alias("doc"), "props"), "props"),
     """WITH k AS (SELECT event_id AS doc, CAST(props AS JSON) AS j FROM events WHERE props IS NOT NULL),
     f AS (SELECT doc, j, unnest(json_keys(j)) AS key FROM k)
     SELECT doc, 'root' AS path, 'dict' AS type, CAST(NULL AS VARCHAR) AS value FROM k

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.tables import materialise
 from .star_graph import union
 
 
@@ -139,16 +140,18 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return n, e
 
 
-def json_nodes(df: DataFrame, column: str, depth: int = 6) -> DataFrame:
-    """(doc, path, type, value) of each value in JSON texts, containers without value; `doc` is kept from df. Each level is
-    one generator over the level above."""
+def json_nodes(df: DataFrame, column: str) -> DataFrame:
+    """(doc, path, type, value) of each value in JSON texts, however deep, containers without value; `doc` is kept from df.
+    Each level is one generator over the level above, which is written, and the last is the one without rows."""
     spark, now, found = df.sparkSession, df.select("doc", F.lit("root").alias("path"), F.try_parse_json(column).alias("v")), []
-    for _ in range(depth):
+    while True:
+        now = materialise(now.filter("v IS NOT NULL"))
+        if found and now.isEmpty():
+            return union(found)
         kind = F.schema_of_variant("v")
         named = F.when(kind.startswith("OBJECT"), "dict").when(kind.startswith("ARRAY"), "list").when(kind == "STRING", "str").when(kind == "BIGINT", "int").when(kind == "BOOLEAN", "bool").when(kind == "VOID", "NoneType").otherwise("float")
-        found.append(now.filter("v IS NOT NULL").select("doc", "path", named.alias("type"), F.when(~named.isin("dict", "list", "NoneType"), F.col("v").cast("string")).alias("value")))
+        found.append(now.select("doc", "path", named.alias("type"), F.when(~named.isin("dict", "list", "NoneType"), F.col("v").cast("string")).alias("value")))
         now = spark.sql("SELECT doc, path || '.' || coalesce(key, cast(pos AS string)) AS path, value AS v FROM {d}, LATERAL variant_explode(v)", d=now)
-    return union(found)
 
 
 def pattern_matches(name: Column, patterns: list[str]) -> Column:
