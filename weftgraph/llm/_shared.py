@@ -21,9 +21,13 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is unset (a local session, as in tests) is a folder of our own used.
+    Where that setting is unset, a local session (as in tests) uses a folder of its own, and any other is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/weft-{tag}-{uuid.uuid4().hex[:12]}"
 
 
@@ -93,20 +97,26 @@ def npz_bytes(**arrays) -> bytes:
     return out.getvalue()
 
 
-def arrow_columns(df: DataFrame, column: str, made: list, start, rows: int = 1024) -> DataFrame:
-    """df with the columns `made` (pairs of name and Spark type), which replace columns of these names.
+def arrow_columns(df: DataFrame, column: str, made: list, start, rows: int = 1024, without: tuple = ()) -> DataFrame:
+    """df with the columns `made` (pairs of name and Spark type), which replace columns of these names, and without those
+    named in `without`.
 
     In each task start() returns a function from an Arrow array of `column` to as many Arrow arrays as `made` names; it
-    gets at most `rows` rows at a time. Input columns travel under other names, so theirs may clash in any way.
+    gets at most `rows` rows at a time. Every column crosses to Python once, and `column` back only if it is kept. Columns
+    travel under other names, so theirs may clash in any way.
     """
     from pyspark.sql import types as T
 
     ship(df.sparkSession)
     names = [n for n, _ in made]
-    kept = [(i, f) for i, f in enumerate(df.schema) if f.name.lower() not in names]
-    place = next(i for i, f in enumerate(df.schema) if f.name.lower() == column.lower())
-    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    inner = plain.select(*[f"_{i}" for i, _ in kept], plain[f"_{place}"].alias("_in"))
+    gone = {n.lower() for n in (*names, *without)}
+    fields = list(df.schema)
+    place = next(i for i, f in enumerate(fields) if f.name.lower() == column.lower())
+    kept = [i for i, f in enumerate(fields) if f.name.lower() not in gone]
+    sent = sorted({*kept, place})
+    back, at = [sent.index(i) for i in kept], sent.index(place)
+    inner = df.toDF(*[f"_{i}" for i in range(len(fields))]).select(*[f"_{i}" for i in sent])
+    out_names = [f"_{i}" for i in kept] + [f"made_{i}" for i in range(len(made))]
 
     def run(batches):
         import pyarrow as pa
@@ -115,9 +125,7 @@ def arrow_columns(df: DataFrame, column: str, made: list, start, rows: int = 102
         for batch in batches:
             for a in range(0, batch.num_rows, rows):
                 part = batch.slice(a, rows)
-                arrays = work(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=[*part.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in back), *work(part.column(at))], names=out_names)
 
-    schema = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in kept] + [T.StructField(n, t) for n, t in made])
-    out = inner.mapInArrow(run, schema)
-    return out.toDF(*[f.name for _, f in kept], *names)
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(out_names, [fields[i].dataType for i in kept] + [t for _, t in made])])
+    return inner.mapInArrow(run, schema).toDF(*[fields[i].name for i in kept], *names)

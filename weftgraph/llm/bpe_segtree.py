@@ -17,10 +17,10 @@ empty result. Ids outside the vocabulary decode to nothing.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -33,7 +33,7 @@ from ._shared import arrow_columns
 NONE = np.iinfo(np.int32).max
 #: Fixed value: the public byte-level pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Segments of more characters aren't kept between batches.
 LONG = 40
 #: Neither letters, digits nor spaces, nor the sign of contractions.
@@ -80,7 +80,8 @@ class Codec:
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.names = [str(i) for i in range(max(self.base, *self.added.values(), *self.pieces) + 1)]
-        self.cache: dict = {}
+        self.packed: dict = {}  # segment -> its ids as 32-bit integers
+        self.named: dict = {}  # segment -> (its ids as text, the bytes they decode to)
         self.long: list = []
 
     # --- the tree
@@ -259,9 +260,8 @@ class Codec:
         letters = s.rstrip(MARKS)
         return [" " + letters, s[len(letters) :]] if letters.isalpha() else self.words.findall(" " + s)
 
-    def look_up(self, texts: list[list]) -> dict:
-        """The cache, with each segment of texts: its ids, these as text, and the bytes that the ids decode to."""
-        cache = self.cache
+    def look_up(self, texts: list[list], cache: dict, made) -> dict:
+        """The cache, with made(ids) of each segment of texts."""
         if len(cache) > CACHE_WORDS:
             cache.clear()
         missing = list(set().union(*texts).difference(cache))
@@ -270,54 +270,53 @@ class Codec:
         ids_of = dict(zip(words, self.merge([w.encode() for w in words])))
         # a word as the pattern cuts it is never a special string: those hold both letters and signs
         ids_of |= {w: [i] for w, i in self.added.items() if w in ids_of}
-        names = self.names
         for s, ws in zip(missing, cut):
-            ids = ids_of[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids_of[w]]
-            cache[s] = (ids, ",".join([names[i] for i in ids]), self.piece_bytes(ids))
+            cache[s] = made(ids_of[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids_of[w]])
         self.long = [s for s in missing if len(s if isinstance(s, str) else s[0]) > LONG]
         return cache
 
-    def forget(self) -> None:
+    def forget(self, cache: dict) -> None:
         """Takes long segments out of the cache."""
         for s in self.long:
-            del self.cache[s]
+            del cache[s]
 
     def piece_bytes(self, ids) -> bytes:
         get = self.pieces.get
         return b"".join([get(i, b"") for i in ids])
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers side by side, so that no list of ids is ever made."""
         cut = [self.segments(t or "") for t in texts]
-        known = self.look_up(cut)
-        out = [[i for w in ws for i in known[w][0]] for ws in cut]
-        self.forget()
+        known = self.look_up(cut, self.packed, lambda ids: array("i", ids).tobytes())
+        out = [b"".join([known[w] for w in ws]) for ws in cut]
+        self.forget(self.packed)
         return out
 
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, dtype=np.int32).tolist() for x in self.encode_packed(texts)]
+
     def decode(self, ids) -> str:
         return self.piece_bytes(ids).decode("utf-8", errors="replace")
 
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text) of each text."""
-        cut = [self.segments(t or "") for t in texts]
-        known = self.look_up(cut)
+        cut, names = [self.segments(t or "") for t in texts], self.names
+        known = self.look_up(cut, self.named, lambda ids: (",".join([names[i] for i in ids]), self.piece_bytes(ids)))
         out = []
         for ws in cut:
             found = [known[w] for w in ws]
-            ids = ",".join([x[1] for x in found if x[1]])
-            raw = b"".join([x[2] for x in found])
-            whole = raw.decode("utf-8", errors="replace").encode()
+            ids = ",".join([x[0] for x in found if x[0]])
+            whole = b"".join([x[1] for x in found]).decode("utf-8", errors="replace").encode()
             out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()))
-        self.forget()
+        self.forget(self.named)
         return out
 
 
-#: Collecting garbage in a worker would walk the cache again and again.
 _codecs: dict[str, Codec] = {}
 
 
 def _codec(key: str, tables) -> Codec:
     """One codec in each worker process, kept between tasks."""
-    gc.disable()
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(tables.value)
@@ -336,8 +335,8 @@ def chunks(texts: list[str | None]):
         yield a, len(texts)
 
 
-def _mapped(df: DataFrame, path: str, column: str, made: list, work) -> DataFrame:
-    """df with further columns that work(codec, values) returns as Arrow arrays."""
+def _mapped(df: DataFrame, path: str, column: str, made: list, work, without: tuple = ()) -> DataFrame:
+    """df, less the columns of `without`, with further columns that work(codec, values) returns as Arrow arrays."""
     spark = df.sparkSession
     key = f"{spark.sparkContext.applicationId}:{path}"
     tables = spark.sparkContext.broadcast(load(path))
@@ -353,7 +352,7 @@ def _mapped(df: DataFrame, path: str, column: str, made: list, work) -> DataFram
 
         return each
 
-    return arrow_columns(df, column, made, start, rows=1024)
+    return arrow_columns(df, column, made, start, 1024, without)
 
 
 def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
@@ -361,8 +360,10 @@ def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
     import pyarrow as pa
 
     def work(codec: Codec, texts):
-        ids = codec.encode(texts)
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+        ids = codec.encode_packed(texts)
+        n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return [pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))]
 
     return _mapped(df, path, column, [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType()))], work)
 
@@ -382,4 +383,4 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
         n, ids, text = zip(*codec.digests(texts))
         return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
 
-    return _mapped(df.select("doc_id", "text"), path, "text", [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], work).drop("text")
+    return _mapped(df.select("doc_id", "text"), path, "text", [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], work, ("text",))

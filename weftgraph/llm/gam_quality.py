@@ -175,8 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", held_by: i
     return fit(np.array([r["x"] for r in rows]), np.array([r["y"] > 0 for r in rows], dtype=float))
 
 
-def annotate(df: DataFrame, model: dict) -> DataFrame:
-    """df with score (double) and predicted (int)."""
+def annotate(df: DataFrame, model: dict, without: tuple = ()) -> DataFrame:
+    """df, less the columns of `without`, with score (double) and predicted (int)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -188,10 +188,10 @@ def annotate(df: DataFrame, model: dict) -> DataFrame:
 
         return each
 
-    return arrow_columns(df, "text", [("score", T.DoubleType()), ("predicted", T.IntegerType())], start)
+    return arrow_columns(df, "text", [("score", T.DoubleType()), ("predicted", T.IntegerType())], start, without=without)
 
 
 def score(docs: DataFrame, labels: DataFrame, held_by: int = 3, held: int = 1) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    found = annotate(docs.select("doc_id", "text"), learn(docs, labels, "quality", held_by, held))
+    found = annotate(docs.select("doc_id", "text"), learn(docs, labels, "quality", held_by, held), ("text",))
     return found.select("doc_id", is_held_out(F.col("doc_id"), held_by, held).alias("held_out"), "score", "predicted")

@@ -214,7 +214,7 @@ def _best(rows: DataFrame, model: dict) -> list:
 
         return each
 
-    return arrow_columns(rows, "text", [("n", T.LongType()), ("s", T.DoubleType())], start).select("n", "s", "y").collect()
+    return arrow_columns(rows, "text", [("n", T.LongType()), ("s", T.DoubleType())], start, without=("text",)).select("n", "s", "y").collect()
 
 
 def _threshold(best: list, decay: float) -> dict:
@@ -230,8 +230,8 @@ def _threshold(best: list, decay: float) -> dict:
     return {"u": u, "K": (above + 0.5) / max(1.0, float(n[y == 0].sum())), "lambda": decay}
 
 
-def annotate(df: DataFrame, model: dict) -> DataFrame:
-    """df with score, predicted and passages (word ranges and scores of the significant segments)."""
+def annotate(df: DataFrame, model: dict, without: tuple = ()) -> DataFrame:
+    """df, less the columns of `without`, with score, predicted and passages (word ranges and scores of the significant segments)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     passage = T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()), T.StructField("score", T.DoubleType())]))
 
@@ -248,10 +248,10 @@ def annotate(df: DataFrame, model: dict) -> DataFrame:
 
         return each
 
-    return arrow_columns(df, "text", [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("passages", passage)], start)
+    return arrow_columns(df, "text", [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("passages", passage)], start, without=without)
 
 
 def score(docs: DataFrame, labels: DataFrame, held_by: int = 5, held: int = 0) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_passages."""
-    found = annotate(docs.select("doc_id", "text"), learn(docs, labels, "toxic", held_by, held))
+    found = annotate(docs.select("doc_id", "text"), learn(docs, labels, "toxic", held_by, held), ("text",))
     return found.select("doc_id", is_held_out(F.col("doc_id"), held_by, held).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))

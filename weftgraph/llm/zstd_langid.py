@@ -95,8 +95,8 @@ class Identifier:
         return self.langs[order[0]], 1.0 - best / second if len(order) > 1 else 1.0
 
 
-def annotate(df: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN) -> DataFrame:
-    """df with lang_pred, score (the margin) and rejected."""
+def annotate(df: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN, without: tuple = ()) -> DataFrame:
+    """df, less the columns of `without`, with lang_pred, score (the margin) and rejected."""
     shared = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     def start():
@@ -110,10 +110,10 @@ def annotate(df: DataFrame, dictionaries: dict[str, bytes], least_margin: float
 
         return each
 
-    return arrow_columns(df, "text", [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], start)
+    return arrow_columns(df, "text", [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())], start, without=without)
 
 
 def identify(docs: DataFrame, held_by: int = 4, held: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected."""
-    found = annotate(docs.select("doc_id", "text"), learn(docs, held_by, held))
+    found = annotate(docs.select("doc_id", "text"), learn(docs, held_by, held), without=("text",))
     return found.select("doc_id", is_held_out(F.col("doc_id"), held_by, held).alias("held_out"), "lang_pred", "score", "rejected")
