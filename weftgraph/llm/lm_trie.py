@@ -2,16 +2,21 @@
 
 Counts come from all training documents. Level 1 is the vocabulary, cut by hash into pieces: sorted 64-bit word hashes
 (a word's id is its rank), exact counts, and the number T of distinct followers. Levels 2 and 3 are cut into shards by a
-hash of the first two words, so that a frequent first word or pair spreads out or has one row per follower. In a shard
-children are kept relative to their context (rank of the context times the universe, plus the child's id) as one
-Elias-Fano sequence per level, found by a successor search in the bucket of their upper bits; monotone pointers, also
-Elias-Fano, delimit the children of each context. Values are 8-bit codes. All files are memory-mapped from the shared
-folder, so a scoring task holds what it touches, whatever the model's size, and a lost executor loses nothing.
+hash of the first two words, so that a frequent first word spreads out; a frequent pair's rows are added up as they come,
+so that a building task holds the distinct followers and not their repeats. In a shard children are kept relative to their
+context (rank of the context times the universe, plus the child's id) as one Elias-Fano sequence per level. Monotone
+pointers, also Elias-Fano, delimit the children of each context; a query reads a context's range from them and looks for
+the successor of the child's id within it, in the bucket of its upper bits. Values are 8-bit codes. All files are
+memory-mapped from the shared folder and opened when first asked for, so a scoring task holds what it touches, whatever the
+model's size, and a lost executor loses nothing.
 
 Smoothing (Witten-Bell, interpolated): p(w|uv) = c(uvw) / (c(uv) + T(uv)) + T(uv) / (c(uv) + T(uv)) * p(w|v), and alike
-for p(w|v); p(w) = (c - D) / N, with D = n1 / (n1 + 2 n2) from the words seen once and twice, and the mass D * V / N for
-the unknown word. Level 3 stores the codes of both fractions, level 2 that of c(uv), whose context's c + T is in level 1.
-Quantising keeps each within 2 % or so.
+for p(w|v); p(w) = (c - D) / N, with D = n1 / (n1 + 2 n2) from the words seen once and twice (1/2 where either is
+missing), and the mass D * V / N for the unknown word. Levels 2 and 3 store the codes of the first fractions, level 3 also
+that of its contexts' second; level 2's second comes from the exact counts of level 1. Quantising keeps each within 2 % or so.
+
+Limits: a pair of ids must fit 63 bits, which is checked (3e9 types); words are told apart by 64-bit hashes, of which two
+among 3e9 types are equal with a chance of one in eight.
 
 Defined results: a null or empty text is the end token only; words unseen in training share one type; a first token is
 scored without context. Without training documents score is null and base_score 0 by its formula's limit. Null ids
@@ -22,7 +27,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import json
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,16 +35,34 @@ from pyspark.sql import functions as F
 from ._labels import is_held_out, remainder
 from ._shared import arrow_columns, materialise, open_map, shared_dir, ship, write_bytes
 
-#: Tokens whose n-grams are aggregated before the shuffle at once, and per shard of the trie and piece of the vocabulary.
-CHUNK_TOKENS = 700_000
+#: Bytes of texts whose n-grams are aggregated before the shuffle at once, and tokens per shard of the trie and piece of
+#: the vocabulary.
+CHUNK_BYTES = 4_500_000
 SHARD_TOKENS = 2_000_000
-COUNTED_WORDS = 400_000
-SCORE_ROWS = 512
+COUNTED_WORDS = 800_000
+COUNTED_CHARS = 2_000_000
+#: N-gram rows of a shard that wait for being added up, and files that a task keeps open.
+WAITING = 4_000_000
+MOST_OPEN = 256
+SCORE_ROWS = 1024
 ALPHA = 0.1
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []  # bytes: A-Z only, ASCII white space only
+def tokenised(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different words, their places in that list for all words in order, how many words each text has) of an Arrow array
+    of texts. A-Z become lower; white space is the six ASCII characters."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    there = pc.binary_length(flat).to_numpy() > 0  # white space at a text's ends leaves empty strings
+    if not there.all():
+        ends = np.concatenate([[0], np.cumsum(there)])[ends]
+        flat = flat.filter(pa.array(there))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64), np.diff(ends)
 
 
 # --- files: named arrays that are read without copying
@@ -91,17 +113,22 @@ def ef_pack(name: str, values: np.ndarray, universe: int) -> dict[str, np.ndarra
     return {f"{name}.low": np.concatenate([low, np.zeros(8, dtype=np.uint8)]), f"{name}.high": words, f"{name}.before": before, f"{name}.shape": np.array([n, low_bits], dtype=np.int64)}
 
 
+_ONES = np.uint64(0x0101010101010101)
+#: [number of set bits to skip, byte] -> place of the next set bit
+_PLACES = np.array([[([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256)] for k in range(8)], dtype=np.int64).ravel()
+
+
 def _in_word(w: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Places of the left-th set bits (from 0) of the words w."""
-    place = np.zeros(len(w), dtype=np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = w & np.uint64((1 << width) - 1)
-        ones = np.bitwise_count(low).astype(np.int64)
-        up = left >= ones
-        left = left - ones * up
-        w = np.where(up, w >> np.uint64(width), low)
-        place += width * up
-    return place
+    """Places of the left-th set bits (from 0) of the words w: the byte by cumulated counts of ones, then a table."""
+    s = w - ((w >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES  # byte i: ones up to its end
+    k = left.astype(np.uint64)
+    # a byte's top bit stays where its ones are more than k
+    full = ((k | np.uint64(0x80)) * _ONES - s) & np.uint64(0x8080808080808080)
+    shift = (np.bitwise_count(full).astype(np.uint64)) << np.uint64(3)
+    before = (s << np.uint64(8)) >> shift & np.uint64(255)
+    return shift.astype(np.int64) + _PLACES.take(((k - before) << np.uint64(8) | (w >> shift) & np.uint64(255)).view(np.int64))
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -128,30 +155,37 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((_select(self.high, self.before, i) - i) << self.low_bits) | self._low(i)
 
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 where it isn't: the successor within the bucket of its upper bits."""
+    def find(self, v: np.ndarray, low: np.ndarray | int = 0, high: np.ndarray | int = 1 << 62) -> np.ndarray:
+        """The place of each value among those from low to high, -1 where it isn't: the successor within the bucket of
+        its upper bits."""
         if not self.n:
             return np.full(len(v), -1, dtype=np.int64)
         h = v >> self.low_bits
         first = np.maximum(h - 1, 0)
         at = np.searchsorted(self.zeros, first, side="right") - 1
-        start = at * 64 + _in_word(~self.high.take(at), first - self.zeros.take(at)) + 1 - h
-        start[h == 0] = 0
-        far = np.flatnonzero(self.zeros.take(at + 1) <= h)  # the bucket's end is seldom in another word
-        at[far] = np.searchsorted(self.zeros, h[far], side="right") - 1
-        end = at * 64 + _in_word(~self.high.take(at), h - self.zeros.take(at)) - h
+        bit = at * 64 + _in_word(~self.high.take(at), first - self.zeros.take(at)) + 1
+        bit[h == 0] = 0
+        start = bit - h
+        # the bucket's values are the set bits from `bit` up to the next that isn't
+        at, off = bit >> 6, (bit & 63).astype(np.uint64)
+        ahead = (self.high.take(at) >> off) | (self.high.take(at + 1, mode="clip") << np.uint64(1) << (np.uint64(63) - off))
+        size = np.bitwise_count(ahead ^ (ahead + np.uint64(1))).astype(np.int64) - 1
+        if len(far := np.flatnonzero(size >= 62)):
+            at = np.searchsorted(self.zeros, h[far], side="right") - 1
+            size[far] = at * 64 + _in_word(~self.high.take(at), h[far] - self.zeros.take(at)) - bit[far]
         want = v & ((1 << self.low_bits) - 1)
-        low, high = start.copy(), end.copy()
-        live = np.flatnonzero(low < high)
+        low = np.maximum(start, low)
+        end = np.minimum(start + size, high)
+        high = end.copy()
+        live = np.flatnonzero(low + 1 < high)
         while len(live):  # buckets hold a value or two; binary search for those that hold more
             mid = (low[live] + high[live]) >> 1
-            less = self._low(mid) < want[live]
-            low[live] = np.where(less, mid + 1, low[live])
+            less = self._low(mid - 1) < want[live]
+            low[live] = np.where(less, mid, low[live])
             high[live] = np.where(less, high[live], mid)
-            live = live[low[live] < high[live]]
+            live = live[low[live] + 1 < high[live]]
         hit = low < end
-        place = np.where(hit, low, 0)
-        return np.where(hit & (self._low(place) == want), low, -1)
+        return np.where(hit & (self._low(np.where(hit, low, 0)) == want), low, -1)
 
 
 # --- codes
@@ -168,47 +202,65 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
+    """Ids, counts and followers of words. Pieces are opened when asked for."""
+
     def __init__(self, meta: dict, followers: bool = False):
-        self.meta = meta
-        self.pieces = [mapped(f"{meta['folder']}/vocab-{k}") if size else None for k, size in enumerate(meta["sizes"])]
+        self.meta, self.with_followers = meta, followers
+        self.opened: dict[int, tuple] = {}
         self.starts = np.concatenate([[0], np.cumsum(meta["sizes"])]).astype(np.int64)
-        self.followers = [mapped(f"{meta['folder']}/followers-{k}")["t"] if followers and size else None for k, size in enumerate(meta["sizes"])]
         self.end, self.unknown, self.universe = int(self.starts[-1]), int(self.starts[-1]) + 1, int(self.starts[-1]) + 2
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
+        if self.universe**2 >= 1 << 63:
+            raise ValueError("more types than pairs of ids in 63 bits can tell apart")
+
+    def piece(self, k: int) -> tuple:
+        """(hashes, counts, followers) of a piece."""
+        if k not in self.opened:
+            if len(self.opened) >= MOST_OPEN:  # maps, not memory
+                self.opened.clear()
+            words = mapped(f"{self.meta['folder']}/vocab-{k}")
+            self.opened[k] = words["h"], words["c"], mapped(f"{self.meta['folder']}/followers-{k}")["t"] if self.with_followers else None
+        return self.opened[k]
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, counts, followers): first of the end of a text, then of words."""
         import xxhash
 
         h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
         piece = (h >> np.uint64(64 - self.meta["bits"])).astype(np.int64) if self.meta["bits"] else np.zeros(len(h), dtype=np.int64)
-        out = np.full(len(h), self.unknown, dtype=np.int64)
-        for k in np.unique(piece).tolist():
-            if self.pieces[k] is not None:
-                mine, own = np.flatnonzero(piece == k), self.pieces[k]["h"]
+        ids, counts, followers = np.full(len(h) + 1, self.unknown, dtype=np.int64), np.zeros(len(h) + 1, dtype=np.int64), np.zeros(len(h) + 1, dtype=np.int64)
+        ids[0], counts[0] = self.end, self.meta["docs"]
+        order = np.argsort(h)  # by piece, and in order within it
+        for mine in np.split(order, np.flatnonzero(np.diff(piece[order])) + 1):
+            if len(mine) and self.meta["sizes"][k := int(piece[mine[0]])]:
+                own, c, t = self.piece(k)
                 at = np.minimum(np.searchsorted(own, h[mine]), len(own) - 1)
                 hit = own.take(at) == h[mine]
-                out[mine[hit]] = self.starts[k] + at[hit]
-        return out
-
-    def values(self, ids: np.ndarray, followers: bool) -> np.ndarray:
-        """Counts, or numbers of followers, of ids; 0 beyond the words."""
-        out = np.zeros(len(ids), dtype=np.int64)
+                mine, at = mine[hit] + 1, at[hit]
+                ids[mine], counts[mine] = self.starts[k] + at, c.take(at)
+                if t is not None:
+                    followers[mine] = t.take(at)
+        return ids, counts, followers
+
+    def counts_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, followers) of ids below the end, in ascending order."""
+        counts, followers = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         piece = np.searchsorted(self.starts, ids, side="right") - 1
-        for k in np.unique(piece[ids < self.end]).tolist():
-            mine = np.flatnonzero((piece == k) & (ids < self.end))
-            out[mine] = (self.followers[k] if followers else self.pieces[k]["c"]).take(ids[mine] - self.starts[k])
-        return out
-
-    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each followed by the end, where each text starts)"""
-        need = list(set().union(*texts))
-        known = dict(zip(need, self.look_up(need).tolist()))
-        flat: list[int] = []
-        starts = [0]
-        for ws in texts:
-            flat += map(known.__getitem__, ws)
-            flat.append(self.end)
-            starts.append(len(flat))
-        return np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)
+        for mine in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(piece)) + 1):
+            if len(mine):
+                _, c, t = self.piece(k := int(piece[mine[0]]))
+                counts[mine], followers[mine] = c.take(ids[mine] - self.starts[k]), t.take(ids[mine] - self.starts[k])
+        return counts, followers
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(places of all texts' words, each text followed by the end, which is place 0; where each text starts; the ids,
+        counts and followers by place) of an Arrow array of texts"""
+        words, at, sizes = tokenised(texts)
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        out = np.zeros(starts[-1], dtype=np.int64)
+        inner = np.ones(len(out), dtype=bool)
+        inner[starts[1:] - 1] = False
+        out[inner] = at + 1
+        return out, starts, self.look_up(words)
 
 
 def _pieces_of(keys: np.ndarray, values: np.ndarray, piece: np.ndarray):
@@ -233,6 +285,34 @@ def _groups(batches):
         yield key, rows
 
 
+def _streams(batches):
+    """(key, its rows without the key, one at a time) of batches sorted by their first column. A key's rows are to be
+    taken before the next key."""
+    from itertools import groupby
+
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+    for key, mine in groupby(rows, key=lambda r: r[0]):
+        yield key, (r[1:] for r in mine)
+
+
+def _in_turns(batches, most: int):
+    """The first columns of batches, a few rows at a time: at most `most` bytes, or one text."""
+    for batch in batches:
+        column = batch.column(0)
+        size = np.concatenate([[0], np.cumsum(_lengths(column))])
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(size, size[a] + most, side="right")) - 1)
+            yield column.slice(a, b - a)
+            a = b
+
+
+def _lengths(texts) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _record(rows, names: list[str], kinds: list):
     import pyarrow as pa
 
@@ -240,7 +320,7 @@ def _record(rows, names: list[str], kinds: list):
 
 
 def _sum_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
     return keys[first], np.add.reduceat(values, first) if len(first) else values
@@ -254,19 +334,22 @@ def _vocabulary(train: DataFrame, folder: str, parts: int) -> dict:
         import xxhash
 
         def flush(counts):
-            h = np.fromiter(map(xxhash.xxh64_intdigest, counts), dtype=np.uint64, count=len(counts))
-            h, c = _sum_by_key(h, np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))
+            h, c = _sum_by_key(*map(np.concatenate, zip(*counts)))
             piece = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
             return _record(list(_pieces_of(h, c, piece)), ["piece", "h", "c"], [pa.int64(), pa.binary(), pa.binary()])
 
-        counts: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                counts.update(words_of(t.as_py()))
-                if len(counts) >= COUNTED_WORDS:
+        counts, held = [], 0
+        for texts in _in_turns(batches, COUNTED_CHARS):
+            words, at, _ = tokenised(texts)
+            counts.append((np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)), np.bincount(at, minlength=len(words))))
+            held += len(words)
+            if held >= COUNTED_WORDS:
+                counts = [_sum_by_key(*map(np.concatenate, zip(*counts)))]
+                held = len(counts[0][0])
+                if held >= COUNTED_WORDS:
                     yield flush(counts)
-                    counts = Counter()
-        if counts:
+                    counts, held = [], 0
+        if held:
             yield flush(counts)
 
     def merge(batches):
@@ -302,17 +385,19 @@ def _trigrams(ids: np.ndarray, starts: np.ndarray, end: int):
     return u[inside], v[inside], w[inside]
 
 
-def _upper(train: DataFrame, meta: dict) -> DataFrame:
+def _upper(train: DataFrame, meta: dict) -> None:
     shards, folder = meta["shards"], meta["folder"]
 
     def chunk_rows(vocabulary, texts):
         import zstandard
 
-        ids, starts = vocabulary.encode(texts)
-        if len(ids) < 2:
+        places, starts, (ids, *_) = vocabulary.encode(texts)
+        if len(places) < 2:
             return []
-        local, ranks = np.unique(ids, return_inverse=True)
-        u, v, w = _trigrams(ranks.astype(np.int64), starts, int(np.searchsorted(local, vocabulary.end)))
+        order = np.argsort(ids)  # ids in ascending order compress well
+        local, rank = ids[order], np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        u, v, w = _trigrams(rank.take(places), starts, int(rank[0]))
         if len(local) < 1 << 21:
             key, n = np.unique((u << 42) | (v << 21) | w, return_counts=True)
             u, v, w = key >> 42, (key >> 21) & ((1 << 21) - 1), key & ((1 << 21) - 1)
@@ -338,46 +423,43 @@ def _upper(train: DataFrame, meta: dict) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        vocabulary, texts, size = Vocabulary(meta), [], 0
-        kinds = [pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
-            for t in batch.column(0):
-                ws = words_of(t.as_py())
-                texts.append(ws)
-                size += len(ws) + 1
-                if size >= CHUNK_TOKENS:
-                    if rows := chunk_rows(vocabulary, texts):
-                        yield _record(rows, ["shard", "n", "data"], kinds)
-                    texts, size = [], 0
-        if texts and (rows := chunk_rows(vocabulary, texts)):
-            yield _record(rows, ["shard", "n", "data"], kinds)
+        vocabulary = Vocabulary(meta)
+        for texts in _in_turns(batches, CHUNK_BYTES):
+            if rows := chunk_rows(vocabulary, texts):
+                yield _record(rows, ["shard", "n", "data"], [pa.int64(), pa.int64(), pa.binary()])
 
     def build(batches):
         import pyarrow as pa
         import zstandard
 
         vocabulary = Vocabulary(meta)
-        expand, universe = zstandard.ZstdDecompressor().decompress, vocabulary.universe
-        for shard, rows in _groups(batches):
-            parts = []
-            for _, n, data in rows:
+        expand, squeeze, universe = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress, vocabulary.universe
+        for shard, parts in _streams(batches):
+            pair, w, c = (np.zeros(0, dtype=np.int64) for _ in range(3))
+            waiting: list = []
+            for n, data in parts:
                 planes = np.frombuffer(expand(data), dtype=np.uint8).reshape(4, 8, n)
-                parts.append([np.ascontiguousarray(planes[k].T).view("<i8").ravel() for k in range(4)])
-            u = np.concatenate([np.cumsum(p[0]) for p in parts])
-            v, w, c = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-            pairs, rank = np.unique(u * universe + v, return_inverse=True)
-            key, c123 = _sum_by_key(rank.astype(np.int64) * universe + w, c)
-            parent = key // universe
-            first = np.searchsorted(parent, np.arange(len(pairs) + 1))
-            c12, t12 = np.add.reduceat(c123, first[:-1]), np.diff(first)
+                u, *rest = [np.ascontiguousarray(planes[k].T).view("<i8").ravel() for k in range(4)]
+                waiting.append((np.cumsum(u) * universe + rest[0], *rest[1:]))
+                if sum(len(x[0]) for x in waiting) >= max(WAITING, len(pair)):
+                    pair, w, c = _added_up([(pair, w, c), *waiting])
+                    waiting = []
+            if waiting:
+                pair, w, c123 = _added_up([(pair, w, c), *waiting])
+            else:
+                c123 = c
+            pairs, first, t12 = np.unique(pair, return_index=True, return_counts=True)
+            parent = np.repeat(np.arange(len(pairs)), t12)
+            first = np.append(first, len(pair))
+            c12 = np.add.reduceat(c123, first[:-1])
             heads, head_first, t1 = np.unique(pairs // universe, return_index=True, return_counts=True)
             head = np.repeat(np.arange(len(heads)), t1)
             a3, book_a3 = quantise(np.log10(c123 / (c12 + t12)[parent]))
             b3, book_b3 = quantise(np.log10(t12 / (c12 + t12)))
-            a2, book_a2 = quantise(np.log10(c12))
-            arrays = ef_pack("heads", heads, universe) | ef_pack("level2", head * universe + pairs % universe, len(heads) * universe) | ef_pack("level3", key, len(pairs) * universe)
-            arrays |= ef_pack("pointers2", np.append(head_first, len(pairs)), len(pairs) + 1) | ef_pack("pointers3", first, len(key) + 1)
-            write_bytes(f"{folder}/shard-{shard}", pack(arrays | {"a2": a2, "book_a2": book_a2, "a3": a3, "book_a3": book_a3, "b3": b3, "book_b3": book_b3}))
+            arrays = ef_pack("heads", heads, universe) | ef_pack("level2", head * universe + pairs % universe, len(heads) * universe) | ef_pack("level3", parent * universe + w, len(pairs) * universe)
+            arrays |= ef_pack("pointers2", np.append(head_first, len(pairs)), len(pairs) + 1) | ef_pack("pointers3", first, len(pair) + 1)
+            write_bytes(f"{folder}/shard-{shard}", pack(arrays | {"a3": a3, "book_a3": book_a3, "b3": b3, "book_b3": book_b3}))
+            write_bytes(f"{folder}/pairs-{shard}", [squeeze(c12.astype("<i8").tobytes())])
             known = heads < vocabulary.end
             piece = np.searchsorted(vocabulary.starts, heads[known], side="right") - 1
             yield _record(list(_pieces_of(heads[known], t1[known], piece)), ["piece", "h", "c"], [pa.int64(), pa.binary(), pa.binary()])
@@ -393,34 +475,80 @@ def _upper(train: DataFrame, meta: dict) -> DataFrame:
             write_bytes(f"{folder}/followers-{piece}", pack({"t": t.astype(np.uint32)}))
             yield _record([(piece,)], ["piece"], [pa.int64()])
 
+    def smooth(batches):
+        import pyarrow as pa
+        import zstandard
+
+        vocabulary = Vocabulary(meta, followers=True)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                if (x := _open(f"{folder}/shard-{shard}")) is None:
+                    continue
+                heads, pointers = EliasFano(x, "heads"), EliasFano(x, "pointers2")
+                c12 = np.frombuffer(zstandard.ZstdDecompressor().decompress(open_map(f"{folder}/pairs-{shard}")), dtype="<i8")
+                u = heads.get(np.arange(heads.n))
+                known = u < vocabulary.end
+                total = np.ones(len(u))
+                c, t = vocabulary.counts_of(u[known])
+                total[known] = c + t
+                a2, book_a2 = quantise(np.log10(c12 / np.repeat(total, np.diff(pointers.get(np.arange(heads.n + 1))))))
+                write_bytes(f"{folder}/second-{shard}", pack({"a2": a2, "book_a2": book_a2}))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64())})
+
     counted = train.select("text").mapInArrow(count, "shard bigint, n bigint, data binary").repartition(shards, "shard").sortWithinPartitions("shard")
     partial = counted.mapInArrow(build, "piece bigint, h binary, c binary").repartition(len(meta["sizes"]), "piece").sortWithinPartitions("piece")
-    return materialise(partial.mapInArrow(followers, "piece bigint"), "lm-followers")
+    materialise(partial.mapInArrow(followers, "piece bigint"), "lm-followers")
+    materialise(train.sparkSession.range(0, shards, 1, shards).mapInArrow(smooth, "shard bigint"), "lm-smooth")
+
+
+def _added_up(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (pair, w, c) in order of pair and w, each once with the sum of its c."""
+    pair, w, c = (np.concatenate(x) for x in zip(*parts))
+    if not len(pair):
+        return pair, w, c
+    pairs, rank = np.unique(pair, return_inverse=True)
+    width = int(w.max()) + 1
+    key, c = _sum_by_key(rank * width + w, c)
+    return pairs[key // width], key % width, c
+
+
+def _open(uri: str) -> dict | None:
+    """The arrays of a file, None where no pair fell into the shard."""
+    try:
+        return mapped(uri)
+    except FileNotFoundError:
+        return None
 
 
 class Shard:
-    def __init__(self, uri: str, universe: int):
-        self.arrays, self.universe = mapped(uri), universe
-        self.heads, self.level2, self.level3 = (EliasFano(self.arrays, k) for k in ("heads", "level2", "level3"))
+    """Probabilities are read from tables of the codes' values, which hold 10 ** the codes' logarithms."""
+
+    def __init__(self, arrays: dict, second: dict, universe: int):
+        x = self.arrays = arrays | second
+        self.universe = universe
+        self.heads, self.level2, self.level3, self.pointers2, self.pointers3 = (EliasFano(x, k) for k in ("heads", "level2", "level3", "pointers2", "pointers3"))
+        self.a2, self.a3, self.b3 = (10.0 ** x[f"book_{k}"] for k in ("a2", "a3", "b3"))
 
     def look_up(self, u: np.ndarray, v: np.ndarray, w: np.ndarray):
-        """(log10 c(uv), log10 c(uvw)/(c(uv)+T(uv)), log10 T(uv)/(c(uv)+T(uv))), NaN where it isn't stored."""
-        x, nan = self.arrays, np.full(len(u), np.nan)
-        a2, a3, b3 = nan.copy(), nan.copy(), nan
+        """(c(uv)/(c(u)+T(u)), c(uvw)/(c(uv)+T(uv)), T(uv)/(c(uv)+T(uv))) by their codes; 0, 0, 1 where they aren't stored."""
+        x = self.arrays
+        a2, a3, b3 = np.zeros(len(u)), np.zeros(len(u)), np.ones(len(u))
         head = self.heads.find(u)
         at = np.flatnonzero(head >= 0)
-        pair = self.level2.find(head[at] * self.universe + v[at])
+        head = head[at]
+        pair = self.level2.find(head * self.universe + v[at], *self.children(self.pointers2, head))
         at, pair = at[pair >= 0], pair[pair >= 0]
-        a2[at], b3[at] = x["book_a2"].take(x["a2"].take(pair)), x["book_b3"].take(x["b3"].take(pair))
-        third = self.level3.find(pair * self.universe + w[at])
-        a3[at[third >= 0]] = x["book_a3"].take(x["a3"].take(third[third >= 0]))
+        a2[at], b3[at] = self.a2.take(x["a2"].take(pair)), self.b3.take(x["b3"].take(pair))
+        third = self.level3.find(pair * self.universe + w[at], *self.children(self.pointers3, pair))
+        a3[at[third >= 0]] = self.a3.take(x["a3"].take(third[third >= 0]))
         return a2, a3, b3
 
-    def children(self, pair: int) -> list[int]:
-        """Ids that follow the pair at a place of level 2, by its pointers."""
-        pointers = EliasFano(self.arrays, "pointers3")
-        a, b = pointers.get(np.array([pair, pair + 1])).tolist()
-        return (self.level3.get(np.arange(a, b)) - pair * self.universe).tolist()
+    @staticmethod
+    def children(pointers: EliasFano, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the children of contexts begin and end; each context is looked up once."""
+        new = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, dtype=bool)
+        which, one = np.cumsum(new) - 1, at[new]
+        return pointers.get(one)[which], pointers.get(one + 1)[which]
 
 
 class Model:
@@ -429,62 +557,53 @@ class Model:
         self.n = meta["words"] + meta["docs"]
         self.v = self.vocabulary.end + (meta["docs"] > 0)
         n1, n2 = meta["n1"] + (meta["docs"] == 1), meta["n2"] + (meta["docs"] == 2)
-        self.discount = n1 / (n1 + 2 * n2) if n1 else 0.5
+        self.discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         self.shards: dict[int, Shard | None] = {}
 
     def shard(self, k: int) -> Shard | None:
         if k not in self.shards:
-            if len(self.shards) >= 256:  # maps, not memory
+            if len(self.shards) >= MOST_OPEN:  # maps, not memory
                 self.shards.clear()
-            try:
-                self.shards[k] = Shard(f"{self.meta['folder']}/shard-{k}", self.vocabulary.universe)
-            except FileNotFoundError:  # no pair fell into it
-                self.shards[k] = None
+            x = _open(f"{self.meta['folder']}/shard-{k}")
+            self.shards[k] = None if x is None else Shard(x, mapped(f"{self.meta['folder']}/second-{k}"), self.vocabulary.universe)
         return self.shards[k]
 
-    def score(self, texts: list[str | None]):
-        """(tokens, known tokens, base score, score) of each text."""
+    def score(self, texts):
+        """(tokens, known tokens, base score, score) of each text of an Arrow array."""
         vocabulary, n, v = self.vocabulary, self.n, self.v
-        words = [words_of(t) for t in texts]
-        ids, starts = vocabulary.encode(words)
-        uniq, back = np.unique(ids, return_inverse=True)
-        counts = vocabulary.values(uniq, False)
-        counts[uniq == vocabulary.end] = self.meta["docs"]
-        followers = vocabulary.values(uniq, True)
-        c = counts[back]
-        base = np.log10((c + ALPHA) / (n + ALPHA * (v + 1)))
-        sums = lambda x: np.add.reduceat(x, starts[:-1])
+        places, starts, (word_ids, c, t) = vocabulary.encode(texts)
         if not n:
             return np.diff(starts), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), None
-        p = np.where(c > 0, (c - self.discount) / n, self.discount * v / n)
+        sums = lambda x: np.add.reduceat(x, starts[:-1])
+        # of each word: base, probability, and the share that its followers leave
+        base = np.log10((c + ALPHA) / (n + ALPHA * (v + 1)))
+        one = np.where(c > 0, (c - self.discount) / n, self.discount * v / n)
+        left = np.where(c > 0, t / np.maximum(c + t, 1), 1.0)
+        ids, known = word_ids.take(places), (c > 0).take(places)
+        p = one.take(places)
         if len(ids) > 1:
-            prev, here = np.arange(len(ids) - 1), np.arange(1, len(ids))
-            inside = np.ones(len(prev), dtype=bool)
+            inside = np.ones(len(ids) - 1, dtype=bool)  # pairs (i, i + 1)
             inside[starts[1:-1] - 1] = False
-            t, c1 = followers[back], c
-            a2, a3, b3 = (np.full(len(ids), np.nan) for _ in range(3))  # of the pair that ends here and what follows
-            ask = here[inside & (c[:-1] > 0) & (c[1:] > 0)]
+            a2, a3, b3 = np.zeros(len(ids)), np.zeros(len(ids)), np.ones(len(ids))  # of the pair that ends here, and what follows
+            ask = np.flatnonzero(inside & known[:-1] & known[1:]) + 1
             if len(ask):
                 pair = ids[ask - 1] * vocabulary.universe + ids[ask]
                 shard = shard_of(pair, self.meta["shards"])
-                order = np.lexsort((pair, shard))  # in order within a shard, which keeps close what is read together
+                order = np.argsort(pair)  # in order within a shard, which keeps close what is read together
+                order = order[np.argsort(shard[order].astype(np.uint16 if self.meta["shards"] <= 1 << 16 else np.int64), kind="stable")]
                 ask, shard = ask[order], shard[order]
-                after = np.append(ids, vocabulary.end)
+                u, w = ids[ask - 1], ids[ask]
+                after = np.append(ids, vocabulary.end)[np.where(w == vocabulary.end, ask, ask + 1)]
                 cuts = np.flatnonzero(np.diff(shard)) + 1
                 for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
-                    at = ask[x:y]
                     if found := self.shard(int(shard[x])):
-                        a2[at], a3[at], b3[at] = found.look_up(ids[at - 1], ids[at], np.where(ids[at] == vocabulary.end, vocabulary.end, after[at + 1]))
+                        a2[ask[x:y]], a3[ask[x:y]], b3[ask[x:y]] = found.look_up(u[x:y], w[x:y], after[x:y])
             q = p.copy()
-            at = here[inside & (c[:-1] > 0)]
-            total = c1[at - 1] + t[at - 1]
-            share = np.where(np.isnan(a2[at]), 0.0, 10.0 ** a2[at])
-            q[at] = np.minimum(share, c1[at - 1]) / total + t[at - 1] / total * p[at]
-            third = np.flatnonzero(~np.isnan(b3[:-1]) & (ids[:-1] != vocabulary.end)) + 1  # those whose two words before are a known pair
-            out = q.copy()
-            out[third] = np.where(np.isnan(a3[third - 1]), 0.0, 10.0 ** a3[third - 1]) + 10.0 ** b3[third - 1] * q[third]
-            p = out
-        return np.diff(starts), sums((c > 0).astype(np.int64)), sums(base), sums(np.log10(p))
+            q[1:] = np.where(inside, a2[1:] + left.take(places[:-1]) * p[1:], p[1:])
+            # a pair's own part and rest, for the token after it in the same text
+            p = q.copy()
+            p[2:] = np.where(inside[1:] & inside[:-1], a3[1:-1] + b3[1:-1] * q[2:], q[2:])
+        return np.diff(starts), sums(known.astype(np.int64)), sums(base.take(places)), sums(np.log10(p))
 
 
 def train(docs: DataFrame) -> dict:
@@ -510,8 +629,8 @@ def _model(meta: dict) -> Model:
     return _models[meta["folder"]]
 
 
-def annotate(df: DataFrame, meta: dict) -> DataFrame:
-    """df with n_tokens, n_known, base_score and score."""
+def annotate(df: DataFrame, meta: dict, without: tuple = ()) -> DataFrame:
+    """df, less the columns of `without`, with n_tokens, n_known, base_score and score."""
     from pyspark.sql import types as T
 
     def start():
@@ -520,18 +639,18 @@ def annotate(df: DataFrame, meta: dict) -> DataFrame:
         model = _model(meta)
 
         def each(texts):
-            n, known, base, score = model.score(texts.to_pylist())
+            n, known, base, score = model.score(texts)
             return [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score) if score is not None else pa.nulls(len(n), pa.float64())]
 
         return each
 
-    return arrow_columns(df, "text", [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())], start, rows=SCORE_ROWS)
+    return arrow_columns(df, "text", [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())], start, SCORE_ROWS, without)
 
 
 def score(docs: DataFrame, held_by: int = 10, held: int = 0) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text")
     meta = train(docs.filter(remainder(F.col("doc_id"), held_by) != held))
-    out = annotate(docs, meta)
+    out = annotate(docs, meta, ("text",))
     return out.select("doc_id", is_held_out(F.col("doc_id"), held_by, held).alias("held_out"), "n_tokens", "n_known", F.lit(meta["words"] + meta["docs"]).cast("long").alias("train_tokens"), "base_score", "score")
 
