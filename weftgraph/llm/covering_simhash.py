@@ -122,9 +122,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     The row key is two 64-bit hashes of all columns, so texts travel once, and rows without an id are told apart.
     """
-    keys = ["_row_a", "_row_b"]
-    keyed = docs.select("*", F.xxhash64(F.lit(1), "*").alias(keys[0]), F.xxhash64(F.lit(2), "*").alias(keys[1]))
-    marked = materialise(fingerprints(keyed, *keys), "simhash")
+    keys, columns = ["row_a", "row_b"], [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.toDF(*columns).select("*", F.xxhash64(F.lit(1), *columns).alias(keys[0]), F.xxhash64(F.lit(2), *columns).alias(keys[1]))
+    own = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
+    marked = materialise(fingerprints(keyed.select(F.col(own["doc_id"]).alias("doc_id"), F.col(own["text"]).alias("text"), *keys), *keys), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("x")
     chosen = marked.join(_classes(marked), F.col("fp") == F.col("_fp")).groupBy("c").agg(first).select(*[F.col(f"x.{k}").alias(k) for k in keys])
-    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*columns).toDF(*docs.columns)

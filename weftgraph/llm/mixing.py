@@ -6,8 +6,9 @@ the budget ends, and only the documents of that boundary bucket are summed again
 holds one hash. No rows are sorted; a histogram has at most 2 ** DIGIT buckets a source, whatever the input.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, ordered last;
-documents with equal doc_id (or null ones) share a hash and are taken together; a source without words has target 0; an
-empty table gives an empty result. Of the input only doc_id, text and source are read; other columns may have any names.
+documents with equal doc_id (null ones too) and equal text share a hash and are taken together, so that a source comes
+within one such group of its target; a source without words has target 0; an empty table gives an empty result. A very long
+text is counted and hashed as a whole. Of the input only doc_id, text and source are read; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,15 +25,18 @@ SHARE = 1.5
 MOST = 2
 #: Hash digits: 60 bits, refined 12 at a time.
 BITS, DIGIT = 60, 12
+#: Sources whose thresholds are broadcast at most.
+MOST_SENT = 10_000
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the id as text; null ids hash as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id as text and the text's MD5; nulls hash as the empty text."""
+    both = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -66,7 +70,7 @@ def _boundary(histogram: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with size and hash, sources with their thresholds)."""
-    sized = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")), "mix")
+    sized = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "mix")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = materialise(sources.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "mix-sources")
@@ -84,14 +88,18 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # `prefix` is now the one hash at which the budget ends: it is taken if that comes nearer to the target
     limit = at.select(F.col("source").alias("_s"), (F.col("prefix") + F.when(F.col("rest") * 2 > F.col("within"), 1).otherwise(0)).alias("_limit"))
     sources = sources.join(limit, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    return sized, sources.withColumn("limit", F.coalesce("_limit", F.lit(0).cast("long"))).drop("_limit")
+    return sized, materialise(sources.withColumn("limit", F.coalesce("_limit", F.lit(0).cast("long"))).drop("_limit"), "mix-limits")
+
+
+def _few(sources: DataFrame) -> DataFrame:
+    """The materialised row per source, broadcast if there are at most MOST_SENT; else Spark chooses how to join them."""
+    return F.broadcast(sources) if sources.count() <= MOST_SENT else sources
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, passes (how often the mix takes it)."""
     sized, sources = plan(docs)
-    s = sources.withColumnRenamed("source", "_s")
-    joined = sized.join(s, F.col("source").eqNullSafe(F.col("_s")))
+    joined = sized.join(_few(sources.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
     passes = F.col("passes") + F.when((F.col("passes") < MOST) & (F.col("h") < F.col("limit")), 1).otherwise(0)
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * passes).cast("long").alias("taken"), passes.cast("long").alias("passes"))
 
@@ -99,15 +107,17 @@ def mix(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs. A document without words is
     taken as its source's passes and its hash say, as any other."""
-    thresholds = plan(docs)[1].select(F.col("source").alias("_mix_s"), F.col("passes").alias("_mix_p"), F.col("limit").alias("_mix_l"))
-    passes = F.col("_mix_p") + F.when((F.col("_mix_p") < MOST) & (hash_of(docs["doc_id"]) < F.col("_mix_l")), 1).otherwise(0)
-    joined = docs.join(thresholds, docs["source"].cast("string").eqNullSafe(F.col("_mix_s")))
-    return joined.withColumn("_mix_i", F.explode(F.array_repeat(F.lit(0), passes.cast("int")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    thresholds = plan(docs)[1].select(F.col("source").alias("s"), "passes", "limit")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns of docs may have any names
+    place = {c.lower(): plain[f"c{i}"] for i, c in enumerate(docs.columns)}
+    passes = F.col("passes") + F.when((F.col("passes") < MOST) & (hash_of(place["doc_id"], place["text"]) < F.col("limit")), 1).otherwise(0)
+    joined = plain.join(_few(thresholds), place["source"].cast("string").eqNullSafe(F.col("s")))
+    return joined.withColumn("i", F.explode(F.array_repeat(F.lit(0), passes.cast("int")))).select(*plain.columns).toDF(*docs.columns)
 
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {BITS // 4}) AS BIGINT) AS h FROM documents),
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, {BITS // 4}) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 p AS (SELECT *, [{', '.join(map(str, WEIGHTS))}][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INT)] AS w FROM s),
 f AS (SELECT *, row_number() OVER o AS pos, {SHARE} * sum(source_size) OVER () - coalesce(sum({MOST} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
