@@ -7,12 +7,14 @@ the others after twice as many, and so on; only what is left is computed in doub
 The norm of the rest is carried as one more coordinate, so that one matrix product of two tiles gives all their bounds.
 
 Tiles are files of at most TILE vectors in the shared folder, cut along the first axis, with the range of each leading
-axis; pairs of tiles that are too far apart are skipped. Each job takes a run of pairs of tiles and returns, for each
-vector with a link, the number of its links and one edge of a spanning forest of what it found, so that a large group of
-near copies gives rows in proportion to its vectors, not to their pairs. Equal vectors are one vector with a count.
+axis. Each job takes a tile and half of the others, so that every pair of tiles meets once and all jobs have as many;
+those too far apart are left out by one comparison of the ranges. It returns, for each vector with a link, the number of
+its links and one edge of a spanning forest of what it found, so that a large group of near copies gives rows in
+proportion to its vectors, not to their pairs. Equal vectors are one vector with a count.
 
 Defined results: a vector that is null, empty or zero, or has a null or non-finite component, links with nothing; so do
-vectors of different lengths with each other. Repeated rows are vectors of their own, with links to each other. A null
+vectors of different lengths with each other (each length is a comparison of its own). Vectors are scaled by their largest
+component first, so that very small and very large ones have the direction that they are given with. Repeated rows are vectors of their own, with links to each other. A null
 vec_id is kept and is a component_id only where no member has an id. Only vec_id and embedding are read; an empty table
 gives an empty result.
 """
@@ -31,6 +33,9 @@ from .components import components
 THRESHOLD = 0.95
 TILE = 2048
 LEAD = 16
+#: Jobs at least, and rows of links that a job adds up at once.
+JOBS = 64
+HELD = 1 << 20
 #: What rounding in single precision can take from a bound.
 SLACK = 1e-3
 
@@ -56,12 +61,19 @@ def axes(vectors: DataFrame, d: int) -> np.ndarray:
             for a in range(0, batch.num_rows, 4096):
                 u = unit(_stack(batch.column(0).slice(a, 4096)))
                 total += u.T @ u
-        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(d * d)), "s": pa.array(total.ravel())})
+        yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
 
-    sums = vectors.select("embedding").mapInArrow(run, "i bigint, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
-    total = np.zeros(d * d)
-    for r in sums:
-        total[r["i"]] = r["s"]
+    def add(batches):
+        total = np.zeros(d * d)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), dtype=np.float64)
+        yield pa.RecordBatch.from_pydict({"s": pa.array([total.tobytes()], pa.binary())})
+
+    sums = vectors.select("embedding").mapInArrow(run, "s binary")  # one matrix a task, added up in a tree
+    for width in (64, 8):
+        sums = sums.repartition(width).mapInArrow(add, "s binary")
+    total = sum(np.frombuffer(r["s"], dtype=np.float64) for r in sums.collect())  # 8 rows
     values, columns = np.linalg.eigh(total.reshape(d, d))
     return columns[:, np.argsort(-values)]
 
@@ -72,13 +84,15 @@ def bounds(rotated: np.ndarray, lead: int) -> np.ndarray:
     return np.concatenate([rotated[:, :lead], rest], axis=1).astype(np.float32)
 
 
-def write_tiles(vectors: DataFrame, turn: np.ndarray, folder: str) -> DataFrame:
+def write_tiles(vectors: DataFrame, turn: np.ndarray, folder: str, size: int = TILE) -> DataFrame:
     """(rid, n, embedding) -> manifest (name, n, low, high); each task sees a range of the first axis."""
     import pyarrow as pa
 
     spark, first = vectors.sparkSession, [float(x) for x in turn[:, 0]]
-    place = F.aggregate(F.zip_with("embedding", F.array(*[F.lit(x) for x in first]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    top = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    scaled = F.transform("embedding", lambda x: x.cast("double") / top)  # the length of these is at least one
+    place = F.aggregate(F.zip_with(scaled, F.array(*[F.lit(x) for x in first]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
     shared = spark.sparkContext.broadcast(turn)
 
     def run(batches):
@@ -87,12 +101,12 @@ def write_tiles(vectors: DataFrame, turn: np.ndarray, folder: str) -> DataFrame:
         parts = []
         for batch in batches:
             parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _stack(batch.column(2))))
-            while sum(len(p[0]) for p in parts) >= TILE:
-                parts = yield from flush(parts, TILE)
+            while sum(len(p[0]) for p in parts) >= size:
+                parts = yield from flush(parts)
         while parts and len(parts[0][0]):
-            parts = yield from flush(parts, TILE)
+            parts = yield from flush(parts)
 
-    def flush(parts, size):
+    def flush(parts):
         from pyspark import TaskContext
 
         rid, n, x = (np.concatenate(c) for c in zip(*parts))
@@ -106,7 +120,7 @@ def write_tiles(vectors: DataFrame, turn: np.ndarray, folder: str) -> DataFrame:
         return [(rid[size:], n[size:], x[size:])]
 
     rows = vectors.withColumn("_at", place / length)
-    tasks = max(1, -(-rows.count() // TILE))
+    tasks = max(1, -(-rows.count() // size))
     ranged = rows.repartitionByRange(min(tasks, 10_000), "_at").sortWithinPartitions("_at").select("rid", "n", "embedding")
     return materialise(ranged.mapInArrow(run, "name string, n bigint, low array<double>, high array<double>"), "tiles")
 
@@ -129,47 +143,49 @@ def compare(a, b, same: bool, threshold: float):
     return i[keep], j[keep]
 
 
-def joined(rows: list[dict]) -> list[dict]:
-    """Files that follow each other as tiles of at most TILE vectors, so that tiles are as large however many tasks wrote
-    them. Every job joins them alike."""
-    out: list[dict] = []
-    for r in rows:
-        if out and out[-1]["n"] + r["n"] <= TILE:
-            t = out[-1]
-            t["names"].append(r["name"])
-            t["n"] += r["n"]
-            t["low"], t["high"] = np.minimum(t["low"], r["low"]), np.maximum(t["high"], r["high"])
-        else:
-            out.append({"names": [r["name"]], "n": r["n"], "low": np.array(r["low"]), "high": np.array(r["high"])})
-    return out
-
-
-class Forest:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        path, up = [], self.up
-        while (y := up.get(x, x)) != x:
-            path.append(x)
-            x = y
-        for p in path:
-            up[p] = x
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-
-def link(manifest: DataFrame, folder: str, threshold: float) -> DataFrame:
+def joined(n: np.ndarray, most: int) -> list[int]:
+    """Where tiles begin: files that follow each other are one tile of at most `most` vectors, so that tiles are as large
+    however many tasks wrote them. Every job joins them alike."""
+    begins, size = [], most + 1
+    for k, here in enumerate(n.tolist()):
+        if size + here > most:
+            begins.append(k)
+            size = 0
+        size += here
+    return begins
+
+
+def spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least vertex of each vertex's component, of n vertices with the edges (x, y): roots are hooked to lesser ones
+    and paths cut short, until no edge joins two roots."""
+    label = np.arange(n)
+    while len(x):
+        a, b = label[x], label[y]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return label
+
+
+def summed(rid: np.ndarray, links: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each rid once, with the sum of its links and the least rid that its edges (rid, root) lead to. Roots are among rids."""
+    ids, at = np.unique(rid, return_inverse=True)
+    label = spanning(len(ids), at, np.searchsorted(ids, root))
+    return ids, np.bincount(at, weights=links, minlength=len(ids)).astype(np.int64), ids[label]
+
+
+def link(manifest: DataFrame, folder: str, threshold: float, size: int = TILE) -> DataFrame:
     """(rid, links, root): links of a vector found by one job, counting copies, and an edge to its root there."""
     import pyarrow as pa
 
     spark = manifest.sparkSession
-    tiles = max(1, -(-(manifest.agg(F.sum("n")).first()[0] or 0) // TILE))
-    jobs = max(1, min(tiles * (tiles + 1) // 2, 64 * max(1, tiles // 8)))
+    most = max(1, -(-(manifest.agg(F.sum("n")).first()[0] or 0) // size))
+    shares = -(-JOBS // most)  # of a tile's partners, where there are few tiles
+    jobs = 2 * most * shares  # joined tiles are more than half full on average; a job beyond the last tile has nothing to do
     files_of = manifest.inputFiles()  # of the manifest itself: a row per tile file
 
     def tile(names: list[str]):
@@ -181,49 +197,65 @@ def link(manifest: DataFrame, folder: str, threshold: float) -> DataFrame:
         got = {k: np.concatenate([p[k] for p in parts]) for k in ("rid", "n", "y", "x")}
         return got | {"u": unit(got.pop("x"))}
 
-    def run(batches):
+    def tiles():
+        """(names of each tile's files, least and greatest coordinates)"""
         import pyarrow.parquet as pq
 
-        rows = []
+        parts = []
         for uri in files_of:
             files, path = store(uri)
             with files.open_input_file(path) as f:
-                rows += pq.read_table(f).to_pylist()
-        rows = joined(sorted(rows, key=lambda r: r["name"]))
-        low, high = (np.array([r[k] for r in rows]) for k in ("low", "high"))
-        pairs = len(rows) * (len(rows) + 1) // 2
-        reach = 2 - 2 * threshold + SLACK  # squared distance of two linked unit vectors, at most
-        held: tuple[int, dict] = (-1, {})
+                parts.append(pq.read_table(f))
+        table = pa.concat_tables(parts).sort_by("name").combine_chunks()
+        names, n = table["name"].to_pylist(), table["n"].to_numpy()
+        low, high = (np.concatenate([c.flatten().to_numpy() for c in table[k].chunks]).reshape(len(n), -1) for k in ("low", "high"))
+        begins = joined(n, size)
+        ends = [*begins[1:], len(n)]
+        return [names[a:b] for a, b in zip(begins, ends)], np.minimum.reduceat(low, begins), np.maximum.reduceat(high, begins)
+
+    def run(batches):
+        names = None
         for batch in batches:
             for job in batch.column(0).to_pylist():
-                links: dict[int, int] = {}
-                forest = Forest()
-                for p in range(pairs * job // jobs, pairs * (job + 1) // jobs):
-                    j = int((np.sqrt(8.0 * p + 1) - 1) / 2)  # pairs (i, j), i <= j, in order of j
-                    j += (j + 1) * (j + 2) // 2 <= p
-                    j -= j * (j + 1) // 2 > p
-                    i = p - j * (j + 1) // 2
-                    apart = np.maximum(0.0, np.maximum(low[i] - high[j], low[j] - high[i]))
-                    if (apart**2).sum() > reach:
+                if names is None:
+                    names, low, high = tiles()
+                j, share = divmod(job, shares)
+                count = len(names)
+                if j >= count:
+                    continue
+                # of an even number of tiles, those opposite each other meet at the lesser one only
+                steps = np.arange(share, count // 2 + 1, shares)
+                steps = steps[(steps * 2 < count) | (j < count // 2)]
+                i = (j + steps) % count
+                apart = np.maximum(0.0, np.maximum(low[j] - high[i], low[i] - high[j]))
+                i = i[(apart**2).sum(1) <= 2 - 2 * threshold + SLACK]  # squared distance of two linked unit vectors, at most
+                a, found, held = tile(names[j]) if len(i) else None, [], 0
+                for k in i.tolist():
+                    b = a if k == j else tile(names[k])
+                    at, to = compare(a, b, k == j, threshold)
+                    if not len(at):
                         continue
-                    if held[0] != j:
-                        held = (j, tile(rows[j]["names"]))
-                    a, b = held[1], held[1] if i == j else tile(rows[i]["names"])
-                    at, to = compare(a, b, i == j, threshold)
-                    for side, other, x, y in ((a, b, at, to), (b, a, to, at)):
-                        sums = np.bincount(x, weights=other["n"][y], minlength=len(side["rid"]))
-                        for k in np.flatnonzero(sums).tolist():
-                            r = int(side["rid"][k])
-                            links[r] = links.get(r, 0) + int(sums[k])
-                    for x, y in zip(a["rid"][at].tolist(), b["rid"][to].tolist()):
-                        forest.join(x, y)
-                ids = list(links)
-                yield pa.RecordBatch.from_pydict({"rid": pa.array(ids, pa.int64()), "links": pa.array([links[x] for x in ids], pa.int64()), "root": pa.array([forest.root(x) for x in ids], pa.int64())})
-
-    return spark.range(0, jobs, 1, jobs).mapInArrow(run, "rid bigint, links bigint, root bigint")
-
-
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+                    if k == j:
+                        rid = a["rid"]
+                        sums = np.bincount(at, weights=a["n"][to], minlength=len(rid)) + np.bincount(to, weights=a["n"][at], minlength=len(rid))
+                    else:
+                        rid = np.concatenate([a["rid"], b["rid"]])
+                        sums = np.concatenate([np.bincount(at, weights=b["n"][to], minlength=len(a["rid"])), np.bincount(to, weights=a["n"][at], minlength=len(b["rid"]))])
+                        to = to + len(a["rid"])
+                    label, some = spanning(len(rid), at, to), np.flatnonzero(sums)
+                    found.append((rid[some], sums[some], rid[label[some]]))
+                    held += len(some)
+                    if held > HELD:
+                        found = [summed(*map(np.concatenate, zip(*found)))]
+                        held = 0
+                if found:
+                    rid, links, root = summed(*map(np.concatenate, zip(*found)))
+                    yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
+
+    return spark.range(0, jobs, 1, min(jobs, 10_000)).mapInArrow(run, "rid bigint, links bigint, root bigint")
+
+
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile_size: int = TILE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     ship(rows.sparkSession)
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -235,8 +267,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     for r in distinct.select("d").distinct().orderBy("d").collect():  # one row per length of vectors
         mine = distinct.filter(F.col("d") == r["d"]).select("rid", "n", "embedding")
         folder = shared_dir(rows.sparkSession, "tile-files")
-        manifest = write_tiles(mine, axes(mine, r["d"]), folder)
-        got = materialise(link(manifest, folder, threshold), "vector-links")
+        manifest = write_tiles(mine, axes(mine, r["d"]), folder, tile_size)
+        got = materialise(link(manifest, folder, threshold, tile_size), "vector-links")
         found = got if found is None else found.union(got)
     own = every.filter("good").join(distinct.select(F.col("embedding").alias("_e"), F.col("rid").alias("rep"), "n"), F.col("embedding") == F.col("_e")).select("vec_id", "rep", "n")
     alone = every.filter("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -254,8 +286,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 ORACLE = f"""
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-g AS (SELECT r, x, len(x) AS d, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS size FROM v
+f AS (SELECT r, x, list_max(list_transform(x, lambda c: abs(c))) AS top FROM v
       WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+g AS (SELECT r, list_transform(x, lambda c: c / top) AS x, len(x) AS d, sqrt(list_sum(list_transform(x, lambda c: (c / top) * (c / top)))) AS size FROM f),
 l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.r <> b.r AND a.d = b.d AND list_dot_product(a.x, b.x) / (a.size * b.size) >= {THRESHOLD}),
 w(a, b) AS (SELECT r, r FROM v UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
