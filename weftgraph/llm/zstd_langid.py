@@ -4,18 +4,17 @@ A text is reduced to lower-case letters and spaces and encoded in blocks of BLOC
 language's dictionary, so that a long text is judged by all its blocks rather than by what it repeats of itself. The
 margin is the share by which the second smallest total is larger; a text is rejected below `least_margin`.
 
-Dictionaries are built from at most DOCS documents a language, DICT_BYTES bytes in all of each: a bounded sample, chosen by
-hash, whose size is what is broadcast.
+A dictionary takes whole documents of its language in order of the hash of their text, each different text once, until
+they fill it: at most DOCS documents of DICT_BYTES bytes in all, a bounded sample whose size is what is broadcast. Where a
+document doesn't fit as a whole, its beginning fills the rest. Documents beyond the first DOCS by hash teach nothing.
 
-Defined results: a null text, or one without letters, is `und` with score 0 and is rejected; so is any text if nothing was
-learned. Ties go to the language with more documents, then the first in code point order, with score 0. Rows are independent; documents without a lang
-teach nothing; further columns are ignored by `identify` and kept by `annotate`, unless they have a result's name.
+Defined results: a null text, or one without letters (characters of Unicode's categories L), is `und` with score 0 and is rejected; so is any text if nothing was
+learned (an empty table, or no lang). Ties go to the language with more documents, then the first in code point order, with score 0. Rows are independent and repeated rows get
+equal results; long texts are encoded block by block; documents without a lang teach nothing; further columns are ignored by `identify` and kept by `annotate`, unless they have a result's name.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +30,6 @@ LEVEL, LEAST_MATCH = 9, 4
 LEAST_MARGIN = 0.01
 #: Bytes that stay: a-z and what belongs to characters beyond ASCII; A-Z become lower, the rest spaces.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def reduced(text: str | None) -> bytes:
@@ -41,26 +39,24 @@ def reduced(text: str | None) -> bytes:
 def learn(docs: DataFrame, held_by: int = 4, held: int = 2) -> dict[str, bytes]:
     """A dictionary for each lang of the documents outside the held-out remainder."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), held_by) != held)).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count().collect()  # one row per language
-    # a hash threshold keeps about twice as many as are wanted, the window then ranks only those
-    h = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    near = [(F.col("lang") == r["lang"]) & (h <= 2.0 * DOCS / r["count"] + 0.0) for r in counts]
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()  # one row per language
+    # a hash threshold keeps about twice as many texts as are wanted; the window then ranks only those
+    h = F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    near = [(F.col("lang") == r["lang"]) & (h <= 2.0 * DOCS / max(1, r["texts"])) for r in counts]
     if not near:
         return {}
-    some = known.filter(_any(near)).select("doc_id", "lang", "text", h.alias("h"))
-    each = DICT_BYTES // 24
-    ranked = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= DOCS)
-    rows = ranked.select("lang", "k", F.substring("text", 1, each).alias("text")).collect()
+    some = known.filter(_any(near)).select("lang", "text", h.alias("h"))
+    distinct = some.groupBy("lang", "h", F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.min("text").alias("text"))
+    ranked = distinct.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "h2"))).filter(F.col("k") <= DOCS)
+    # whole texts until the dictionary is full: what lies before a text tells whether it is needed
+    before = F.coalesce(F.sum(F.octet_length("text")).over(W.partitionBy("lang").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = ranked.withColumn("before", before).filter(F.col("before") < 2 * DICT_BYTES).select("lang", "k", F.substring("text", 1, 2 * DICT_BYTES).alias("text")).collect()
     out = {}
-    many = {r["lang"]: -r["count"] for r in counts}
+    many = {r["lang"]: -r["n"] for r in counts}
     for lang in sorted({r["lang"] for r in rows}, key=lambda x: (many[x], x)):
-        mine = [reduced(r["text"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["k"])]
-        share = max(64, DICT_BYTES // max(1, len(mine)))
-        data = b" ".join(x[:share] for x in mine if x)
-        if len(data) < DICT_BYTES:  # short of text: the rest of what there is
-            data += b" " + b" ".join(x[share:] for x in mine if len(x) > share)
+        data = b" ".join(filter(None, (reduced(r["text"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["k"]))))
         if len(data) >= 8:
-            out[lang] = data[-DICT_BYTES:]
+            out[lang] = data[:DICT_BYTES]
     return out
 
 
@@ -73,8 +69,11 @@ def _any(conditions):
 
 class Identifier:
     def __init__(self, dictionaries: dict[str, bytes]):
+        import regex
         import zstandard as zstd
 
+        self.letter = regex.compile(r"\p{L}").search
+
         self.langs = list(dictionaries)  # the most frequent first: it has the ties
         self.encoders = []
         for lang in self.langs:
@@ -85,7 +84,7 @@ class Identifier:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """(language, margin)"""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not self.letter(text):
             return "und", 0.0
         data = reduced(text)
         blocks = [data[a : a + BLOCK] for a in range(0, len(data), BLOCK)] or [b""]
