@@ -4,7 +4,8 @@
 record identifier and chunk number. A payload is written and read CHUNK bytes at a time; each chunk row carries the
 length and the SHA-1 of the payload up to its end, so that the last one has those of the whole, and no step gathers the
 chunks of a record. Equal payloads of LEAST bytes or more are stored once: the largest page_id has the response record,
-the others have revisit records that name it, the digest and the length.
+the others have revisit records that name it, the digest and the length. A record's identifier is its page_id and the row's
+number in the table as read, so that rows with equal or null page_ids have identifiers of their own.
 
 An archive is written under a name of its own attempt and moved into place when complete; only archives of tasks that
 succeeded are in the manifest table, so a lost executor or a repeated task leaves no record twice.
@@ -37,28 +38,29 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 
 
-def record_id(page_id) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def record_id(page_id, row: int) -> str:
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{row}>"
 
 
 def page_of(uri: str) -> int | None:
-    x = uri.strip("<>").rpartition(":")[2]
+    x = uri.strip("<>").split(":")[-2]
     return int(x) if x else None
 
 
 def assign(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages with refers_to: the page whose response a copy revisits, else null. Copies are grouped by digest and length;
+    """pages with refers_to: (page_id, row) of the response that a copy revisits, else null. Copies are grouped by digest and length;
     the groups are aggregated before the shuffle and joined back by a join whose large keys Spark can split."""
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
     p = p.withColumn("_n", F.octet_length("html")).withColumn("_d", F.when(F.col("_n") >= least, F.sha1(F.col("html").cast("binary"))))
-    copies = p.filter("_d IS NOT NULL").groupBy("_d", "_n").agg(F.max("page_id").alias("_first"), F.count("*").alias("_c")).filter("_c > 1 AND _first IS NOT NULL")
+    copies = p.filter("_d IS NOT NULL").groupBy("_d", "_n").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("_first"), F.count("*").alias("_c")).filter("_c > 1 AND _first IS NOT NULL")
     copies = copies.select(F.col("_d").alias("_cd"), F.col("_n").alias("_cn"), "_first")
     joined = p.join(copies, (p["_d"] == copies["_cd"]) & (p["_n"] == copies["_cn"]), "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
+    first = F.when(~F.col("page_id").eqNullSafe(F.col("_first.page_id")), F.col("_first"))
+    return joined.select("page_id", "url", "html", "row", first["page_id"].alias("refers_to"), first["row"].alias("refers_row"))
 
 
-def _head(kind: str, page_id, url, block: int, digest: str, more: list[str]) -> bytes:
-    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
+def _head(kind: str, own: str, url, block: int, digest: str, more: list[str]) -> bytes:
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + " ".join(url.split()))
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", *more, f"Content-Length: {block}"]
@@ -79,7 +81,7 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
         files, path = store(name)
         out, records, size = None, 0, 0
         for batch in batches:
-            ids, urls, html, refers = batch.columns
+            ids, urls, html, numbers, refers, refers_rows = batch.columns
             for i in range(batch.num_rows):
                 if out is None:
                     files.create_dir(path.rpartition("/")[0], recursive=True)
@@ -90,12 +92,12 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
                 for x in parts:
                     sha.update(x)
                 digest = base64.b32encode(sha.digest()).decode()
-                page, url, first = ids[i].as_py(), urls[i].as_py(), refers[i].as_py()
+                own, url, first = record_id(ids[i].as_py(), numbers[i].as_py()), urls[i].as_py(), refers[i].as_py()
                 if first is None:
-                    head, body = _head("response", page, url, len(HTTP) + len(payload), digest, []), parts
+                    head, body = _head("response", own, url, len(HTTP) + len(payload), digest, []), parts
                 else:
-                    more = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first)}", f"X-Payload-Length: {len(payload)}"]
-                    head, body = _head("revisit", page, url, len(HTTP), digest, more), []
+                    more = [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, refers_rows[i].as_py())}", f"X-Payload-Length: {len(payload)}"]
+                    head, body = _head("revisit", own, url, len(HTTP), digest, more), []
                 member = zlib.compressobj(1, zlib.DEFLATED, 31)
                 for x in (head, HTTP, *body, b"\r\n\r\n"):
                     out.write(member.compress(x))
