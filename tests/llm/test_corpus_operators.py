@@ -1,11 +1,13 @@
 """Operators that look at all rows, against brute force."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ def test_elias_fano(universe):
     ef = lm_trie.EliasFano(lm_trie.ef_pack("x", v, universe), "x")
     assert (ef.get(np.arange(len(v))) == v).all() and (ef.find(v) == np.arange(len(v))).all()
     ask = r.integers(0, universe, 3000)
+    middle = ef.find(v, np.full(len(v), 3), np.full(len(v), len(v) - 1))
+    assert (middle == np.where((np.arange(len(v)) >= 3) & (np.arange(len(v)) < len(v) - 1), np.arange(len(v)), -1)).all()
     assert (ef.find(ask) == np.where(np.isin(ask, v), np.searchsorted(v, ask), -1)).all()
 
 
@@ -80,12 +84,55 @@ def test_lm_children_by_pointers(spark):
     docs = make(spark, [(i, "a b c a b d a b c", "en", "s") for i in (1, 2)])
     meta = lm_trie.train(docs)
     words = lm_trie.Vocabulary(meta)
-    a, b, c, d = words.look_up([b"a", b"b", b"c", b"d"]).tolist()
+    end, a, b, c, d = words.look_up([b"a", b"b", b"c", b"d"])[0].tolist()
     k = int(lm_trie.shard_of(np.array([a * words.universe + b]), meta["shards"])[0])
-    shard = lm_trie.Shard(f"{meta['folder']}/shard-{k}", words.universe)
+    files = [lm_trie.mapped(f"{meta['folder']}/{x}-{k}") for x in ("shard", "second")]
+    shard = lm_trie.Shard(*files, words.universe)
     head = shard.heads.find(np.array([a]))
-    pair = int(shard.level2.find(head * words.universe + b)[0])
-    assert sorted(shard.children(pair)) == sorted([c, d])
+    pair = shard.level2.find(head * words.universe + b)
+    first, end = shard.children(shard.pointers3, pair)
+    assert sorted((shard.level3.get(np.arange(first[0], end[0])) - pair[0] * words.universe).tolist()) == sorted([c, d])
+    # c(ab) / (c(a) + T(a)) and c(abd) / (c(ab) + T(ab)), within a code's step
+    second, third, rest = (x[0] for x in shard.look_up(*(np.array([x]) for x in (a, b, d))))
+    assert second == pytest.approx(6 / 7, rel=0.02) and third == pytest.approx(2 / 8, rel=0.02) and rest == pytest.approx(2 / 8, rel=0.02)
+
+
+@pytest.mark.parametrize("texts", [["a b c"], ["a b c", "d e f"], ["", None], ["a a b b"]])
+def test_lm_of_few_words_is_finite(spark, texts):
+    docs = make(spark, [(i + 1, t, "en", "s") for i, t in enumerate(texts)] + [(50, "a q", None, None)])
+    for r in lm_trie.score(docs).collect():
+        assert math.isfinite(r.score) and r.score < 0
+
+
+def test_lm_words_are_those_of_the_pattern(odd):
+    texts = [r.text for r in odd.select("text").collect()] + ["\x1c a\u00a0b\u2003c\x0b\x0cD É", "  lead", "trail \n"]
+    array = pa.array(["dropped", *texts]).slice(1)
+    words, at, sizes = lm_trie.tokenised(array)
+    found = iter([words[k].decode() for k in at])
+    for t, n in zip(texts, sizes, strict=True):
+        want = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        assert [next(found) for _ in range(n)] == want
+
+
+def test_lm_rows_added_up_in_turns():
+    r = np.random.default_rng(3)
+    parts = [(r.integers(0, 9, 50), r.integers(0, 5, 50), r.integers(1, 4, 50)) for _ in range(4)]
+    whole = Counter()
+    for p, w, c in parts:
+        for x, y, n in zip(p.tolist(), w.tolist(), c.tolist()):
+            whole[x, y] += n
+    some = lm_trie._added_up(parts[:2])
+    p, w, c = (x.tolist() for x in lm_trie._added_up([some, *parts[2:]]))
+    assert list(zip(p, w)) == sorted(whole) and c == [whole[k] for k in sorted(whole)]
+
+
+def test_lm_batches_dont_matter(spark):
+    docs = make(spark, [(i, prose(i, 30), "en", "s") for i in range(40)])
+    model = lm_trie.Model(lm_trie.train(docs))
+    texts = pa.array([prose(i, 25) for i in range(30)])
+    whole, parts = model.score(texts), [model.score(texts.slice(a, 4)) for a in range(0, 30, 4)]
+    for k in range(4):
+        assert np.allclose(np.concatenate([p[k] for p in parts]), whole[k])
 
 
 # --- WARC
@@ -117,6 +164,13 @@ def test_warc_chunks_hold_the_payload(spark):
     assert [bytes(r.data) for r in rows if r.page_id == 2] == [b""]
 
 
+def test_warc_record_ids_differ(spark):
+    rows = [(i, "u", h) for i in (1, 1, 2, None, None) for h in ("y" * 1500, "short")]
+    found = warc_chunks.read_chunks(warc_chunks.write(pages(spark, rows)), with_data=False).collect()
+    assert len({r.record_id for r in found}) == len(found) == len(rows)
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in found if r.payload_bytes == 1500) == {(1, "revisit", 2): 2, (2, "response", None): 1, (None, "revisit", 2): 2}
+
+
 def test_warc_of_nothing(spark):
     assert warc_chunks.stored(pages(spark, [])).count() == 0
 
@@ -137,6 +191,15 @@ def test_mix_against_sql(spark, odd, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.repeated(nothing).count() == 0
 
 
+def test_mix_without_ids_comes_near_its_targets(spark):
+    docs = make(spark, [(None if i % 2 else 7, prose(i, 1 + i % 50), "en", f"s{i % 3}") for i in range(900)])
+    sized = Counter()
+    for r in mixing.repeated(docs).collect():
+        sized[r.source] += len(r.text.split())
+    targets = {r.source: r.target for r in mixing.plan(docs)[1].collect()}
+    assert targets.keys() == {"s0", "s1", "s2"} and all(abs(sized[k] - t) <= 25 for k, t in targets.items())
+
+
 def test_mix_comes_near_its_targets(spark):
     docs = make(spark, [(i, prose(i, 1 + i % 50), "en", f"s{i % 5}") for i in range(1500)])
     got = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
@@ -211,10 +274,39 @@ def test_vectors_against_all_pairs(spark):
     for (i, *_), c in zip(rows, found):
         least[c] = min(least.get(c, i), i)
     want = Counter((row[0], n[k], least[c], row[0] == least[c]) for k, (row, c) in enumerate(zip(rows, found)))
-    assert Counter(map(tuple, pca_neardup.near_duplicates(df).collect())) == want
+    for size in (pca_neardup.TILE, 32):  # one tile, and links across eight tiles and many jobs
+        assert Counter(map(tuple, pca_neardup.near_duplicates(df, tile_size=size).collect())) == want
     assert pca_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_magnitude_link(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1.0, 2.0]), (3, [1e300, 2e300]), (4, [2.0, -1.0]), (5, [5e-324, 0.0]), (None, [7.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pca_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), None: (1, 5)}
+
+
+@pytest.mark.parametrize("n, size", [(700, 50), (1, 3), (90, 7)])
+def test_a_chain_of_vectors_over_many_tiles(spark, n, size):
+    """Neighbours on a circle's arc link, others don't: one component, through links between tiles and jobs only."""
+    step = math.acos(0.95) * 0.9
+    at = [k * step / 1.0 for k in range(min(n, 18))]
+    rows = [(k, [math.cos(a), math.sin(a), 0.0]) for k, a in enumerate(at)] + [(1000 + k, [0.0, 0.001 * (k % 9), 1.0 + k]) for k in range(n)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.triu(x @ x.T >= 0.95, 1)
+    found = classes(len(rows), list(zip(*map(np.ndarray.tolist, np.nonzero(near)))))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pca_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile_size=size).collect()}
+    degree = (near | near.T).sum(1)
+    assert got == {i: (int(degree[k]), rows[found[k]][0]) for k, (i, _) in enumerate(rows)}
+
+
+def test_spanning_against_a_walk():
+    r = np.random.default_rng(8)
+    for n, m in ((1, 0), (50, 20), (300, 290), (40, 900)):
+        x, y = r.integers(0, n, m), r.integers(0, n, m)
+        assert pca_neardup.spanning(n, x, y).tolist() == classes(n, list(zip(x.tolist(), y.tolist())))
+
+
 def test_bounds_never_lose_a_pair():
     r = np.random.default_rng(6)
     y = pca_neardup.unit(r.normal(size=(400, 32)))

@@ -4,6 +4,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -65,3 +66,26 @@ def test_one_row_a_group_whatever_the_ids(spark, odd):
     got = kept.collect()
     assert Counter(group[r] for r in got) == Counter(set(found))
     assert all((1 << 62 if r.doc_id is None else r.doc_id) == least[group[r]] for r in got)
+
+
+CLASH = ["_kept", "_row_a", "row_a", "fp", "c0", "c1", "s", "i", "passes", "limit", "_mix_s", "score", "predicted", "rejected", "lang_pred", "n_tokens", "h", "source_size"]
+
+
+def test_stages_on_odd_rows(spark, odd, nothing, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, an empty table and clashing names, for each stage."""
+    lang = {0: "the of and with from that", 1: "der die und nicht ein von"}
+    extra = [(1000 + i, prose(i, 60, lang[i % 2]) if i % 4 < 2 else prose(i, 60, lang[i % 2]).upper().replace(" ", "!! "), f"l{i % 2}", "s") for i in range(160)]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").union(make(spark, extra).select("doc_id", "text", "lang", "source", "n_chars"))
+    for k, name in enumerate(CLASH):
+        docs = docs.withColumn(name, F.lit(k) if k % 2 else F.lit(None).cast("string"))
+    spark.createDataFrame([(1000 + i, int(i % 4 < 2), 0) for i in range(160)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+        if name != "bpe_encode":
+            assert got.columns == docs.columns
+            rows, had = Counter(got.collect()), Counter(docs.collect())
+            most = 2 if name == "mix_sources" else 1
+            assert all(n <= most * had[r] for r, n in rows.items()) and rows
+        else:
+            assert got.count() == docs.count()
