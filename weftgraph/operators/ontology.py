@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-PATTERNS = {"date": r"^\d{4}-\d{2}-\d{2}", "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+", "url": r"^https?://"}
 HIERARCHY_TERMS = ("contains", "has", "part_of", "belongs", "parent", "child", "member", "includes", "owns", "in_")
 
 
@@ -25,23 +24,6 @@ def relationships(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src_type", "edge_type", "dst_type").agg(F.count("*").alias("n"))
 
 
-def string_profile(props: DataFrame) -> DataFrame:
-    """Lengths, distinct values and the inferred kind of text properties."""
-    p = props.filter("d_val IS NULL")
-    kinds = [F.bool_and(F.col("s_val").rlike(x)).alias(f"is_{k}") for k, x in PATTERNS.items()]
-    a = p.groupBy("type", "prop").agg(F.count("*").alias("present"), F.count_distinct("s_val").alias("n_unique"), F.min(F.length("s_val")).alias("min_length"), F.max(F.length("s_val")).alias("max_length"), F.round(F.avg(F.length("s_val")), 6).alias("avg_length"), *kinds)
-    kind = F.when(F.col("is_url"), "url").when(F.col("is_email"), "email").when(F.col("is_date"), "date").when(F.col("n_unique") <= 10, "enumeration").otherwise("string")
-    return a.withColumn("kind", kind).drop("is_date", "is_email", "is_url")
-
-
-def numeric_profile(props: DataFrame) -> DataFrame:
-    p = props.filter("d_val IS NOT NULL")
-    return p.groupBy("type", "prop").agg(
-        F.count("*").alias("present"), F.count_distinct("s_val").alias("n_unique"), F.min("d_val").alias("min_value"), F.max("d_val").alias("max_value"),
-        F.round(F.avg("d_val"), 4).alias("avg_value"), F.bool_and(F.col("d_val") == F.floor("d_val")).alias("integral"),
-    )
-
-
 def requirement(present: Column, total: Column) -> Column:
     return F.when(present == total, "required").when(present > 0.9 * total, "typically_present").when(present < 0.3 * total, "rarely_present").otherwise("optional")
 
@@ -164,37 +146,6 @@ def regex_by_position(props: DataFrame, longest: int = 20, least: int = 3) -> Da
     return each.groupBy("type", "prop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("x")))), lambda t: t["x"]), "").alias("pattern"))
 
 
-def correlated(props: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs of properties of a type that stand together in more than that share of the nodes that have either. Pairs are
-    made within a node, whose properties are few."""
-    per = props.groupBy("type", "node_id").agg(F.array_sort(F.collect_set("prop")).alias("ps"))
-    n = props.groupBy("type", "prop").agg(F.count("*").alias("n"))
-    pairs = per.select("type", F.explode("ps").alias("a"), "ps").select("type", "a", F.explode("ps").alias("b")).filter("a < b").groupBy("type", "a", "b").agg(F.count("*").alias("together"))
-    na, nb = (n.select("type", F.col("prop").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    r = F.col("together") / (F.col("na") + F.col("nb") - F.col("together"))
-    return pairs.join(F.broadcast(na), ["type", "a"]).join(F.broadcast(nb), ["type", "b"]).filter(r > least).select("type", "a", "b", "together", F.round(r, 6).alias("ratio"))
-
-
-def validation_rules(nodes: DataFrame, props: DataFrame) -> DataFrame:
-    """A row per rule: (type, prop, rule, low, high, choices) for required, range and enum."""
-    c = property_classes(nodes, props)
-    required = c.filter("requirement = 'required'").select("type", "prop", F.lit("required").alias("rule"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("string").alias("choices"))
-    span = numeric_profile(props).select("type", "prop", F.lit("range").alias("rule"), F.col("min_value").alias("low"), F.col("max_value").alias("high"), F.lit(None).cast("string").alias("choices"))
-    small = string_profile(props).filter("kind = 'enumeration'").select("type", "prop")
-    enums = props.join(F.broadcast(small), ["type", "prop"]).groupBy("type", "prop").agg(F.array_join(F.array_sort(F.collect_set("s_val")), "|").alias("choices"))
-    return required.union(span).union(enums.select("type", "prop", F.lit("enum"), F.lit(None).cast("double"), F.lit(None).cast("double"), "choices"))
-
-
-def violations(nodes: DataFrame, props: DataFrame, rules: DataFrame) -> DataFrame:
-    """(node_id, prop, problem, severity) of rows that break rules; rules are a few rows per property."""
-    r = F.broadcast(rules)
-    need = nodes.select("node_id", "type").join(r.filter("rule = 'required'").select("type", "prop"), "type")
-    missing = need.join(props.select("node_id", "prop"), ["node_id", "prop"], "left_anti").select("node_id", "prop", F.lit("missing").alias("problem"), F.lit("high").alias("severity"))
-    out = props.join(r.filter("rule = 'range'").select("type", "prop", "low", "high"), ["type", "prop"]).filter("d_val < low OR d_val > high").select("node_id", "prop", F.lit("range").alias("problem"), F.lit("medium").alias("severity"))
-    odd = props.join(r.filter("rule = 'enum'").select("type", "prop", "choices"), ["type", "prop"]).filter(~F.array_contains(F.split("choices", r"\|"), F.col("s_val"))).select("node_id", "prop", F.lit("enum").alias("problem"), F.lit("medium").alias("severity"))
-    return missing.union(out).union(odd)
-
-
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with an end that isn't a node."""
     ids = nodes.select("node_id")
@@ -203,47 +154,11 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.union(b).distinct().select("src", "dst", "edge_type")
 
 
-def diff(mine: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of two summaries by key: common, only_mine or only_other, with both counts and the change."""
-    a, b = mine.select(*key, F.col("n").alias("n_mine")), other.select(*key, F.col("n").alias("n_other"))
-    j = a.join(b, key, "full")
-    where = F.when(F.col("n_other").isNull(), "only_mine").when(F.col("n_mine").isNull(), "only_other").otherwise("common")
-    return j.select(*key, where.alias("side"), F.coalesce("n_mine", F.lit(0)).alias("n_mine"), F.coalesce("n_other", F.lit(0)).alias("n_other"))
-
-
-def merge(mine: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
-    """Counts of two summaries added up."""
-    return mine.select(*key, "n").union(other.select(*key, "n")).groupBy(*key).agg(F.sum("n").cast("long").alias("n"))
-
-
-def jaccard(changes: DataFrame) -> DataFrame:
-    return changes.agg(F.count_if(F.col("side") == "common").alias("common"), F.count("*").alias("total")).select("common", "total", F.round(F.col("common") / F.col("total"), 6).alias("jaccard"))
-
-
 def top_types(nodes: DataFrame, k: int = 5) -> DataFrame:
     """The k most frequent types; equal counts by name."""
     return nodes.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(k)
 
 
-def suggestions(nodes: DataFrame, props: DataFrame, edges: DataFrame) -> DataFrame:
-    """(about, name, hint): sparse types, nearly complete properties, similar edge names."""
-    total = nodes.agg(F.count("*").alias("total"))
-    sparse = nodes.groupBy("type").agg(F.count("*").alias("n")).join(F.broadcast(total)).filter(F.col("n") < F.greatest(F.lit(3.0), 0.005 * F.col("total"))).select(F.lit("type").alias("about"), F.col("type").alias("name"), F.lit("sparse").alias("hint"))
-    nearly = property_classes(nodes, props).filter("requirement = 'typically_present'").select(F.lit("property"), F.concat_ws(".", "type", "prop"), F.lit("could be required"))
-    names = edges.select("edge_type").distinct()
-    a, b = names.select(F.col("edge_type").alias("x")), names.select(F.col("edge_type").alias("y"))
-    close = a.join(F.broadcast(b), F.expr("x <> y AND contains(y, x)")).select(F.lit("edge type"), F.concat_ws(" ~ ", "x", "y"), F.lit("similar names"))
-    return sparse.union(nearly).union(close)
-
-
-def cooccurrence(nodes: DataFrame, props: DataFrame, least: float = 0.9) -> DataFrame:
-    """Rules a -> b: of the nodes with a, more than that share have b."""
-    per = props.groupBy("type", "node_id").agg(F.collect_set("prop").alias("ps"))
-    pairs = per.select("type", F.explode("ps").alias("a"), "ps").select("type", "a", F.explode("ps").alias("b")).filter("a <> b").groupBy("type", "a", "b").agg(F.count("*").alias("together"))
-    n = props.groupBy("type", F.col("prop").alias("a")).agg(F.count("*").alias("na"))
-    return pairs.join(F.broadcast(n), ["type", "a"]).filter(F.col("together") > least * F.col("na")).select("type", "a", "b", "together")
-
-
 def schema_edges(edges: DataFrame) -> DataFrame:
     """The schema graph: of the relationships of two types the most frequent is an edge, the others virtual nodes."""
     k = F.row_number().over(W.partitionBy("src_type", "dst_type").orderBy(F.desc("n"), "edge_type"))

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 KEY = ["asset", "sensor"]
-#: Least share of change of the mean, in percent, for each label.
-TREND_LABELS = ((10.0, "strongly "), (2.0, ""), (0.5, "slightly "))
+#: Change of the mean, in percent, beyond which each label holds.
+TREND_LABELS = ((10.0, "strong"), (2.0, "moderate"), (0.5, "slight"))
+#: Calendar levels and their seconds.
+LEVELS = (("individual", 0), ("minute", 60), ("hour", 3_600), ("day", 86_400), ("week", 604_800), ("month", 2_592_000), ("quarter", 7_776_000))
+#: Sensors that weigh more.
+CRITICAL_SENSORS = ("T30", "T50", "P30")
 
 
 def numbered(series: DataFrame) -> DataFrame:
@@ -24,36 +28,75 @@ def chunks(series: DataFrame, target: int) -> DataFrame:
 
 
 def trend_label(a: Column, b: Column) -> Column:
-    """From the means of the first and the last third."""
-    change = (b - a) / F.abs(a) * 100
+    """From the means of the first and the last third: the change in percent of the first; none of a zero base."""
+    change = (b - a) / a * 100
     found = F.when(a.isNull() | (a == 0), "stable")
-    for least, name in TREND_LABELS:
-        found = found.when(change >= least, f"{name}increasing").when(change <= -least, f"{name}decreasing")
+    for beyond, name in TREND_LABELS:
+        found = found.when(change > beyond, f"increasing_{name}").when(change < -beyond, f"decreasing_{name}")
     return found.otherwise("stable")
 
 
+def _thirds() -> tuple[Column, Column]:
+    """Means of the first n // 3 and the last ceil(n / 3) values of numbered series; of two values, each one."""
+    a = F.avg(F.when(F.col("i") < F.greatest(F.lit(1), F.floor(F.col("n") / 3)), F.col("value")))
+    b = F.avg(F.when(F.col("i") >= F.col("n") - F.ceil(F.col("n") / 3), F.col("value")))
+    return a, b
+
+
 def trends(series: DataFrame) -> DataFrame:
     """Per series: the means of its first n // 3 and its last ceil(n / 3) values and the label they give."""
-    x = numbered(series)
-    a = F.avg(F.when(F.col("i") < F.floor(F.col("n") / 3), F.col("value")))
-    b = F.avg(F.when(F.col("i") >= F.col("n") - F.ceil(F.col("n") / 3), F.col("value")))
-    m = x.groupBy(*KEY).agg(F.first("n").alias("n"), a.alias("a"), b.alias("b"))
-    return m.select(*KEY, "n", F.round("a", 6).alias("first_mean"), F.round("b", 6).alias("last_mean"), F.when(F.col("n") < 3, "stable").otherwise(trend_label(F.col("a"), F.col("b"))).alias("trend"))
+    a, b = _thirds()
+    m = numbered(series).groupBy(*KEY).agg(F.first("n").alias("n"), a.alias("a"), b.alias("b"))
+    return m.select(*KEY, "n", F.round("a", 6).alias("first_mean"), F.round("b", 6).alias("last_mean"), F.when(F.col("n") < 2, "stable").otherwise(trend_label(F.col("a"), F.col("b"))).alias("trend"))
 
 
 def statistics(series: DataFrame) -> DataFrame:
-    return series.groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    """Per series: count, mean, sample deviation (0 of one value), least and greatest."""
+    std = F.coalesce(F.stddev_samp("value"), F.lit(0.0))
+    return series.groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(std, 6).alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 def quality(series: DataFrame, sigmas: float = 3.0) -> DataFrame:
-    """Per sensor: readings beyond that many population deviations, whether it is constant, a score."""
-    s = series.groupBy("sensor").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
-    x = series.join(F.broadcast(s), "sensor")
-    far = F.count_if((F.col("n") > 3) & (F.abs(F.col("value") - F.col("m")) > sigmas * F.col("sd")))
-    g = x.groupBy("sensor").agg(F.count("*").alias("n"), far.alias("outliers"), (F.min("value") == F.max("value")).alias("constant"))
+    """Per series: issues (values beyond that many population deviations if there are more than three, all values equal),
+    100 less 20 an issue, and the count of values farther from the mean than half the range."""
+    w = W.partitionBy(*KEY)
+    x = series.withColumn("n", F.count("*").over(w)).withColumn("m", F.avg("value").over(w)).withColumn("sd", F.stddev_pop("value").over(w))
+    x = x.withColumn("half", (F.max("value").over(w) - F.min("value").over(w)) / 2)
+    off = F.abs(F.col("value") - F.col("m"))
+    far, wide = F.count_if((F.col("n") > 3) & (off > sigmas * F.col("sd"))), F.count_if((F.col("n") > 1) & (off > F.col("half")))
+    g = x.groupBy(*KEY).agg(F.count("*").alias("n"), far.alias("outliers"), (F.min("value") == F.max("value")).alias("constant"), wide.alias("outlier_count"))
     return g.withColumn("score", 100 - 20 * ((F.col("outliers") > 0).cast("int") + F.col("constant").cast("int")))
 
 
+def density_targets(assets: int, sensors: int, most_nodes: int = 2000, least: int = 5) -> tuple[int, int]:
+    """(least, most) nodes of a series so that all series together have about most_nodes."""
+    if not assets * sensors:
+        return 10, 50
+    each = max(least, most_nodes // (assets * sensors))
+    return max(3, each // 2), each * 2
+
+
+def level_scores(series: DataFrame, targets: tuple[int, int] = (10, 50)) -> DataFrame:
+    """Per series and level of LEVELS: the groups that it would make by the time from the first to the last reading, the
+    readings of each, a score (how near the targets' middle the groups are, less for those outside, more for readings a
+    group) and whether the groups are within the targets."""
+    low, high = (float(x) for x in targets)
+    span = F.timestamp_diff("MICROSECOND", F.min("t"), F.max("t")) / 1e6
+    g = series.groupBy(*KEY).agg(F.count("*").alias("n"), span.alias("span"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(i).alias("place"), F.lit(float(v)).alias("seconds")) for i, (k, v) in enumerate(LEVELS)])
+    x = g.select(*KEY, "n", "span", F.explode(levels).alias("x")).select(*KEY, "n", "span", "x.*")
+    groups = F.when(F.col("seconds") == 0, F.col("n").cast("double")).when(F.col("span") > 0, F.greatest(F.lit(1.0), F.col("span") / F.col("seconds"))).otherwise(1.0)
+    x = x.withColumn("groups", groups).withColumn("per_group", F.col("n") / F.col("groups"))
+    fit = F.when(F.col("groups") < low, (low - F.col("groups")) * -2).when(F.col("groups") > high, (F.col("groups") - high) * -1.5).otherwise(100 - F.abs(F.col("groups") - (low + high) / 2))
+    return x.withColumn("score", fit + F.least(F.lit(50.0), F.col("per_group") * 0.5)).withColumn("fits", F.col("groups").between(low, high))
+
+
+def chosen_level(series: DataFrame, targets: tuple[int, int] = (10, 50)) -> DataFrame:
+    """Per series the level of the greatest score, the finest of equal ones, with what it makes of the readings."""
+    best = level_scores(series, targets).groupBy(*KEY).agg(F.max_by(F.struct("level", "n", "groups", "per_group", "fits"), F.struct(F.col("score"), (-F.col("place")).alias("p"))).alias("b"))
+    return best.select(*KEY, "b.level", F.col("b.n").alias("n"), F.round("b.groups", 4).alias("groups"), F.round("b.per_group", 4).alias("per_group"), F.round(F.col("b.groups") / F.col("b.n"), 6).alias("efficiency"), "b.fits")
+
+
 def level_counts(series: DataFrame) -> DataFrame:
     """Buckets and readings a bucket at each calendar level."""
     levels = F.array(*[F.struct(F.lit(k).alias("level"), F.date_trunc(k, F.col("t")).alias("b")) for k in ("hour", "day", "week", "month", "quarter", "year")])
@@ -89,22 +132,95 @@ def bounds_summary(series: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def characterize(series: DataFrame, least: int = 10) -> DataFrame:
-    """Per series of at least that many readings: population CV, slope on the reading's number, a label."""
+    """Per series of at least that many readings: its trend label, slope on the reading's number, strength |slope| * n and
+    population CV. One with a trend is degrading if its strength is above .1 (high above 1), else stable; one without has
+    high variance if its CV is above .1 (high above .2)."""
+    a, b = _thirds()
     x = numbered(series).filter(F.col("n") >= least)
-    g = x.groupBy(*KEY).agg(F.first("n").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.regr_slope("value", F.col("i").cast("double")).alias("slope"))
-    cv, strength = F.when(F.col("m") != 0, F.col("sd") / F.abs("m")).otherwise(0.0), F.abs("slope") * F.col("n")
-    label = F.when((strength > 0.1) & (F.abs("slope") > 0.01), "degrading").when(cv > 0.1, "high_variance").otherwise("stable")
-    return g.select(*KEY, "n", F.round(cv, 6).alias("cv"), F.round("slope", 6).alias("slope"), label.alias("label"))
-
-
-def priorities(labels: DataFrame, rul: DataFrame, critical: list[str]) -> DataFrame:
-    """labels(asset, sensor, label), rul(asset, rul) -> a score per asset: the worst label, the remaining life, critical
-    sensors; 7 or more is immediate, 4 or more near-term."""
-    worst = labels.groupBy("asset").agg(F.max(F.when(F.col("label") == "degrading", 3).when(F.col("label") == "high_variance", 2).otherwise(0)).alias("trend"), F.max((F.col("sensor").isin(critical) & (F.col("label") != "stable")).cast("int")).alias("critical"))
-    r = F.col("rul")
-    life = F.when(r <= 10, 4).when(r <= 30, 2).when(r <= 50, 1).otherwise(0)
-    s = worst.join(rul, "asset").withColumn("score", F.col("trend") + F.col("critical") + life)
-    return s.select("asset", "rul", "score", F.when(F.col("score") >= 7, "immediate").when(F.col("score") >= 4, "near_term").otherwise("routine").alias("priority"))
+    slope = F.regr_slope("value", F.col("i").cast("double"))
+    g = x.groupBy(*KEY).agg(F.first("n").alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.coalesce(slope, F.lit(0.0)).alias("slope"), a.alias("a"), b.alias("b"))
+    g = g.withColumn("trend", trend_label(F.col("a"), F.col("b"))).withColumn("cv", F.when(F.col("m") != 0, F.col("sd") / F.abs("m")).otherwise(0.0)).withColumn("strength", F.abs("slope") * F.col("n"))
+    moved, strength, cv = F.col("trend") != "stable", F.col("strength"), F.col("cv")
+    label = F.when(moved, F.when(strength > 0.1, "degrading").otherwise("stable")).when(cv > 0.1, "high_variance").otherwise("stable")
+    severity = F.when(moved, F.when(strength > 1, "high").when(strength > 0.1, "moderate").otherwise("low")).when(cv > 0.2, "high").when(cv > 0.1, "moderate").otherwise("low")
+    direction = F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("stable")
+    return g.select(*KEY, "n", "trend", label.alias("label"), severity.alias("severity"), direction.alias("direction"), F.round("slope", 6).alias("slope"), F.round(strength, 3).alias("strength"), F.round(cv, 3).alias("cv"))
+
+
+def sensor_risks(labels: DataFrame) -> DataFrame:
+    """characterize() -> per sensor how many series have each label, and the risk that the share of degrading ones gives."""
+    kinds = [F.count_if(F.col("label") == k).alias(k) for k in ("degrading", "stable", "high_variance")]
+    g = labels.groupBy("sensor").agg(F.count("*").alias("total"), *kinds)
+    share = F.col("degrading") * 100 / F.col("total")
+    return g.withColumn("share", F.round(share, 1)).withColumn("risk", F.when(share > 20, "High Risk").when(share > 5, "Moderate Risk").otherwise("Low Risk"))
+
+
+def priorities(labels: DataFrame, rul: DataFrame, critical: tuple[str, ...] = CRITICAL_SENSORS, life: int = 100) -> DataFrame:
+    """characterize() and rul(asset, rul) -> per series a score: of its label, its severity, the remaining life (that many
+    cycles if unknown) and whether the sensor is critical; and what to do how soon."""
+    j = labels.join(rul, "asset", "left").withColumn("rul", F.coalesce("rul", F.lit(life)))
+    score = F.when(F.col("label") == "degrading", 3).when(F.col("label") == "high_variance", 2).otherwise(0)
+    score = score + F.when(F.col("severity") == "high", 3).when(F.col("severity") == "moderate", 2).otherwise(1)
+    score = score + F.when(F.col("rul") <= 10, 4).when(F.col("rul") <= 30, 2).when(F.col("rul") <= 50, 1).otherwise(0) + F.col("sensor").isin(*critical).cast("int")
+    level = F.when(F.col("score") >= 7, "immediate_action").when(F.col("score") >= 4, "near_term_watch").otherwise("normal_monitoring")
+    told = {"immediate_action": ("critical", "immediate_inspection_required", "0-10_cycles"), "near_term_watch": ("elevated", "schedule_maintenance_window", "11-30_cycles"), "normal_monitoring": ("routine", "continue_monitoring", ">30_cycles")}
+    named = [F.element_at(F.create_map(*[F.lit(x) for k, v in told.items() for x in (k, v[i])]), F.col("level")).alias(name) for i, name in enumerate(("urgency", "action", "time_frame"))]
+    return j.withColumn("score", score).withColumn("level", level).select(*KEY, "label", "severity", "rul", "score", "level", *named)
+
+
+def fleet_risks(decisions: DataFrame) -> DataFrame:
+    """priorities() -> one row: series at each level and their shares in percent."""
+    counts = [F.count_if(F.col("level") == k).alias(v) for k, v in (("immediate_action", "immediate"), ("near_term_watch", "near_term"), ("normal_monitoring", "normal"))]
+    g = decisions.agg(F.count("*").alias("total"), *counts)
+    share = lambda c: F.round(F.when(F.col("total") > 0, F.col(c) * 100 / F.col("total")).otherwise(0.0), 1)
+    return g.withColumn("immediate_share", share("immediate")).withColumn("near_term_share", share("near_term"))
+
+
+def fleet_report(labels: DataFrame, decisions: DataFrame, rul: DataFrame, checks: DataFrame) -> DataFrame:
+    """The report on a fleet as lines (section, place, line): overview, findings, risks and recommendations.
+
+    checks is bounds_summary(). Each part is an aggregate of one row; engines and sensors that are named are the first few
+    by their number or share, so that nothing but these lines leaves the executors."""
+    life = rul.agg(F.count("*").alias("engines"), F.count_if(F.col("rul") <= 20).alias("critical"), F.avg("rul").alias("mean"), F.min("rul").alias("least"), F.max("rul").alias("most"))
+    first = rul.filter("rul <= 20").orderBy("asset").limit(5).agg(F.array_sort(F.collect_list(F.struct("asset", "rul"))).alias("named"))
+    trend = labels.agg(F.count("*").alias("series"), F.count_if(F.col("label") == "degrading").alias("degrading"))
+    broken = checks.agg(F.count_if(F.col("violations") > 0).alias("broken"))
+    worst = sensor_risks(labels).withColumn("exact", F.col("degrading") * 100 / F.col("total")).filter("exact > 20").orderBy(F.desc("exact"), "sensor").limit(1)
+    worst = worst.agg(F.first("sensor").alias("worst"), F.first("exact").alias("worst_share"))
+    one = life.crossJoin(first).crossJoin(trend).crossJoin(broken).crossJoin(worst).crossJoin(fleet_risks(decisions))  # one row each
+    pct = lambda a, b: F.when(F.col(b) > 0, F.col(a) * 100 / F.col(b)).otherwise(0.0)
+    text = lambda c: F.col(c).cast("string")
+    critical, falling = pct("critical", "engines"), pct("degrading", "series")
+    status = F.when(critical > 15, "CRITICAL - Multiple engines require immediate attention").when(critical > 5, "ELEVATED RISK - Several engines showing degradation").otherwise("NOMINAL - Fleet operating within normal parameters")
+    level = F.when(pct("immediate", "total") > 15, "HIGH").when(pct("immediate", "total") > 5, "MODERATE").otherwise("LOW")
+    engines = F.array_join(F.transform("named", lambda x: F.concat(F.lit("Engine "), x["asset"].cast("string"), F.lit(" ("), x["rul"].cast("string"), F.lit(" cycles)"))), ", ")
+    three = F.array_join(F.transform(F.slice("named", 1, 3), lambda x: x["asset"].cast("string")), ", ")
+    d1 = lambda c: F.format_number(c, 1)
+    lines = [
+        ("overview", F.concat(F.lit("Fleet Status: "), status)),
+        ("overview", F.concat(F.lit("Total Engines Analyzed: "), text("engines"))),
+        ("overview", F.concat(F.lit("Total Sensor Points: "), text("series"))),
+        ("overview", F.concat(F.lit("Average Fleet RUL: "), d1(F.col("mean")), F.lit(" cycles"))),
+        ("overview", F.concat(F.lit("RUL Range: "), text("least"), F.lit(" - "), text("most"), F.lit(" cycles"))),
+        ("overview", F.concat(F.lit("Engines Requiring Immediate Attention: "), text("critical"), F.lit(" ("), d1(critical), F.lit("%)"))),
+        ("findings", F.when(F.col("critical") > 0, F.concat(F.lit("IMMEDIATE ACTION REQUIRED: "), text("critical"), F.lit(" engines with critically low RUL")))),
+        ("findings", F.when(F.col("critical") > 0, F.concat(F.lit("Critical engines: "), engines))),
+        ("findings", F.when(F.col("critical") > 5, F.concat(F.lit("Additional "), (F.col("critical") - 5).cast("string"), F.lit(" engines require assessment")))),
+        ("findings", F.when(falling > 10, F.concat(F.lit("SENSOR DEGRADATION: "), text("degrading"), F.lit(" sensors ("), d1(falling), F.lit("%) showing degradation trends")))),
+        ("findings", F.when(F.col("broken") > 0, F.concat(F.lit("OPERATIONAL LIMITS EXCEEDED: "), text("broken"), F.lit(" sensor readings outside acceptable ranges")))),
+        ("findings", F.when((F.col("critical") == 0) & (falling <= 10) & (F.col("broken") == 0), F.lit("No critical issues identified - fleet operating normally"))),
+        ("risks", F.when(F.col("total") > 0, F.concat(F.lit("Immediate Action Required: "), text("immediate"), F.lit(" sensors ("), d1(pct("immediate", "total")), F.lit("%)")))),
+        ("risks", F.when(F.col("total") > 0, F.concat(F.lit("Near-term Monitoring: "), text("near_term"), F.lit(" sensors ("), d1(pct("near_term", "total")), F.lit("%)")))),
+        ("risks", F.when(F.col("total") > 0, F.concat(F.lit("Normal Operations: "), text("normal"), F.lit(" sensors")))),
+        ("risks", F.when(F.col("total") > 0, F.concat(F.lit("FLEET RISK LEVEL: "), level))),
+        ("recommendations", F.when(F.col("critical") > 0, F.concat(F.lit("IMMEDIATE: Schedule maintenance for engines "), three))),
+        ("recommendations", F.when(F.col("critical") > 3, F.concat(F.lit("STRATEGIC: Develop replacement strategy for "), text("critical"), F.lit(" critical engines")))),
+        ("recommendations", F.when(F.col("worst").isNotNull(), F.concat(F.lit("HIGH PRIORITY: Investigate "), F.col("worst"), F.lit(" sensors ("), d1(F.col("worst_share")), F.lit("% degrading)")))),
+        ("recommendations", F.when(F.col("broken") > 10, F.concat(F.lit("CALIBRATION: Review sensor calibration procedures - "), text("broken"), F.lit(" bounds violations detected")))),
+        ("recommendations", F.when((F.col("critical") == 0) & F.col("worst").isNull() & (F.col("broken") <= 10), F.lit("ROUTINE: Continue standard maintenance protocols - no critical issues identified"))),
+    ]
+    made = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(i).alias("place"), line.alias("line")) for i, (section, line) in enumerate(lines)])
+    return one.select(F.explode(made).alias("x")).select("x.*").filter("line IS NOT NULL")
 
 
 def slope_life_correlation(labels: DataFrame, rul: DataFrame, least: int = 3) -> DataFrame:
@@ -123,6 +239,27 @@ def timeline(items: DataFrame) -> DataFrame:
     return x.join(F.broadcast(before.select("d", "before")), "d").select("name", "category", "t", (F.col("before") + F.col("k") - 1).cast("long").alias("position"))
 
 
+def overlaps(spans: DataFrame, width: int = 1) -> DataFrame:
+    """spans(asset, created, destroyed) -> pairs of assets (a < b) with max(created) < min(destroyed), from when to when.
+
+    Spans meet in the bucket (of `width` years) in which the overlap starts, so that every pair is made once, by an equality
+    join, and only overlapping ones are made."""
+    x = spans.filter("created < destroyed").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("created") / width), F.floor(F.col("destroyed") / width))))
+    a, b = (x.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("asset", "created", "destroyed")]) for k in "ab")
+    start, end = F.greatest("created_a", "created_b"), F.least("destroyed_a", "destroyed_b")
+    met = a.join(b, "bucket").filter((F.col("asset_a") < F.col("asset_b")) & (F.floor(start / width) == F.col("bucket")) & (start < end))
+    return met.select(F.col("asset_a").alias("a"), F.col("asset_b").alias("b"), start.alias("start"), end.alias("end"), (end - start).alias("duration"))
+
+
+def span_summary(spans: DataFrame) -> DataFrame:
+    """One row: assets, their mean, least and greatest lifespan, the time from the first to the last, and how many are short
+    (below .7 of the mean), long (above 1.3) or between."""
+    n = F.col("destroyed") - F.col("created")
+    g = spans.agg(F.count("*").alias("total"), F.avg(n).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"), F.min("created").alias("first"), F.max("destroyed").alias("last"))
+    kinds = spans.crossJoin(F.broadcast(g.select("mean"))).agg(F.count_if(n < F.col("mean") * 0.7).alias("short"), F.count_if(n > F.col("mean") * 1.3).alias("long"))  # the mean is one row
+    return g.crossJoin(F.broadcast(kinds)).select("total", F.round("mean", 6).alias("mean"), "least", "most", "first", "last", (F.col("last") - F.col("first")).alias("timespan"), "short", (F.col("total") - F.col("short") - F.col("long")).alias("medium"), "long")
+
+
 def lifespans(objects: DataFrame) -> DataFrame:
     """objects(asset, created, destroyed) in years -> lifespan and its class."""
     n = F.col("destroyed") - F.col("created")

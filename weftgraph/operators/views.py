@@ -63,14 +63,6 @@ def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(c, "node_id").withColumn("place", F.row_number().over(w)).filter("place <= 10").select("type", "node_id", "children", "place")
 
 
-def overlaps(spans: DataFrame) -> DataFrame:
-    """spans(asset, created, destroyed in years) -> per year how many assets live. Years are few, so that an overlap is
-    counted without making pairs of assets."""
-    years = spans.select(F.explode(F.sequence("created", "destroyed")).alias("year"))
-    g = years.groupBy("year").agg(F.count("*").alias("alive"))
-    return g.withColumn("pairs", (F.col("alive") * (F.col("alive") - 1) / 2).cast("long"))
-
-
 def method_paths(steps: DataFrame, depth: int = 6) -> DataFrame:
     """steps(src, dst, method) between classes -> simple paths of up to `depth` methods, all prefixes among them. Classes of
     an ontology are few."""

@@ -187,12 +187,6 @@ add("structural_sample", lambda s, d: graph.display_sample(N(s, d)), "SELECT nod
 add("ontology_node_types", lambda s, d: ontology.node_types(N(s, d), P(s, d)), "SELECT t.type, t.n, properties FROM (SELECT type, count(*) AS n FROM n GROUP BY type) t LEFT JOIN (SELECT type, string_agg(DISTINCT prop, ',' ORDER BY prop) AS properties FROM p GROUP BY type) USING (type)")
 add("ontology_edge_types", lambda s, d: E(s, d).groupBy("edge_type").agg(F.count("*").alias("n")), "SELECT edge_type, count(*) AS n FROM e GROUP BY edge_type")
 add("ontology_relationships", lambda s, d: ontology.relationships(E(s, d)), with_(REL) + "SELECT * FROM r")
-add(
-    "property_profile_string",
-    lambda s, d: ontology.string_profile(P(s, d)),
-    "SELECT type, prop, count(*) AS present, count(DISTINCT s_val) AS n_unique, CAST(min(length(s_val)) AS INTEGER) AS min_length, CAST(max(length(s_val)) AS INTEGER) AS max_length, round(avg(length(s_val)), 6) AS avg_length, CASE WHEN count(DISTINCT s_val) <= 10 THEN 'enumeration' ELSE 'string' END AS kind FROM p WHERE d_val IS NULL GROUP BY 1, 2",
-)
-add("property_profile_numeric", lambda s, d: ontology.numeric_profile(P(s, d)).drop("n_unique"), "SELECT type, prop, count(*) AS present, min(d_val) AS min_value, max(d_val) AS max_value, round(avg(d_val), 4) AS avg_value, bool_and(d_val = floor(d_val)) AS integral FROM p WHERE d_val IS NOT NULL GROUP BY 1, 2")
 add("property_profile_bool", lambda s, d: T(s, d, "lineitem").select((F.col("l_discount") > 0).alias("b")).agg(F.count_if("b").alias("n_true"), F.count_if(~F.col("b")).alias("n_false")), "SELECT count(*) FILTER (l_discount > 0) AS n_true, count(*) FILTER (NOT l_discount > 0) AS n_false FROM lineitem", False)
 add("property_profile_array", lambda s, d: T(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("present"), F.min(F.size("embedding")).alias("min_items"), F.max(F.size("embedding")).alias("max_items")), "SELECT label, count(*) AS present, CAST(min(len(embedding)) AS INTEGER) AS min_items, CAST(max(len(embedding)) AS INTEGER) AS max_items FROM embeddings GROUP BY label", False)
 PC = "pc AS (SELECT type, prop, count(*) AS present, count(DISTINCT s_val) AS n_unique, any_value(total) AS total FROM p JOIN (SELECT type, count(*) AS total FROM n GROUP BY type) USING (type) GROUP BY 1, 2)"
@@ -245,46 +239,10 @@ add(
     with_("v AS (SELECT DISTINCT type, prop, s_val FROM p WHERE d_val IS NULL)", "fit AS (SELECT type, prop FROM v GROUP BY 1, 2 HAVING min(length(s_val)) = max(length(s_val)) AND max(length(s_val)) <= 20 AND count(*) >= 3)", "ch AS (SELECT type, prop, i, s_val[i] AS c FROM (SELECT type, prop, s_val, unnest(generate_series(1, length(s_val))) AS i FROM v JOIN fit USING (type, prop)))", "g AS (SELECT type, prop, i, CASE WHEN bool_and(regexp_matches(c, '[0-9]')) THEN '\\d' WHEN bool_and(regexp_matches(c, '[A-Z]')) THEN '[A-Z]' WHEN bool_and(regexp_matches(c, '[a-z]')) THEN '[a-z]' WHEN bool_and(regexp_matches(c, '[A-Za-z]')) THEN '[A-Za-z]' WHEN count(DISTINCT c) = 1 THEN min(c) ELSE '.' END AS x FROM ch GROUP BY 1, 2, 3)")
     + "SELECT type, prop, string_agg(x, '' ORDER BY i) AS pattern FROM g GROUP BY 1, 2",
 )
-PAIRS = "w AS (SELECT DISTINCT type, node_id, prop FROM p)", "cn AS (SELECT type, prop, count(*) AS c FROM w GROUP BY 1, 2)", "pr AS (SELECT x.type, x.prop AS a, y.prop AS b, count(*) AS together FROM w x JOIN w y ON x.node_id = y.node_id AND x.prop <> y.prop GROUP BY 1, 2, 3)"
-add("correlated_properties", lambda s, d: ontology.correlated(P(s, d)), with_(*PAIRS) + "SELECT pr.type, a, b, together, round(together / CAST(x.c + y.c - together AS DOUBLE), 6) AS ratio FROM pr JOIN cn x ON x.type = pr.type AND x.prop = a JOIN cn y ON y.type = pr.type AND y.prop = b WHERE a < b AND together / CAST(x.c + y.c - together AS DOUBLE) > 0.8")
-add("cooccurrence_rules", lambda s, d: ontology.cooccurrence(N(s, d), P(s, d)), with_(*PAIRS) + "SELECT pr.type, a, b, together FROM pr JOIN cn x ON x.type = pr.type AND x.prop = a WHERE together > 0.9 * x.c")
-RULES_SQL = (
-    PC,
-    "en AS (SELECT type, prop, string_agg(DISTINCT s_val, '|' ORDER BY s_val) AS choices FROM p WHERE d_val IS NULL GROUP BY 1, 2 HAVING count(DISTINCT s_val) <= 10)",
-    "ru AS (SELECT type, prop, 'required' AS rule, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, CAST(NULL AS VARCHAR) AS choices FROM pc WHERE present = total UNION ALL SELECT type, prop, 'range', min(d_val), max(d_val), NULL FROM p WHERE d_val IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT type, prop, 'enum', NULL, NULL, choices FROM en)",
-)
-add("validation_rules", lambda s, d: ontology.validation_rules(N(s, d), P(s, d)), with_(*RULES_SQL) + "SELECT * FROM ru")
-
 
-def _halves(s: SparkSession, d: str):
-    """Rules from building customers' segments and cheap orders, data of all: so that there is something to find."""
-    p = P(s, d)
-    return N(s, d), p, ontology.validation_rules(N(s, d), p.filter("(d_val IS NULL AND s_val NOT IN ('BUILDING', 'F')) OR d_val < 1000"))
 
-
-add(
-    "inconsistencies",
-    lambda s, d: ontology.violations(*_halves(s, d)).groupBy("prop", "problem", "severity").agg(F.count("*").alias("n")),
-    with_("p2 AS (SELECT * FROM p WHERE (d_val IS NULL AND s_val NOT IN ('BUILDING', 'F')) OR d_val < 1000)", PC.replace("FROM p ", "FROM p2 "), "en AS (SELECT type, prop, list(DISTINCT s_val) AS choices FROM p2 WHERE d_val IS NULL GROUP BY 1, 2 HAVING count(DISTINCT s_val) <= 10)", "rg AS (SELECT type, prop, min(d_val) AS low, max(d_val) AS high FROM p2 WHERE d_val IS NOT NULL GROUP BY 1, 2)")
-    + """SELECT prop, 'missing' AS problem, 'high' AS severity, count(*) AS n FROM n JOIN pc USING (type) WHERE present = total AND NOT EXISTS (SELECT 1 FROM p WHERE p.node_id = n.node_id AND p.prop = pc.prop) GROUP BY 1
-    UNION ALL SELECT prop, 'range', 'medium', count(*) FROM p JOIN rg USING (type, prop) WHERE d_val < low OR d_val > high GROUP BY 1
-    UNION ALL SELECT prop, 'enum', 'medium', count(*) FROM p JOIN en USING (type, prop) WHERE NOT list_contains(choices, s_val) GROUP BY 1""",
-)
 add("dangling_edges", lambda s, d: ontology.dangling(N(s, d).filter("node_id <> 'region:1'"), E(s, d)), "SELECT src, dst, edge_type FROM e WHERE dst = 'region:1'")
-KEY3 = ["src_type", "edge_type", "dst_type"]
-
-
-def _two(s: SparkSession, d: str):
-    return ontology.relationships(E(s, d, ("in_nation", "in_region", "placed"))), ontology.relationships(E(s, d, ("in_nation", "contains", "placed")).filter("src <> 'customer:1'"))
-
-
-TWO = REL, "m AS (SELECT * FROM r WHERE edge_type IN ('in_nation', 'in_region', 'placed'))", "o AS (SELECT src_type, edge_type, dst_type, count(*) AS n FROM e WHERE edge_type IN ('in_nation', 'contains', 'placed') AND src <> 'customer:1' GROUP BY ALL)"
-DIFF = "df AS (SELECT src_type, edge_type, dst_type, CASE WHEN o.n IS NULL THEN 'only_mine' WHEN m.n IS NULL THEN 'only_other' ELSE 'common' END AS side, coalesce(m.n, 0) AS n_mine, coalesce(o.n, 0) AS n_other FROM m FULL JOIN o USING (src_type, edge_type, dst_type))"
-add("ontology_diff", lambda s, d: ontology.diff(*_two(s, d), KEY3), with_(*TWO, DIFF) + "SELECT * FROM df")
-add("ontology_jaccard", lambda s, d: ontology.jaccard(ontology.diff(*_two(s, d), KEY3)), with_(*TWO, DIFF) + "SELECT count(*) FILTER (side = 'common') AS common, count(*) AS total, round(count(*) FILTER (side = 'common') / CAST(count(*) AS DOUBLE), 6) AS jaccard FROM df")
-add("ontology_merge", lambda s, d: ontology.merge(*_two(s, d), KEY3), with_(*TWO) + "SELECT src_type, edge_type, dst_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM m UNION ALL SELECT * FROM o) GROUP BY ALL")
 add("ontology_top_k", lambda s, d: ontology.top_types(N(s, d)), "SELECT type, count(*) AS n FROM n GROUP BY type ORDER BY n DESC, type LIMIT 5")
-add("ontology_suggestions", lambda s, d: ontology.suggestions(N(s, d), P(s, d), E(s, d)), with_(PC, "t AS (SELECT count(*) AS total FROM n)", "names AS (SELECT DISTINCT edge_type AS x FROM e)") + f"SELECT 'type' AS about, type AS name, 'sparse' AS hint FROM (SELECT type, count(*) AS c FROM n GROUP BY 1), t WHERE c < greatest(3.0, 0.005 * total) UNION ALL SELECT 'property', type || '.' || prop, 'could be required' FROM pc WHERE {REQ} = 'typically_present' UNION ALL SELECT 'edge type', a.x || ' ~ ' || b.x, 'similar names' FROM names a, names b WHERE a.x <> b.x AND contains(b.x, a.x)")
 add("schema_graph", lambda s, d: ontology.schema_edges(E(s, d)), with_(REL) + "SELECT src_type, dst_type, edge_type, n, CASE WHEN row_number() OVER (PARTITION BY src_type, dst_type ORDER BY n DESC, edge_type) = 1 THEN 'direct' ELSE 'virtual' END AS kind FROM r")
 add("ontology_turtle", lambda s, d: ontology.turtle(N(s, d), E(s, d)), with_(REL) + "SELECT DISTINCT ':' || type || ' a owl:Class .' AS line FROM n UNION ALL SELECT ':' || edge_type || ' a owl:ObjectProperty ; rdfs:domain :' || src_type || ' ; rdfs:range :' || dst_type || ' .' FROM r")
 
@@ -296,12 +254,7 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 S_SQL = "WITH s AS (SELECT user_id AS asset, event_type AS sensor, ts AS t, value FROM events WHERE value IS NOT NULL), x AS (SELECT *, row_number() OVER (PARTITION BY asset, sensor ORDER BY t, value) - 1 AS i, count(*) OVER (PARTITION BY asset, sensor) AS n FROM s) "
-TREND = "CASE WHEN n < 3 OR a IS NULL OR a = 0 THEN 'stable' WHEN (b - a) / abs(a) * 100 >= 10 THEN 'strongly increasing' WHEN (b - a) / abs(a) * 100 <= -10 THEN 'strongly decreasing' WHEN (b - a) / abs(a) * 100 >= 2 THEN 'increasing' WHEN (b - a) / abs(a) * 100 <= -2 THEN 'decreasing' WHEN (b - a) / abs(a) * 100 >= 0.5 THEN 'slightly increasing' WHEN (b - a) / abs(a) * 100 <= -0.5 THEN 'slightly decreasing' ELSE 'stable' END"
 add("series_chunks", lambda s, d: series.chunks(_events(s, d), 4), S_SQL + "SELECT asset, sensor, CAST(floor(i / greatest(1, floor(n / 4))) AS BIGINT) AS chunk, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM x GROUP BY 1, 2, 3", False)
-add("series_stats", lambda s, d: series.statistics(_events(s, d)), S_SQL + "SELECT asset, sensor, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS low, max(value) AS high FROM s GROUP BY 1, 2", False)
-add("sensor_trend", lambda s, d: series.trends(_events(s, d)), S_SQL + f"SELECT asset, sensor, n, round(a, 6) AS first_mean, round(b, 6) AS last_mean, {TREND} AS trend FROM (SELECT asset, sensor, any_value(n) AS n, avg(value) FILTER (i < floor(n / 3)) AS a, avg(value) FILTER (i >= n - ceil(n / 3)) AS b FROM x GROUP BY 1, 2)", False)
-add("data_quality", lambda s, d: series.quality(_events(s, d)), S_SQL + ", g AS (SELECT sensor, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM s GROUP BY 1), q AS (SELECT sensor, count(*) AS n, count(*) FILTER (g.n > 3 AND abs(value - m) > 3 * sd) AS outliers, min(value) = max(value) AS constant FROM s JOIN g USING (sensor) GROUP BY 1) SELECT *, CAST(100 - 20 * (CASE WHEN outliers > 0 THEN 1 ELSE 0 END + CASE WHEN constant THEN 1 ELSE 0 END) AS INTEGER) AS score FROM q", False)
-add("temporal_level_choice", lambda s, d: series.level_counts(_events(s, d)), S_SQL + "SELECT level, count(DISTINCT b) AS buckets, round(count(*) / CAST(count(DISTINCT b) AS DOUBLE), 6) AS per_bucket FROM (SELECT level, date_trunc(level, CAST(t AS TIMESTAMP)) AS b FROM s, (SELECT unnest(['hour', 'day', 'week', 'month', 'quarter', 'year']) AS level)) GROUP BY 1", False)
 add("frequency_buckets", lambda s, d: series.per_second(_events(s, d)), S_SQL + "SELECT CAST(date_trunc('second', t) AS TIMESTAMP) AS second, count(*) AS n FROM s GROUP BY 1", False)
 add("sensor_lines", lambda s, d: series.lines(_events(s, d)), S_SQL + ", l AS (SELECT sensor, value, CAST(floor(epoch(t - min(t) OVER (PARTITION BY sensor))) AS DOUBLE) AS y FROM s) SELECT sensor, count(*) AS n, round(regr_slope(value, y), 9) AS slope, round(regr_intercept(value, y), 5) AS intercept FROM l GROUP BY 1", False)
 BOUNDS = [("click", 10.0, 90.0), ("view", 5.0, 60.0), ("purchase", 0.0, 50.0)]
@@ -312,13 +265,7 @@ def _bounds(s: SparkSession) -> DataFrame:
     return s.createDataFrame(BOUNDS, "sensor string, low double, high double")
 
 
-add("sensor_bounds", lambda s, d: series.bounds_check(_events(s, d), _bounds(s)).drop("t", "margin"), S_SQL + BOUNDS_SQL + "SELECT asset, sensor, value, status FROM bc", False)
 add("sensor_bounds_sequence", lambda s, d: series.bounds_summary(_events(s, d), _bounds(s)), S_SQL + BOUNDS_SQL + ", q AS (SELECT asset, sensor, count(*) AS n, count(*) FILTER (status <> 'within') AS violations FROM bc GROUP BY 1, 2) SELECT *, CASE WHEN violations = 0 THEN 'all_within' WHEN violations * 100 / CAST(n AS DOUBLE) < 10 THEN 'mostly_within' WHEN violations * 100 / CAST(n AS DOUBLE) < 50 THEN 'some_violations' ELSE 'many_violations' END AS verdict FROM q", False)
-CHAR = ", ch0 AS (SELECT asset, sensor, any_value(n) AS n, avg(value) AS m, stddev_pop(value) AS sd, regr_slope(value, i) AS slope FROM x WHERE n >= 3 GROUP BY 1, 2), ch AS (SELECT asset, sensor, n, CASE WHEN m <> 0 THEN sd / abs(m) ELSE 0.0 END AS cv, slope, CASE WHEN abs(slope) * n > 0.1 AND abs(slope) > 0.01 THEN 'degrading' WHEN CASE WHEN m <> 0 THEN sd / abs(m) ELSE 0.0 END > 0.1 THEN 'high_variance' ELSE 'stable' END AS label FROM ch0) "
-
-
-def _labels(s: SparkSession, d: str) -> DataFrame:
-    return series.characterize(_events(s, d), 3)
 
 
 def _rul(s: SparkSession, d: str) -> DataFrame:
@@ -327,12 +274,6 @@ def _rul(s: SparkSession, d: str) -> DataFrame:
 
 
 RUL_SQL = ", rl AS (SELECT DISTINCT user_id AS asset, CAST(user_id % 121 AS INTEGER) AS rul FROM events) "
-add("sensor_characterization", _labels, S_SQL + CHAR + "SELECT asset, sensor, n, round(cv, 6) AS cv, round(slope, 6) AS slope, label FROM ch", False)
-PRI = ", pr0 AS (SELECT asset, max(CASE label WHEN 'degrading' THEN 3 WHEN 'high_variance' THEN 2 ELSE 0 END) + max(CASE WHEN sensor = 'purchase' AND label <> 'stable' THEN 1 ELSE 0 END) AS sc FROM ch GROUP BY 1), pr AS (SELECT asset, rul, CAST(sc + CASE WHEN rul <= 10 THEN 4 WHEN rul <= 30 THEN 2 WHEN rul <= 50 THEN 1 ELSE 0 END AS INTEGER) AS score FROM pr0 JOIN rl USING (asset)), pp AS (SELECT *, CASE WHEN score >= 7 THEN 'immediate' WHEN score >= 4 THEN 'near_term' ELSE 'routine' END AS priority FROM pr) "
-add("risk_priority", lambda s, d: series.priorities(_labels(s, d), _rul(s, d), ["purchase"]), S_SQL + CHAR + RUL_SQL + PRI + "SELECT * FROM pp", False)
-add("fleet_summary", lambda s, d: series.priorities(_labels(s, d), _rul(s, d), ["purchase"]).groupBy("priority").agg(F.count("*").alias("assets"), F.min("rul").alias("least_rul")), S_SQL + CHAR + RUL_SQL + PRI + "SELECT priority, count(*) AS assets, min(rul) AS least_rul FROM pp GROUP BY 1", False)
-add("executive_metrics", lambda s, d: _rul(s, d).agg(F.count("*").alias("assets"), F.count_if(F.col("rul") <= 20).alias("critical"), F.count_if(F.col("rul") <= 50).alias("low")).withColumn("status", F.when(F.col("critical") > 0.15 * F.col("assets"), "critical").when(F.col("critical") > 0.05 * F.col("assets"), "warning").otherwise("normal")), "WITH z AS (SELECT 1)" + RUL_SQL + ", q AS (SELECT count(*) AS assets, count(*) FILTER (rul <= 20) AS critical, count(*) FILTER (rul <= 50) AS low FROM rl) SELECT *, CASE WHEN critical > 0.15 * assets THEN 'critical' WHEN critical > 0.05 * assets THEN 'warning' ELSE 'normal' END AS status FROM q", False)
-add("slope_rul_correlation", lambda s, d: series.slope_life_correlation(_labels(s, d), _rul(s, d)), S_SQL + CHAR + RUL_SQL + "SELECT sensor, count(*) AS assets, round(corr(round(slope, 6), rul), 5) AS r, CASE WHEN abs(corr(round(slope, 6), rul)) >= 0.4 THEN 'primary' WHEN abs(corr(round(slope, 6), rul)) >= 0.2 THEN 'secondary' ELSE 'noise' END AS kind FROM ch JOIN rl USING (asset) GROUP BY 1 HAVING count(*) >= 3", False)
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
@@ -340,7 +281,6 @@ def _items(s: SparkSession, d: str) -> DataFrame:
     return o.union(T(s, d, "events").select(F.concat(F.lit("event:"), F.col("event_id").cast("string")), F.lit("event"), "ts"))
 
 
-add("timeline", lambda s, d: series.timeline(_items(s, d)).drop("t"), "SELECT name, category, row_number() OVER (ORDER BY t, category, name) - 1 AS position FROM (SELECT 'order:' || o_orderkey AS name, 'object' AS category, o_orderdate AS t FROM orders UNION ALL SELECT 'event:' || event_id, 'event', ts FROM events)", False)
 
 
 def _spans(s: SparkSession, d: str) -> DataFrame:
@@ -460,7 +400,6 @@ add("measurement_ranges", lambda s, d: views.ranges(P(s, d)), with_("q AS (SELEC
 add("value_samples", lambda s, d: views.value_samples(P(s, d)), with_("q AS (SELECT type, prop, quantile_cont(d_val, [0.0, 0.25, 0.5, 0.75, 1.0]) AS v FROM p WHERE d_val IS NOT NULL GROUP BY 1, 2)") + "SELECT type, prop, CAST(i - 1 AS INTEGER) AS i, round(v[i], 4) AS value FROM (SELECT type, prop, v, unnest([1, 2, 3, 4, 5]) AS i FROM q)")
 add("parent_context", lambda s, d: views.parents(E(s, d, ("in_nation", "in_region")), ("in_nation", "in_region")), "SELECT src AS node_id, dst AS parent, 1 AS level FROM e WHERE edge_type = 'in_nation' UNION ALL SELECT x.src, y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.edge_type = 'in_nation' AND y.edge_type = 'in_region'")
 add("sorted_by_children", lambda s, d: views.ordered(N(s, d), E(s, d)), "SELECT type, node_id, children, row_number() OVER (PARTITION BY type ORDER BY children DESC, node_id) AS place FROM (SELECT dst AS node_id, count(*) AS children FROM e GROUP BY 1) JOIN n USING (node_id) QUALIFY place <= 10")
-add("lifespan_overlap", lambda s, d: views.overlaps(_spans(s, d)), SPANS + ", y AS (SELECT unnest(generate_series(created, destroyed)) AS year FROM sp) SELECT CAST(year AS INTEGER) AS year, count(*) AS alive, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM y GROUP BY 1", False)
 METHODS = [("file", "extension", "FileExtension"), ("token", "timestamp", "DateDetection"), ("file", "token", "Tokenize"), ("timestamp", "timeline", "Timeline"), ("timeline", "file", "Export")]
 add("process_paths", lambda s, d: views.method_paths(s.createDataFrame(METHODS, "src string, dst string, method string"), 3), "WITH RECURSIVE m(src, dst, method) AS (VALUES ('file', 'extension', 'FileExtension'), ('token', 'timestamp', 'DateDetection'), ('file', 'token', 'Tokenize'), ('timestamp', 'timeline', 'Timeline'), ('timeline', 'file', 'Export')), w AS (SELECT [src, dst] AS nodes, [method] AS methods FROM m UNION ALL SELECT list_append(nodes, dst), list_append(methods, method) FROM w JOIN m ON m.src = nodes[-1] WHERE NOT list_contains(nodes, dst) AND len(methods) < 3) SELECT array_to_string(nodes, '>') AS path, array_to_string(methods, '>') AS methods FROM w", False)
 add("method_catalog", lambda s, d: s.createDataFrame(METHODS, "src string, dst string, method string").groupBy(F.col("src").alias("class")).agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods")), "SELECT src AS class, string_agg(method, ',' ORDER BY method) AS methods FROM (VALUES ('file', 'FileExtension'), ('token', 'DateDetection'), ('file', 'Tokenize'), ('timestamp', 'Timeline'), ('timeline', 'Export')) v(src, method) GROUP BY 1", False)
