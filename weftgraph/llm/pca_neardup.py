@@ -26,6 +26,7 @@ import io
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import materialise, shared_dir, ship, store, write_bytes
 from .components import components
@@ -88,16 +89,14 @@ def write_tiles(vectors: DataFrame, turn: np.ndarray, folder: str, size: int = T
     """(rid, n, embedding) -> manifest (name, n, low, high); each task sees a range of the first axis."""
     import pyarrow as pa
 
-    spark, first = vectors.sparkSession, [float(x) for x in turn[:, 0]]
-    top = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    scaled = F.transform("embedding", lambda x: x.cast("double") / top)  # the length of these is at least one
-    place = F.aggregate(F.zip_with(scaled, F.array(*[F.lit(x) for x in first]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    shared = spark.sparkContext.broadcast(turn)
+    shared = vectors.sparkSession.sparkContext.broadcast(turn)
 
-    def run(batches):
-        from pyspark import TaskContext
+    def placed(batches):
+        for batch in batches:
+            parts = [unit(_stack(batch.column(2).slice(a, 4096))) @ shared.value[:, 0] for a in range(0, batch.num_rows, 4096)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names, "at"])
 
+    def run(batches):
         parts = []
         for batch in batches:
             parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _stack(batch.column(2))))
@@ -119,9 +118,9 @@ def write_tiles(vectors: DataFrame, turn: np.ndarray, folder: str, size: int = T
         yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([len(y)], pa.int64()), "low": [lead.min(0).tolist()], "high": [lead.max(0).tolist()]})
         return [(rid[size:], n[size:], x[size:])]
 
-    rows = vectors.withColumn("_at", place / length)
-    tasks = max(1, -(-rows.count() // size))
-    ranged = rows.repartitionByRange(min(tasks, 10_000), "_at").sortWithinPartitions("_at").select("rid", "n", "embedding")
+    rows = vectors.mapInArrow(placed, T.StructType([*vectors.schema, T.StructField("at", T.DoubleType())]))
+    tasks = max(1, -(-vectors.count() // size))
+    ranged = rows.repartitionByRange(min(tasks, 10_000), "at").sortWithinPartitions("at").select("rid", "n", "embedding")
     return materialise(ranged.mapInArrow(run, "name string, n bigint, low array<double>, high array<double>"), "tiles")
 
 
