@@ -1,12 +1,14 @@
 """Small fixtures whose results are known by hand."""
 
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import enrich, graph, ontology, propagation, search, series
+from weftgraph.operators import enrich, graph, matching, ontology, propagation, search, series
 from weftgraph.sources import ingest
 
 
@@ -82,21 +84,107 @@ def test_matrix_propagation(spark, pairs, sources, want):
     assert got == pytest.approx(want, abs=1e-3)
 
 
-def test_mixture_weights_add_up(spark):
-    p = spark.createDataFrame([(f"s{i}", "s", "t", "", float(i)) for i in range(8)], "node_id string, type string, prop string, s_val string, d_val double")
-    src = propagation.sources(p, ["s"], "t")
-    got = propagation.mixtures(propagation.hops(src, edges(spark, [(f"s{i}", "x") for i in range(8)]), 1, 0.7), src).collect()
-    assert 1 < len(got) <= 5 and sum(r.weight for r in got) == pytest.approx(1, abs=1e-3)
+def _sources(spark, values):
+    p = spark.createDataFrame([(k, "s", "t", "", float(v)) for k, v in values.items()], "node_id string, type string, prop string, s_val string, d_val double")
+    return propagation.sources(p, ["s"], "t")
+
+
+def test_mixtures_fold_as_by_hand(spark):
+    src = _sources(spark, {f"s{i}": v for i, v in enumerate((0, 1, 10, 30, 50, 70, 90, 100))})
+    x = {r.node_id: round(r.x, 4) for r in src.collect()}
+    e = [(f"s{i}", "x") for i in range(8)] + [("s7", "y"), ("s7", "m"), ("m", "x")]
+    got = propagation.mixtures(propagation.hops(src, edges(spark, e), 2, 0.7), src, most=4).filter("node_id = 'x'").first().c
+    parts = []
+    for m, d, w in sorted([(x[f"s{i}"], 1, 0.7) for i in range(8)] + [(x["s7"], 2, 0.49)]):
+        s = 0.025 + 0.015 * d
+        near = next((p for p in parts if abs(p[0] - m) < 0.05), None)
+        if near:
+            t = near[1] + w
+            mean = (near[1] * near[0] + w * m) / t
+            near[2] = math.sqrt((near[1] * (near[2] ** 2 + (near[0] - mean) ** 2) + w * (s**2 + (m - mean) ** 2)) / t)
+            near[0], near[1] = mean, t
+        elif len(parts) < 4:
+            parts.append([m, w, s])
+        else:
+            least = min(range(4), key=lambda i: parts[i][1])
+            if parts[least][1] < w:
+                parts[least] = [m, w, s]
+    total = sum(p[1] for p in parts)
+    assert [tuple(c) for c in got] == [pytest.approx((m, w / total, s)) for m, w, s in parts]
+
+
+def test_signals_add_up_sources_of_a_value(spark):
+    src = _sources(spark, {"a": 1, "b": 1, "c": 2})
+    got = {(r.node_id, r.distance): r.influence for r in propagation.signals(src, edges(spark, [("a", "x"), ("b", "x"), ("x", "y"), ("c", "y")]), 2, 0.5).collect()}
+    assert got == {("x", 1): 1.0, ("y", 2): 0.5, ("y", 1): 0.5}
+
+
+def test_belief_against_matrices(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("e", "c"), ("d", "b")]
+    src = _sources(spark, {"a": 1, "e": 3})
+    got = {(r.source, r.node_id): r.influence for r in propagation.belief_influences(src, edges(spark, pairs)).collect()}
+    ids = "abcde"
+    m = np.zeros((5, 5))
+    for u, v in pairs:
+        m[ids.index(u), ids.index(v)] = 1
+    x = np.zeros((5, 2))
+    x[0, 0] = x[4, 1] = 1
+    for _ in range(15):
+        old = x.copy()
+        x = 0.1 * x + 0.9 * 0.85 * m.T @ x
+        x[0], x[4] = (1, 0), (0, 1)
+        if abs(x - old).max() < 1e-3:
+            break
+    assert got == {("ae"[j], ids[i]): pytest.approx(x[i, j]) for i in range(5) for j in range(2) if x[i, j] > 0}
+
+
+@pytest.mark.parametrize("heat", [False, True])
+def test_spectral_against_matrices(spark, heat):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "e"), ("e", "f")]
+    src = _sources(spark, {"a": 1, "f": 3})
+    n = spark.createDataFrame([(x,) for x in "abcdef"], "node_id string")
+    got = {(r.source, r.node_id, r.distance): r.influence for r in propagation.spectral_influences(n, edges(spark, pairs), src, 2, 0.9, 4, heat=heat).collect()}
+    m = np.zeros((6, 6))
+    for u, v in pairs:
+        m["abcdef".index(u), "abcdef".index(v)] = m["abcdef".index(v), "abcdef".index(u)] = 1
+    values, vectors = np.linalg.eigh(np.diag(m.sum(1)) - m + 1e-8 * np.eye(6))
+    values, vectors, want = values[:4], vectors[:, :4], {}
+    for s in "af":
+        for d in (1, 2):
+            f = np.exp(-values * d * 0.0008) * np.exp(-0.5 * (values / values.max()) ** 2) if heat else 0.8 * np.exp(-0.5 * ((values - values.max() * 0.05 * d) / (values.max() * 0.15)) ** 2) + 0.2
+            y = vectors["abcdef".index(s)] * f
+            x = vectors @ (y / np.linalg.norm(y) * 0.9**d)
+            x = abs(x) if heat else np.maximum(x, 0)
+            for i, t in enumerate("abcdef"):
+                if t not in "af" and x[i] > (0.01 if heat else 0.001):
+                    w = x[i] * (0.5 if heat else 1)
+                    want[s, t, d] = pytest.approx(w * 1.3 if w < 0.012 else w, rel=1e-6)
+    assert got == want
+
 
+def test_dense_graphs_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(propagation, "MOST_DENSE", 2)
+    with pytest.raises(ValueError, match="dense"):
+        propagation.spectral_influences(spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string"), edges(spark, []), _sources(spark, {"a": 1}))
 
-def test_belief_holds_sources(spark):
-    got = {r.node_id: r.x for r in propagation.belief(spark.createDataFrame([("a",)], "node_id string"), edges(spark, [("a", "b"), ("b", "c")])).collect()}
-    assert got["a"] == 1 and 0 < got["c"] < got["b"] < 1
+
+@pytest.mark.parametrize(
+    ("n", "pairs", "density", "depth", "decay"),
+    [(10, 9, 0.1, 3, 0.718873), (8, 7, 0.125, 2, 0.7), (6, 4, 0.1333, 2, 0.7), (19, 18, 0.0526, 3, 0.718873), (6, 5, 0.1667, 2, 0.7)],
+)
+def test_tuning_of_known_shapes(n, pairs, density, depth, decay):
+    """Depth and decay of five shapes worked out from the formulas."""
+    got = propagation.tuned(n, pairs, 0.0, 2 if (n, pairs) == (6, 4) else 1, 3 if (n, pairs) == (6, 4) else n)
+    assert (round(got["density"], 4), got["depth"], round(got["decay"], 6)) == (density, depth, decay)
 
 
-def test_spectral_prefers_near_nodes():
-    got = propagation.spectral(list("abcde"), list(zip("abcd", "bcde")), ["a"], k=5)
-    assert got["a"] == 0 and got["b"] >= got["e"]
+@pytest.mark.parametrize("method", propagation.METHODS)
+def test_propagation_by_each_method(spark, method):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d")]
+    n, p = spark.createDataFrame([(x,) for x in "abcdz"], "node_id string"), spark.createDataFrame([("a", "s", "t", "5", 5.0), ("d", "s", "t", "9", 9.0)], "node_id string, type string, prop string, s_val string, d_val double")
+    got = {r.node_id: r for r in propagation.propagate(n, edges(spark, pairs), p, ["s"], "t", method).collect()}
+    assert got["a"].kind == got["d"].kind == "source" and got["b"].kind == "inferred" and got["z"].kind == "isolated"
+    assert sum(c.w for c in got["b"].c) == pytest.approx(1) and got["a"].x <= got["b"].x <= got["d"].x
 
 
 def test_paths(spark):
@@ -141,20 +229,40 @@ def test_grids(spark):
 
 
 def test_trend_labels(spark):
-    up = [(1, "s", t, 100.0 + 10 * t) for t in range(9)] + [(2, "s", t, 5.0) for t in range(9)] + [(3, "s", 0, 1.0)]
+    up = [(1, "s", t, 100.0 + 10 * t) for t in range(9)] + [(2, "s", t, 5.0) for t in range(9)] + [(3, "s", 0, 1.0)] + [(4, "s", 0, 100.0), (4, "s", 1, 98.5)] + [(5, "s", t, v) for t, v in enumerate((100.0, 0.0, 0.0, 110.0))] + [(6, "s", 0, -10.0), (6, "s", 1, -9.0)] + [(7, "s", 0, 0.0), (7, "s", 1, 9.0)]
     got = {r.asset: r.trend for r in series.trends(spark.createDataFrame(up, "asset int, sensor string, t int, value double")).collect()}
-    assert got == {1: "strongly increasing", 2: "stable", 3: "stable"}
+    # of four values, the first one against the last two; a change of exactly ten percent isn't strong
+    assert got == {1: "increasing_strong", 2: "stable", 3: "stable", 4: "decreasing_slight", 5: "decreasing_strong", 6: "decreasing_moderate", 7: "stable"}
 
 
 def test_statuses(spark):
-    d = spark.createDataFrame([(1, True, None, None, None, None), (2, None, True, None, None, None), (3, None, None, None, "warn", None), (4, None, None, None, None, "an Error"), (5, None, None, None, None, None)], "id int, is_valid boolean, has_error boolean, has_warning boolean, status string, text string")
-    assert [r.resolved for r in search.status(d).orderBy("id").collect()] == ["PASSED", "FAILED", "WARNING", "FAILED", "INFORMATIONAL"]
+    d = spark.createDataFrame(
+        [(1, True, None, None, None, None), (2, None, True, None, None, None), (3, None, None, None, "warn", None), (4, None, False, None, None, "an Error"), (5, None, None, None, None, "an error"), (6, None, False, None, "odd", None), (7, False, True, None, "pass", None), (8, None, None, False, None, "fine")],
+        "id int, is_valid boolean, has_error boolean, has_warning boolean, status string, description string",
+    )
+    got = search.status(d).orderBy("id").collect()
+    assert [r.resolved for r in got] == ["PASSED", "FAILED", "WARNING", "FAILED", "INFORMATIONAL", "WARNING", "FAILED", "WARNING"]
+    assert [r.id for r in got if r.warns] == [2, 3, 4, 6, 7, 8]
+    assert search.status(d.select("id")).filter("resolved = 'INFORMATIONAL' AND NOT warns").count() == 8
+
+
+def test_stems():
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "rational": "ration", "digitizer": "digit", "operator": "oper", "hopefulness": "hope", "triplicate": "triplic", "electrical": "electr", "goodness": "good", "revival": "reviv", "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "sky": "sky"}
+    assert {w: matching.stem(w) for w in want} == want
+
+
+def test_names_by_the_first_rule_that_fits():
+    assert matching.name_score("Part_1", "part") == (1.0, "exact")
+    assert matching.name_score("Connections", "connected") == (0.9, "stem")
+    assert matching.name_score("SensorReadingValue", "ValueOfSensorReading")[1] == "token_overlap"
+    assert matching.name_score("locatin", "location")[1] == "fuzzy_name" and matching.name_score("abc", "xyz") == (0.0, None)
 
 
-def test_fuzzy_names(spark):
-    n = spark.createDataFrame([("a", "total_price"), ("b", "TotalPrices"), ("b", "other")], "side string, name string")
-    got = search.matches(n).collect()
-    assert [(r.x, r.y) for r in got] == [("total_price", "TotalPrices")] and got[0].score == 0.9
+def test_pairs_of_many_classes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MOST_PAIRS", 3)
+    c = {"classes": spark.createDataFrame([("a",), ("b",)], "class string")}
+    with pytest.raises(ValueError, match="pairs"):
+        matching.matches(c, c)
 
 
 def test_components_and_cycles_of_long_paths(spark):

@@ -7,14 +7,21 @@ graph's size; mixtures are folded per node with bounded lists.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 PAD = 0.1
 LOW, HIGH = 0.001, 0.999
 CUT = 0.01
 KEEP = 0.05
+METHODS = ("matrix", "belief", "spectral", "heat")
+#: Nodes that all others are compared with at most, and nodes whose Laplacian is decomposed at most.
+MOST_QUERIES = 2_000
+MOST_DENSE = 4_000
 
 
 def sources(props: DataFrame, types: list[str], prop: str) -> DataFrame:
@@ -27,15 +34,38 @@ def sources(props: DataFrame, types: list[str], prop: str) -> DataFrame:
     return s.join(F.broadcast(r)).select("node_id", "value", F.round(x, 9).alias("x"))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight) in both directions; the weight is 1 where there is none."""
+    e = weighted(edges)
+    return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).distinct()
+
+
+def weighted(edges: DataFrame) -> DataFrame:
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    return edges.select("src", "dst", weight.alias("weight"))
+
+
 def hops(src: DataFrame, edges: DataFrame, depth: int, decay: float, cut: float = CUT) -> DataFrame:
-    """(source, node_id, distance, influence): along directed edges, not through other sources. Influence of parallel ways
-    of one length adds up. Sources that share a value needn't be told apart: use `signals` then."""
+    """(source, node_id, distance, influence): along the edges, not through other sources. Influence of parallel ways of one
+    length adds up; what is below `cut` goes on and isn't returned. There is a row for each source and node that it reaches:
+    where many sources reach the same nodes, `signals` has one for each value."""
     now = src.select(F.col("node_id").alias("source"), "node_id", F.lit(1.0).alias("influence"))
-    stop, found = src.select(F.col("node_id").alias("_s")), None
+    return _walked(now, ["source"], src, edges, depth, decay, cut)
+
+
+def signals(src: DataFrame, edges: DataFrame, depth: int, decay: float, digits: int = 3) -> DataFrame:
+    """(x, node_id, distance, influence) of all sources of one value together, values rounded to `digits` digits: at most
+    10 ** digits rows for each node and distance, however many sources there are. Nothing is cut."""
+    now = src.groupBy(F.round("x", digits).alias("x"), "node_id").agg(F.lit(1.0).alias("influence"))
+    return _walked(now, ["x"], src, edges, depth, decay, 0.0)
+
+
+def _walked(now: DataFrame, key: list[str], src: DataFrame, edges: DataFrame, depth: int, decay: float, cut: float) -> DataFrame:
+    e, stop, found = weighted(edges), src.select(F.col("node_id").alias("_s")).distinct(), None
     for d in range(1, depth + 1):
-        step = now.join(edges.select("src", "dst"), F.col("node_id") == F.col("src")).groupBy("source", F.col("dst").alias("node_id")).agg((F.sum("influence") * decay).alias("influence"))
+        step = now.join(e, F.col("node_id") == F.col("src")).groupBy(*key, F.col("dst").alias("node_id")).agg((F.sum(F.col("influence") * F.col("weight")) * decay).alias("influence"))
         now = step.join(stop, F.col("node_id") == F.col("_s"), "left_anti")
-        kept = now.filter(F.col("influence") > cut).select("source", "node_id", F.lit(d).alias("distance"), "influence")
+        kept = now.filter(F.col("influence") > cut).select(*key, "node_id", F.lit(d).alias("distance"), "influence")
         found = kept if found is None else found.union(kept)
     return found
 
@@ -47,98 +77,316 @@ def means(reached: DataFrame, src: DataFrame) -> DataFrame:
     return g.select("node_id", "n", F.round("w", 6).alias("evidence"), F.round(F.col("wv") / F.col("w"), 4).alias("mean"))
 
 
-def mixtures(reached: DataFrame, src: DataFrame, most: int = 5, near: float = 0.05) -> DataFrame:
-    """hops() -> components (weight, mean, std) per node, folded in order of mean: close ones merge with matched moments,
-    the heaviest `most` stay, weights add up to one. The fold is an aggregate over a node's own list."""
+KIND = "array<struct<m:double,w:double,s:double>>"
+
+
+def folded(records: Column, most: int, near: Column | float, shift: bool) -> Column:
+    """The components of records (array of structs m, w, s and, for `near` by distance, d), taken in order: each joins the
+    first component whose mean is nearer than `near`, else is one more; beyond `most` it replaces the lightest if it is
+    heavier. With shift, joining counts the distance of the means into the variance."""
+
+    def add(acc: Column, r: Column) -> Column:
+        limit = near(r) if callable(near) else F.lit(near)
+        at = F.array_position(F.transform(acc, lambda c: F.abs(c["m"] - r["m"]) < limit), F.lit(True))
+
+        def joined(c: Column) -> Column:
+            w = c["w"] + r["w"]
+            m = (c["w"] * c["m"] + r["w"] * r["m"]) / w
+            var = (c["w"] * (F.pow(c["s"], 2) + (F.pow(c["m"] - m, 2) if shift else 0)) + r["w"] * (F.pow(r["s"], 2) + (F.pow(r["m"] - m, 2) if shift else 0))) / w
+            return F.struct(m.alias("m"), w.alias("w"), F.sqrt(var).alias("s"))
+
+        new = F.struct(r["m"].alias("m"), r["w"].alias("w"), r["s"].alias("s"))
+        least = F.array_min(F.transform(acc, lambda c: c["w"]))
+        lightest = F.array_position(F.transform(acc, lambda c: c["w"]), least)
+        merged = F.transform(acc, lambda c, i: F.when(i + 1 == at, joined(c)).otherwise(c))
+        replaced = F.transform(acc, lambda c, i: F.when(i + 1 == lightest, new).otherwise(c))
+        return F.when(at > 0, merged).when(F.size(acc) < most, F.concat(acc, F.array(new))).when(least < r["w"], replaced).otherwise(acc).cast(KIND)
+
+    return F.aggregate(records, F.array().cast(KIND), add)
+
+
+def normalised(components: Column) -> Column:
+    """Components with weights that add up to one."""
+    total = F.aggregate(components, F.lit(0.0), lambda s, c: s + c["w"])
+    return F.transform(components, lambda c: F.struct(c["m"].alias("m"), (c["w"] / total).alias("w"), c["s"].alias("s")))
+
+
+def mixtures(reached: DataFrame, src: DataFrame, most: int = 5, near: float = 0.05, digits: int = 4) -> DataFrame:
+    """hops() -> (node_id, c): the components (m, w, s) of each node that a signal reaches, folded in order of mean and
+    distance, weights adding up to one. Contributions of one distance whose means are equal in `digits` digits are one, which
+    bounds a node's list by the values' resolution and not by the sources."""
     x = reached.join(src.select(F.col("node_id").alias("source"), "x"), "source")
-    # contributions of equal mean and distance are one, which bounds a node's list by the values' resolution
-    one = x.groupBy("node_id", F.round("x", 3).alias("m"), "distance").agg(F.sum("influence").alias("w"))
-    listed = one.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct(F.col("m"), F.col("w"), (0.025 + 0.015 * F.col("distance")).alias("s")))).alias("c"))
-    kind = "array<struct<m:double,w:double,s:double>>"
+    one = x.groupBy("node_id", F.round("x", digits).alias("m"), "distance").agg(F.sum("influence").alias("w"))
+    listed = one.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("m", F.col("distance").alias("d"), "w", (0.025 + 0.015 * F.col("distance")).alias("s")))).alias("r"))
+    return listed.select("node_id", normalised(folded(F.col("r"), most, near, True)).alias("c"))
+
+
+def assembled(nodes: DataFrame, src: DataFrame, inferred: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(node_id, kind, x, evidence, c) for every node: a source has its own value, an inferred one its mixture and the mean of
+    that, an isolated one nothing. evidence(node_id, evidence) is that of inferred nodes, 1 by default."""
+    own = src.select("node_id", F.lit("source").alias("kind"), F.lit(1.0).alias("evidence"), F.array(F.struct(F.col("x").alias("m"), F.lit(1.0).alias("w"), F.lit(0.02).alias("s"))).cast(KIND).alias("c"))
+    e = inferred.join(evidence, "node_id", "left") if evidence is not None else inferred.withColumn("evidence", F.lit(1.0))
+    found = own.union(e.select("node_id", F.lit("inferred"), "evidence", F.col("c").cast(KIND)))
+    j = nodes.select("node_id").join(found, "node_id", "left")
+    x = F.aggregate("c", F.lit(0.0), lambda s, c: s + c["w"] * c["m"])
+    return j.select("node_id", F.coalesce("kind", F.lit("isolated")).alias("kind"), x.alias("x"), F.coalesce("evidence", F.lit(0.0)).alias("evidence"), F.coalesce("c", F.array().cast(KIND)).alias("c"))
+
+
+def value_range(src: DataFrame) -> DataFrame:
+    """One row (low, high): the sources' range, padded by a tenth on each side."""
+    g = src.agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return g.select((F.col("a") - PAD * (F.col("b") - F.col("a"))).alias("low"), (F.col("b") + PAD * (F.col("b") - F.col("a"))).alias("high"))
+
+
+def values_of(mixed: DataFrame, src: DataFrame) -> DataFrame:
+    """assembled() -> (node_id, kind, value) in the property's own unit; null where nothing reaches."""
+    r = F.broadcast(value_range(src))  # one row
+    return mixed.crossJoin(r).select("node_id", "kind", (F.col("x") * (F.col("high") - F.col("low")) + F.col("low")).alias("value"))
+
 
-    def fold(acc: Column, c: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        w = last["w"] + c["w"]
-        m = (last["m"] * last["w"] + c["m"] * c["w"]) / w
-        var = (last["w"] * (last["s"] ** 2 + (last["m"] - m) ** 2) + c["w"] * (c["s"] ** 2 + (c["m"] - m) ** 2)) / w
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(m.alias("m"), w.alias("w"), F.sqrt(var).alias("s"))))
-        return F.when((F.size(acc) > 0) & (F.abs(c["m"] - last["m"]) < near), joined).otherwise(F.concat(acc, F.array(c)))
+def components_of(mixed: DataFrame) -> DataFrame:
+    """assembled() -> a row per component."""
+    return mixed.select("node_id", "kind", F.posexplode("c").alias("place", "x")).select("node_id", "kind", "place", F.round("x.w", 5).alias("weight"), F.round("x.m", 5).alias("mean"), F.round("x.s", 5).alias("std"))
 
-    folded = listed.select("node_id", F.aggregate("c", F.array().cast(kind), lambda a, c: fold(a, c).cast(kind)).alias("c"))
-    heavy = F.slice(F.reverse(F.array_sort(F.transform("c", lambda x: F.struct(x["w"].alias("w"), x["m"].alias("m"), x["s"].alias("s"))))), 1, most)
-    total = F.aggregate("h", F.lit(0.0), lambda s, x: s + x["w"])
-    cut = folded.select("node_id", heavy.alias("h")).withColumn("total", total)
-    return cut.select("node_id", F.posexplode("h").alias("rank", "x"), "total").select("node_id", "rank", F.round(F.col("x.w") / F.col("total"), 5).alias("weight"), F.round("x.m", 5).alias("mean"), F.round("x.s", 5).alias("std"))
 
+def in_range(mixed: DataFrame, src: DataFrame, low: float, high: float) -> DataFrame:
+    """assembled() -> nodes whose value can lie in the range: a source's value does, or some component of an inferred one
+    within two deviations. The range is in the property's unit."""
+    r = F.broadcast(value_range(src))
+    x = mixed.crossJoin(r).join(src.select(F.col("node_id").alias("_id"), F.col("value").alias("_v")), F.col("node_id") == F.col("_id"), "left")
+    unit = lambda v: v * (F.col("high") - F.col("low")) + F.col("low")
+    met = F.exists("c", lambda c: (unit(c["m"] + 2 * c["s"]) >= low) & (unit(c["m"] - 2 * c["s"]) <= high))
+    keep = F.when(F.col("kind") == "source", F.col("_v").between(low, high)).when(F.col("kind") == "inferred", met).otherwise(False)
+    return x.filter(keep).select("node_id", "kind")
 
-def in_range(values: DataFrame, low: float, high: float, sd: float = 0.0) -> DataFrame:
-    """values(node_id, mean) whose mean, give or take two deviations, meets the range."""
-    return values.filter((F.col("mean") + 2 * sd >= low) & (F.col("mean") - 2 * sd <= high))
 
+def probability(mixed: DataFrame, src: DataFrame, value: float) -> DataFrame:
+    """assembled() -> how well the value goes with each node: 1 less ten times its distance from a source's; the density of an
+    inferred node's mixture against that at its means; .05 for an isolated one."""
+    r = F.broadcast(value_range(src))
+    v = F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.when(F.col("high") == F.col("low"), 0.5).otherwise((F.lit(value) - F.col("low")) / (F.col("high") - F.col("low")))))
+    x = mixed.crossJoin(r).withColumn("v", v)
+    peak = lambda c: c["w"] / (c["s"] * math.sqrt(2 * math.pi))
+    density = F.aggregate("c", F.lit(0.0), lambda s, c: s + peak(c) * F.exp(-0.5 * F.pow((F.col("v") - c["m"]) / c["s"], 2)))
+    most = F.aggregate("c", F.lit(0.0), lambda s, c: s + peak(c))
+    p = F.when(F.col("kind") == "source", F.greatest(F.lit(0.0), 1 - 10 * F.abs(F.col("v") - F.element_at("c", 1)["m"]))).when(F.col("kind") == "inferred", F.least(F.lit(1.0), density / most)).otherwise(0.05)
+    return x.select("node_id", "kind", p.alias("probability"))
 
-def similarity(a: Column, b: Column) -> Column:
-    """Of two sources between 0 and 1."""
-    return F.greatest(F.lit(0.0), 1 - 2 * F.abs(a - b))
 
+def similarity(a: Column, b: Column, kind_a: Column, kind_b: Column) -> Column:
+    """Of two mixtures: of two sources by their values; else the greatest overlap of two components, weighted by both."""
+    x, y = F.element_at(a, 1), F.element_at(b, 1)
 
-def probability(x: Column, value: float) -> Column:
-    return F.greatest(F.lit(0.0), 1 - 10 * F.abs(x - value))
+    def overlap(p: Column, q: Column) -> Column:
+        return F.greatest(F.lit(0.0), 1 - F.abs(p["m"] - q["m"]) / (p["s"] + q["s"])) * p["w"] * q["w"]
 
+    best = F.array_max(F.transform(a, lambda p: F.array_max(F.transform(b, lambda q: overlap(p, q)))))
+    either = (kind_a == "isolated") | (kind_b == "isolated")
+    return F.when(either, 0.0).when((kind_a == "source") & (kind_b == "source"), F.greatest(F.lit(0.0), 1 - 2 * F.abs(x["m"] - y["m"]))).otherwise(best)
 
-def influence_score(values: DataFrame) -> DataFrame:
-    """values(node_id, n, evidence, spread) -> 10 a component, 5 of evidence, 20 of spread, 15 for being inferred."""
-    return values.select("node_id", F.round(10 * F.col("n") + 5 * F.col("evidence") + 20 * F.col("spread") + 15, 4).alias("score"))
 
+def similarities(mixed: DataFrame, some: DataFrame) -> DataFrame:
+    """(a, b, similarity) of every node with each of some(node_id), a stated set of queries: at most MOST_QUERIES, which is
+    checked, as they are broadcast."""
+    n = some.count()
+    if n > MOST_QUERIES:
+        raise ValueError(f"{n} nodes to compare all others with, of {MOST_QUERIES} at most")
+    b = F.broadcast(mixed.join(some.select("node_id"), "node_id", "left_semi").select(F.col("node_id").alias("b"), F.col("kind").alias("kb"), F.col("c").alias("cb")))
+    a = mixed.select(F.col("node_id").alias("a"), F.col("kind").alias("ka"), F.col("c").alias("ca"))
+    return a.crossJoin(b).select("a", "b", similarity(F.col("ca"), F.col("cb"), F.col("ka"), F.col("kb")).alias("similarity"))
 
-def polar_layout(values: DataFrame) -> DataFrame:
-    """values(node_id, x) -> a place on a ring per tenth of x, the angle by a hash of the id."""
-    ring = F.floor(F.col("x") * 10)
-    angle = F.crc32(F.col("node_id").cast("binary")) % 360
-    return values.select("node_id", ring.cast("int").alias("ring"), angle.cast("int").alias("degrees"))
 
+def influence_score(mixed: DataFrame) -> DataFrame:
+    """assembled() -> 10 a component, 5 of evidence, 20 of the spread of means, 15 for being inferred."""
+    spread = F.when(F.size("c") > 1, F.array_max(F.transform("c", lambda c: c["m"])) - F.array_min(F.transform("c", lambda c: c["m"]))).otherwise(0.0)
+    return mixed.select("node_id", "kind", (10 * F.size("c") + 5 * F.col("evidence") + 20 * spread + F.when(F.col("kind") == "inferred", 15).otherwise(0)).alias("score"))
 
-def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: density and the depth and decay that go with it."""
-    g = nodes.agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("e")))
-    d = F.col("e") / (F.col("n") * (F.col("n") - 1))
-    return g.select("n", "e", F.round(d, 9).alias("density"), F.when(d > 0.3, 2).when(d > 0.1, 3).when(d > 0.01, 4).otherwise(5).alias("depth"), F.when(d > 0.3, 0.7).when(d > 0.1, 0.8).otherwise(0.9).alias("decay"))
 
+def polar_layout(compared: DataFrame, values: DataFrame, base: float = 100.0) -> DataFrame:
+    """similarities() and values_of() -> (node_id, x, y, radius, angle, centrality): the farther out the less similar a node is
+    to the others on average, at the angle of its value among all; nodes without a value by a hash of their id."""
+    centre = compared.groupBy(F.col("a").alias("node_id")).agg(F.avg("similarity").alias("centrality"))
+    r = F.broadcast(values.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    at = F.when(F.col("hi") == F.col("lo"), 0.5).otherwise((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    loose = (F.crc32(F.col("node_id").cast("binary")) % 3600) / 3600.0
+    x = centre.join(values, "node_id").crossJoin(r).withColumn("radius", base * (1 - F.col("centrality")) * 2).withColumn("angle", F.coalesce(at, loose) * 2 * math.pi)
+    return x.select("node_id", (F.col("radius") * F.cos("angle")).alias("x"), (F.col("radius") * F.sin("angle")).alias("y"), "radius", "angle", "centrality")
 
-def belief(src: DataFrame, edges: DataFrame, damping: float = 0.1, gain: float = 0.85, rounds: int = 15, least: float = 1e-3) -> DataFrame:
-    """(node_id, x): x <- damping * x + (1 - damping) * gain * (sum over incoming edges), sources held at 1, until no value
-    moves by `least`."""
+
+def grid_layout(nodes: DataFrame, spacing: float = 50.0) -> DataFrame:
+    """(node_id, row, column, x, y): nodes in order of id on a square grid. For what is shown at once: the window is over all."""
+    n = F.broadcast(nodes.agg(F.ceil(F.sqrt(F.count("*"))).cast("long").alias("side")))
+    k = nodes.select("node_id").withColumn("k", F.row_number().over(W.orderBy("node_id")) - 1).crossJoin(n)
+    row, column = F.floor(F.col("k") / F.col("side")), F.col("k") % F.col("side")
+    return k.select("node_id", row.alias("row"), column.alias("column"), (column * spacing).alias("x"), (row * spacing).alias("y"))
+
+
+def page(mixed: DataFrame, number: int, size: int = 1000) -> DataFrame:
+    """The results number * size to (number + 1) * size in order of id."""
+    return mixed.orderBy("node_id").offset(number * size).limit(size)
+
+
+def density_curve(mixed: DataFrame, node_id: str, src: DataFrame, steps: int = 300) -> DataFrame:
+    """(x, component, density) of one node's mixture over the padded range in the property's unit; component -1 is the sum."""
+    r = F.broadcast(value_range(src))
+    one = mixed.filter(F.col("node_id") == node_id).crossJoin(r).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    span = F.col("high") - F.col("low")
+    x = F.col("low") + span * F.col("i") / (steps - 1)
+    each = one.select(x.alias("x"), span.alias("span"), F.col("low").alias("low"), F.posexplode("c").alias("component", "p"))
+    mean, sd = F.col("p.m") * F.col("span") + F.col("low"), F.col("p.s") * F.col("span")
+    d = F.col("p.w") * F.exp(-0.5 * F.pow((F.col("x") - mean) / sd, 2)) / (sd * math.sqrt(2 * math.pi))
+    parts = each.select("x", "component", d.alias("density"))
+    return parts.union(parts.groupBy("x").agg(F.lit(-1).alias("component"), F.sum("density").alias("density")).select("x", "component", "density"))
+
+
+def top_values(values: DataFrame, k: int = 20) -> DataFrame:
+    """The k greatest values that were inferred, ties by id."""
+    return values.filter("kind = 'inferred'").orderBy(F.desc("value"), "node_id").limit(k)
+
+
+def tuned(n: int, edges: int, clustering: float, components: int, largest: int) -> dict[str, float]:
+    """What the shape of a graph says for the parameters: density in three bands gives an estimated diameter and path length,
+    and these the rounds, damping, decay, depth, components, merging, boost, least weight and eigenvectors."""
+    density = edges / (n * (n - 1)) if n > 1 else 0.0
+    within = lambda x, a, b: min(max(x, a), b)
+    if density > 0.1:
+        diameter, share = max(2, int(math.log2(largest))), 0.6
+    elif density > 0.01:
+        diameter, share = max(3, int(math.log(largest))), 0.7
+    else:
+        diameter, share = max(4, int(math.sqrt(largest))), 0.8
+    path, connected = diameter * share, largest / n
+    band = 0 if density < 0.01 else 1 if density < 0.05 else 2
+    rounds = int(within(int(path * 1.5) * (1.4, 1.2, max(0.6, 1 - density))[band], 3, 10))
+    most = int(within((4 if band < 2 else 3) + 3 * ((1 - clustering) * density + components / n), 2, 6))
+    near = within((0.06, 0.08 + clustering * connected * 0.03, 0.10 + clustering * connected * 0.04)[band], 0.05, 0.15)
+    least = 0.005 if band == 0 else 0.01 * min(1.0, 100.0 / n) * max(0.5, density)
+    eigen = int(within(int(n * 0.5) if n < 50 else max(8, int(path * 2)) if n < 200 else max(6, int(diameter * 1.2)), 5, 20))
+    if n > 2000:
+        rounds, most, eigen = int(rounds * 0.8), int(most * 0.8), min(eigen, 10)
+    if connected < 0.8:
+        most, near = min(most + 1, 6), max(near * 0.9, 0.05)
+    return {
+        "density": density, "rounds": rounds, "damping": within((0.2, max(0.3, clustering * density), max(0.4, clustering * density))[band], 0.1, 0.8),
+        "decay": within((0.6 if band < 2 else 0.5) ** (1 / path), 0.7, 0.95), "depth": int(within(min(diameter + 1, int(path * 1.5)), 2, 5)), "components": most, "merge": near,
+        "boost": within((2.0, 1.5 + (1 - density * 10), 1.2 + (1 - density) * 0.5)[band], 1.1, 2.5), "least_weight": within(least, 0.002, 0.05), "eigenvectors": eigen,
+    }
+
+
+def shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (n, edges, clustering, components, largest): clustering is the mean over all nodes of the share of pairs of
+    neighbours that are neighbours; triangles run from the end of lower degree."""
+    from .graph import triangles, weak_labels
+
+    e = edges.select("src", "dst").filter("src <> dst")
+    near = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    degree = near.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k"))
+    at = triangles(e).select(F.explode(F.array("a", "b", "c")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("t"))
+    local = degree.join(at, "node_id").select((2 * F.col("t") / (F.col("k") * (F.col("k") - 1))).alias("c"))
+    sizes = nodes.select("node_id").join(weak_labels(edges), "node_id", "left").groupBy(F.coalesce("component", "node_id").alias("component")).agg(F.count("*").alias("size"))
+    g = sizes.agg(F.sum("size").alias("n"), F.count("*").alias("components"), F.max("size").alias("largest"))
+    one = g.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(local.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("c")))  # one row each
+    return one.select("n", "edges", (F.col("c") / F.col("n")).alias("clustering"), "components", "largest")
+
+
+def tuning(nodes: DataFrame, edges: DataFrame) -> dict[str, float]:
+    r = shape(nodes, edges).first()
+    return tuned(r["n"], r["edges"], r["clustering"], r["components"], r["largest"])
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, props: DataFrame, types: list[str], prop: str, method: str = "matrix", undirected: bool = True, **given) -> DataFrame:
+    """assembled() of a property by one of METHODS. Parameters that aren't given come from the graph's shape."""
+    src = sources(props, types, prop)
+    e = both_ways(edges) if undirected else weighted(edges)
+    p = tuning(nodes, edges) | given
+    if method == "matrix":
+        return assembled(nodes, src, mixtures(hops(src, e, p["depth"], p["decay"]), src, p["components"]))
+    if method == "belief":
+        return believed(nodes, src, belief_influences(src, e, p["damping"], rounds=p["rounds"]), p["components"])
+    if method not in METHODS:
+        raise ValueError(f"{method!r} is none of {', '.join(METHODS)}")
+    reached = spectral_influences(nodes, edges, src, p["depth"], p["decay"], p["eigenvectors"], p["least_weight"], p["boost"], heat=method == "heat")
+    return assembled(nodes, src, spectral_mixtures(reached, src, p["components"]))
+
+
+def belief_influences(src: DataFrame, edges: DataFrame, damping: float = 0.1, gain: float = 0.85, rounds: int = 15, least: float = 1e-3) -> DataFrame:
+    """(source, node_id, influence): each source's x <- damping * x + (1 - damping) * gain * (sum over incoming edges), its own
+    node held at 1 and those of other sources at 0, until no value moves by `least` or the rounds are over. Each round is
+    written out."""
     from .tables import materialise
 
-    e = materialise(edges.select("src", "dst"))
-    clamp = src.select("node_id").distinct()
-    now = materialise(clamp.select("node_id", F.lit(1.0).alias("x")))
+    e = materialise(weighted(edges))
+    ends = src.select("node_id").distinct()
+    now = materialise(ends.select(F.col("node_id").alias("source"), "node_id", F.lit(1.0).alias("influence")))
     for _ in range(rounds):
-        into = now.join(e, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("node_id")).agg((F.sum("x") * (1 - damping) * gain).alias("i"))
-        x = now.withColumnRenamed("x", "old").join(into, "node_id", "full").join(clamp.withColumn("held", F.lit(True)), "node_id", "left")
-        value = F.when(F.col("held"), 1.0).otherwise(F.least(F.lit(1.0), damping * F.coalesce("old", F.lit(0.0)) + F.coalesce("i", F.lit(0.0))))
-        step = materialise(x.select("node_id", value.alias("x"), F.coalesce("old", F.lit(0.0)).alias("old")))
-        moved = step.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
-        now = step.select("node_id", "x")
+        into = now.join(e, F.col("node_id") == F.col("src")).groupBy("source", F.col("dst").alias("node_id")).agg((F.sum(F.col("influence") * F.col("weight")) * (1 - damping) * gain).alias("i"))
+        x = now.withColumnRenamed("influence", "old").join(into, ["source", "node_id"], "full")
+        x = x.join(ends.withColumn("held", F.lit(True)), "node_id", "left")
+        value = F.when(F.col("source") == F.col("node_id"), 1.0).when(F.col("held"), 0.0).otherwise(damping * F.coalesce("old", F.lit(0.0)) + F.coalesce("i", F.lit(0.0)))
+        step = materialise(x.select("source", "node_id", value.alias("influence"), F.coalesce("old", F.lit(0.0)).alias("old")))
+        moved = step.agg(F.max(F.abs(F.col("influence") - F.col("old")))).first()[0]
+        now = step.filter("influence > 0").select("source", "node_id", "influence")
         if moved is None or moved < least:
             break
     return now
 
 
-def spectral(ids: list[str], edges: list[tuple[str, str]], source: list[str], k: int = 10, depth: int = 3, decay: float = 0.95) -> dict[str, float]:
-    """Signals by the k lowest eigenvectors of a small graph's Laplacian: for graphs that fit the driver, as its dense
-    decomposition is of the cube of the nodes."""
+def believed(nodes: DataFrame, src: DataFrame, reached: DataFrame, most: int = 20, near: float = 0.08, cut: float = KEEP, digits: int = 4) -> DataFrame:
+    """assembled() of belief_influences(): components of influences above `cut`, wider the weaker they are, merged in order of
+    mean without counting the distance of means, the `most` heaviest. Equal means (in `digits` digits) and influences (in 2)
+    are one before they are folded, which bounds a node's list."""
+    x = reached.filter(F.col("influence") > cut).join(src.select(F.col("node_id").alias("source"), "x"), "source").join(src.select("node_id"), "node_id", "left_anti")
+    one = x.groupBy("node_id", F.round("x", digits).alias("m"), F.round("influence", 2).alias("i")).agg(F.sum("influence").alias("w"))
+    listed = one.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("m", "i", "w", (0.03 + 0.05 * (1 - F.col("i"))).alias("s")))).alias("r"), F.sum("w").alias("evidence"))
+    c = folded(F.col("r"), 1 << 30, near, False)
+    heavy = F.slice(F.reverse(F.array_sort(F.transform(c, lambda p: F.struct(p["w"].alias("w"), p["m"].alias("m"), p["s"].alias("s"))))), 1, most)
+    inferred = listed.select("node_id", normalised(heavy).alias("c"), "evidence")
+    return assembled(nodes, src, inferred.select("node_id", "c"), inferred.select("node_id", "evidence"))
+
+
+def filters(values: np.ndarray, depth: int, heat: bool, alpha: float = 0.08) -> list[np.ndarray]:
+    """For each distance, what each eigenvalue lets through: a bump that moves up with the distance over a floor of .2, or, with
+    heat, a heat kernel of a short time under a bell."""
+    top = float(values.max()) or 1.0
+    if heat:
+        return [np.exp(-values * d * alpha * 0.01) * np.exp(-0.5 * (values / top) ** 2) for d in range(1, depth + 1)]
+    return [0.8 * np.exp(-0.5 * ((values - top * 0.05 * d) / (top * 0.15)) ** 2) + 0.2 for d in range(1, depth + 1)]
+
+
+def spectral_influences(nodes: DataFrame, edges: DataFrame, src: DataFrame, depth: int = 3, decay: float = 0.95, eigenvectors: int = 15, least_weight: float = 0.01, boost: float = 1.3, heat: bool = False) -> DataFrame:
+    """(source, node_id, distance, influence) by the lowest eigenvectors of the Laplacian of the undirected graph. The dense
+    decomposition is of the cube of the nodes and runs on the driver, for at most MOST_DENSE nodes, which is checked."""
+    n = nodes.count()
+    if n > MOST_DENSE:
+        raise ValueError(f"{n} nodes; a dense decomposition takes {MOST_DENSE} at most")
+    spark = nodes.sparkSession
+    ids = [r["node_id"] for r in nodes.select("node_id").orderBy("node_id").collect()]
     at = {x: i for i, x in enumerate(ids)}
-    a = np.zeros((len(ids), len(ids)))
-    for u, v in edges:
-        a[at[u], at[v]] = a[at[v], at[u]] = 1
-    values, vectors = np.linalg.eigh(np.diag(a.sum(1)) - a + 1e-8 * np.eye(len(ids)))
-    values, vectors = values[:k], vectors[:, :k]
-    x = np.zeros(len(ids))
-    x[[at[s] for s in source]] = 1
-    out = np.zeros(len(ids))
-    for d in range(1, depth + 1):
-        y = vectors @ (np.exp(-0.5 * (values * d / max(values[-1], 1e-9)) ** 2) * (vectors.T @ x))
-        y = np.maximum(y, 0)
-        out = np.maximum(out, y / max(y.max(), 1e-12) * decay**d)
-    out[[at[s] for s in source]] = 0
-    return {i: float(out[at[i]]) for i in ids}
+    a = np.zeros((n, n))
+    for r in weighted(edges).collect():
+        if r["src"] in at and r["dst"] in at:
+            a[at[r["src"]], at[r["dst"]]] = a[at[r["dst"]], at[r["src"]]] = r["weight"]
+    held = [at[r["node_id"]] for r in src.select("node_id").collect() if r["node_id"] in at]
+    found = []
+    if held:
+        values, vectors = np.linalg.eigh(np.diag(a.sum(1)) - a + 1e-8 * np.eye(n))
+        k = max(1, min(n - 1, eigenvectors))
+        values, vectors = values[:k], vectors[:, :k]
+        cut = (0.01 if n < 500 else 0.02) if heat else (0.001 if n < 500 else 0.015)
+        for d, f in enumerate(filters(values, depth, heat), 1):
+            y = vectors[held] * f  # a row per source
+            size = np.linalg.norm(y, axis=1, keepdims=True)
+            x = np.where(size > 1e-8, y / np.where(size > 1e-8, size, 1), y) * decay**d @ vectors.T
+            x = np.abs(x) if heat else np.maximum(x, 0)
+            x[:, held] = 0
+            for i, j in zip(*np.nonzero(x > cut)):
+                w = float(x[i, j]) * (0.5 if heat else 1.0)
+                found.append((ids[held[i]], ids[j], d, w * boost if w < least_weight * 1.2 else w))
+    return spark.createDataFrame(found, "source string, node_id string, distance int, influence double")
+
+
+def spectral_mixtures(reached: DataFrame, src: DataFrame, most: int = 20) -> DataFrame:
+    """spectral_influences() -> (node_id, c), folded in order of mean and distance; farther ones merge more easily."""
+    x = reached.join(src.select(F.col("node_id").alias("source"), F.col("x").alias("m")), "source")
+    listed = x.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("m", F.col("distance").alias("d"), "source", F.col("influence").alias("w"), (0.025 + 0.015 * F.col("distance")).alias("s")))).alias("r"))
+    return listed.select("node_id", normalised(folded(F.col("r"), most, lambda r: 0.05 + 0.01 * r["d"], False)).alias("c"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-#: Status words, failure keywords.
+#: Status words, types that matter for context, failure keywords.
 STATUS = {"PASSED": "PASSED", "PASS": "PASSED", "SUCCESS": "PASSED", "FAILED": "FAILED", "FAIL": "FAILED", "ERROR": "FAILED", "WARNING": "WARNING", "WARN": "WARNING"}
+PRIORITY = "file|folder|filename|location|measurement|validation"
+TIERS = ("exact", "context", "semantic")
 FAILURE_WORDS = ("anachronism", "violation", "error", "failed", "invalid")
 
 
@@ -25,13 +30,6 @@ def edge_text(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "edge_type", F.concat_ws(" ", F.concat(F.col("src_type"), F.lit(":"), F.col("src_value")), "edge_type", F.concat(F.col("dst_type"), F.lit(":"), F.col("dst_value"))).alias("text"))
 
 
-def exact(nodes: DataFrame, query: str) -> DataFrame:
-    """Nodes whose value is the query (.99) or holds it (.95)."""
-    v, q = plain(F.col("value")), plain(F.lit(query))
-    s = F.when(v == q, 0.99).when(F.contains(v, q), 0.95)
-    return nodes.select("node_id", "type", s.alias("similarity")).filter("similarity IS NOT NULL")
-
-
 def cosine(vectors: DataFrame, query: DataFrame, least: float, k: int) -> DataFrame:
     """The k nearest vectors by cosine, at or above `least`, ties by id. query has one row; it alone is broadcast."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -41,54 +39,102 @@ def cosine(vectors: DataFrame, query: DataFrame, least: float, k: int) -> DataFr
     return x.select("vec_id", F.round(c, 6).alias("similarity")).filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
-def context(edges: DataFrame, hits: DataFrame, k: int = 8) -> DataFrame:
-    """Neighbours of hits(node_id), .85 for places and measurements by type, else .70; the k best by id."""
+def cleaned(query: str) -> str:
+    """The query in lower case with blanks for what isn't a word character or white space."""
+    return re.sub(r"[^\w\s]", " ", query).strip().lower()
+
+
+def exact(texts: DataFrame, query: str, value: float = 0.99, within: float = 0.95) -> DataFrame:
+    """texts(id, text) that hold the query -> (id, similarity): `value` if it begins the node's value, else `within`."""
+    q, t = cleaned(query), F.lower("text")
+    return texts.filter(F.contains(t, F.lit(q))).select("id", F.when(F.contains(t, F.lit(f"value: {q}")), value).otherwise(within).alias("similarity"))
+
+
+def context(edges: DataFrame, nodes: DataFrame, hits: DataFrame, k: int = 8) -> DataFrame:
+    """Neighbours of hits(id): .85 for files, folders, places, measurements and validations by their type, else .70; the k best,
+    ties by id."""
+    e, h = edges.select("src", "dst"), hits.select("id").distinct()
+    near = e.join(h, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("node_id")).union(e.join(h, F.col("dst") == F.col("id"), "left_semi").select("src")).distinct()
+    s = F.when(F.lower("type").rlike(PRIORITY), 0.85).otherwise(0.7)
+    return near.join(nodes.select("node_id", "type"), "node_id").select(F.col("node_id").alias("id"), s.alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+
+
+def context_edges(edges: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
+    """Edges at hits(id), at .80: the k first by id."""
+    h = hits.select("id").distinct()
+    e = edges.select(edge_id(), "src", "dst")
+    at = e.join(h.withColumnRenamed("id", "h"), F.col("src") == F.col("h"), "left_semi").union(e.join(h.withColumnRenamed("id", "h"), F.col("dst") == F.col("h"), "left_semi")).distinct()
+    return at.select("id", F.lit(0.8).alias("similarity")).orderBy("id").limit(k)
+
+
+def edge_id() -> Column:
+    return F.concat_ws(" ", "src", "edge_type", "dst").alias("id")
+
+
+def semantic(vectors: DataFrame, query: list[float], least: float, without: DataFrame, k: int) -> DataFrame:
+    """vectors(id, embedding) by cosine with the query vector, at or above `least`, without those of `without`(id); the k best,
+    ties by id. Vectors are made elsewhere: there is no model here."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(dot("embedding", "embedding"))
+    c = F.when(size > 0, dot("embedding", q) / size / (sum(float(x) ** 2 for x in query) ** 0.5 or 1.0)).otherwise(0.0)
+    return vectors.join(without.select("id"), "id", "left_anti").select("id", F.round(c, 6).alias("similarity")).filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(k)
+
+
+def search(nodes: DataFrame, edges: DataFrame, node_texts: DataFrame, edge_texts: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None, top_k: int = 5, threshold: float = 0.15) -> DataFrame:
+    """(kind, place, tier, id, similarity) of the first top_k nodes and edges: exact hits, then their context, then vectors near
+    the query's. Without exact nodes only the last, which then need .10 instead of .25 at least."""
+    hits, edge_hits = exact(node_texts, query), exact(edge_texts, query, 0.9, 0.9)
+    some = not hits.isEmpty()
+    tiers = []
+    if some:
+        tiers += [("node", 0, hits.orderBy(F.desc("similarity"), "id").limit(top_k)), ("edge", 0, edge_hits.orderBy(F.desc("similarity"), "id").limit(top_k))]
+        tiers += [("node", 1, context(edges, nodes, hits)), ("edge", 1, context_edges(edges, hits))]
+    if vectors is not None and query_vector is not None:
+        tiers.append(("node", 2, semantic(vectors, query_vector, max(threshold, 0.25 if some else 0.10), hits, 8)))
+    found = nodes.sparkSession.createDataFrame([], "kind string, tier int, id string, similarity double")
+    for kind, tier, rows in tiers:
+        found = found.union(rows.select(F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), "id", "similarity"))
+    place = F.row_number().over(W.partitionBy("kind").orderBy("tier", F.desc("similarity"), "id"))  # a few rows of each tier
+    return found.withColumn("place", place).filter(F.col("place") <= top_k).select("kind", "place", F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1).alias("tier"), "id", "similarity")
+
+
+def search_summary(found: DataFrame) -> DataFrame:
+    """search() -> one row: nodes, edges, exact ones, mean and greatest similarity."""
+    return found.agg(F.count_if(F.col("kind") == "node").alias("nodes"), F.count_if(F.col("kind") == "edge").alias("edges"), F.count_if(F.col("tier") == "exact").alias("exact"), F.round(F.coalesce(F.avg("similarity"), F.lit(0.0)), 6).alias("mean"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("most"))
+
+
+def search_subgraph(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges among the found nodes and, of each, its first 5 neighbours at a similarity of .9 or more and 2 below."""
     from .graph import both_ways
+    from .tables import materialise
+
+    hits = materialise(found).filter("kind = 'node'").select(F.col("id").alias("node_id"), F.when(F.col("similarity") >= 0.9, 5).otherwise(2).alias("most"))
+    near = both_ways(edges).join(F.broadcast(hits), "node_id").select("node_id", "other", "most").distinct()  # hits are top_k rows
+    k = F.row_number().over(W.partitionBy("node_id").orderBy("other"))
+    some = near.withColumn("k", k).filter("k <= most").select(F.col("other").alias("node_id")).union(hits.select("node_id")).distinct()
+    a, b = F.broadcast(some.select(F.col("node_id").alias("src"))), F.broadcast(some.select(F.col("node_id").alias("dst")))
+    return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst", "edge_type")
+
 
-    kinds = edges.select(F.explode(F.array(F.struct(F.col("src").alias("other"), F.col("src_type").alias("t")), F.struct(F.col("dst").alias("other"), F.col("dst_type").alias("t")))).alias("x")).select("x.*").distinct()
-    near = both_ways(edges).join(hits.select("node_id"), "node_id", "left_semi").select("other").distinct().join(hits.select(F.col("node_id").alias("other")), "other", "left_anti")
-    s = F.when(F.lower("t").rlike("file|folder|filename|location|measurement|validation"), 0.85).otherwise(0.7)
-    return near.join(kinds, "other").select(F.col("other").alias("node_id"), s.alias("similarity")).orderBy(F.desc("similarity"), "node_id").limit(k)
+FIELDS = ("is_valid", "has_error", "has_warning", "status", "validation_passed")
+REASONS = ("validation_reason", "error_message", "description")
 
 
 def status(df: DataFrame) -> DataFrame:
-    """df(id, is_valid, has_error, has_warning, status, text) -> the first field that decides, in this order; then failure
-    words in the text; else INFORMATIONAL."""
-    named = F.lit(None).cast("string")
-    for word, meaning in STATUS.items():
-        named = F.when(F.upper("status") == word, meaning).otherwise(named)
-    words = F.lower(F.coalesce(F.col("text"), F.lit(""))).rlike("|".join(FAILURE_WORDS))
-    s = F.when(F.col("is_valid"), "PASSED").when(~F.col("is_valid"), "FAILED").when(F.col("has_error"), "FAILED").when(F.col("has_warning"), "WARNING").when(named.isNotNull(), named).when(words, "FAILED").otherwise("INFORMATIONAL")
-    return df.select("id", s.alias("resolved"))
-
-
-def name_tokens(names: DataFrame) -> DataFrame:
-    """names(side, name) -> tokens of names cut at signs and at capitals."""
-    t = F.split(F.lower(F.trim(F.regexp_replace(F.regexp_replace("name", r"([a-z])([A-Z])", "$1 $2"), r"[^A-Za-z]+", " "))), " ")
-    return names.select("side", "name", F.explode(F.array_distinct(F.filter(t, lambda x: x != ""))).alias("token"))
-
-
-def token_matches(names: DataFrame, least: float = 0.0) -> DataFrame:
-    """Pairs of names of the sides a and b by the Jaccard of their tokens; only pairs that share one are made."""
-    t = name_tokens(names)
-    n = t.groupBy("side", "name").agg(F.count("*").alias("n"))
-    a, b = t.filter("side = 'a'").select(F.col("name").alias("x"), "token"), t.filter("side = 'b'").select(F.col("name").alias("y"), "token")
-    both = a.join(b, "token").groupBy("x", "y").agg(F.count("*").alias("k"))
-    na, nb = (n.filter(F.col("side") == s).select(F.col("name").alias(c), F.col("n").alias(f"n{c}")) for s, c in (("a", "x"), ("b", "y")))
-    j = F.col("k") / (F.col("nx") + F.col("ny") - F.col("k"))
-    return both.join(na, "x").join(nb, "y").select("x", "y", F.round(j, 6).alias("jaccard")).filter(F.col("jaccard") > least)
-
-
-def matches(names: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Each pair of a name of side a and one of side b with its first rule that hits: equal letters 1.0, equal after the
-    plural's end is cut .9, token Jaccard above .6 .8, edit similarity above .75. Names of an ontology are few."""
-    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
-    stem = lambda c: F.regexp_replace(letters(c), "(ies|es|s|e|y)$", "")
-    a, b = (names.filter(F.col("side") == s).select(F.col("name").alias(c)).distinct() for s, c in (("a", "x"), ("b", "y")))
-    p = a.join(F.broadcast(b)).join(token_matches(names), ["x", "y"], "left")
-    ratio = 1 - F.levenshtein(letters(F.col("x")), letters(F.col("y"))) / F.greatest(F.length(letters(F.col("x"))), F.length(letters(F.col("y"))))
-    s = F.when(letters(F.col("x")) == letters(F.col("y")), 1.0).when(stem(F.col("x")) == stem(F.col("y")), 0.9).when(F.col("jaccard") > 0.6, 0.8).when(ratio > 0.75, F.round(ratio, 4))
-    return p.select("x", "y", s.alias("score")).filter(F.col("score") >= threshold)
+    """df(id, type, FIELDS, REASONS; any may be missing) -> (id, resolved, warns).
+
+    The first field that decides does, in this order: is_valid, has_error and has_warning if true, a known status word,
+    validation_passed if true. A row with fields of which none decides is FAILED if a reason has a failure word, else WARNING;
+    one without any is INFORMATIONAL. warns tells whether a row with fields is FAILED or WARNING."""
+    has = {c.lower() for c in df.columns}
+    col = lambda c, kind: F.col(c) if c in has else F.lit(None).cast(kind)
+    flag, word = {c: col(c, "boolean") for c in FIELDS if c != "status"}, col("status", "string")
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair]), F.upper(F.coalesce(word, F.lit(""))))
+    said = F.lower(F.concat_ws(" ", *[col(c, "string") for c in REASONS]))
+    some = F.coalesce(*[F.when(c.isNotNull(), True) for c in (*flag.values(), word)], F.lit(False))
+    s = F.when(~some, "INFORMATIONAL").when(flag["is_valid"], "PASSED").when(~flag["is_valid"], "FAILED").when(flag["has_error"], "FAILED").when(flag["has_warning"], "WARNING").when(named.isNotNull(), named).when(flag["validation_passed"], "PASSED").when(said.rlike("|".join(FAILURE_WORDS)), "FAILED").otherwise("WARNING")
+    return df.select("id", s.alias("resolved"), (some & s.isin("FAILED", "WARNING")).alias("warns"))
 
 
 def walk(steps: DataFrame, start: str, most: int = 20) -> DataFrame:

@@ -350,21 +350,10 @@ SRC = "so AS (SELECT node_id, d_val AS value, min(d_val) OVER () AS a, max(d_val
 HOP = "hp AS (SELECT so.node_id AS source, e.dst AS node_id, 1 AS distance, 0.7::DOUBLE AS influence, value FROM so JOIN e ON e.src = so.node_id AND e.edge_type = 'in_nation' UNION ALL SELECT so.node_id, f.dst, 2, 0.7::DOUBLE * 0.7::DOUBLE, value FROM so JOIN e ON e.src = so.node_id AND e.edge_type = 'in_nation' JOIN e f ON f.src = e.dst AND f.edge_type = 'in_region')"
 add("propagate_sources", _src, with_(SRC) + "SELECT node_id, value, round(greatest(0.001::DOUBLE, least(0.999::DOUBLE, (value - a + 0.1 * (b - a)) / ((b - a) * 1.2))), 9) AS x FROM so")
 add("propagate_matrix_hops", lambda s, d: _hops(s, d).withColumn("influence", F.round("influence", 6)), with_(SRC, HOP) + "SELECT source, node_id, distance, round(influence, 6) AS influence FROM hp")
-add("propagate_values", lambda s, d: propagation.means(_hops(s, d), _src(s, d)).withColumn("evidence", F.round("evidence", 3)).withColumn("mean", F.round(F.col("mean") + 1e-7, 2)), with_(SRC, HOP) + "SELECT node_id, count(*) AS n, round(sum(influence), 3) AS evidence, round(round(sum(influence * value) / sum(influence), 4) + 1e-7, 2) AS mean FROM hp GROUP BY 1")
-add("propagate_mixtures", lambda s, d: propagation.mixtures(_hops(s, d), _src(s, d)))
-add("gmm_range_filter", lambda s, d: propagation.in_range(propagation.means(_hops(s, d), _src(s, d)), 4000.0, 5000.0).select("node_id", "n"), with_(SRC, HOP) + "SELECT node_id, count(*) AS n FROM hp GROUP BY 1 HAVING round(sum(influence * value) / sum(influence), 4) BETWEEN 4000 AND 5000")
-add("gmm_similarity", lambda s, d: (lambda x: x.select(F.col("node_id").alias("a"), F.col("x").alias("xa")).join(F.broadcast(x.filter("node_id = 'customer:1'").select(F.col("node_id").alias("b"), F.col("x").alias("xb")))).select("a", "b", F.round(propagation.similarity(F.col("xa"), F.col("xb")), 6).alias("similarity")))(_src(s, d)), with_(SRC, "nx AS (SELECT node_id, round(greatest(0.001::DOUBLE, least(0.999::DOUBLE, (value - a + 0.1 * (b - a)) / ((b - a) * 1.2))), 9) AS x FROM so)") + "SELECT u.node_id AS a, v.node_id AS b, round(greatest(0.0::DOUBLE, 1 - 2 * abs(u.x - v.x)), 6) AS similarity FROM nx u, nx v WHERE v.node_id = 'customer:1'")
-add("value_probability", lambda s, d: _src(s, d).select("node_id", F.round(propagation.probability(F.col("x"), 0.5), 6).alias("probability")), with_(SRC) + "SELECT node_id, round(greatest(0.0::DOUBLE, 1 - 10 * abs(round(greatest(0.001::DOUBLE, least(0.999::DOUBLE, (value - a + 0.1 * (b - a)) / ((b - a) * 1.2))), 9) - 0.5)), 6) AS probability FROM so")
-add("polar_layout", lambda s, d: propagation.polar_layout(_src(s, d)).select("node_id", "ring"), with_(SRC) + "SELECT node_id, CAST(floor(round(greatest(0.001::DOUBLE, least(0.999::DOUBLE, (value - a + 0.1 * (b - a)) / ((b - a) * 1.2))), 9) * 10) AS INTEGER) AS ring FROM so")
-add("influence_score", lambda s, d: propagation.influence_score(propagation.means(_hops(s, d), _src(s, d)).select("node_id", "n", F.round("evidence", 2).alias("evidence"), F.lit(0.0).alias("spread"))).withColumn("score", F.round("score", 1)), with_(SRC, HOP) + "SELECT node_id, round(10 * count(*) + 5 * round(round(sum(influence), 6), 2) + 15, 1) AS score FROM hp GROUP BY 1")
-add("topology_tuning", lambda s, d: propagation.topology(N(s, d), E(s, d)), with_("a AS (SELECT count(*) AS n FROM n)", "c AS (SELECT count(*) AS e FROM e)", "q AS (SELECT n, c.e, c.e / (CAST(n AS DOUBLE) * (n - 1)) AS z FROM a, c)") + "SELECT n, e, round(z, 9) AS density, CAST(CASE WHEN z > 0.3 THEN 2 WHEN z > 0.1 THEN 3 WHEN z > 0.01 THEN 4 ELSE 5 END AS INTEGER) AS depth, CASE WHEN z > 0.3 THEN 0.7::DOUBLE WHEN z > 0.1 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS decay FROM q")
 
 # --- search, status, matching
 
-PLAIN = "trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g'))"
-add("text_exact", lambda s, d: search.exact(N(s, d), "Nation_1"), f"SELECT node_id, type, CASE WHEN {PLAIN} = 'nation 1' THEN 0.99::DOUBLE ELSE 0.95::DOUBLE END AS similarity FROM n WHERE contains({PLAIN}, 'nation 1')")
 add("text_semantic", lambda s, d: search.cosine(T(s, d, "embeddings"), T(s, d, "embeddings").filter("vec_id = 0"), 0.1, 8), "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS similarity FROM embeddings, q WHERE vec_id <> 0) SELECT * FROM c WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 8", False)
-add("text_context", lambda s, d: search.context(E(s, d, GEO), N(s, d).filter("node_id = 'nation:3'")), with_(BOTH) + "SELECT DISTINCT other AS node_id, 0.7::DOUBLE AS similarity FROM b WHERE node_id = 'nation:3' ORDER BY node_id LIMIT 8")
 add("node_text", lambda s, d: search.node_text(N(s, d).filter("type <> 'order'"), P(s, d).filter("d_val IS NULL AND type <> 'order'")), with_("t AS (SELECT node_id, string_agg(prop || ': ' || s_val, ' | ' ORDER BY prop) AS t FROM p WHERE d_val IS NULL GROUP BY 1)") + "SELECT node_id, 'type: ' || type || ' | value: ' || value || coalesce(' | ' || t, '') AS text FROM n LEFT JOIN t USING (node_id) WHERE type <> 'order'")
 add("edge_text", lambda s, d: search.edge_text(E(s, d, GEO), N(s, d)), "SELECT e.src, e.dst, edge_type, src_type || ':' || x.value || ' ' || edge_type || ' ' || dst_type || ':' || y.value AS text FROM e JOIN n x ON x.node_id = e.src JOIN n y ON y.node_id = e.dst WHERE edge_type IN ('in_nation', 'in_region')")
 #: The same over all nodes, properties and edges; node_text and edge_text are on parts of them.
@@ -372,21 +361,8 @@ add("node_text_full", lambda s, d: search.node_text(N(s, d), P(s, d)), with_("t
 add("edge_text_full", lambda s, d: search.edge_text(E(s, d), N(s, d)), "SELECT e.src, e.dst, edge_type, src_type || ':' || x.value || ' ' || edge_type || ' ' || dst_type || ':' || y.value AS text FROM e JOIN n x ON x.node_id = e.src JOIN n y ON y.node_id = e.dst")
 
 
-def _statuses(s: SparkSession, d: str) -> DataFrame:
-    return search.status(T(s, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, False).alias("is_valid"), F.lit(None).cast("boolean").alias("has_error"), (F.col("toxic") == 1).alias("has_warning"), F.when(F.col("doc_id") % 2 == 0, "pass").alias("status"), F.lit("no violation").alias("text")))
 
 
-STS = "WITH st AS (SELECT doc_id AS id, CASE WHEN quality = 0 THEN 'FAILED' WHEN toxic = 1 THEN 'WARNING' WHEN doc_id % 2 = 0 THEN 'PASSED' ELSE 'FAILED' END AS resolved FROM labels) "
-add("status_resolution", _statuses, STS + "SELECT * FROM st", False)
-add("status_rollup", lambda s, d: _statuses(s, d).groupBy("resolved").agg(F.count("*").alias("n")), STS + "SELECT resolved, count(*) AS n FROM st GROUP BY 1", False)
-
-
-def _names(s: SparkSession, d: str) -> DataFrame:
-    return P(s, d).select(F.lit("a").alias("side"), F.col("prop").alias("name")).distinct().union(s.createDataFrame([("b", x) for x in ("TotalPrices", "market_segment", "RetailPrice", "brand", "acctbal")], "side string, name string"))
-
-
-add("fuzzy_tokens", lambda s, d: search.name_tokens(P(s, d).select(F.lit("a").alias("side"), F.col("prop").alias("name")).distinct()), "SELECT DISTINCT 'a' AS side, prop AS name, token FROM (SELECT prop, unnest(string_split(prop, '_')) AS token FROM p)")
-add("fuzzy_match", lambda s, d: search.matches(_names(s, d), 0.5))
 STEPS = [("start", "load"), ("load", "check"), ("check", "fix"), ("check", "report"), ("fix", "report"), ("report", "end")]
 add("process_walk", lambda s, d: search.walk(s.createDataFrame(STEPS, "src string, dst string"), "start"), "SELECT * FROM (VALUES (0, 'start'), (1, 'load'), (2, 'check'), (3, 'fix'), (4, 'report'), (5, 'end')) v(step, node)", False)
 
@@ -402,7 +378,6 @@ add("parent_context", lambda s, d: views.parents(E(s, d, ("in_nation", "in_regio
 add("sorted_by_children", lambda s, d: views.ordered(N(s, d), E(s, d)), "SELECT type, node_id, children, row_number() OVER (PARTITION BY type ORDER BY children DESC, node_id) AS place FROM (SELECT dst AS node_id, count(*) AS children FROM e GROUP BY 1) JOIN n USING (node_id) QUALIFY place <= 10")
 METHODS = [("file", "extension", "FileExtension"), ("token", "timestamp", "DateDetection"), ("file", "token", "Tokenize"), ("timestamp", "timeline", "Timeline"), ("timeline", "file", "Export")]
 add("process_paths", lambda s, d: views.method_paths(s.createDataFrame(METHODS, "src string, dst string, method string"), 3), "WITH RECURSIVE m(src, dst, method) AS (VALUES ('file', 'extension', 'FileExtension'), ('token', 'timestamp', 'DateDetection'), ('file', 'token', 'Tokenize'), ('timestamp', 'timeline', 'Timeline'), ('timeline', 'file', 'Export')), w AS (SELECT [src, dst] AS nodes, [method] AS methods FROM m UNION ALL SELECT list_append(nodes, dst), list_append(methods, method) FROM w JOIN m ON m.src = nodes[-1] WHERE NOT list_contains(nodes, dst) AND len(methods) < 3) SELECT array_to_string(nodes, '>') AS path, array_to_string(methods, '>') AS methods FROM w", False)
-add("method_catalog", lambda s, d: s.createDataFrame(METHODS, "src string, dst string, method string").groupBy(F.col("src").alias("class")).agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods")), "SELECT src AS class, string_agg(method, ',' ORDER BY method) AS methods FROM (VALUES ('file', 'FileExtension'), ('token', 'DateDetection'), ('file', 'Tokenize'), ('timestamp', 'Timeline'), ('timeline', 'Export')) v(src, method) GROUP BY 1", False)
 add("channel_activity", lambda s, d: T(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).groupBy(columns.activity(F.col("n")).alias("activity")).agg(F.count("*").alias("channels")), "SELECT CASE WHEN n <= 2 THEN 'low' WHEN n <= 9 THEN 'medium' ELSE 'high' END AS activity, count(*) AS channels FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) GROUP BY 1", False)
 add("naming_styles", lambda s, d: P(s, d).select("prop").distinct().select("prop", columns.naming_style(F.col("prop")).alias("style")), "SELECT DISTINCT prop, 'snake_case' AS style FROM p")
 add("parse_times", lambda s, d: T(s, d, "orders").select("o_orderkey", columns.parse_time(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("t")), "SELECT o_orderkey, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS t FROM orders", False)
