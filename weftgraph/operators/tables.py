@@ -5,14 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where spark.checkpoint.dir is unset, a local session, as in tests, uses a
+    folder of its own, and any other is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    return base.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share and read again, which cuts its lineage. Only where
-    spark.checkpoint.dir is unset, as in a local session, is a folder of our own used."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/weft-round-{uuid.uuid4().hex[:12]}"
+    """df written to the shared folder and read again, which cuts its lineage."""
+    path = f"{shared_base(df.sparkSession)}/weft-round-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -165,3 +165,50 @@ def pattern_matches(name: Column, patterns: list[str]) -> Column:
 
 def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+
+
+def json_edges(tree: DataFrame) -> DataFrame:
+    """json_nodes() -> (doc, src, dst, edge_type): each value hangs from its container by its key or place; the document from
+    the root by `root`."""
+    parent, key = F.regexp_replace("path", r"\.[^.]*$", ""), F.regexp_extract("path", r"\.([^.]*)$", 1)
+    return tree.filter("path <> 'root'").select("doc", parent.alias("src"), F.col("path").alias("dst"), key.alias("edge_type"))
+
+
+# --- turbofan graphs
+
+#: The sensors' types and units.
+SENSORS = {
+    "T2": ("temperature_sensor", "°R"), "T24": ("temperature_sensor", "°R"), "T30": ("temperature_sensor", "°R"), "T50": ("temperature_sensor", "°R"),
+    "P2": ("pressure_sensor", "psia"), "P15": ("pressure_sensor", "psia"), "P30": ("pressure_sensor", "psia"), "Ps30": ("pressure_sensor", "psia"),
+    "Nf": ("speed_sensor", "rpm"), "Nc": ("speed_sensor", "rpm"), "NRf": ("speed_sensor", "rpm"), "NRc": ("speed_sensor", "rpm"), "Nf_dmd": ("speed_sensor", "rpm"),
+    "epr": ("ratio_sensor", "ratio"), "BPR": ("ratio_sensor", "ratio"), "PCNfR_dmd": ("ratio_sensor", "ratio"),
+    "W31": ("flow_sensor", "lbm/s"), "W32": ("flow_sensor", "lbm/s"), "phi": ("flow_sensor", "pps"), "farB": ("flow_sensor", "ratio"), "htBleed": ("bleed_sensor", "lbm/s"),
+}
+SETTINGS = ("setting_1", "setting_2", "setting_3")
+
+
+def turbofan_graph(df: DataFrame, rul: DataFrame | None = None, sensors: tuple[str, ...] = tuple(SENSORS), chunk: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of read_turbofan(): engines, their sensors and settings, runs of `chunk` readings of each, and with
+    rul(unit_number, rul) a prediction per engine; has_sensor, has_operational_setting, produces_measurement,
+    produces_setting_value, has_rul_prediction. Series are unpivoted in one scan."""
+    engine = F.concat(F.lit("Engine_"), F.col("unit_number").cast("string"))
+    long = df.unpivot(["unit_number", "time_cycles"], [*sensors, *SETTINGS], "name", "reading").filter("reading IS NOT NULL")
+    w = W.partitionBy("unit_number", "name").orderBy("time_cycles")
+    runs = long.withColumn("run", F.floor((F.row_number().over(w) - 1) / chunk)).groupBy("unit_number", "name", "run").agg(F.count("*").alias("n"), F.avg("reading").alias("mean"), F.min("time_cycles").alias("a"), F.max("time_cycles").alias("b"))
+    is_setting = F.col("name").startswith("setting_")
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, (t, _) in SENSORS.items() for x in (k, t)]), F.col("name"))
+    unit = F.element_at(F.create_map(*[F.lit(x) for k, (_, u) in SENSORS.items() for x in (k, u)]), F.col("name"))
+    stream = F.concat(engine, F.lit("_"), F.col("name"), F.when(is_setting, F.lit("")).otherwise("_Sensor"))
+    streams = runs.select("unit_number", "name").distinct()
+    n = df.select(engine.alias("node_id"), F.lit("turbofan_engine").alias("type"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("unit")).distinct()
+    n = n.union(streams.select(stream, F.when(is_setting, "operational_setting").otherwise(kind), F.col("name"), unit))
+    measure = F.concat(stream, F.lit("_"), F.col("run").cast("string"))
+    n = n.union(runs.select(measure, F.when(is_setting, "setting_value").otherwise("measurement_sequence"), F.round("mean", 6).cast("string"), unit))
+    e = streams.select(engine.alias("src"), F.when(is_setting, "has_operational_setting").otherwise("has_sensor").alias("edge_type"), stream.alias("dst"))
+    e = e.union(runs.select(stream, F.when(is_setting, "produces_setting_value").otherwise("produces_measurement"), measure))
+    if rul is not None:
+        last = df.groupBy("unit_number").agg(F.max("time_cycles").alias("cycle")).join(rul, "unit_number")
+        predictor = F.concat(engine, F.lit("_RUL_Predictor"))
+        n = n.union(last.select(predictor, F.lit("rul_predictor"), F.col("rul").cast("string"), F.lit("cycles")))
+        e = e.union(last.select(engine, F.lit("has_rul_prediction"), predictor))
+    return n, e

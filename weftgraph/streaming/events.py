@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_base
+
 
 def windows(events: DataFrame, width: str = "1 day", late: str = "30 days") -> DataFrame:
     """Events per type and window: count, sum, least and greatest value. Works on batch and stream frames alike."""
@@ -19,8 +20,7 @@ def windows(events: DataFrame, width: str = "1 day", late: str = "30 days") -> D
 def run_available(spark: SparkSession, folder: str, name: str, transform) -> DataFrame:
     """Reads the files name* of a folder as a stream, one a trigger, runs transform over what is there and returns the
     result's last state from the shared folder. Each trigger replaces a window's row by its newest."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    out = f"{base.rstrip('/')}/weft-stream-{uuid.uuid4().hex[:12]}"
+    out = f"{shared_base(spark)}/weft-stream-{uuid.uuid4().hex[:12]}"
     schema = spark.read.parquet(f"{folder}/{name}").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
