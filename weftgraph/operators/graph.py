@@ -98,6 +98,34 @@ def type_census(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src_type", "edge_type", "dst_type").agg(F.count("*").alias("n"))
 
 
+def attributes_summary(nodes: DataFrame, edges: DataFrame, props: DataFrame, most: int = 100) -> DataFrame:
+    """(what, name, n): nodes by type and by hierarchy, edges by type, properties by name, components, the largest of them, and
+    the diameter of a connected graph of `most` nodes at most, null otherwise."""
+    of = lambda df, what, c: df.groupBy(F.col(c).cast("string").alias("name")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    found = of(nodes, "type", "type").union(of(nodes, "hierarchy", "hierarchy")).union(of(edges, "edge_type", "edge_type")).union(of(props, "property", "prop"))
+    sizes = nodes.select("node_id").join(weak_labels(edges), "node_id", "left").groupBy(F.coalesce("component", "node_id").alias("c")).agg(F.count("*").alias("n"))
+    one = sizes.agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    whole = diameter(edges) if one["components"] == 1 and one["total"] <= most else None
+    more = [("structure", "components", one["components"]), ("structure", "largest_component", one["largest"]), ("structure", "diameter", whole)]
+    return found.union(nodes.sparkSession.createDataFrame(more, "what string, name string, n long"))
+
+
+def diameter(edges: DataFrame) -> int:
+    """The longest of the shortest paths of a small connected undirected graph, whose edges are brought to the driver."""
+    near: dict[str, set] = {}
+    for r in edges.select("src", "dst").distinct().collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+        near.setdefault(r["dst"], set()).add(r["src"])
+    longest = 0
+    for start in near:
+        seen, front, steps = {start}, {start}, 0
+        while front := {y for x in front for y in near[x]} - seen:
+            seen |= front
+            steps += 1
+        longest = max(longest, steps)
+    return longest
+
+
 def two_hop_census(edges: DataFrame) -> DataFrame:
     """How many two-edge paths (a, e1, b, e2, c) there are of each kind, if more than one. Paths aren't made: through each
     middle node go the product of its incoming and outgoing counts, so the join has a row per node and kind."""
@@ -120,6 +148,27 @@ def stars(edges: DataFrame, center: str, kind: str, least: int = 2) -> DataFrame
     return edges.filter((F.col("src_type") == center) & (F.col("edge_type") == kind)).groupBy(F.col("src").alias("center")).agg(F.count("*").alias("leaves")).filter(F.col("leaves") >= least)
 
 
+def cycles(edges: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """Cycles along (type, edge type, type) steps of three or more, the last of which leads back to the first node; columns n0,
+    n1, ... A cycle whose steps repeat is found from each of its nodes that can begin it."""
+    if len(steps) < 3 or steps[-1][2] != steps[0][0]:
+        raise ValueError("a cycle has three steps or more and ends where it begins")
+    path = chains(edges, steps[:-1])
+    a, kind, b = steps[-1]
+    last = len(steps) - 1
+    back = edges.filter((F.col("src_type") == a) & (F.col("edge_type") == kind) & (F.col("dst_type") == b)).select(F.col("src").alias(f"n{last}"), F.col("dst").alias("n0"))
+    return path.join(back, ["n0", f"n{last}"], "left_semi").select(*[f"n{i}" for i in range(last + 1)])
+
+
+def motif(edges: DataFrame, node_types: list[str], edge_types: list[str], pattern: str = "chain") -> DataFrame:
+    """Chains, stars or cycles by the types of their nodes and edges."""
+    if pattern == "star":
+        return stars(edges.filter(F.col("dst_type") == node_types[1]), node_types[0], edge_types[0])
+    ring = pattern == "cycle"
+    steps = list(zip(node_types, edge_types, [*node_types[1:], *node_types[:1]] if ring else node_types[1:]))
+    return cycles(edges, steps) if ring else chains(edges, steps)
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """Undirected triangles a < b < c. Each edge runs from its end of lower degree, so that a hub isn't paired with itself."""
     both = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
@@ -223,6 +272,107 @@ def upsert(df: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return df.join(last, key, "left_anti").unionByName(last)
 
 
+def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with the new ones, refused(src, dst, edge_type, reason)): an edge is refused if an end isn't a node or the edge is
+    there already; of repeated new ones one is added."""
+    key = ["src", "dst", "edge_type"]
+    ids = nodes.select(F.col("node_id").alias("id"))
+    no_src = new.join(ids, F.col("src") == F.col("id"), "left_anti").select(*key, F.lit("no source").alias("reason"))
+    no_dst = new.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_anti").select(*key, F.lit("no target"))
+    whole = new.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
+    there = whole.join(edges.select(*key), key, "left_semi").select(*key, F.lit("already there"))
+    good = whole.join(edges.select(*key), key, "left_anti").dropDuplicates(key)
+    return edges.unionByName(good.select(*edges.columns)), no_src.union(no_dst).union(there).distinct()
+
+
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the edges of gone(src, dst, edge_type)."""
+    return edges.join(gone.select("src", "dst", "edge_type").distinct(), ["src", "dst", "edge_type"], "left_anti")
+
+
+def update_attributes(props: DataFrame, changes: DataFrame) -> DataFrame:
+    """props with the values of changes(node_id, type, prop, s_val, d_val, seq): new properties are added, those that are there
+    replaced, of several changes the last counts."""
+    return upsert(props, changes, ["node_id", "prop"])
+
+
+def simple(edges: DataFrame) -> DataFrame:
+    """One edge for each ordered pair of nodes, the first by edge type."""
+    return edges.groupBy("src", "dst").agg(F.min("edge_type").alias("edge_type"))
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """(a, b, edge_type) with a <= b, each once."""
+    return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "edge_type").distinct()
+
+
+def connected(edges: DataFrame, ids: DataFrame, edge_type: str | None = None, way: str = "both") -> DataFrame:
+    """(node_id, other) for ids(node_id): what edges of a type lead to (out), come from (in), or both."""
+    e = edges if edge_type is None else edges.filter(F.col("edge_type") == edge_type)
+    out = e.select(F.col("src").alias("node_id"), F.col("dst").alias("other"))
+    into = e.select(F.col("dst").alias("node_id"), F.col("src").alias("other"))
+    rows = out if way == "out" else into if way == "in" else out.union(into)
+    return rows.join(ids.select("node_id").distinct(), "node_id", "left_semi").distinct()
+
+
+def edge_attribute_index(edges: DataFrame, attribute: str, most: int = 100) -> DataFrame:
+    """(value, src, dst, n): the first `most` edges of each value of an attribute that several edges have."""
+    n = edges.groupBy(F.col(attribute).alias("value")).agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = edges.select(F.col(attribute).alias("value"), "src", "dst").withColumn("k", F.row_number().over(W.partitionBy("value").orderBy("src", "dst"))).filter(F.col("k") <= most)
+    return ranked.join(F.broadcast(n), "value").select("value", "src", "dst", "n")
+
+
+def tree_reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(start, reached, is_tree) for start(node_id): how many nodes directed steps reach, and whether none is reached twice, that
+    is, the edges among them are one less than they are. Steps go on until nothing new is found; each is written out."""
+    from .tables import materialise
+
+    e = materialise(edges.select("src", "dst").distinct())
+    seen = materialise(start.select(F.col("node_id").alias("start"), "node_id").distinct())
+    front = seen
+    while not front.isEmpty():
+        step = front.join(e, F.col("node_id") == F.col("src")).select("start", F.col("dst").alias("node_id")).distinct()
+        front = materialise(step.join(seen, ["start", "node_id"], "left_anti"))
+        seen = materialise(seen.union(front))
+    inside = seen.join(e, F.col("node_id") == F.col("src")).groupBy("start").agg(F.count("*").alias("edges"))
+    n = seen.groupBy("start").agg(F.count("*").alias("reached")).join(inside, "start", "left")
+    return n.select("start", "reached", (F.coalesce("edges", F.lit(0)) == F.col("reached") - 1).alias("is_tree"))
+
+
+def sampled(nodes: DataFrame, edges: DataFrame, most: int = 1000, rare: int = 50) -> DataFrame:
+    """(node_id, type) to show: all of a graph of up to `most` nodes; else min(100, most // 3) of them, first up to three of each
+    type (five of rare ones), then the ends of three edges of each edge type, then those of most neighbours; ties by id."""
+    if nodes.count() <= most:
+        return nodes.select("node_id", "type")
+    few = min(100, most // 3)
+    w = W.partitionBy("type")
+    ranked = nodes.select("node_id", "type").withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("node_id")))
+    first = ranked.filter(F.col("k") <= F.when(F.col("n") < rare, 5).otherwise(3)).select("node_id", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("weight"))
+    three = edges.withColumn("k", F.row_number().over(W.partitionBy("edge_type").orderBy("src", "dst"))).filter("k <= 3")
+    ends = three.select(F.explode(F.array("src", "dst")).alias("node_id"), F.lit(1).alias("tier"), F.lit(0).cast("long").alias("weight"))
+    top = degrees(edges).orderBy(F.desc("total_degree"), "node_id").limit(few).select("node_id", F.lit(2).alias("tier"), F.col("total_degree").alias("weight"))
+    best = first.union(ends).union(top).groupBy("node_id").agg(F.min(F.struct("tier", (-F.col("weight")).alias("w"))).alias("x"))
+    return nodes.select("node_id", "type").join(F.broadcast(best.orderBy("x", "node_id").limit(few).select("node_id")), "node_id", "left_semi")
+
+
+def collapse_stats(nodes: DataFrame, edges: DataFrame, kinds: list[str], drop_orphans: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, stats) after collapse(): the edges are gone, with drop_orphans also nodes that only they led to."""
+    gone = edges.filter(F.col("edge_type").isin(*kinds))
+    rest = edges.filter(~F.col("edge_type").isin(*kinds))
+    targets = gone.select(F.col("dst").alias("node_id")).distinct()
+    used = both_ways(rest).select("node_id").union(gone.select("src")).distinct()
+    orphans = targets.join(used, "node_id", "left_anti")
+    kept = nodes.join(orphans, "node_id", "left_anti") if drop_orphans else nodes
+    stats = gone.agg(F.count("*").alias("edges_collapsed"), F.count_distinct("src").alias("nodes_changed")).crossJoin(orphans.agg(F.count("*").alias("orphans")))  # one row each
+    return kept, rest, stats
+
+
+def merged_attributes(props: DataFrame, members: DataFrame) -> DataFrame:
+    """(prop, values) of the nodes of members(node_id): the different values of each property, in order, as a node that takes
+    them in would have."""
+    return props.join(members.select("node_id"), "node_id", "left_semi").groupBy("prop").agg(F.array_join(F.array_sort(F.collect_set("s_val")), "|").alias("values"))
+
+
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the nodes of gone(node_id) and the edges at them."""
     g = gone.select("node_id").distinct()

@@ -80,13 +80,16 @@ def patterns(edges: DataFrame, common: float = 0.05) -> DataFrame:
 
 
 def hierarchical(edges: DataFrame, most: int = 3) -> DataFrame:
-    """Edge types that look like a hierarchy: few types at each side, and a telling name or one type on both."""
-    r = relationships(edges).groupBy("edge_type").agg(F.count_distinct("src_type").alias("source_types"), F.count_distinct("dst_type").alias("target_types"), F.bool_or(F.col("src_type") == F.col("dst_type")).alias("self_typed"))
+    """Edge types that look like a hierarchy: few types at each side, and a telling name, one type on both sides, or a pair of
+    types that is also joined the other way round."""
+    r = relationships(edges)
+    turned = F.broadcast(r.select(F.col("dst_type").alias("src_type"), F.col("src_type").alias("dst_type"), F.lit(True).alias("turned")).distinct())
+    g = r.join(turned, ["src_type", "dst_type"], "left").groupBy("edge_type").agg(F.count_distinct("src_type").alias("source_types"), F.count_distinct("dst_type").alias("target_types"), F.bool_or(F.col("src_type") == F.col("dst_type")).alias("self_typed"), F.coalesce(F.bool_or("turned"), F.lit(False)).alias("turned"))
     name = F.lower("edge_type")
     told = F.lit(False)
     for t in HIERARCHY_TERMS:
         told = told | F.contains(name, F.lit(t))
-    return r.filter((F.col("source_types") <= most) & (F.col("target_types") <= most) & (told | F.col("self_typed"))).select("edge_type", "source_types", "target_types")
+    return g.filter((F.col("source_types") <= most) & (F.col("target_types") <= most) & (told | F.col("self_typed") | F.col("turned"))).select("edge_type", "source_types", "target_types")
 
 
 def relationship_statistics(edges: DataFrame) -> DataFrame:

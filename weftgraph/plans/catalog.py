@@ -97,20 +97,14 @@ add("metadata_numeric_props", lambda s, d: P(s, d).filter("d_val IS NOT NULL").s
 add("type_substring", lambda s, d: graph.type_counts(N(s, d), "ER"), "SELECT type, count(*) AS n FROM n WHERE contains(type, 'er') GROUP BY type")
 add("node_filter_compound", lambda s, d: graph.where_all(T(s, d, "customer"), {"c_mktsegment": "BUILDING", "c_nationkey": 3}).select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3", False)
 add("node_page", lambda s, d: graph.page(N(s, d).filter("type = 'customer'"), ["node_id"], 25, 50), "SELECT * FROM n WHERE type = 'customer' ORDER BY node_id LIMIT 25 OFFSET 50")
-add("edge_filter", lambda s, d: graph.where_all(E(s, d, ("in_nation",)), {"dst": "nation:3"}), "SELECT * FROM e WHERE edge_type = 'in_nation' AND dst = 'nation:3'")
-add("g_degree", lambda s, d: graph.degrees(E(s, d)), with_(BOTH) + "SELECT node_id, count(*) FILTER (way = 'out') AS out_degree, count(*) FILTER (way = 'in') AS in_degree, count(DISTINCT other) AS total_degree FROM b GROUP BY node_id")
+add("g_degree", lambda s, d: star.degrees(s, d).drop("type"), with_(BOTH) + "SELECT node_id, count(*) FILTER (way = 'out') AS out_degree, count(*) FILTER (way = 'in') AS in_degree, count(DISTINCT other) AS total_degree FROM b GROUP BY node_id")
 add(
     "g_degree_by_type",
-    lambda s, d: N(s, d).join(graph.degrees(E(s, d)), "node_id", "left").groupBy("type").agg(F.count("*").alias("n"), F.max("total_degree").alias("max_degree"), F.sum("out_degree").alias("out_edges"), F.sum("in_degree").alias("in_edges")),
+    lambda s, d: N(s, d).join(star.degrees(s, d).drop("type"), "node_id", "left").groupBy("type").agg(F.count("*").alias("n"), F.max("total_degree").alias("max_degree"), F.sum("out_degree").alias("out_edges"), F.sum("in_degree").alias("in_edges")),
     with_(BOTH, "dg AS (SELECT node_id, count(*) FILTER (way = 'out') AS o, count(*) FILTER (way = 'in') AS i, count(DISTINCT other) AS t FROM b GROUP BY node_id)")
     + "SELECT type, count(*) AS n, max(t) AS max_degree, CAST(sum(o) AS BIGINT) AS out_edges, CAST(sum(i) AS BIGINT) AS in_edges FROM n LEFT JOIN dg USING (node_id) GROUP BY type",
 )
-add("node_neighbors", lambda s, d: graph.neighbors(E(s, d), "nation:3"), with_(BOTH) + "SELECT other, bool_or(way = 'out') AS outgoing, bool_or(way = 'in') AS incoming FROM b WHERE node_id = 'nation:3' GROUP BY other")
-add(
-    "neighborhood_induced",
-    lambda s, d: graph.neighborhood(E(s, d), "order:1"),
-    with_(BOTH, "nb AS (SELECT DISTINCT other FROM b WHERE node_id = 'order:1')") + "SELECT * FROM e WHERE src = 'order:1' OR dst = 'order:1' UNION SELECT * FROM e WHERE src IN (SELECT other FROM nb) AND dst IN (SELECT other FROM nb)",
-)
+add("node_neighbors", lambda s, d: graph.neighbors(star.edges_at(s, d, "nation:3"), "nation:3"), with_(BOTH) + "SELECT other, bool_or(way = 'out') AS outgoing, bool_or(way = 'in') AS incoming FROM b WHERE node_id = 'nation:3' GROUP BY other")
 add("induced_subgraph", lambda s, d: graph.induced(E(s, d), N(s, d).filter("type IN ('customer', 'nation', 'region')")), "SELECT * FROM e WHERE src_type IN ('customer', 'nation', 'region') AND dst_type IN ('customer', 'nation', 'region')")
 add("subgraph_one_hop", lambda s, d: graph.one_hop(E(s, d), N(s, d).filter("type = 'region'")), with_(BOTH) + "SELECT node_id FROM n WHERE type = 'region' UNION SELECT other FROM b WHERE t = 'region'")
 add(
@@ -169,18 +163,11 @@ add(
     "SELECT node_id, value FROM n WHERE type = 'nation' UNION ALL SELECT node_id, 'new' FROM n WHERE type IN ('region', 'supplier')",
 )
 add("components", lambda s, d: graph.weak_labels(E(s, d, GEO)).groupBy("component").agg(F.count("*").alias("n")), with_("up AS (SELECT src, dst FROM e WHERE edge_type = 'in_region')", "m AS (SELECT dst AS r, src AS x FROM up UNION SELECT dst, dst FROM up UNION SELECT up.dst, e.src FROM e JOIN up ON e.dst = up.src WHERE e.edge_type = 'in_nation')") + "SELECT component, count(*) AS n FROM (SELECT r, min(x) OVER (PARTITION BY r) AS component FROM m) GROUP BY 1")
-add(
-    "is_tree",
-    lambda s, d: graph.is_tree(N(s, d).filter("type IN ('nation', 'region')"), E(s, d, ("in_region",))),
-    "SELECT count(*) AS n, (SELECT count(*) FROM e WHERE edge_type = 'in_region') AS e, count(*) FILTER (type = 'region') AS components, FALSE AS is_tree FROM n WHERE type IN ('nation', 'region')",
-)
-add("has_cycle", lambda s, d: s.range(1).select(F.lit(graph.has_cycle(E(s, d, ("placed", "contains", "in_nation")))).alias("cyclic")), "SELECT FALSE AS cyclic", False)
 add(
     "reachable_depth",
     lambda s, d: graph.reach(E(s, d, GEO), N(s, d).filter("type = 'customer'"), 2).groupBy("distance").agg(F.count("*").alias("n")),
     "SELECT 0 AS distance, count(*) AS n FROM n WHERE type = 'customer' UNION ALL SELECT 1, count(DISTINCT dst) FROM e WHERE src_type = 'customer' AND edge_type = 'in_nation' UNION ALL SELECT 2, count(DISTINCT y.dst) FROM e x JOIN e y ON x.dst = y.src WHERE x.src_type = 'customer' AND x.edge_type = 'in_nation'",
 )
-add("structural_sample", lambda s, d: graph.display_sample(N(s, d)), "SELECT node_id, type FROM (SELECT *, count(*) OVER (PARTITION BY type) AS c, row_number() OVER (PARTITION BY type ORDER BY node_id) AS k FROM n) WHERE k <= CASE WHEN c < 50 THEN 5 ELSE 3 END")
 
 # --- ontology
 
@@ -212,12 +199,11 @@ add(
 )
 add(
     "relationship_cardinality",
-    lambda s, d: ontology.cardinality(E(s, d)),
+    lambda s, d: star.cardinality(s, d),
     with_("o AS (SELECT src_type, edge_type, dst_type, max(c) AS out_max, round(avg(c), 6) AS out_avg FROM (SELECT src_type, edge_type, dst_type, src, count(DISTINCT dst) AS c FROM e GROUP BY ALL) GROUP BY 1, 2, 3)", "i AS (SELECT src_type, edge_type, dst_type, max(c) AS in_max, round(avg(c), 6) AS in_avg FROM (SELECT src_type, edge_type, dst_type, dst, count(DISTINCT src) AS c FROM e GROUP BY ALL) GROUP BY 1, 2, 3)")
     + "SELECT *, CASE WHEN out_max <= 1 AND in_max <= 1 THEN 'one-to-one' WHEN out_max <= 1 THEN 'one-to-many' WHEN in_max <= 1 THEN 'many-to-one' ELSE 'many-to-many' END AS cardinality FROM o JOIN i USING (src_type, edge_type, dst_type)",
 )
 add("relationship_patterns", lambda s, d: ontology.patterns(E(s, d)), with_(REL, "t AS (SELECT sum(n) AS total FROM r)") + "SELECT src_type, edge_type, dst_type, n, round(n / CAST(total AS DOUBLE), 6) AS share, n >= 0.05 * total AS common FROM r, t")
-add("hierarchical_edges", lambda s, d: ontology.hierarchical(E(s, d)), with_(REL) + "SELECT edge_type, count(DISTINCT src_type) AS source_types, count(DISTINCT dst_type) AS target_types FROM r WHERE edge_type IN ('in_region', 'in_nation', 'contains') GROUP BY 1")
 add("relationship_statistics", lambda s, d: ontology.relationship_statistics(E(s, d)), with_(REL) + "SELECT count(*) AS patterns, count(DISTINCT src_type) AS source_types, count(DISTINCT dst_type) AS target_types, CAST(sum(n) AS BIGINT) AS edges, round(count(*) / CAST(count(DISTINCT src_type) * count(DISTINCT dst_type) AS DOUBLE), 6) AS diversity FROM r")
 add("sequential_ids", lambda s, d: ontology.sequential(P(s, d)), "SELECT type, prop, bool_and(d_val = floor(d_val)) AND count(DISTINCT d_val) = count(*) AND max(d_val) - min(d_val) = count(DISTINCT d_val) - 1 AS sequential FROM p WHERE d_val IS NOT NULL GROUP BY 1, 2")
 add(
@@ -379,7 +365,6 @@ add("sorted_by_children", lambda s, d: views.ordered(N(s, d), E(s, d)), "SELECT
 METHODS = [("file", "extension", "FileExtension"), ("token", "timestamp", "DateDetection"), ("file", "token", "Tokenize"), ("timestamp", "timeline", "Timeline"), ("timeline", "file", "Export")]
 add("process_paths", lambda s, d: views.method_paths(s.createDataFrame(METHODS, "src string, dst string, method string"), 3), "WITH RECURSIVE m(src, dst, method) AS (VALUES ('file', 'extension', 'FileExtension'), ('token', 'timestamp', 'DateDetection'), ('file', 'token', 'Tokenize'), ('timestamp', 'timeline', 'Timeline'), ('timeline', 'file', 'Export')), w AS (SELECT [src, dst] AS nodes, [method] AS methods FROM m UNION ALL SELECT list_append(nodes, dst), list_append(methods, method) FROM w JOIN m ON m.src = nodes[-1] WHERE NOT list_contains(nodes, dst) AND len(methods) < 3) SELECT array_to_string(nodes, '>') AS path, array_to_string(methods, '>') AS methods FROM w", False)
 add("channel_activity", lambda s, d: T(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).groupBy(columns.activity(F.col("n")).alias("activity")).agg(F.count("*").alias("channels")), "SELECT CASE WHEN n <= 2 THEN 'low' WHEN n <= 9 THEN 'medium' ELSE 'high' END AS activity, count(*) AS channels FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) GROUP BY 1", False)
-add("naming_styles", lambda s, d: P(s, d).select("prop").distinct().select("prop", columns.naming_style(F.col("prop")).alias("style")), "SELECT DISTINCT prop, 'snake_case' AS style FROM p")
 add("parse_times", lambda s, d: T(s, d, "orders").select("o_orderkey", columns.parse_time(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("t")), "SELECT o_orderkey, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS t FROM orders", False)
 add("turbofan_downsample", lambda s, d: ingest.every_second(T(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey", ["l_orderkey", "l_linenumber"]).groupBy("l_suppkey").agg(F.count("*").alias("n")), "SELECT l_suppkey, CASE WHEN count(*) > 100 THEN (count(*) + 1) // 2 ELSE count(*) END AS n FROM lineitem GROUP BY 1", False)
 STREAM = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP WITH TIME ZONE) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2"

@@ -79,7 +79,7 @@ def edges(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None
         if types is None or e.edge_type in types:
             keys = table(spark, sf_dir, e.table).select(F.col(e.src[1]).alias("s"), F.col(e.dst[1]).alias("d")).dropna()
             keys = keys.distinct() if e.repeats else keys  # on the keys, before text ids are made
-            found.append(keys.select(node_id(e.src[0], F.col("s")).alias("src"), node_id(e.dst[0], F.col("d")).alias("dst"), F.lit(e.edge_type).alias("edge_type"), F.lit(e.src[0]).alias("src_type"), F.lit(e.dst[0]).alias("dst_type")))
+            found.append(_named(keys, e))
     return union(found)
 
 
@@ -94,6 +94,66 @@ def props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(found)
 
 
+# --- by key: filters and counts on the tables' own keys, before ids are made of them
+
+
+def _key(df: DataFrame, column: str, text: str) -> Column | None:
+    """column = text in the column's own type, which a scan can take over; None if no key reads like that."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind in ("int", "bigint", "smallint"):
+        return F.col(column) == int(text) if text.lstrip("-").isdigit() and str(int(text)) == text else None
+    return F.col(column) == text
+
+
+def edges_at(spark: SparkSession, sf_dir: str, node: str) -> DataFrame:
+    """The distinct edges at one node. Only tables with edges at its type are read, with its key as a filter on the scan."""
+    kind, _, key = node.partition(":")
+    found = []
+    for e in EDGES:
+        t = table(spark, sf_dir, e.table).select(F.col(e.src[1]).alias("s"), F.col(e.dst[1]).alias("d"))
+        keep = [c for c in (_key(t, "s", key) if e.src[0] == kind else None, _key(t, "d", key) if e.dst[0] == kind else None) if c is not None]
+        if keep:
+            keys = t.filter(reduce(lambda a, b: a | b, keep)).dropna()
+            found.append(_named(keys.distinct() if e.repeats else keys, e))
+    return union(found) if found else edges(spark, sf_dir, (EDGES[0].edge_type,)).limit(0)
+
+
+def _named(keys: DataFrame, e: EdgeSource) -> DataFrame:
+    return keys.select(node_id(e.src[0], F.col("s")).alias("src"), node_id(e.dst[0], F.col("d")).alias("dst"), F.lit(e.edge_type).alias("edge_type"), F.lit(e.src[0]).alias("src_type"), F.lit(e.dst[0]).alias("dst_type"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str, e: EdgeSource) -> DataFrame:
+    keys = table(spark, sf_dir, e.table).select(F.col(e.src[1]).cast("long").alias("s"), F.col(e.dst[1]).cast("long").alias("d")).dropna()
+    return keys.distinct() if e.repeats else keys
+
+
+def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node_id, type, out_degree, in_degree, total_degree) on numeric keys. No two types have more than one kind of edge
+    between them, which is checked, so that different edges lead to different neighbours and counts of each kind add up."""
+    ends = [frozenset((e.src[0], e.dst[0])) for e in EDGES]
+    if len(set(ends)) < len(ends) or any(e.src[0] == e.dst[0] for e in EDGES):
+        raise ValueError("neighbours could be counted twice")
+    found = []
+    for e in EDGES:
+        p = _pairs(spark, sf_dir, e)
+        found.append(p.groupBy(F.lit(e.src[0]).alias("type"), F.col("s").alias("k")).agg(F.count("*").alias("o"), F.lit(0).cast("long").alias("i")))
+        found.append(p.groupBy(F.lit(e.dst[0]).alias("type"), F.col("d").alias("k")).agg(F.lit(0).cast("long").alias("o"), F.count("*").alias("i")))
+    g = union(found).groupBy("type", "k").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    return g.select(F.concat_ws(":", "type", F.col("k").cast("string")).alias("node_id"), "type", "out_degree", "in_degree", (F.col("out_degree") + F.col("in_degree")).alias("total_degree"))
+
+
+def cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per relationship the greatest and mean numbers of targets per source and sources per target, on numeric keys."""
+    found = []
+    for e in EDGES:
+        p = _pairs(spark, sf_dir, e)
+        out = p.groupBy("s").agg(F.count("*").alias("c")).agg(F.max("c").alias("out_max"), F.round(F.avg("c"), 6).alias("out_avg"))
+        into = p.groupBy("d").agg(F.count("*").alias("c")).agg(F.max("c").alias("in_max"), F.round(F.avg("c"), 6).alias("in_avg"))
+        found.append(out.crossJoin(into).select(F.lit(e.src[0]).alias("src_type"), F.lit(e.edge_type).alias("edge_type"), F.lit(e.dst[0]).alias("dst_type"), "out_max", "out_avg", "in_max", "in_avg"))  # one row each
+    o, i = F.col("out_max") <= 1, F.col("in_max") <= 1
+    return union(found).filter("out_max IS NOT NULL").withColumn("cardinality", F.when(o & i, "one-to-one").when(o, "one-to-many").when(i, "many-to-one").otherwise("many-to-many"))
+
+
 # --- the same three relations as SQL, for oracles
 
 
