@@ -82,13 +82,6 @@ def channels(tokens: DataFrame) -> DataFrame:
     return x.groupBy("channel_id", "reactor", "confidence").agg(F.count("*").alias("n"))
 
 
-def reactor_scores(found: DataFrame) -> DataFrame:
-    """channels() -> share of channels that fit each reactor, half of its evidence, and whether that passes alone."""
-    n = found.agg(F.count("*").alias("total"))
-    g = found.filter(F.col("reactor").isin("CANDU", "AGR")).groupBy("reactor").agg(F.count("*").alias("fit"))
-    return g.join(F.broadcast(n)).select("reactor", "fit", F.round(0.5 * F.col("fit") / F.col("total"), 6).alias("evidence"))
-
-
 def letter_grid(spark: SparkSession) -> DataFrame:
     """Positions of the letter grid without its excluded corners."""
     rows = spark.range(len(ROW_LETTERS)).select(F.substring(F.lit(ROW_LETTERS), F.col("id").cast("int") + 1, F.lit(1)).alias("letter"), F.col("id").alias("row"))
@@ -103,21 +96,3 @@ def even_grid(spark: SparkSession) -> DataFrame:
     rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in even])).alias("row"))
     x = rows.select("row", F.explode(F.array(*[F.lit(c) for c in even])).alias("column"))
     return x.select(F.format_string("%02d%02d", "row", "column").alias("channel_id"), "row", "column")
-
-
-def positions(found: DataFrame) -> DataFrame:
-    """channel_id of the letter grid -> grid place, distance from the centre, quadrant, 7 x 7 assembly."""
-    row = F.expr(f"locate(substring(channel_id, 1, 1), '{ROW_LETTERS}') - 1")
-    col = F.substring("channel_id", 2, 3).cast("int") - 1
-    x = found.select("channel_id", row.alias("y"), col.alias("x")).filter((F.col("y") >= 0) & (F.col("y") < GRID_HEIGHT) & (F.col("x") >= 0) & (F.col("x") < GRID_WIDTH))
-    d = F.sqrt(F.pow(F.col("x") - GRID_WIDTH / 2, 2) + F.pow(F.col("y") - GRID_HEIGHT / 2, 2))
-    sector = F.concat(F.when(F.col("y") < GRID_HEIGHT / 2, "N").otherwise("S"), F.when(F.col("x") < GRID_WIDTH / 2, "W").otherwise("E"))
-    return x.select("channel_id", "x", "y", F.bround(d, 2).alias("distance"), sector.alias("sector"), (F.floor(F.col("y") / 7) * 4 + F.floor(F.col("x") / 7)).cast("int").alias("assembly"))
-
-
-def validation(found: DataFrame) -> DataFrame:
-    """channel_id -> checks passed of three (pattern, letter in the grid, not excluded), valid if the pattern holds."""
-    c = F.col("channel_id")
-    pattern, letter, place = c.rlike(LETTER_CHANNEL), F.contains(F.lit(ROW_LETTERS), F.substring(c, 1, 1)), ~c.isin(*EXCLUDED)
-    passed = pattern.cast("int") + letter.cast("int") + place.cast("int")
-    return found.select("channel_id", passed.alias("passed"), F.round(passed / 3, 4).alias("score"), F.when(~pattern, "invalid").when(passed == 3, "valid").otherwise("warning").alias("status"))

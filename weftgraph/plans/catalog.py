@@ -312,14 +312,11 @@ def _channel_tokens(s: SparkSession, d: str) -> DataFrame:
 
 CHN = "WITH tk AS (SELECT unnest([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(p_partkey % 26 + 1 AS INT), 1) || lpad(CAST((p_partkey // 26) % 30 AS VARCHAR), 2, '0'), lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0')]) AS token FROM part), ch AS (SELECT token AS channel_id, CASE WHEN regexp_matches(token, '^[A-Y](?:0[1-9]|1[0-9]|2[0-5])$') THEN 'CANDU' WHEN regexp_matches(token, '^(?:0[2-9]|[1-4][0-9]|5[2-9]|[6-9][0-9])(?:[0-9][0-9])$') THEN 'AGR' WHEN regexp_matches(token, '^[A-Z]\\d{2,3}$') THEN 'letter' ELSE 'digits' END AS reactor, count(*) AS n FROM tk GROUP BY 1, 2) "
 add("channel_detect", lambda s, d: enrich.channels(_channel_tokens(s, d)), CHN + "SELECT channel_id, reactor, CASE WHEN reactor IN ('CANDU', 'AGR') THEN 0.95::DOUBLE WHEN reactor = 'letter' THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS confidence, n FROM ch", False)
-add("reactor_score", lambda s, d: enrich.reactor_scores(enrich.channels(_channel_tokens(s, d))), CHN + "SELECT reactor, count(*) AS fit, round(0.5 * count(*) / CAST((SELECT count(*) FROM ch) AS DOUBLE), 6) AS evidence FROM ch WHERE reactor IN ('CANDU', 'AGR') GROUP BY 1", False)
 LET = "'ABCDEFGHJKLMNPQRSTUVWXY'"
 EXC = "('A01', 'A02', 'A23', 'A24', 'Y01', 'Y02', 'Y23', 'Y24')"
 GRID = f"gr AS (SELECT substr({LET}, CAST(r + 1 AS INT), 1) || lpad(CAST(c AS VARCHAR), 2, '0') AS channel_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS column FROM range(0, 23) a(r), range(1, 26) b(c))"
 add("grid_letters", lambda s, d: enrich.letter_grid(s), f"WITH {GRID} SELECT channel_id, row, \"column\" FROM gr WHERE channel_id NOT IN {EXC}", False)
 add("grid_even", lambda s, d: enrich.even_grid(s), "SELECT lpad(CAST(r AS VARCHAR), 2, '0') || lpad(CAST(c AS VARCHAR), 2, '0') AS channel_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS \"column\" FROM range(2, 99, 2) a(r), range(2, 99, 2) b(c) WHERE r <> 50 AND c <> 50", False)
-add("channel_position", lambda s, d: enrich.positions(enrich.channels(_channel_tokens(s, d)).filter("reactor = 'CANDU'")), CHN + f", q AS (SELECT channel_id, CAST(instr({LET}, channel_id[1:1]) - 1 AS INTEGER) AS y, CAST(channel_id[2:3] AS INTEGER) - 1 AS x FROM ch WHERE reactor = 'CANDU') SELECT channel_id, x, y, round_even(sqrt((x - 12.0::DOUBLE) ** 2 + (y - 12.5::DOUBLE) ** 2), 2) AS distance, CASE WHEN y < 12.5 THEN 'N' ELSE 'S' END || CASE WHEN x < 12 THEN 'W' ELSE 'E' END AS sector, CAST((y // 7) * 4 + x // 7 AS INTEGER) AS assembly FROM q WHERE y >= 0 AND x >= 0 AND x < 24", False)
-add("channel_validate", lambda s, d: enrich.validation(enrich.channels(_channel_tokens(s, d))), CHN + f", q AS (SELECT channel_id, regexp_matches(channel_id, '^[A-Y](?:0[1-9]|1[0-9]|2[0-5])$') AS a, contains({LET}, channel_id[1:1]) AS b, channel_id NOT IN {EXC} AS c FROM ch) SELECT channel_id, a::INT + b::INT + c::INT AS passed, round((a::INT + b::INT + c::INT) / 3.0::DOUBLE, 4) AS score, CASE WHEN NOT a THEN 'invalid' WHEN a AND b AND c THEN 'valid' ELSE 'warning' END AS status FROM q", False)
 
 # --- propagation
 
@@ -361,7 +358,6 @@ add("categorization", lambda s, d: views.categories(N(s, d), P(s, d), E(s, d)),
 add("measurement_ranges", lambda s, d: views.ranges(P(s, d)), with_("q AS (SELECT type, prop, d_val, min(d_val) OVER (PARTITION BY type, prop) AS a, max(d_val) OVER (PARTITION BY type, prop) AS b FROM p WHERE d_val IS NOT NULL)") + "SELECT type, prop, CAST(CASE WHEN a = b THEN 0 ELSE least(3, floor((d_val - a) * 4 / (b - a))) END AS INTEGER) AS part, count(*) AS n FROM q GROUP BY 1, 2, 3")
 add("value_samples", lambda s, d: views.value_samples(P(s, d)), with_("q AS (SELECT type, prop, quantile_cont(d_val, [0.0, 0.25, 0.5, 0.75, 1.0]) AS v FROM p WHERE d_val IS NOT NULL GROUP BY 1, 2)") + "SELECT type, prop, CAST(i - 1 AS INTEGER) AS i, round(v[i], 4) AS value FROM (SELECT type, prop, v, unnest([1, 2, 3, 4, 5]) AS i FROM q)")
 add("parent_context", lambda s, d: views.parents(E(s, d, ("in_nation", "in_region")), ("in_nation", "in_region")), "SELECT src AS node_id, dst AS parent, 1 AS level FROM e WHERE edge_type = 'in_nation' UNION ALL SELECT x.src, y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.edge_type = 'in_nation' AND y.edge_type = 'in_region'")
-add("sorted_by_children", lambda s, d: views.ordered(N(s, d), E(s, d)), "SELECT type, node_id, children, row_number() OVER (PARTITION BY type ORDER BY children DESC, node_id) AS place FROM (SELECT dst AS node_id, count(*) AS children FROM e GROUP BY 1) JOIN n USING (node_id) QUALIFY place <= 10")
 METHODS = [("file", "extension", "FileExtension"), ("token", "timestamp", "DateDetection"), ("file", "token", "Tokenize"), ("timestamp", "timeline", "Timeline"), ("timeline", "file", "Export")]
 add("process_paths", lambda s, d: views.method_paths(s.createDataFrame(METHODS, "src string, dst string, method string"), 3), "WITH RECURSIVE m(src, dst, method) AS (VALUES ('file', 'extension', 'FileExtension'), ('token', 'timestamp', 'DateDetection'), ('file', 'token', 'Tokenize'), ('timestamp', 'timeline', 'Timeline'), ('timeline', 'file', 'Export')), w AS (SELECT [src, dst] AS nodes, [method] AS methods FROM m UNION ALL SELECT list_append(nodes, dst), list_append(methods, method) FROM w JOIN m ON m.src = nodes[-1] WHERE NOT list_contains(nodes, dst) AND len(methods) < 3) SELECT array_to_string(nodes, '>') AS path, array_to_string(methods, '>') AS methods FROM w", False)
 add("channel_activity", lambda s, d: T(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).groupBy(columns.activity(F.col("n")).alias("activity")).agg(F.count("*").alias("channels")), "SELECT CASE WHEN n <= 2 THEN 'low' WHEN n <= 9 THEN 'medium' ELSE 'high' END AS activity, count(*) AS channels FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) GROUP BY 1", False)
