@@ -139,14 +139,54 @@ def string_affixes(props: DataFrame, least: float = 0.8, longest: int = 9) -> Da
     return best.select("type", "prop", "what", "b.x", "b.n")
 
 
-def regex_by_position(props: DataFrame, longest: int = 20, least: int = 3) -> DataFrame:
-    """A pattern for text properties whose values have one length: a class or literal for each place."""
-    p = props.filter("d_val IS NULL").select("type", "prop", "s_val").distinct()
-    fit = p.groupBy("type", "prop").agg(F.min(F.length("s_val")).alias("lo"), F.max(F.length("s_val")).alias("hi"), F.count("*").alias("n")).filter((F.col("lo") == F.col("hi")) & (F.col("hi") <= longest) & (F.col("n") >= least))
-    chars = p.join(F.broadcast(fit.select("type", "prop")), ["type", "prop"]).select("type", "prop", F.posexplode(F.split("s_val", "")).alias("i", "c")).filter("c <> ''")
-    each = chars.groupBy("type", "prop", "i").agg(F.count_distinct("c").alias("k"), F.min("c").alias("c"), F.bool_and(F.col("c").rlike("[0-9]")).alias("d"), F.bool_and(F.col("c").rlike("[A-Z]")).alias("u"), F.bool_and(F.col("c").rlike("[a-z]")).alias("l"), F.bool_and(F.col("c").rlike("[A-Za-z]")).alias("a"))
-    part = F.when(F.col("d"), "\\d").when(F.col("u"), "[A-Z]").when(F.col("l"), "[a-z]").when(F.col("a"), "[A-Za-z]").when(F.col("k") == 1, F.col("c")).otherwise(".")
-    return each.groupBy("type", "prop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("x")))), lambda t: t["x"]), "").alias("pattern"))
+#: Templates of texts whose lengths differ, and what the first of them begin like.
+TEMPLATES = (
+    (r"^\d{4}-\d{2}-\d{2}", r"^\d{4}-\d{2}-\d{2}$"),
+    (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
+    (r"^https?://\S+", r"^https?://\S+$"),
+)
+
+
+def regexes(props: DataFrame, longest: int = 20, least: int = 3, first: int = 10) -> DataFrame:
+    """(type, prop, pattern) of properties of `least` values or more: of values of one length up to `longest`, a class or the
+    character itself for each place; of others, the first template that the `first` values by node_id all begin like."""
+    p = props.select("type", "prop", "node_id", "s_val")
+    g = p.groupBy("type", "prop").agg(F.min(F.length("s_val")).alias("lo"), F.max(F.length("s_val")).alias("hi"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    same = F.broadcast(g.filter((F.col("lo") == F.col("hi")) & (F.col("hi") <= longest)).select("type", "prop"))
+    # each place's different characters, not each value's places, are what is kept
+    chars = p.join(same, ["type", "prop"]).select("type", "prop", F.posexplode(F.split("s_val", "")).alias("i", "c")).filter("c <> ''")
+    each = chars.groupBy("type", "prop", "i").agg(F.count_distinct("c").alias("k"), F.min("c").alias("c"), *[F.bool_and(F.col("c").rlike(x)).alias(n) for n, x in (("d", r"\d"), ("u", r"\p{Lu}"), ("l", r"\p{Ll}"), ("a", r"\p{L}"))])
+    one = F.when(F.col("c").isin(*"-/:.$^*+?()[]{}\\|"), F.concat(F.lit("\\"), F.col("c"))).otherwise(F.col("c"))
+    part = F.when(F.col("d"), "\\d").when(F.col("u"), "[A-Z]").when(F.col("l"), "[a-z]").when(F.col("a"), "[A-Za-z]").when(F.col("k") == 1, one).otherwise(".")
+    placed = each.groupBy("type", "prop").agg(F.concat(F.lit("^"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("x")))), lambda t: t["x"]), ""), F.lit("$")).alias("pattern"))
+    some = p.join(F.broadcast(g.select("type", "prop")), ["type", "prop"]).withColumn("k", F.row_number().over(W.partitionBy("type", "prop").orderBy("node_id", "s_val"))).filter(F.col("k") <= first)
+    fits = some.groupBy("type", "prop").agg(*[F.bool_and(F.col("s_val").rlike(x)).alias(f"t{i}") for i, (x, _) in enumerate(TEMPLATES)]).join(same, ["type", "prop"], "left_anti")
+    template = F.coalesce(*[F.when(F.col(f"t{i}"), F.lit(x)) for i, (_, x) in enumerate(TEMPLATES)])
+    return placed.union(fits.select("type", "prop", template)).filter("pattern IS NOT NULL")
+
+
+def value_correlations(props: DataFrame, least: float = 0.6, pairs: int = 5) -> DataFrame:
+    """(type, a, b, similarity) of text properties a and others b that stand together in `pairs` nodes or more, whose values are
+    alike by more than that on average: 1 if equal, .5 if one begins the other, .8 if equal but for case, .3 if one is in the
+    other. Pairs are made within a node."""
+    text = props.filter("d_val IS NULL").select("type", F.col("prop").alias("a")).distinct()
+    per = props.groupBy("type", "node_id").agg(F.collect_list(F.struct(F.col("prop").alias("p"), F.col("s_val").alias("v"))).alias("ps"))
+    each = per.select("type", F.explode("ps").alias("m"), "ps").select("type", "m", F.explode("ps").alias("o")).filter("m.p <> o.p")
+    v, w = F.col("m.v"), F.col("o.v")
+    alike = F.when(v == w, 1.0).when(v.startswith(w) | w.startswith(v), 0.5).when(F.lower(v) == F.lower(w), 0.8).when(F.contains(v, w) | F.contains(w, v), 0.3).otherwise(0.0)
+    g = each.select("type", F.col("m.p").alias("a"), F.col("o.p").alias("b"), alike.alias("s")).join(F.broadcast(text), ["type", "a"], "left_semi").groupBy("type", "a", "b").agg(F.avg("s").alias("s"), F.count("*").alias("n"))
+    return g.filter((F.col("n") >= pairs) & (F.col("s") > least)).select("type", "a", "b", F.round("s", 6).alias("similarity"))
+
+
+def diverse_samples(props: DataFrame, limit: int = 10) -> DataFrame:
+    """(type, prop, s_val): all different values of a property of up to `limit`; of others the least, the greatest and evenly
+    spaced ones between, numbers in order of size."""
+    d = props.select("type", "prop", "s_val", "d_val").distinct()
+    w = W.partitionBy("type", "prop")
+    x = d.withColumn("i", F.row_number().over(w.orderBy("d_val", "s_val")) - 1).withColumn("n", F.count("*").over(w))
+    step = F.col("n") / (limit - 2)
+    at = F.array(*[F.floor(step * k) for k in range(1, limit - 1)])
+    return x.filter((F.col("n") <= limit) | (F.col("i") == 0) | (F.col("i") == F.col("n") - 1) | F.array_contains(F.filter(at, lambda k: k < F.col("n")), F.col("i").cast("long"))).select("type", "prop", "s_val")
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:

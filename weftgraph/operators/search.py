@@ -146,3 +146,68 @@ def walk(steps: DataFrame, start: str, most: int = 20) -> DataFrame:
         now = now.join(steps, F.col("node") == F.col("src")).groupBy().agg(F.min("dst").alias("node")).filter("node IS NOT NULL").select(F.lit(i).alias("step"), "node")
         found = found.union(now)
     return found
+
+
+# --- commands
+
+
+def command(text: str, nodes: DataFrame, edges: DataFrame, node_texts: DataFrame, edge_texts: DataFrame) -> DataFrame:
+    """What a line asks for, as rows (name, detail): help; nodes [part of a type]; methods; method <id>; validations; warnings;
+    insights; connections <id>; timeline; search <words>. Anything else is searched for."""
+    from . import methods
+
+    spark = nodes.sparkSession
+    word, _, rest = text.strip().partition(" ")
+    word, rest = word.lower(), rest.strip()
+    told = status(nodes.withColumnRenamed("node_id", "id"))
+    row = lambda df, a, b: df.select(F.col(a).alias("name"), F.col(b).cast("string").alias("detail"))
+    if word == "help":
+        said = {"nodes [type]": "counts by type", "methods": "instances of methods", "method <id>": "what a method made", "validations": "counts by status", "warnings": "nodes with warnings", "insights": "how methods fared", "connections <id>": "neighbours", "timeline": "timestamps in order", "search <words>": "nodes and edges"}
+        return spark.createDataFrame(list(said.items()), "name string, detail string")
+    if word == "nodes":
+        from .graph import type_counts
+
+        return row(type_counts(nodes, rest), "type", "n")
+    if word == "methods":
+        return row(nodes.filter(F.col("type").endswith("Method")), "node_id", "type")
+    if word == "method":
+        return row(edges.filter((F.col("src") == rest) & (F.col("edge_type") == "produces")), "dst", "edge_type")
+    if word == "validations":
+        return row(told.groupBy("resolved").agg(F.count("*").alias("n")), "resolved", "n")
+    if word == "warnings":
+        return row(told.filter("warns"), "id", "resolved")
+    if word == "insights":
+        return row(methods.method_insights(nodes, edges), "method", "outputs")
+    if word == "connections":
+        from .graph import neighbors
+
+        return row(neighbors(edges, rest), "other", "outgoing")
+    if word == "timeline":
+        return row(nodes.filter("type = 'Timestamp'").orderBy("value", "node_id"), "node_id", "value")
+    query = rest if word == "search" else text
+    return row(search(nodes, edges, node_texts, edge_texts, query), "id", "similarity")
+
+
+def details(texts: DataFrame) -> DataFrame:
+    """texts(id, text) of `key: value` parts -> (id, type, value, date, location, relation): what an answer says of a node, each
+    the first that the text has."""
+    of = lambda key: F.nullif(F.trim(F.regexp_extract("text", rf"(?i)(?:^|\| )\s*{key}: ([^|]+)", 1)), F.lit(""))
+    date = F.nullif(F.regexp_extract("text", r"(\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?)", 1), F.lit(""))
+    return texts.select("id", of("type").alias("type"), of("value").alias("value"), date.alias("date"), of("location").alias("location"), of("edge_type").alias("relation"))
+
+
+# --- vectors that are kept
+
+
+def save_vectors(vectors: DataFrame, folder: str, graph: str) -> None:
+    """vectors(id, embedding) of a graph, in place of those that are kept of it."""
+    vectors.select("id", "embedding").write.mode("overwrite").parquet(f"{folder}/{graph}")
+
+
+def kept_vectors(spark, folder: str, graph: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{graph}")
+
+
+def vectors_info(vectors: DataFrame) -> DataFrame:
+    """One row: how many vectors there are, of how many components at least and at most."""
+    return vectors.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"))

@@ -6,11 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.columns import parse_time
+
 KEY = ["asset", "sensor"]
 #: Change of the mean, in percent, beyond which each label holds.
 TREND_LABELS = ((10.0, "strong"), (2.0, "moderate"), (0.5, "slight"))
 #: Calendar levels and their seconds.
 LEVELS = (("individual", 0), ("minute", 60), ("hour", 3_600), ("day", 86_400), ("week", 604_800), ("month", 2_592_000), ("quarter", 7_776_000))
+#: The range and unit of each sensor of the turbofan by name, of categories by type, and defaults.
+SPECIFIED = {
+    "T2": (515.0, 525.0, "°R"), "T24": (630.0, 650.0, "°R"), "P2": (14.0, 15.0, "psia"), "P15": (20.0, 23.0, "psia"), "P30": (550.0, 560.0, "psia"), "PS30": (45.0, 50.0, "psia"), "NF": (2300.0, 2500.0, "rpm"),
+    "NC": (8000.0, 10000.0, "rpm"), "NRF": (2380.0, 2390.0, "rpm"), "NF_DMD": (2200.0, 2600.0, "rpm"), "EPR": (1.2, 1.8, "ratio"), "BPR": (5.0, 12.0, "ratio"), "PCNFR_DMD": (80.0, 105.0, "%"), "W31": (30.0, 50.0, "lbm/s"),
+    "FARB": (0.02, 0.05, "ratio"), "HTBLEED": (350.0, 450.0, "°R"), "T30": (1580.0, 1605.0, "°R"), "T50": (1390.0, 1425.0, "°R"), "NRC": (8115.0, 8150.0, "rpm"), "W32": (23.0, 24.5, "lbm/s"), "PHI": (520.0, 525.5, "deg"),
+}
+CATEGORIES = {"temperature": (60.0, 90.0, "°C"), "pressure": (1.0, 10.0, "bar"), "speed": (0.0, 5000.0, "rpm")}
+DEFAULTS = {
+    "T2": (515.0, 525.0, "°R"), "P2": (14.0, 15.0, "psia"), "NF": (2300.0, 2500.0, "rpm"), "RATIO_SENSOR": (0.5, 2.0, "ratio"), "FLOW_SENSOR": (10.0, 100.0, "kg/s"), "BLEED_SENSOR": (0.0, 5.0, "kg/s"),
+    "VIBRATION_SENSOR": (0.0, 10.0, "mm/s"), "TEMPERATURE": (60.0, 90.0, "°C"), "PRESSURE": (1.0, 10.0, "bar"), "SPEED": (0.0, 5000.0, "rpm"),
+}
+DEFAULT_OF = {"TEMPERATURE": "TEMPERATURE", "PRESSURE": "PRESSURE", "SPEED": "SPEED", "RATIO": "RATIO_SENSOR", "FLOW": "FLOW_SENSOR", "BLEED": "BLEED_SENSOR", "VIBRATION": "VIBRATION_SENSOR"}
 #: Sensors that weigh more.
 CRITICAL_SENSORS = ("T30", "T50", "P30")
 
@@ -115,6 +129,28 @@ def lines(series: DataFrame) -> DataFrame:
     return x.groupBy("sensor").agg(F.count("*").alias("n"), F.round(F.regr_slope("value", "s"), 9).alias("slope"), F.round(F.regr_intercept("value", "s"), 5).alias("intercept"))
 
 
+def bounds_of(sensors: DataFrame) -> DataFrame:
+    """sensors(sensor, type, sensor_type, low, high; text and numbers, any null) -> (sensor, low, high, unit, source): its own
+    range if it has both ends, else that of its name, of the category in its type, or a default by its sensor type or type.
+    Sensors that no rule knows have no row."""
+    spec = F.element_at(F.create_map(*[x for k, v in SPECIFIED.items() for x in (F.lit(k), _range(*v))]), F.upper("sensor"))
+    kind, default = F.lower(F.coalesce("type", F.lit(""))), F.element_at(F.create_map(*[x for k, v in DEFAULTS.items() for x in (F.lit(k), _range(*v))]), F.upper(F.coalesce("sensor_type", F.lit(""))))
+    none = F.lit(None).cast("struct<low:double,high:double,unit:string>")
+    category, by_type, named, typed = none, none, F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, v in reversed(CATEGORIES.items()):
+        category, named = F.when(F.contains(kind, F.lit(k)), _range(*v)).otherwise(category), F.when(F.contains(kind, F.lit(k)), F.lit(k)).otherwise(named)
+    for k, key in reversed(DEFAULT_OF.items()):
+        by_type, typed = F.when(F.contains(kind, F.lit(k.lower())), _range(*DEFAULTS[key])).otherwise(by_type), F.when(F.contains(kind, F.lit(k.lower())), F.lit(k)).otherwise(typed)
+    own = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), F.struct("low", "high", F.lit("unknown").alias("unit")))
+    found = F.coalesce(own, spec, category, default, by_type)
+    source = F.when(own.isNotNull(), F.concat(F.lit("own_"), F.coalesce("sensor_type", "type", F.lit("unknown")))).when(spec.isNotNull(), F.concat(F.upper("sensor"), F.lit("_specification"))).when(category.isNotNull(), F.concat(named, F.lit("_generic_bounds"))).when(default.isNotNull(), F.concat(F.lit("default_bounds_"), F.upper("sensor_type"))).otherwise(F.concat(F.lit("default_bounds_"), typed))
+    return sensors.select("sensor", found.alias("b"), source.alias("source")).filter("b IS NOT NULL").select("sensor", "b.low", "b.high", "b.unit", "source")
+
+
+def _range(low: float, high: float, unit: str) -> Column:
+    return F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(unit).alias("unit"))
+
+
 def bounds_check(series: DataFrame, bounds: DataFrame) -> DataFrame:
     """bounds(sensor, low, high) -> each reading's status and how far it is from the nearest bound."""
     x = series.join(F.broadcast(bounds), "sensor")
@@ -239,6 +275,32 @@ def timeline(items: DataFrame) -> DataFrame:
     return x.join(F.broadcast(before.select("d", "before")), "d").select("name", "category", "t", (F.col("before") + F.col("k") - 1).cast("long").alias("position"))
 
 
+#: Names of properties that hold a time, and what a text with a time looks like.
+TIMES = ("execution_time", "created", "last_updated", "modified", "timestamp", "date", "time", "datetime", "created_at", "updated_at", "executed_at")
+LOOKS = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}|\d{2}/\d{2}/\d{4}|\d{4}/\d{2}/\d{2}"
+
+
+def temporal_events(nodes: DataFrame, props: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, category, t, source) of everything in a graph that has a time: measurements by the year of their timestamp
+    (January 1), objects by the years that they were created (January 1) and destroyed (December 31), validation results
+    (June 15), nodes that a has_timestamp edge leads from, by that timestamp's value, and text properties that are named for a
+    time or look like one. Attributes one level down are properties named `attributes.` and the key."""
+    year = lambda month, day: F.make_timestamp_ntz(F.col("d_val").cast("int"), F.lit(month), F.lit(day), F.lit(0), F.lit(0), F.lit(0))
+    key = F.element_at(F.split(F.lower("prop"), r"\."), -1)
+    number = props.filter("d_val IS NOT NULL AND d_val BETWEEN 1 AND 9999")
+    rows = lambda df, category, t, source: df.select(F.col("node_id").alias("name"), F.lit(category).alias("category"), t.alias("t"), F.lit(source).alias("source"))
+    found = rows(number.filter((F.col("type") == "measurement") & (F.col("prop") == "timestamp")), "measurement", year(1, 1), "measurement_timestamp")
+    found = found.union(rows(number.filter((F.col("type") == "object") & (F.col("prop") == "created")), "object_creation", year(1, 1), "object_lifecycle"))
+    found = found.union(rows(number.filter((F.col("type") == "object") & (F.col("prop") == "destroyed")), "object_destruction", year(12, 31), "object_lifecycle"))
+    found = found.union(rows(number.filter((F.col("type") == "ValidationResult") & (key == "timestamp")), "validation_event", year(6, 15), "validation_result"))
+    stamps = nodes.filter("type = 'Timestamp'").select(F.col("node_id").alias("dst"), parse_time(F.col("value")).alias("t"))
+    linked = edges.filter("edge_type = 'has_timestamp'").select("src", "dst").join(stamps, "dst").join(nodes.select(F.col("node_id").alias("src"), "type"), "src")
+    found = found.union(linked.select("src", "type", "t", F.lit("timestamp_node")))
+    text = props.filter(F.col("d_val").isNull() & (key.isin(*TIMES) | F.contains(key, F.lit("time")) | F.contains(key, F.lit("date")) | ((F.length("s_val") >= 10) & F.col("s_val").rlike(LOOKS))))
+    source = F.when(F.col("prop").startswith("attributes."), "attribute_property").otherwise("direct_property")
+    return found.union(text.select("node_id", "type", parse_time(F.col("s_val")), source)).filter("t IS NOT NULL")
+
+
 def overlaps(spans: DataFrame, width: int = 1) -> DataFrame:
     """spans(asset, created, destroyed) -> pairs of assets (a < b) with max(created) < min(destroyed), from when to when.
 

@@ -40,12 +40,6 @@ def ranges(props: DataFrame, parts: int = 4) -> DataFrame:
     return x.withColumn("part", k).groupBy("type", "prop", "part").agg(F.count("*").alias("n"))
 
 
-def value_samples(props: DataFrame, k: int = 5) -> DataFrame:
-    """Least and greatest value of a numeric property and evenly spaced ones between, by percentile."""
-    p = props.filter("d_val IS NOT NULL").groupBy("type", "prop").agg(F.percentile("d_val", F.array(*[F.lit(i / (k - 1)) for i in range(k)])).alias("v"))
-    return p.select("type", "prop", F.posexplode("v").alias("i", "value")).withColumn("value", F.round("value", 4))
-
-
 def parents(edges: DataFrame, rules: tuple[str, ...]) -> DataFrame:
     """(node_id, parent, level): up through edges of the given types, one level for each."""
     now, found = None, None

@@ -219,12 +219,6 @@ add(
     with_("z AS (SELECT type, prop, s_val, count(*) OVER (PARTITION BY type, prop) AS total FROM p WHERE d_val IS NULL)", "k AS (SELECT unnest(generate_series(1, 9)) AS k)", r"u AS (SELECT type, prop, total, 'capitalization' AS what, CASE WHEN regexp_matches(s_val, '\p{Ll}') AND NOT regexp_matches(s_val, '\p{Lu}') THEN 'all_lowercase' WHEN regexp_matches(s_val, '\p{Lu}') AND NOT regexp_matches(s_val, '\p{Ll}') THEN 'all_uppercase' WHEN NOT regexp_matches(s_val, '(^|\P{L})\p{Ll}') AND NOT regexp_matches(s_val, '\p{L}\p{Lu}') THEN 'title_case' WHEN regexp_matches(s_val, '^\p{Lu}\P{Lu}*$') THEN 'sentence_case' ELSE 'mixed_case' END AS x FROM z UNION ALL SELECT type, prop, total, 'prefix', left(s_val, k) FROM z, k WHERE k * 2 <= length(s_val) UNION ALL SELECT type, prop, total, 'suffix', right(s_val, k) FROM z, k WHERE k * 2 <= length(s_val))")
     + "SELECT type, prop, what, x, n FROM (SELECT type, prop, what, x, count(*) AS n FROM u GROUP BY type, prop, what, x HAVING count(*) >= 0.8 * any_value(total)) QUALIFY row_number() OVER (PARTITION BY type, prop, what ORDER BY n DESC, length(x)) = 1",
 )
-add(
-    "regex_synthesis",
-    lambda s, d: ontology.regex_by_position(P(s, d)),
-    with_("v AS (SELECT DISTINCT type, prop, s_val FROM p WHERE d_val IS NULL)", "fit AS (SELECT type, prop FROM v GROUP BY 1, 2 HAVING min(length(s_val)) = max(length(s_val)) AND max(length(s_val)) <= 20 AND count(*) >= 3)", "ch AS (SELECT type, prop, i, s_val[i] AS c FROM (SELECT type, prop, s_val, unnest(generate_series(1, length(s_val))) AS i FROM v JOIN fit USING (type, prop)))", "g AS (SELECT type, prop, i, CASE WHEN bool_and(regexp_matches(c, '[0-9]')) THEN '\\d' WHEN bool_and(regexp_matches(c, '[A-Z]')) THEN '[A-Z]' WHEN bool_and(regexp_matches(c, '[a-z]')) THEN '[a-z]' WHEN bool_and(regexp_matches(c, '[A-Za-z]')) THEN '[A-Za-z]' WHEN count(DISTINCT c) = 1 THEN min(c) ELSE '.' END AS x FROM ch GROUP BY 1, 2, 3)")
-    + "SELECT type, prop, string_agg(x, '' ORDER BY i) AS pattern FROM g GROUP BY 1, 2",
-)
 
 
 add("dangling_edges", lambda s, d: ontology.dangling(N(s, d).filter("node_id <> 'region:1'"), E(s, d)), "SELECT src, dst, edge_type FROM e WHERE dst = 'region:1'")
@@ -356,7 +350,6 @@ add("naming_score_full", lambda s, d: views.naming(N(s, d), P(s, d)), with_(PC,
 add("hierarchy_buckets", lambda s, d: views.hierarchy_buckets(E(s, d)), "SELECT CASE WHEN contains(edge_type, 'contains') OR contains(edge_type, 'has') OR contains(edge_type, 'in_') THEN 'containment' WHEN edge_type = 'placed' THEN 'ownership' WHEN edge_type = 'supplies' THEN 'supply' ELSE 'other' END AS kind, edge_type, count(*) AS n FROM e GROUP BY 1, 2")
 add("categorization", lambda s, d: views.categories(N(s, d), P(s, d), E(s, d)), with_(REL, "rt AS (SELECT type, count(*) AS relationships FROM (SELECT src_type AS type, edge_type, src_type, dst_type FROM r UNION SELECT dst_type, edge_type, src_type, dst_type FROM r) GROUP BY 1)", "ns AS (SELECT type, round(count(*) FILTER (k) / CAST(count(*) AS DOUBLE), 6) AS numeric_share FROM (SELECT type, prop, bool_or(d_val IS NOT NULL) AS k FROM p GROUP BY 1, 2) GROUP BY 1)", "ty AS (SELECT DISTINCT type FROM n)", "z AS (SELECT type, coalesce(relationships, 0) AS relationships, coalesce(numeric_share, 0.0::DOUBLE) AS numeric_share FROM ty LEFT JOIN rt USING (type) LEFT JOIN ns USING (type))") + "SELECT *, CAST(CASE WHEN relationships > 2 THEN 2 ELSE 0 END + CASE WHEN numeric_share > 0.3 THEN 1 ELSE 0 END AS INTEGER) AS score FROM z")
 add("measurement_ranges", lambda s, d: views.ranges(P(s, d)), with_("q AS (SELECT type, prop, d_val, min(d_val) OVER (PARTITION BY type, prop) AS a, max(d_val) OVER (PARTITION BY type, prop) AS b FROM p WHERE d_val IS NOT NULL)") + "SELECT type, prop, CAST(CASE WHEN a = b THEN 0 ELSE least(3, floor((d_val - a) * 4 / (b - a))) END AS INTEGER) AS part, count(*) AS n FROM q GROUP BY 1, 2, 3")
-add("value_samples", lambda s, d: views.value_samples(P(s, d)), with_("q AS (SELECT type, prop, quantile_cont(d_val, [0.0, 0.25, 0.5, 0.75, 1.0]) AS v FROM p WHERE d_val IS NOT NULL GROUP BY 1, 2)") + "SELECT type, prop, CAST(i - 1 AS INTEGER) AS i, round(v[i], 4) AS value FROM (SELECT type, prop, v, unnest([1, 2, 3, 4, 5]) AS i FROM q)")
 add("parent_context", lambda s, d: views.parents(E(s, d, ("in_nation", "in_region")), ("in_nation", "in_region")), "SELECT src AS node_id, dst AS parent, 1 AS level FROM e WHERE edge_type = 'in_nation' UNION ALL SELECT x.src, y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.edge_type = 'in_nation' AND y.edge_type = 'in_region'")
 METHODS = [("file", "extension", "FileExtension"), ("token", "timestamp", "DateDetection"), ("file", "token", "Tokenize"), ("timestamp", "timeline", "Timeline"), ("timeline", "file", "Export")]
 add("process_paths", lambda s, d: views.method_paths(s.createDataFrame(METHODS, "src string, dst string, method string"), 3), "WITH RECURSIVE m(src, dst, method) AS (VALUES ('file', 'extension', 'FileExtension'), ('token', 'timestamp', 'DateDetection'), ('file', 'token', 'Tokenize'), ('timestamp', 'timeline', 'Timeline'), ('timeline', 'file', 'Export')), w AS (SELECT [src, dst] AS nodes, [method] AS methods FROM m UNION ALL SELECT list_append(nodes, dst), list_append(methods, method) FROM w JOIN m ON m.src = nodes[-1] WHERE NOT list_contains(nodes, dst) AND len(methods) < 3) SELECT array_to_string(nodes, '>') AS path, array_to_string(methods, '>') AS methods FROM w", False)

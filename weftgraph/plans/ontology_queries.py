@@ -296,3 +296,27 @@ add(
     lambda s, d: ontology_reports.semantic_subgraphs(E(s, d, ("in_region", "supplies"))),
     "SELECT min(least(src_type, dst_type)) OVER (PARTITION BY edge_type) AS subgraph, unnest([src_type, dst_type]) AS type, n AS edges FROM (SELECT src_type, dst_type, edge_type, count(*) AS n FROM e WHERE edge_type IN ('in_region', 'supplies') GROUP BY ALL)",
 )
+REGEX = (
+    RICH,
+    "g AS (SELECT type, prop, min(length(s_val)) AS lo, max(length(s_val)) AS hi FROM px GROUP BY 1, 2 HAVING count(*) >= 3)",
+    "cs AS (SELECT type, prop, i, count(DISTINCT c) AS k, min(c) AS c, bool_and(regexp_matches(c, '[0-9]')) AS d, bool_and(regexp_matches(c, '[A-Z]')) AS u, bool_and(regexp_matches(c, '[a-z]')) AS l, bool_and(regexp_matches(c, '[A-Za-z]')) AS a FROM (SELECT type, prop, i, s_val[i] AS c FROM (SELECT type, prop, s_val, unnest(generate_series(1, length(s_val))) AS i FROM px JOIN g USING (type, prop) WHERE lo = hi AND hi <= 20)) GROUP BY 1, 2, 3)",
+    r"pl AS (SELECT type, prop, '^' || string_agg(CASE WHEN d THEN '\d' WHEN u THEN '[A-Z]' WHEN l THEN '[a-z]' WHEN a THEN '[A-Za-z]' WHEN k > 1 THEN '.' WHEN contains('-/:.$^*+?()[]{}\|', c) THEN '\' || c ELSE c END, '' ORDER BY i) || '$' AS pattern FROM cs GROUP BY 1, 2)",
+    r"tp AS (SELECT type, prop, bool_and(regexp_matches(s_val, '^\d{4}-\d{2}-\d{2}')) AS d, bool_and(regexp_matches(s_val, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')) AS m, bool_and(regexp_matches(s_val, '^https?://\S+')) AS u FROM (SELECT px.* FROM px JOIN g USING (type, prop) WHERE NOT (lo = hi AND hi <= 20) QUALIFY row_number() OVER (PARTITION BY type, prop ORDER BY node_id, s_val) <= 10) GROUP BY 1, 2)",
+)
+add("regex_synthesis", lambda s, d: ontology.regexes(_rich(s, d)), with_(*REGEX) + r"SELECT * FROM pl UNION ALL SELECT type, prop, CASE WHEN d THEN '^\d{4}-\d{2}-\d{2}$' WHEN m THEN '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$' ELSE '^https?://\S+$' END FROM tp WHERE d OR m OR u")
+add(
+    "value_correlations",
+    lambda s, d: ontology.value_correlations(_twins(s, d)),
+    with_(RICH, "tw AS (SELECT * FROM px UNION ALL SELECT node_id, type, prop || '_copy', CASE WHEN length(node_id) % 2 = 0 THEN s_val ELSE lower(s_val) END, NULL FROM px WHERE prop IN ('c_mktsegment', 'o_orderstatus', 'p_type'))", "pw AS (SELECT x.type, x.prop AS a, y.prop AS b, CASE WHEN x.s_val = y.s_val THEN 1.0::DOUBLE WHEN starts_with(x.s_val, y.s_val) OR starts_with(y.s_val, x.s_val) THEN 0.5 WHEN lower(x.s_val) = lower(y.s_val) THEN 0.8 WHEN contains(x.s_val, y.s_val) OR contains(y.s_val, x.s_val) THEN 0.3 ELSE 0 END AS s FROM tw x JOIN tw y ON x.node_id = y.node_id AND x.prop <> y.prop)")
+    + "SELECT type, a, b, round(avg(s), 6) AS similarity FROM pw WHERE (type, a) IN (SELECT (type, prop) FROM tw WHERE d_val IS NULL) GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND avg(s) > 0.6",
+)
+
+
+def _twins(s: SparkSession, d: str) -> DataFrame:
+    """The properties with copies of three, half of them in lower case."""
+    p = _rich(s, d)
+    v = F.when(F.length("node_id") % 2 == 0, F.col("s_val")).otherwise(F.lower("s_val"))
+    return p.union(p.filter("prop IN ('c_mktsegment', 'o_orderstatus', 'p_type')").select("node_id", "type", F.concat("prop", F.lit("_copy")), v, F.lit(None).cast("double")))
+
+
+add("value_samples", lambda s, d: ontology.diverse_samples(P(s, d)), with_("q AS (SELECT *, row_number() OVER (PARTITION BY type, prop ORDER BY d_val NULLS FIRST, s_val) - 1 AS i, count(*) OVER (PARTITION BY type, prop) AS n FROM (SELECT DISTINCT type, prop, s_val, d_val FROM p))") + "SELECT type, prop, s_val FROM q WHERE n <= 10 OR i = 0 OR i = n - 1 OR i IN (SELECT CAST(floor(n / CAST(8 AS DOUBLE) * k) AS BIGINT) FROM range(1, 9) r(k) WHERE floor(n / CAST(8 AS DOUBLE) * k) < n)")

@@ -117,3 +117,37 @@ add(
     DAYS + ", l AS (SELECT *, destroyed - created AS n, avg(destroyed - created) OVER () AS m FROM sp) SELECT count(*) AS total, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most, min(created) AS first, max(destroyed) AS last, max(destroyed) - min(created) AS timespan, count(*) FILTER (n < m * 0.7::DOUBLE) AS short, count(*) FILTER (n >= m * 0.7::DOUBLE AND n <= m * 1.3::DOUBLE) AS medium, count(*) FILTER (n > m * 1.3::DOUBLE) AS long FROM l",
     False,
 )
+
+
+def _sensors(s: SparkSession) -> DataFrame:
+    rows = [("T2", "temperature_sensor", "T2", None, None), ("own", "speed_sensor", "x", 0.0, 5.0), ("a", "temperature_sensor", "T2", None, None), ("b", "flow_sensor", "Nf", None, None), ("c", "bleed_sensor", None, None, 3.0), ("d", "odd", None, None, None), ("farB", None, None, None, None)]
+    return s.createDataFrame(rows, "sensor string, type string, sensor_type string, low double, high double")
+
+
+add("sensor_bounds_cascade", lambda s, d: series.bounds_of(_sensors(s)), "SELECT * FROM (VALUES ('T2', 515.0::DOUBLE, 525.0::DOUBLE, '°R', 'T2_specification'), ('own', 0.0, 5.0, 'unknown', 'own_x'), ('a', 60.0, 90.0, '°C', 'temperature_generic_bounds'), ('b', 2300.0, 2500.0, 'rpm', 'default_bounds_NF'), ('c', 0.0, 5.0, 'kg/s', 'default_bounds_BLEED'), ('farB', 0.02, 0.05, 'ratio', 'FARB_specification')) v(sensor, low, high, unit, source)", False)
+
+
+def _temporal(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as measurements by year, customers as objects by the years of their orders, documents' labels as validation
+    results, events as timestamps of their users, and days of orders as text properties."""
+    o, e, lab = T(s, d, "orders"), T(s, d, "events"), T(s, d, "labels")
+    prop = lambda df, node, kind, name, text, number: df.select(node.alias("node_id"), F.lit(kind).alias("type"), F.lit(name).alias("prop"), text.cast("string").alias("s_val"), number.cast("double").alias("d_val"))
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    none = F.lit(None)
+    span = o.groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b"))
+    p = prop(o, key("m", "o_orderkey"), "measurement", "timestamp", F.year("o_orderdate"), F.year("o_orderdate")).union(prop(span, key("obj", "o_custkey"), "object", "created", F.col("a"), F.col("a"))).union(prop(span, key("obj", "o_custkey"), "object", "destroyed", F.col("b"), F.col("b")))
+    p = p.union(prop(lab, key("v", "doc_id"), "ValidationResult", "attributes.timestamp", F.lit(2001), F.lit(2001)))
+    p = p.union(prop(o, key("m", "o_orderkey"), "measurement", "order_date", F.date_format("o_orderdate", "MM/dd/yyyy"), none)).union(prop(o, key("m", "o_orderkey"), "measurement", "attributes.note", F.concat(F.lit("seen "), F.date_format("o_orderdate", "yyyy/MM/dd")), none))
+    n = e.select(key("t", "event_id").alias("node_id"), F.lit("Timestamp").alias("type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("value")).union(e.select(key("u", "user_id"), F.lit("user"), F.col("user_id").cast("string")).distinct())
+    return n, p, e.select(key("u", "user_id").alias("src"), key("t", "event_id").alias("dst"), F.lit("has_timestamp").alias("edge_type"))
+
+
+add(
+    "temporal_events",
+    lambda s, d: series.temporal_events(*_temporal(s, d)),
+    """WITH sp AS (SELECT o_custkey AS k, min(year(o_orderdate)) AS a, max(year(o_orderdate)) AS b FROM orders GROUP BY 1)
+    SELECT 'm:' || o_orderkey AS name, 'measurement' AS category, make_timestamp(year(o_orderdate), 1, 1, 0, 0, 0) AS t, 'measurement_timestamp' AS source FROM orders UNION ALL SELECT 'obj:' || k, 'object_creation', make_timestamp(a, 1, 1, 0, 0, 0), 'object_lifecycle' FROM sp
+    UNION ALL SELECT 'obj:' || k, 'object_destruction', make_timestamp(b, 12, 31, 0, 0, 0), 'object_lifecycle' FROM sp UNION ALL SELECT 'v:' || doc_id, 'validation_event', TIMESTAMP '2001-06-15', 'validation_result' FROM labels
+    UNION ALL SELECT 'u:' || user_id, 'user', date_trunc('second', ts), 'timestamp_node' FROM events UNION ALL SELECT 'm:' || o_orderkey, 'measurement', CAST(date_trunc('day', o_orderdate) AS TIMESTAMP), 'direct_property' FROM orders""",
+    False,
+)
