@@ -17,10 +17,12 @@ empty result. Ids outside the vocabulary decode to nothing.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from array import array
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -33,7 +35,7 @@ from ._shared import arrow_columns
 NONE = np.iinfo(np.int32).max
 #: Fixed value: the public byte-level pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
 #: Segments of more characters aren't kept between batches.
 LONG = 40
 #: Neither letters, digits nor spaces, nor the sign of contractions.
@@ -312,6 +314,19 @@ class Codec:
         return out
 
 
+@contextmanager
+def _uncollected():
+    """Without garbage collection, whose rounds would walk the many lists of a batch; they hold no cycles. It goes on after
+    the batch, so that later stages in the same worker have it."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -347,7 +362,8 @@ def _mapped(df: DataFrame, path: str, column: str, made: list, work, without: tu
         def each(values):
             import pyarrow as pa
 
-            parts = [work(codec, part[a:b]) for part in [values.to_pylist()] for a, b in chunks(part)]
+            with _uncollected():
+                parts = [work(codec, part[a:b]) for part in [values.to_pylist()] for a, b in chunks(part)]
             return [pa.concat_arrays(c) for c in zip(*parts)]
 
         return each
