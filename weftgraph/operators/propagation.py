@@ -146,7 +146,7 @@ def values_of(mixed: DataFrame, src: DataFrame) -> DataFrame:
 
 def components_of(mixed: DataFrame) -> DataFrame:
     """assembled() -> a row per component."""
-    return mixed.select("node_id", "kind", F.posexplode("c").alias("place", "x")).select("node_id", "kind", "place", F.round("x.w", 5).alias("weight"), F.round("x.m", 5).alias("mean"), F.round("x.s", 5).alias("std"))
+    return mixed.select("node_id", "kind", F.posexplode("c").alias("place", "x")).select("node_id", "kind", "place", F.round("x.w", 9).alias("weight"), F.round("x.m", 9).alias("mean"), F.round("x.s", 9).alias("std"))
 
 
 def in_range(mixed: DataFrame, src: DataFrame, low: float, high: float) -> DataFrame:

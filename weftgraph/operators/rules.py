@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import ontology
+from .tables import materialise
 
 #: Formats as the first values show them, and as every value must have them.
 SHOWN = {"date": r"^\d{4}-\d{2}-\d{2}", "email": r"^[\w.-]+@[\w.-]+", "url": r"^https?://\S+"}
@@ -122,18 +123,19 @@ def cross_rules(nodes: DataFrame, props: DataFrame, least: int = 10) -> DataFram
 
 def rule_set(nodes: DataFrame, props: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """All rules: properties, cross (pairs of properties), relationships (of 3 edges or more), cardinality (of 5 or more, but
-    many-to-many) and the node and edge types that there are."""
-    r = ontology.relationships(edges)
+    many-to-many) and the node and edge types that there are. What is read off the whole graph is written once, as checks read
+    it several times; it has a few rows per property or relationship."""
+    r = materialise(ontology.relationships(edges))
     often = F.broadcast(r.filter("n >= 5").select("src_type", "edge_type", "dst_type"))
     c = ontology.cardinality(edges).join(often, ["src_type", "edge_type", "dst_type"]).filter("cardinality <> 'many-to-many'")
     return {
-        "properties": property_rules(nodes, props),
-        "cross": cross_rules(nodes, props),
+        "properties": materialise(property_rules(nodes, props)),
+        "cross": materialise(cross_rules(nodes, props)),
         "relationships": r.filter("n >= 3"),
         "observed": r.select("src_type", "edge_type", "dst_type"),
-        "cardinality": c.select("src_type", "edge_type", "dst_type", "cardinality"),
-        "node_types": nodes.select("type").distinct(),
-        "edge_types": edges.select("edge_type").distinct(),
+        "cardinality": materialise(c.select("src_type", "edge_type", "dst_type", "cardinality")),
+        "node_types": materialise(nodes.select("type").distinct()),
+        "edge_types": r.select("edge_type").distinct(),
     }
 
 

@@ -46,7 +46,7 @@ MIXED = (
     "rg AS (SELECT min(low) AS low, max(high) AS high FROM sx)",
     "mv AS (SELECT node_id, kind, c, list_sum(list_transform(c, lambda q: q.w * q.m)) * (high - low) + low AS value FROM mx, rg)",
 )
-COMPONENTS = "SELECT node_id, kind, CAST(i - 1 AS INTEGER) AS place, round(c[i].w, 5) AS weight, round(c[i].m, 5) AS mean, round(c[i].s, 5) AS std FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM {0})"
+COMPONENTS = "SELECT node_id, kind, CAST(i - 1 AS INTEGER) AS place, round(c[i].w, 9) AS weight, round(c[i].m, 9) AS mean, round(c[i].s, 9) AS std FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM {0})"
 
 add("propagate_values", lambda s, d: propagation.values_of(_mixed(s, d), _src(s, d)).withColumn("value", F.round("value", 2)), with_(*MIXED) + "SELECT node_id, kind, round(value, 2) AS value FROM mv")
 add("propagate_mixtures", lambda s, d: propagation.components_of(_mixed(s, d)), with_(*MIXED) + COMPONENTS.format("mx"))

@@ -131,12 +131,13 @@ def read_rul(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """{"nodes": {id: attributes}, "edges": {"src_dst": attributes}}; a key is cut at its first underscore."""
+    """{"nodes": {id: attributes}, "edges": {"src_dst": attributes}}. An edge's ends are its attributes source and target, if it
+    has them; else its key is cut at its first underscore."""
     raw = spark.read.text(path, wholetext=True)
     kind = "nodes map<string,map<string,string>>, edges map<string,map<string,string>>"
     x = raw.select(F.from_json("value", kind).alias("x"))
     n = x.select(F.explode("x.nodes").alias("node_id", "attrs")).select("node_id", F.col("attrs")["type"].alias("type"), F.col("attrs")["value"].alias("value"), "attrs")
-    e = x.select(F.explode("x.edges").alias("k", "attrs")).select(F.substring_index("k", "_", 1).alias("src"), F.regexp_replace("k", "^[^_]*_", "").alias("dst"), F.col("attrs")["edge_type"].alias("edge_type"), "attrs")
+    e = x.select(F.explode("x.edges").alias("k", "attrs")).select(F.coalesce(F.col("attrs")["source"], F.substring_index("k", "_", 1)).alias("src"), F.coalesce(F.col("attrs")["target"], F.regexp_replace("k", "^[^_]*_", "")).alias("dst"), F.col("attrs")["edge_type"].alias("edge_type"), "attrs")
     return n, e
 
 
