@@ -8,8 +8,10 @@ feature and pair, added for a whole batch at once.
 It is fitted on the driver from at most SAMPLE labelled documents, chosen by hash; this bounds what the driver holds, and
 the tables' size doesn't depend on the data.
 
-Defined results: a null or empty text has all features 0 and a score like any other; with labels of one kind only, the
-score is that kind's smoothed share, without labels 0.5. Rows are independent; further columns are ignored by `score`
+Defined results: a null or empty text has all features 0 and a score like any other; a very long text is read as a whole, its
+longest word counts as 100 bytes at most; with labels of one kind only, the score is that kind's smoothed share, without
+labels 0.5; a score of exactly 0.5 is predicted 1. Of cuts that gain alike the first is taken, and values on a bin's edge are
+in the upper bin. Rows are independent, equal texts score alike, and an empty table gives an empty result; further columns are ignored by `score`
 and kept by `annotate`, unless they have a result's name.
 """
 

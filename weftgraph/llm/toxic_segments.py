@@ -16,8 +16,10 @@ S / (2 u).
 The tables come from at most SAMPLE labelled documents, chosen by hash, and hold only telling words; this bounds what is
 collected and broadcast.
 
-Defined results: a null or empty text, or one without words, has no passages and score 0; without toxic or without other
-labels, every score is 0. Repeated passages each count. Rows are independent; further columns are ignored by `score` and
+Defined results: a null or empty text, or one without words, has no passages and score 0; a very long text is scanned as a
+whole, in linear time; without toxic or without other labels, every score is 0. Repeated passages each count. Of thresholds
+that divide the labelled documents alike that with the widest gap is taken; a segment exactly at it is significant. An empty
+table gives an empty result. Rows are independent; further columns are ignored by `score` and
 kept by `annotate`, unless they have a result's name.
 """
 
