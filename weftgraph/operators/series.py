@@ -199,6 +199,7 @@ def priorities(labels: DataFrame, rul: DataFrame, critical: tuple[str, ...] = CR
     score = score + F.when(F.col("severity") == "high", 3).when(F.col("severity") == "moderate", 2).otherwise(1)
     score = score + F.when(F.col("rul") <= 10, 4).when(F.col("rul") <= 30, 2).when(F.col("rul") <= 50, 1).otherwise(0) + F.col("sensor").isin(*critical).cast("int")
     level = F.when(F.col("score") >= 7, "immediate_action").when(F.col("score") >= 4, "near_term_watch").otherwise("normal_monitoring")
+    # fixed values: what each level says
     told = {"immediate_action": ("critical", "immediate_inspection_required", "0-10_cycles"), "near_term_watch": ("elevated", "schedule_maintenance_window", "11-30_cycles"), "normal_monitoring": ("routine", "continue_monitoring", ">30_cycles")}
     named = [F.element_at(F.create_map(*[F.lit(x) for k, v in told.items() for x in (k, v[i])]), F.col("level")).alias(name) for i, name in enumerate(("urgency", "action", "time_frame"))]
     return j.withColumn("score", score).withColumn("level", level).select(*KEY, "label", "severity", "rul", "score", "level", *named)
@@ -231,7 +232,8 @@ def fleet_report(labels: DataFrame, decisions: DataFrame, rul: DataFrame, checks
     level = F.when(pct("immediate", "total") > 15, "HIGH").when(pct("immediate", "total") > 5, "MODERATE").otherwise("LOW")
     engines = F.array_join(F.transform("named", lambda x: F.concat(F.lit("Engine "), x["asset"].cast("string"), F.lit(" ("), x["rul"].cast("string"), F.lit(" cycles)"))), ", ")
     three = F.array_join(F.transform(F.slice("named", 1, 3), lambda x: x["asset"].cast("string")), ", ")
-    d1 = lambda c: F.format_number(c, 1)
+    d1 = lambda c: F.format_string("%.1f", c.cast("double"))
+    # fixed values: the report's sentences and thresholds
     lines = [
         ("overview", F.concat(F.lit("Fleet Status: "), status)),
         ("overview", F.concat(F.lit("Total Engines Analyzed: "), text("engines"))),
