@@ -86,9 +86,9 @@ def attribute_index(props: DataFrame, most: int = 100) -> DataFrame:
 # --- structure
 
 
-def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: counts, density E / (N (N - 1)), greatest and mean degree."""
-    d = degrees(edges).agg(F.max("total_degree").alias("max_degree"), F.sum(F.col("in_degree") + F.col("out_degree")).alias("ends"))
+def summary(nodes: DataFrame, edges: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """One row: counts, density E / (N (N - 1)), greatest and mean degree; `counted` gives the degrees if they are known."""
+    d = (degrees(edges) if counted is None else counted).agg(F.max("total_degree").alias("max_degree"), F.sum(F.col("in_degree") + F.col("out_degree")).alias("ends"))
     n = nodes.agg(F.count("*").alias("n_nodes"), F.count_distinct("type").alias("n_types"))
     e = edges.agg(F.count("*").alias("n_edges"), F.count_distinct("edge_type").alias("n_edge_types"))
     return n.crossJoin(e).crossJoin(d).select("n_nodes", "n_types", "n_edges", "n_edge_types", F.round(F.col("n_edges") / (F.col("n_nodes") * (F.col("n_nodes") - 1)), 9).alias("density"), "max_degree", F.round(F.col("ends") / F.col("n_nodes"), 6).alias("avg_degree"))

@@ -122,7 +122,7 @@ GEO = ("in_nation", "in_region")
 
 add(
     "graph_summary_stats",
-    lambda s, d: graph.summary(N(s, d), E(s, d)),
+    lambda s, d: graph.summary(N(s, d), E(s, d), star.degrees(s, d)),
     with_(BOTH, "dg AS (SELECT count(DISTINCT other) AS t, count(*) AS c FROM b GROUP BY node_id)", "a AS (SELECT count(*) AS n_nodes, count(DISTINCT type) AS n_types FROM n)", "c AS (SELECT count(*) AS n_edges, count(DISTINCT edge_type) AS n_edge_types FROM e)")
     + "SELECT n_nodes, n_types, n_edges, n_edge_types, round(n_edges / (n_nodes * CAST(n_nodes - 1 AS DOUBLE)), 9) AS density, (SELECT max(t) FROM dg) AS max_degree, round((SELECT sum(c) FROM dg) / CAST(n_nodes AS DOUBLE), 6) AS avg_degree FROM a, c",
 )
