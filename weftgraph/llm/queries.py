@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_segtree, covering_simhash, gam_quality, lm_trie, mixing, pca_neardup, quality_rules, toxic_segments, warc_chunks, zstd_langid
+from . import asof_join, bpe_segtree, covering_simhash, gam_quality, lm_trie, mixing, pca_neardup, quality_rules, toxic_segments, warc_chunks, zstd_langid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +57,14 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_segments.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_asof_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof_join.clicks_to_sales(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "sales"))
+
+
 def queries() -> dict:
-    made = (op1_quality_rules, op2_lm_trie, op3_warc_chunks, op4_mixing, op5_gam_quality, op6_pca_tiles, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments)
+    made = (op1_quality_rules, op2_lm_trie, op3_warc_chunks, op4_mixing, op5_gam_quality, op6_pca_tiles, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments, op12_asof_shards)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op3_warc_chunks": warc_chunks.ORACLE, "op4_mixing": mixing.ORACLE, "op6_pca_tiles": pca_neardup.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op3_warc_chunks": warc_chunks.ORACLE, "op4_mixing": mixing.ORACLE, "op6_pca_tiles": pca_neardup.ORACLE, "op12_asof_shards": asof_join.ORACLE}
