@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import asof_join, bpe_segtree, covering_simhash, gam_quality, lm_trie, mixing, pca_neardup, quality_rules, toxic_segments, warc_chunks, zstd_langid
+from . import asof_join, bpe_segtree, centroid_blocks, covering_simhash, gam_quality, lm_trie, mixing, pca_neardup, quality_rules, secret_scan, toxic_segments, warc_chunks, zstd_langid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,14 +57,22 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_segments.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op12_asof_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join.clicks_to_sales(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "sales"))
 
 
+def op13_centroid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_blocks.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    made = (op1_quality_rules, op2_lm_trie, op3_warc_chunks, op4_mixing, op5_gam_quality, op6_pca_tiles, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments, op12_asof_shards)
+    made = (op1_quality_rules, op2_lm_trie, op3_warc_chunks, op4_mixing, op5_gam_quality, op6_pca_tiles, op7_zstd_language, op8_bpe, op9_simhash, op10_toxic_segments, op11_secret_scan, op12_asof_shards, op13_centroid_blocks)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.oracle(), "op3_warc_chunks": warc_chunks.ORACLE, "op4_mixing": mixing.ORACLE, "op6_pca_tiles": pca_neardup.ORACLE, "op12_asof_shards": asof_join.ORACLE}
+    return {"op1_quality_rules": quality_rules.oracle(), "op3_warc_chunks": warc_chunks.ORACLE, "op4_mixing": mixing.ORACLE, "op6_pca_tiles": pca_neardup.ORACLE, "op11_secret_scan": secret_scan.oracle(), "op12_asof_shards": asof_join.ORACLE, "op13_centroid_blocks": centroid_blocks.oracle()}
