@@ -5,8 +5,8 @@ The right side has one row per key and time (`tie_groups` makes that beforehand,
 
 * A key's time is cut into chunks of four tolerances. A shard is a hash of key and chunk, modulo a number that follows the
   rows, so that a shard has about `rows` of them.
-* A key with more than `rows` rows, and over a thousandth of all, has chunks of its own width: halved until none holds more
-  than `rows`, at most `HALVINGS` times; left rows of a chunk that is still too large are dealt over several shards, each with
+* A key with more rows than a shard, and over a thousandth of all, has chunks of its own width: halved until none holds more
+  than a shard, at most `HALVINGS` times; left rows of a chunk that is still too large are dealt over several shards, each with
   the chunk's right rows. There are fewer than 1000 such keys by arithmetic, whatever the input; this list is all that the
   driver sees or broadcasts.
 * The halo: the last right row of each chunk goes to the following chunks as well, up to the next chunk of that key that has
@@ -33,6 +33,8 @@ SPLIT_KEYS = 1000
 #: A chunk of four tolerances is halved at most so often.
 HALVINGS = 14
 SHARDS_A_PARTITION = 8
+#: Chunks are looked at in blocks of two to this power.
+BLOCK_BITS = 9
 
 
 def micros(df: DataFrame, column: str) -> Column:
@@ -54,25 +56,32 @@ def tie_groups(right: DataFrame, by: list[str], best: list[Column], number: str)
     return grouped.select(*by, *[F.col(f"_x._r{i}").alias(c) for i, c in enumerate(rest)], number)
 
 
-def _split_keys(left: DataFrame, right: DataFrame, width: int, rows: int) -> tuple[int, list[tuple]]:
-    """The number of rows, and (key, halvings, salts) of the keys that need chunks of their own."""
+def _split_keys(left: DataFrame, right: DataFrame, width: int, rows: int, total: int) -> list[tuple]:
+    """(key, halvings, salts) of the keys that need chunks of their own."""
     both = left.select("k", "t").union(right.select("k", "t"))
     counts = both.groupBy("k").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
     most = max(rows, total // SPLIT_KEYS)
     large = counts.filter((F.col("n") > most) & F.col("k").isNotNull()).select("k")
     keys = [r["k"] for r in large.collect()]
     if not keys:
-        return total, []
-    large = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in keys], T.StructType([left.schema["k"]])))
-    fine = both.join(large, "k").filter("t IS NOT NULL").groupBy("k", F.floor(F.col("t") / (width >> HALVINGS)).alias("slot")).agg(F.count("*").alias("n"))
+        return []
+    fine = both.filter(F.col("k").isin(keys) & F.col("t").isNotNull()).groupBy("k", F.floor(F.col("t") / (width >> HALVINGS)).alias("slot")).agg(F.count("*").alias("n"))
     level = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))))
     chunk = level.groupBy("k", "level", F.expr(f"shiftright(slot, {HALVINGS} - level)").alias("chunk")).agg(F.sum("n").alias("n"))
     fullest = chunk.groupBy("k", "level").agg(F.max("n").alias("n"))
     fits = F.min(F.when(F.col("n") <= rows, F.col("level")))
     chosen = fullest.groupBy("k").agg(F.coalesce(fits, F.lit(HALVINGS)).alias("level"), F.max(F.when(F.col("level") == HALVINGS, F.col("n"))).alias("n"))
     salts = F.when(F.col("level") == HALVINGS, F.ceil(F.col("n") / rows)).otherwise(F.lit(1)).cast("int")
-    return total, [tuple(r) for r in chosen.select("k", "level", salts).collect()]
+    return [tuple(r) for r in chosen.select("k", "level", salts).collect()]
+
+
+def _with_next(last: DataFrame) -> DataFrame:
+    """last(k, chunk, ...) with `next`, the key's next chunk in the table. Chunks are looked at in blocks, and then the blocks'
+    first chunks, so that no window holds all of a key that has many."""
+    block = last.withColumn("block", F.shiftright("chunk", BLOCK_BITS)).withColumn("next", F.lead("chunk").over(W.partitionBy("k", "block").orderBy("chunk")))
+    ends = last.groupBy("k", F.shiftright("chunk", BLOCK_BITS).alias("block")).agg(F.min("chunk").alias("first"), F.max("chunk").alias("chunk"))
+    ends = ends.withColumn("after", F.lead("first").over(W.partitionBy("k").orderBy("block"))).select("k", "chunk", "after")
+    return block.join(ends, ["k", "chunk"], "left").withColumn("next", F.coalesce("next", "after"))
 
 
 def _matcher(n_left: int, n_right: int, tolerance: int):
@@ -108,9 +117,9 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
 
     width = max(4 * tolerance, 1 << HALVINGS)
     width = -(-width >> HALVINGS) << HALVINGS  # each halving is exact
-    total, split = _split_keys(a, b, width, rows)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, partitions = a.count() + b.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(-(-total // rows), SHARDS_A_PARTITION * partitions)
+    split = _split_keys(a, b, width, -(-total // shards), total)
 
     def placed(df: DataFrame) -> DataFrame:
         if split:
@@ -132,7 +141,7 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     held = [f"r{i}" for i in range(len(theirs))]
     there = placed(b)
     last = there.groupBy("k", "level", "salts", "width", "chunk").agg(F.max("t").alias("t"), *[F.max_by(c, "t").alias(c) for c in held])
-    last = last.withColumn("next", F.lead("chunk").over(W.partitionBy("k").orderBy("chunk")))
+    last = _with_next(last)
     upto = F.least(F.coalesce("next", F.lit((1 << 62))), F.floor((F.col("t") + tolerance) / F.col("width")))
     halo = last.withColumn("upto", upto).filter("upto > chunk").withColumn("chunk", F.explode(F.sequence(F.col("chunk") + 1, F.col("upto"))))
     unit = ["k", "level", "salts", "chunk", "t", *held]
