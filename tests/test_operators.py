@@ -140,32 +140,46 @@ def test_belief_against_matrices(spark):
 
 @pytest.mark.parametrize("heat", [False, True])
 def test_spectral_against_matrices(spark, heat):
-    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "e"), ("e", "f")]
-    src = _sources(spark, {"a": 1, "f": 3})
-    n = spark.createDataFrame([(x,) for x in "abcdef"], "node_id string")
-    got = {(r.source, r.node_id, r.distance): r.influence for r in propagation.spectral_influences(n, edges(spark, pairs), src, 2, 0.9, 4, heat=heat).collect()}
-    m = np.zeros((6, 6))
+    """Polynomials of the Laplacian against the same filters by all its eigenvectors."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "e"), ("e", "f"), ("c", "b"), ("e", "e"), ("g", "h")]
+    ids = "abcdefghi"
+    src = _sources(spark, {"a": 1, "f": 3, "g": 1})
+    n = spark.createDataFrame([(x,) for x in ids], "node_id string")
+    got = {(r.x, r.node_id, r.distance): r.influence for r in propagation.spectral_influences(n, edges(spark, pairs), src, 2, 0.9, heat=heat).collect()}
+    m = np.zeros((9, 9))
     for u, v in pairs:
-        m["abcdef".index(u), "abcdef".index(v)] = m["abcdef".index(v), "abcdef".index(u)] = 1
-    values, vectors = np.linalg.eigh(np.diag(m.sum(1)) - m + 1e-8 * np.eye(6))
-    values, vectors, want = values[:4], vectors[:, :4], {}
-    for s in "af":
+        if u != v:
+            m[ids.index(u), ids.index(v)] = m[ids.index(v), ids.index(u)] = 1
+    values, vectors = np.linalg.eigh(np.diag(m.sum(1)) - m)
+    top, want = max(m.sum(1)[ids.index(u)] + m.sum(1)[ids.index(v)] for u, v in pairs if u != v), {}
+    xs = {r.node_id: round(r.x, 1) for r in src.collect()}
+    for x in set(xs.values()):
+        start = np.array([xs.get(t) == x for t in ids], dtype=float)
         for d in (1, 2):
-            f = np.exp(-values * d * 0.0008) * np.exp(-0.5 * (values / values.max()) ** 2) if heat else 0.8 * np.exp(-0.5 * ((values - values.max() * 0.05 * d) / (values.max() * 0.15)) ** 2) + 0.2
-            y = vectors["abcdef".index(s)] * f
-            x = vectors @ (y / np.linalg.norm(y) * 0.9**d)
-            x = abs(x) if heat else np.maximum(x, 0)
-            for i, t in enumerate("abcdef"):
-                if t not in "af" and x[i] > (0.01 if heat else 0.001):
-                    w = x[i] * (0.5 if heat else 1)
-                    want[s, t, d] = pytest.approx(w * 1.3 if w < 0.012 else w, rel=1e-6)
-    assert got == want
-
-
-def test_dense_graphs_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(propagation, "MOST_DENSE", 2)
-    with pytest.raises(ValueError, match="dense"):
-        propagation.spectral_influences(spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string"), edges(spark, []), _sources(spark, {"a": 1}))
+            f = np.exp(-values * d * 0.0008) * np.exp(-0.5 * (values / top) ** 2) if heat else 0.8 * np.exp(-0.5 * ((values - top * 0.05 * d) / (top * 0.15)) ** 2) + 0.2
+            y = vectors @ (f * (vectors.T @ start))
+            y = y / np.linalg.norm(y) * 0.9**d
+            y = abs(y) if heat else np.maximum(y, 0)
+            for i, t in enumerate(ids):
+                if t not in xs and y[i] > (0.01 if heat else 0.001):
+                    w = y[i] * (0.5 if heat else 1)
+                    want[x, t, d] = pytest.approx(w * 1.3 if w < 0.012 else w, abs=2e-5)
+    assert len(want) > 3 and got == want
+
+
+def test_spectral_without_sources_or_edges(spark):
+    n = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    assert propagation.spectral_influences(n, edges(spark, []), _sources(spark, {"a": 1})).count() == 0
+    assert propagation.spectral_influences(n, edges(spark, [("a", "b")]), _sources(spark, {"a": 1}).limit(0)).count() == 0
+    with pytest.raises(ValueError, match="digits"):
+        propagation.spectral_influences(n, edges(spark, []), _sources(spark, {"a": 1}), digits=4)
+
+
+def test_chebyshev_meets_the_filters():
+    for heat in (False, True):
+        for f in propagation.filters(7.0, 3, heat):
+            c, v = propagation.chebyshev(f, 7.0, propagation.ORDER), np.linspace(0, 7, 200)
+            assert abs(np.polynomial.chebyshev.chebval(2 * v / 7 - 1, c) - f(v)).max() < 2e-5
 
 
 @pytest.mark.parametrize(

@@ -8,6 +8,7 @@ graph's size; mixtures are folded per node with bounded lists.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,10 @@ LOW, HIGH = 0.001, 0.999
 CUT = 0.01
 KEEP = 0.05
 METHODS = ("matrix", "belief", "spectral", "heat")
-#: Nodes that all others are compared with at most, and nodes whose Laplacian is decomposed at most.
+#: Nodes that all others are compared with at most.
 MOST_QUERIES = 2_000
-MOST_DENSE = 4_000
+#: Order of the polynomials that stand for spectral filters; bumps of .15 of the spectrum are then met to about 1e-5.
+ORDER = 16
 
 
 def sources(props: DataFrame, types: list[str], prop: str) -> DataFrame:
@@ -305,8 +307,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, props: DataFrame, types: list[
         return believed(nodes, src, belief_influences(src, e, p["damping"], rounds=p["rounds"]), p["components"])
     if method not in METHODS:
         raise ValueError(f"{method!r} is none of {', '.join(METHODS)}")
-    reached = spectral_influences(nodes, edges, src, p["depth"], p["decay"], p["eigenvectors"], p["least_weight"], p["boost"], heat=method == "heat")
-    return assembled(nodes, src, spectral_mixtures(reached, src, p["components"]))
+    reached = spectral_influences(nodes, edges, src, p["depth"], p["decay"], p["least_weight"], p["boost"], heat=method == "heat")
+    return assembled(nodes, src, spectral_mixtures(reached, p["components"]))
 
 
 def belief_influences(src: DataFrame, edges: DataFrame, damping: float = 0.1, gain: float = 0.85, rounds: int = 15, least: float = 1e-3) -> DataFrame:
@@ -344,49 +346,84 @@ def believed(nodes: DataFrame, src: DataFrame, reached: DataFrame, most: int = 2
     return assembled(nodes, src, inferred.select("node_id", "c"), inferred.select("node_id", "evidence"))
 
 
-def filters(values: np.ndarray, depth: int, heat: bool, alpha: float = 0.08) -> list[np.ndarray]:
-    """For each distance, what each eigenvalue lets through: a bump that moves up with the distance over a floor of .2, or, with
+def filters(top: float, depth: int, heat: bool, alpha: float = 0.08) -> list:
+    """For each distance, what an eigenvalue lets through: a bump that moves up with the distance over a floor of .2, or, with
     heat, a heat kernel of a short time under a bell."""
-    top = float(values.max()) or 1.0
     if heat:
-        return [np.exp(-values * d * alpha * 0.01) * np.exp(-0.5 * (values / top) ** 2) for d in range(1, depth + 1)]
-    return [0.8 * np.exp(-0.5 * ((values - top * 0.05 * d) / (top * 0.15)) ** 2) + 0.2 for d in range(1, depth + 1)]
+        return [lambda v, d=d: np.exp(-v * d * alpha * 0.01) * np.exp(-0.5 * (v / top) ** 2) for d in range(1, depth + 1)]
+    return [lambda v, d=d: 0.8 * np.exp(-0.5 * ((v - top * 0.05 * d) / (top * 0.15)) ** 2) + 0.2 for d in range(1, depth + 1)]
 
 
-def spectral_influences(nodes: DataFrame, edges: DataFrame, src: DataFrame, depth: int = 3, decay: float = 0.95, eigenvectors: int = 15, least_weight: float = 0.01, boost: float = 1.3, heat: bool = False) -> DataFrame:
-    """(source, node_id, distance, influence) by the lowest eigenvectors of the Laplacian of the undirected graph. The dense
-    decomposition is of the cube of the nodes and runs on the driver, for at most MOST_DENSE nodes, which is checked."""
+def chebyshev(f, top: float, order: int) -> list[float]:
+    """The coefficients c of f on [0, top]: f(v) is about the sum of c[k] T_k(2 v / top - 1)."""
+    n = 8 * (order + 1)
+    angle = (np.arange(n) + 0.5) * np.pi / n
+    y = f(top * (np.cos(angle) + 1) / 2)
+    c = [2 / n * float(np.sum(y * np.cos(k * angle))) for k in range(order + 1)]
+    return [c[0] / 2, *c[1:]]
+
+
+def undirected_weights(edges: DataFrame) -> DataFrame:
+    """(src, dst, edge_type, src_type, dst_type, weight), one edge per pair of different nodes; of several the greatest weight."""
+    w = weighted(edges).filter("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
+    return w.select("src", "dst", F.lit("pair").alias("edge_type"), F.lit("").alias("src_type"), F.lit("").alias("dst_type"), "weight")
+
+
+def _next_term(kept, degree: DataFrame, found: list[DataFrame], signals: list[str], top: float) -> DataFrame:
+    """T_k = 2 L T_(k-1) - T_(k-2) of the Laplacian moved to [-1, 1], without the 2 for the first: what a node keeps, what its
+    neighbours send and the term before the last, added up by node."""
+    last, scale = found[-1], 2.0 if len(found) > 1 else 1.0
+    own = last.join(degree, "node_id", "left").select("node_id", *[(scale * (2 / top * F.coalesce("d", F.lit(0.0)) - 1) * F.col(v)).alias(v) for v in signals])
+    sent = kept.ends.select(*kept.keys, "other", "weight").join(kept.asked(last), kept.keys)
+    rows = own.union(sent.select(F.col("other").alias("node_id"), *[(-scale * 2 / top * F.col("weight") * F.col(v)).alias(v) for v in signals]))
+    if len(found) > 1:
+        rows = rows.union(found[-2].select("node_id", *[(-F.col(v)).alias(v) for v in signals]))
+    return rows.groupBy("node_id").agg(*[F.sum(v).alias(v) for v in signals])
+
+
+def spectral_influences(nodes: DataFrame, edges: DataFrame, src: DataFrame, depth: int = 3, decay: float = 0.95, least_weight: float = 0.01, boost: float = 1.3, heat: bool = False, order: int = ORDER, digits: int = 1) -> DataFrame:
+    """(x, node_id, distance, influence): sources by filters of the Laplacian of the undirected graph, in its whole spectrum.
+
+    Sources of equal x in `digits` digits (one or two) are one signal, so that a node has 10 or 100 numbers at most. Filters
+    are Chebyshev polynomials of the sparse Laplacian: a term is one join of the nodes' numbers with the kept adjacency, which
+    stays where it is, and one aggregate by node; all distances share the terms. The greatest sum of two neighbours' degrees
+    bounds the spectrum. Nodes that nothing has reached have no row. Each signal is scaled to length one and weakened by decay ** distance; sources themselves get nothing."""
+    from . import adjacency
+    from .tables import materialise
+
+    if digits not in (1, 2):
+        raise ValueError("one or two digits")
+    xs = sorted(r["x"] for r in src.select(F.round("x", digits).alias("x")).distinct().collect())  # 101 at most
+    held = src.join(nodes.select("node_id"), "node_id", "left_semi").select("node_id", F.round("x", digits).alias("x"))
     n = nodes.count()
-    if n > MOST_DENSE:
-        raise ValueError(f"{n} nodes; a dense decomposition takes {MOST_DENSE} at most")
-    spark = nodes.sparkSession
-    ids = [r["node_id"] for r in nodes.select("node_id").orderBy("node_id").collect()]
-    at = {x: i for i, x in enumerate(ids)}
-    a = np.zeros((n, n))
-    for r in weighted(edges).collect():
-        if r["src"] in at and r["dst"] in at:
-            a[at[r["src"]], at[r["dst"]]] = a[at[r["dst"]], at[r["src"]]] = r["weight"]
-    held = [at[r["node_id"]] for r in src.select("node_id").collect() if r["node_id"] in at]
-    found = []
-    if held:
-        values, vectors = np.linalg.eigh(np.diag(a.sum(1)) - a + 1e-8 * np.eye(n))
-        k = max(1, min(n - 1, eigenvectors))
-        values, vectors = values[:k], vectors[:, :k]
-        cut = (0.01 if n < 500 else 0.02) if heat else (0.001 if n < 500 else 0.015)
-        for d, f in enumerate(filters(values, depth, heat), 1):
-            y = vectors[held] * f  # a row per source
-            size = np.linalg.norm(y, axis=1, keepdims=True)
-            x = np.where(size > 1e-8, y / np.where(size > 1e-8, size, 1), y) * decay**d @ vectors.T
-            x = np.abs(x) if heat else np.maximum(x, 0)
-            x[:, held] = 0
-            for i, j in zip(*np.nonzero(x > cut)):
-                w = float(x[i, j]) * (0.5 if heat else 1.0)
-                found.append((ids[held[i]], ids[j], d, w * boost if w < least_weight * 1.2 else w))
-    return spark.createDataFrame(found, "source string, node_id string, distance int, influence double")
-
-
-def spectral_mixtures(reached: DataFrame, src: DataFrame, most: int = 20) -> DataFrame:
+    kept = adjacency.keep(undirected_weights(edges).join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi").join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi"))
+    degree = materialise(kept.ends.groupBy("node_id").agg(F.sum("weight").alias("d")))
+    far = kept.ends.join(degree, "node_id").join(degree.select(F.col("node_id").alias("other"), F.col("d").alias("e")), "other")
+    top = far.agg(F.max(F.col("d") + F.col("e"))).first()[0] or 1.0
+    terms = [chebyshev(f, top, order) for f in filters(top, depth, heat)]
+
+    if not xs:
+        return nodes.sparkSession.createDataFrame([], "x double, node_id string, distance int, influence double")
+    signals = [f"v{i}" for i in range(len(xs))]
+    start = held.groupBy("node_id").agg(*[F.sum(F.when(F.col("x") == x, 1.0).otherwise(0.0)).alias(v) for x, v in zip(xs, signals)])
+    found = [materialise(start)]
+    for _ in range(order):
+        found.append(materialise(_next_term(kept, degree, found, signals, top)))
+
+    parts = [t.select("node_id", F.array(*[F.lit(c[k]) for c in terms]).alias("c"), *signals) for k, t in enumerate(found)]
+    summed = reduce(DataFrame.union, parts).groupBy("node_id").agg(*[F.sum(F.get("c", F.lit(k)) * F.col(v)).alias(f"y{k}_{i}") for k in range(depth) for i, v in enumerate(signals)])
+    each = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(k + 1).alias("distance"), F.col(f"y{k}_{i}").alias("y")) for i, x in enumerate(xs) for k in range(depth)])
+    rows = summed.select("node_id", F.explode(each).alias("r")).select("node_id", "r.*")
+    length = rows.groupBy("x", "distance").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
+    unit = rows.join(F.broadcast(length), ["x", "distance"]).join(held.select("node_id").distinct(), "node_id", "left_anti")  # 101 rows for each distance
+    z = F.when(F.col("length") > 1e-8, F.col("y") / F.col("length")).otherwise(F.col("y")) * F.pow(F.lit(decay), F.col("distance"))
+    z = F.abs(z) if heat else F.greatest(z, F.lit(0.0))
+    cut = (0.01 if n < 500 else 0.02) if heat else (0.001 if n < 500 else 0.015)
+    w = F.col("z") * (0.5 if heat else 1.0)
+    return unit.select("x", "node_id", "distance", z.alias("z")).filter(F.col("z") > cut).select("x", "node_id", "distance", F.when(w < least_weight * 1.2, w * boost).otherwise(w).alias("influence"))
+
+
+def spectral_mixtures(reached: DataFrame, most: int = 20) -> DataFrame:
     """spectral_influences() -> (node_id, c), folded in order of mean and distance; farther ones merge more easily."""
-    x = reached.join(src.select(F.col("node_id").alias("source"), F.col("x").alias("m")), "source")
-    listed = x.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("m", F.col("distance").alias("d"), "source", F.col("influence").alias("w"), (0.025 + 0.015 * F.col("distance")).alias("s")))).alias("r"))
+    listed = reached.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct(F.col("x").alias("m"), F.col("distance").alias("d"), F.col("influence").alias("w"), (0.025 + 0.015 * F.col("distance")).alias("s")))).alias("r"))
     return listed.select("node_id", normalised(folded(F.col("r"), most, lambda r: 0.05 + 0.01 * r["d"], False)).alias("c"))

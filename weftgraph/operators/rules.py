@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import ontology
+from . import ontology, selection
 from .tables import materialise
 
 #: Formats as the first values show them, and as every value must have them.
@@ -31,11 +31,13 @@ def profile(props: DataFrame) -> DataFrame:
     g = props.groupBy("type", "prop").agg(
         F.count("*").alias("present"), F.count_distinct("s_val").alias("n_unique"), F.count_if(text).alias("n_text"), F.count_if(number).alias("n_number"),
         F.min(length).alias("min_length"), F.max(length).alias("max_length"), F.round(F.avg(length), 6).alias("avg_length"),
-        F.min("d_val").alias("min_value"), F.max("d_val").alias("max_value"), F.round(F.avg("d_val"), 4).alias("avg_value"), F.round(F.median("d_val"), 4).alias("median_value"),
+        F.min("d_val").alias("min_value"), F.max("d_val").alias("max_value"), F.round(F.avg("d_val"), 4).alias("avg_value"),
         F.bool_and(F.col("d_val") == F.floor("d_val")).alias("integral"),
     )
     first = props.filter(text).withColumn("k", F.row_number().over(W.partitionBy("type", "prop").orderBy("node_id", "s_val"))).filter(F.col("k") <= FIRST)
     shown = first.groupBy("type", "prop").agg(*[F.bool_and(F.col("s_val").rlike(x)).alias(f"is_{k}") for k, x in SHOWN.items()])
+    middle = selection.quantile(props, ["type", "prop"], "d_val", 0.5, "m").select("type", "prop", F.round("m", 4).alias("median_value"))
+    g = g.join(middle, ["type", "prop"], "left").select(*[c for c in g.columns if c != "integral"], "median_value", "integral")
     j = g.join(F.broadcast(shown), ["type", "prop"], "left")
     fits = F.when(F.col("is_url"), "url").when(F.col("is_email"), "email").when(F.col("is_date"), "date").otherwise("string")
     kind = F.when(F.col("n_text") >= F.col("n_number"), "text").otherwise("number")

@@ -109,15 +109,50 @@ add("belief_evidence", lambda s, d: _believed(s, d).select("node_id", "kind", F.
 
 
 def _spectral(s: SparkSession, d: str, heat: bool) -> DataFrame:
-    """Along suppliers, nations and regions, which are few; no SQL: eigenvectors of equal eigenvalues aren't unique."""
-    n = N(s, d).filter("type IN ('supplier', 'nation', 'region')")
-    src = propagation.sources(P(s, d), ["supplier"], "s_acctbal")
-    reached = propagation.spectral_influences(n, E(s, d, GEO).filter("src_type <> 'customer'"), src, 3, 0.95, 15, heat=heat)
-    return propagation.components_of(propagation.assembled(n, src, propagation.spectral_mixtures(reached, src)))
-
-
-add("spectral_mixtures", lambda s, d: _spectral(s, d, False))
-add("heat_mixtures", lambda s, d: _spectral(s, d, True))
+    """On the whole graph: suppliers' balances."""
+    n, src = N(s, d), propagation.sources(P(s, d), ["supplier"], "s_acctbal")
+    c = propagation.components_of(propagation.assembled(n, src, propagation.spectral_mixtures(propagation.spectral_influences(n, E(s, d), src, heat=heat))))
+    return c.select("node_id", "kind", "place", *[F.round(x, 5).alias(x) for x in ("weight", "mean", "std")])
+
+
+def spectral_sql(heat: bool, order: int = propagation.ORDER, depth: int = 3, decay: float = 0.95, least: float = 0.01, boost: float = 1.3) -> str:
+    """The polynomials' terms as a table each, their coefficients by the cosine sum."""
+    n = 8 * (order + 1)
+    v = "(top * (cos((j + 0.5::DOUBLE) * pi() / {n}) + 1) / 2)".format(n=n)
+    f = f"exp(-{v} * d * 0.08::DOUBLE * 0.01::DOUBLE) * exp(-0.5::DOUBLE * ({v} / top) ** 2)" if heat else f"0.8::DOUBLE * exp(-0.5::DOUBLE * (({v} - top * 0.05::DOUBLE * d) / (top * 0.15::DOUBLE)) ** 2) + 0.2::DOUBLE"
+    parts = [
+        "so AS (SELECT node_id, d_val AS value, min(d_val) OVER () AS a, max(d_val) OVER () AS b FROM p WHERE prop = 's_acctbal')",
+        f"sx AS MATERIALIZED (SELECT node_id, {X} AS x FROM so)",
+        "ap AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst GROUP BY ALL)",
+        "ids AS MATERIALIZED (SELECT node_id, row_number() OVER () AS i FROM n)",
+        "aj AS MATERIALIZED (SELECT x.i, y.i AS j FROM (SELECT a, b FROM ap UNION ALL SELECT b, a FROM ap) JOIN ids x ON x.node_id = a JOIN ids y ON y.node_id = b)",
+        "dg AS MATERIALIZED (SELECT i, count(*)::DOUBLE AS d FROM aj GROUP BY i)",
+        "tp AS MATERIALIZED (SELECT max(x.d + y.d) AS top FROM aj JOIN dg x ON x.i = aj.i JOIN dg y ON y.i = aj.j)",
+        f"cf AS MATERIALIZED (SELECT k, d, CASE WHEN k = 0 THEN 0.5::DOUBLE ELSE 1 END * 2 / {n} * sum(({f}) * cos(k * (j + 0.5::DOUBLE) * pi() / {n})) AS c FROM tp, range(0, {order + 1}) a(k), range(1, {depth + 1}) b(d), range(0, {n}) c(j) GROUP BY k, d)",
+        "t0 AS MATERIALIZED (SELECT i, round(x, 1) AS x, count(*)::DOUBLE AS v FROM sx JOIN ids USING (node_id) GROUP BY ALL)",
+    ]
+    for k in range(1, order + 1):
+        one = f"SELECT t.i, x, ((2 / top) * coalesce(d, 0) - 1) * v AS v FROM t{k - 1} t LEFT JOIN dg USING (i), tp UNION ALL SELECT j, x, -(2 / top) * v FROM t{k - 1} JOIN aj USING (i), tp"
+        whole = one if k == 1 else f"SELECT i, x, 2 * v AS v FROM ({one}) UNION ALL SELECT i, x, -v FROM t{k - 2}"
+        parts.append(f"t{k} AS MATERIALIZED (SELECT i, x, sum(v) AS v FROM ({whole}) GROUP BY i, x)")
+    terms = " UNION ALL ".join(f"SELECT {k} AS k, * FROM t{k}" for k in range(order + 1))
+    z = "abs(y / length)" if heat else "greatest(y / length, 0)"
+    low, high = (0.01, 0.02) if heat else (0.001, 0.015)
+    w = "z * 0.5::DOUBLE" if heat else "z"
+    parts += [
+        f"ys AS MATERIALIZED (SELECT i, x, d, sum(c * v) AS y FROM ({terms}) JOIN cf USING (k) GROUP BY i, x, d)",
+        "ln AS (SELECT x, d, sqrt(sum(y * y)) AS length FROM ys GROUP BY x, d)",
+        f"zs AS (SELECT node_id, x, d, {z} * {decay}::DOUBLE ** d AS z FROM ys JOIN ln USING (x, d) JOIN ids USING (i) WHERE node_id NOT IN (SELECT node_id FROM sx))",
+        f"fl AS (SELECT node_id, x AS m, d, CASE WHEN {w} < {least}::DOUBLE * 1.2::DOUBLE THEN {w} * {boost}::DOUBLE ELSE {w} END AS w, 0.025::DOUBLE + 0.015::DOUBLE * d AS s FROM zs WHERE z > (SELECT CASE WHEN count(*) < 500 THEN {low} ELSE {high} END FROM n))",
+        # means that differ are .1 apart, farther than any that are folded into one: the fold is a sum by mean
+        "fs AS (SELECT node_id, m, sum(w) AS w, sqrt(sum(w * s * s) / sum(w)) AS s FROM fl GROUP BY node_id, m)",
+        "fp AS (SELECT node_id, row_number() OVER (PARTITION BY node_id ORDER BY m) - 1 AS place, w / sum(w) OVER (PARTITION BY node_id) AS w, m, s FROM fs)",
+    ]
+    return with_(*parts) + "SELECT node_id, 'source' AS kind, 0 AS place, 1.0::DOUBLE AS weight, round(x, 5) AS mean, 0.02::DOUBLE AS std FROM sx UNION ALL SELECT node_id, 'inferred', place::INTEGER, round(w, 5), round(m, 5), round(s, 5) FROM fp"
+
+
+add("spectral_mixtures", lambda s, d: _spectral(s, d, False), spectral_sql(False))
+add("heat_mixtures", lambda s, d: _spectral(s, d, True), spectral_sql(True))
 
 
 def _shape(s: SparkSession, d: str) -> DataFrame:
