@@ -272,12 +272,6 @@ def test_names_by_the_first_rule_that_fits():
     assert matching.name_score("locatin", "location")[1] == "fuzzy_name" and matching.name_score("abc", "xyz") == (0.0, None)
 
 
-def test_pairs_of_many_classes_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(matching, "MOST_PAIRS", 3)
-    c = {"classes": spark.createDataFrame([("a",), ("b",)], "class string")}
-    with pytest.raises(ValueError, match="pairs"):
-        matching.matches(c, c)
-
 
 def test_components_and_cycles_of_long_paths(spark):
     order = random.Random(3).sample(range(1000, 1400), 400)

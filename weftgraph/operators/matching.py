@@ -1,6 +1,6 @@
 """Matching the classes of two ontologies, and methods and processes given as triples (s, p, o).
 
-Classes of an ontology are few; pairs of two lists are made only behind a check of their product.
+Pairs of classes come from joins: by equal or similar names (`names`), common attributes and relationships, and like shapes.
 """
 
 from __future__ import annotations
@@ -8,12 +8,10 @@ from __future__ import annotations
 import difflib
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-MOST_PAIRS = 1_000_000
 #: Parts of a class name: words that may begin with a capital, and runs of capitals.
 PARTS = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|$)"
 VOWELS = "aeiou"
@@ -112,40 +110,49 @@ def _jaccard(a: DataFrame, b: DataFrame, what: str, name: str) -> DataFrame:
     return both.join(F.broadcast(na), "x").join(F.broadcast(nb), "y").select("x", "y", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias(name))
 
 
+def _alike_shapes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(x, y, structure) of shapes(class, degree, diversity) that are alike by more than .4. Then one of the two numbers is, so
+    that the smaller is over .4 of the greater: they lie in the same or neighbouring powers of 2.5. Zeros are a power of their own."""
+    power = lambda v: F.when(v > 0, F.floor(F.log(v) / F.log(F.lit(2.5)))).otherwise(-1000).cast("int")
+    s = a.select(F.col("class").alias("x"), F.col("degree").alias("d1"), F.col("diversity").alias("v1"))
+    t = b.select(F.col("class").alias("y"), F.col("degree").alias("d2"), F.col("diversity").alias("v2"))
+    near = None
+    for p, q in (("d1", "d2"), ("v1", "v2")):
+        around = s.withColumn("k", F.explode(F.array(*[power(F.col(p)) + i for i in (-1, 0, 1)])))
+        met = around.join(t.withColumn("k", power(F.col(q))), "k").select("x", "d1", "v1", "y", "d2", "v2")
+        near = met if near is None else near.union(met)
+    alike = lambda p, q: 1 - F.abs(F.col(p) - F.col(q)) / (F.greatest(p, q) + 1e-6)
+    return near.distinct().select("x", "y", ((alike("d1", "d2") + alike("v1", "v2")) / 2).alias("structure")).filter("structure > 0.4")
+
+
 def matches(mine: dict[str, DataFrame], other: dict[str, DataFrame], threshold: float = 0.5, top: int = 3) -> DataFrame:
     """(loaded, inferred, score, reason): for each class of mine the `top` of other at or above the threshold.
 
-    Each side has classes(class) and may have props(class, prop), shapes(class, degree, diversity) and relations(src, edge,
+    No pairs are made but those that a rule can fit. Each side has classes(class) and may have props(class, prop), shapes(class, degree, diversity) and relations(src, edge,
     dst). The first rule that fits decides: names, then attributes that overlap by more than .4, then shapes alike by more
     than .4, then relationships by more than .3."""
-    a, b = mine["classes"].select(F.col("class").alias("x")).distinct(), other["classes"].select(F.col("class").alias("y")).distinct()
-    n, m = a.count(), b.count()
-    if n * m > MOST_PAIRS:
-        raise ValueError(f"{n} by {m} classes are more than {MOST_PAIRS} pairs")
-    pairs = a.crossJoin(F.broadcast(b))
-
-    @F.pandas_udf("score double, reason string")
-    def by_name(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([name_score(p, q) for p, q in zip(x, y)], columns=["score", "reason"])
-
-    scored = pairs.withColumn("n", by_name("x", "y")).select("x", "y", F.col("n.score").alias("name"), F.col("n.reason").alias("why"))
-    rules: list[tuple[Column, str, float]] = []
+    from . import names
+
+    named = names.scored(mine["classes"], other["classes"]).select("x", "y", F.col("score").alias("name"), F.col("reason").alias("why"))
+    pairs, scored = named.select("x", "y"), []
+    known = (mine["classes"].select(F.col("class").alias("x")).distinct(), other["classes"].select(F.col("class").alias("y")).distinct())
     if "props" in mine and "props" in other:
-        scored = scored.join(_jaccard(mine["props"].select(F.col("class").alias("x"), "prop"), other["props"].select(F.col("class").alias("y"), "prop"), "prop", "attribute"), ["x", "y"], "left")
-        rules.append((F.col("attribute"), "attribute", 0.4))
+        scored.append((_jaccard(mine["props"].select(F.col("class").alias("x"), "prop"), other["props"].select(F.col("class").alias("y"), "prop"), "prop", "attribute"), "attribute", 0.4))
     if "shapes" in mine and "shapes" in other:
-        s, t = mine["shapes"].select(F.col("class").alias("x"), F.col("degree").alias("d1"), F.col("diversity").alias("v1")), other["shapes"].select(F.col("class").alias("y"), F.col("degree").alias("d2"), F.col("diversity").alias("v2"))
-        alike = lambda p, q: 1 - F.abs(F.col(p) - F.col(q)) / (F.greatest(p, q) + 1e-6)
-        scored = scored.join(F.broadcast(s), "x", "left").join(F.broadcast(t), "y", "left").withColumn("structure", (alike("d1", "d2") + alike("v1", "v2")) / 2)
-        rules.append((F.col("structure"), "structure", 0.4))
+        scored.append((_alike_shapes(mine["shapes"], other["shapes"]), "structure", 0.4))
     if "relations" in mine and "relations" in other:
         ends = lambda side, c: side["relations"].select(F.explode(F.array("src", "dst")).alias(c), F.concat_ws(" ", F.array_sort(F.array("src", "dst"))).alias("signature"))
-        scored = scored.join(_jaccard(ends(mine, "x"), ends(other, "y"), "signature", "relationship"), ["x", "y"], "left")
-        rules.append((F.col("relationship"), "relationship", 0.3))
+        scored.append((_jaccard(ends(mine, "x"), ends(other, "y"), "signature", "relationship"), "relationship", 0.3))
+    for values, label, least in scored:
+        of_classes = values.join(known[0], "x", "left_semi").join(known[1], "y", "left_semi")
+        pairs = pairs.union(of_classes.filter(F.col(label) > least).select("x", "y"))
+    j = pairs.distinct().join(named, ["x", "y"], "left")
+    for values, _, _ in scored:
+        j = j.join(values, ["x", "y"], "left")
     score, reason = F.when(F.col("why").isNotNull(), F.col("name")), F.when(F.col("why").isNotNull(), F.col("why"))
-    for value, label, least in rules:
-        score, reason = score.when(value > least, value), reason.when(value > least, label)
-    found = scored.select("x", "y", F.round(score, 3).alias("score"), reason.alias("reason"), score.alias("exact")).filter(F.col("exact") >= threshold)
+    for _, label, least in scored:
+        score, reason = score.when(F.col(label) > least, F.col(label)), reason.when(F.col(label) > least, label)
+    found = j.select("x", "y", F.round(score, 3).alias("score"), reason.alias("reason"), score.alias("exact")).filter(F.col("exact") >= threshold)
     k = F.row_number().over(W.partitionBy("x").orderBy(F.desc("score"), "y"))
     return found.withColumn("k", k).filter(F.col("k") <= top).select(F.col("x").alias("loaded"), F.col("y").alias("inferred"), "score", "reason")
 

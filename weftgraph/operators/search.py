@@ -50,6 +50,13 @@ def exact(texts: DataFrame, query: str, value: float = 0.99, within: float = 0.9
     return texts.filter(F.contains(t, F.lit(q))).select("id", F.when(F.contains(t, F.lit(f"value: {q}")), value).otherwise(within).alias("similarity"))
 
 
+def exact_indexed(index, query: str, value: float = 0.99, within: float = 0.95) -> DataFrame:
+    """exact() by a kept index of the texts (`text_index`)."""
+    from . import text_index
+
+    return exact(text_index.containing(index, cleaned(query)), query, value, within)
+
+
 def context(edges: DataFrame, nodes: DataFrame, hits: DataFrame, k: int = 8) -> DataFrame:
     """Neighbours of hits(id): .85 for files, folders, places, measurements and validations by their type, else .70; the k best,
     ties by id."""
@@ -83,8 +90,14 @@ def semantic(vectors: DataFrame, query: list[float], least: float, without: Data
 
 def search(nodes: DataFrame, edges: DataFrame, node_texts: DataFrame, edge_texts: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None, top_k: int = 5, threshold: float = 0.15) -> DataFrame:
     """(kind, place, tier, id, similarity) of the first top_k nodes and edges: exact hits, then their context, then vectors near
-    the query's. Without exact nodes only the last, which then need .10 instead of .25 at least."""
-    hits, edge_hits = exact(node_texts, query), exact(edge_texts, query, 0.9, 0.9)
+    the query's. Without exact nodes only the last, which then need .10 instead of .25 at least. Texts are frames (id, text) or
+    kept indexes of them."""
+    from .tables import materialise
+
+    def hit(texts, *scores: float) -> DataFrame:
+        return exact(texts, query, *scores) if isinstance(texts, DataFrame) else exact_indexed(texts, query, *scores)
+
+    hits, edge_hits = materialise(hit(node_texts)), hit(edge_texts, 0.9, 0.9)  # hits are read four times
     some = not hits.isEmpty()
     tiers = []
     if some:

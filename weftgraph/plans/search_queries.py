@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, search
+from ..operators import matching, names, search, text_index
 from .catalog import BOTH, E, N, P, T, add, with_
 
 
@@ -58,11 +58,25 @@ add("search_summary", lambda s, d: search.search_summary(_search(s, d, "NATION_3
 add(
     "search_subgraph",
     lambda s, d: search.search_subgraph(E(s, d), _search(s, d, "NATION_3")),
-    with_(*tiers("nation_3", True), "hs AS (SELECT id AS node_id, CASE WHEN similarity >= 0.9 THEN 5 ELSE 2 END AS most FROM fd WHERE kind = 'node')", "sn AS (SELECT node_id FROM hs UNION SELECT other FROM (SELECT DISTINCT node_id, other, most FROM b JOIN hs USING (node_id)) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY other) <= most)")
+    with_(*(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in tiers("nation_3", True)), "hs AS MATERIALIZED (SELECT id AS node_id, CASE WHEN similarity >= 0.9 THEN 5 ELSE 2 END AS most FROM fd WHERE kind = 'node')", "sn AS MATERIALIZED (SELECT node_id FROM hs UNION SELECT other FROM (SELECT DISTINCT node_id, other, most FROM b JOIN hs USING (node_id)) QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY other) <= most)")
     + "SELECT src, dst, edge_type FROM e WHERE src IN (SELECT node_id FROM sn) AND dst IN (SELECT node_id FROM sn)",
 )
 
 
+add("text_indexed", lambda s, d: search.exact_indexed(text_index.build(_node_texts(s, d)), "NATION_1"), with_(*TEXTS, hits("nation_1")) + "SELECT * FROM hn")
+add(
+    "search_indexed",
+    lambda s, d: search.search(N(s, d), E(s, d), text_index.build(_node_texts(s, d)), text_index.build(_edge_texts(s, d)), "NATION_3", *_vectors(s, d), top_k=12),
+    with_(*tiers("nation_3", True)) + "SELECT * FROM fd",
+)
+add(
+    "documents_containing",
+    lambda s, d: text_index.containing(text_index.build(T(s, d, "documents").select(F.col("doc_id").alias("id"), "text")), "token = ").select("id", F.length("text").alias("chars")),
+    "SELECT doc_id AS id, length(text) AS chars FROM documents WHERE contains(lower(text), 'token = ') AND doc_id IS NOT NULL",
+    False,
+)
+
+
 def _statuses(s: SparkSession, d: str) -> DataFrame:
     """Labels as nodes with some of the fields that tell a status."""
     k = F.col("doc_id")
@@ -82,21 +96,21 @@ add("status_rollup", lambda s, d: _statuses(s, d).groupBy("resolved").agg(F.coun
 
 # --- matching
 
-LOADED = ["Customers", "Orders", "SupplierNode", "part", "GeoRegion", "nation", "Shipment"]
-
 
-def _sides(s: SparkSession, d: str) -> tuple[dict, dict]:
-    """A made-up loaded ontology against the graph's."""
-    mine = {"classes": s.createDataFrame([(x,) for x in LOADED], "class string"), "props": s.createDataFrame([("Shipment", p) for p in ("o_orderstatus", "o_totalprice", "o_clerk")], "class string, prop string"), "relations": s.createDataFrame([("GeoRegion", "within", "nation")], "src string, edge string, dst string")}
-    n, e = N(s, d), E(s, d)
-    other = {"classes": n.select(F.col("type").alias("class")).distinct(), "props": P(s, d).select(F.col("type").alias("class"), "prop").distinct(), "relations": e.select(F.col("src_type").alias("src"), F.col("edge_type").alias("edge"), F.col("dst_type").alias("dst")).distinct()}
-    return mine, other
+def _named(s: SparkSession, d: str, table: str) -> dict[str, DataFrame]:
+    return {"classes": T(s, d, table).select(F.col("name").alias("class"))}
 
 
-#: By hand from the rules: stems, overlapping parts, a ratio of 2 * 6 / 15 and an overlap of two of four properties.
-MATCHED = "SELECT * FROM (VALUES ('Customers', 'customer', 0.9::DOUBLE, 'stem'), ('Orders', 'order', 0.9, 'stem'), ('SupplierNode', 'supplier', 0.8, 'fuzzy_name'), ('part', 'part', 1.0, 'exact'), ('GeoRegion', 'region', 0.8, 'fuzzy_name'), ('nation', 'nation', 1.0, 'exact'), ('Shipment', 'order', 0.5, 'attribute')) v(loaded, inferred, score, reason)"
-add("fuzzy_match", lambda s, d: matching.matches(*_sides(s, d)), MATCHED, False)
-add("ontology_matching", lambda s, d: matching.compared(*_sides(s, d)), "SELECT * FROM (VALUES ('exact', 'part'), ('exact', 'nation'), ('fuzzy', 'Customers'), ('fuzzy', 'Orders'), ('fuzzy', 'SupplierNode'), ('fuzzy', 'GeoRegion'), ('only_mine', 'Shipment')) v(side, class)", False)
+# no SQL for stems and matching runs: tests hold both against the rules on all pairs
+add("fuzzy_match", lambda s, d: matching.matches(_named(s, d, "clients"), _named(s, d, "vendors")))
+add("ontology_matching", lambda s, d: matching.compared(_named(s, d, "clients"), _named(s, d, "vendors")))
+GRAMS = "g3 AS MATERIALIZED (SELECT name, unnest(list_distinct(list_transform(range(1, length(name) + 3), lambda i: substr('  ' || lower(name) || '  ', i, 3)))) AS g FROM (SELECT DISTINCT name FROM clients WHERE name IS NOT NULL)), c3 AS (SELECT name, count(*) AS n FROM g3 GROUP BY 1)"
+add(
+    "similar_client_names",
+    lambda s, d: names.similar_names(T(s, d, "clients"), 0.6).withColumn("similarity", F.round("similarity", 6)),
+    f"WITH {GRAMS} SELECT x, y, round(k / CAST(a.n + b.n - k AS DOUBLE), 6) AS similarity FROM (SELECT p.name AS x, q.name AS y, count(*) AS k FROM g3 p JOIN g3 q ON p.g = q.g AND p.name < q.name GROUP BY ALL) JOIN c3 a ON a.name = x JOIN c3 b ON b.name = y WHERE k / CAST(a.n + b.n - k AS DOUBLE) >= 0.6::DOUBLE - 1e-12",
+    False,
+)
 add(
     "class_shapes",
     lambda s, d: matching.shapes(N(s, d), E(s, d)),
