@@ -299,3 +299,11 @@ def test_json_of_any_depth(spark):
     got = {(r.path, r.type, r.value) for r in ingest.json_nodes(spark.createDataFrame([(1, deep), (2, None)], "doc int, j string"), "j").collect()}
     want = {("root" + ".a" * i, "dict", None) for i in range(12)} | {("root" + ".a" * 12, "list", None), ("root" + ".a" * 12 + ".0", "int", "1"), ("root" + ".a" * 12 + ".1", "dict", None)}
     assert got == want
+
+
+def test_severity_by_the_nearest_prompt(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, -3.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 1.0]), (6, [1.0])], "id long, embedding array<float>")
+    got = {r["id"]: tuple(r)[1:3] for r in search.severity(v, [("low", [0.0, 2.0]), ("high", [3.0, 0.0])]).collect()}
+    assert got == {1: ("high", 1), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("low", 0), 6: (None, None)}
+    with pytest.raises(ValueError, match="prompts"):
+        search.severity(v, [])

@@ -412,6 +412,7 @@ def spectral_influences(nodes: DataFrame, edges: DataFrame, src: DataFrame, dept
 
     parts = [t.select("node_id", F.array(*[F.lit(c[k]) for c in terms]).alias("c"), *signals) for k, t in enumerate(found)]
     summed = reduce(DataFrame.union, parts).groupBy("node_id").agg(*[F.sum(F.get("c", F.lit(k)) * F.col(v)).alias(f"y{k}_{i}") for k in range(depth) for i, v in enumerate(signals)])
+    summed = materialise(summed)  # it is read for the lengths and for the rows
     each = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(k + 1).alias("distance"), F.col(f"y{k}_{i}").alias("y")) for i, x in enumerate(xs) for k in range(depth)])
     rows = summed.select("node_id", F.explode(each).alias("r")).select("node_id", "r.*")
     length = rows.groupBy("x", "distance").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))

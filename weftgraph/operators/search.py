@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -150,6 +151,25 @@ def status(df: DataFrame) -> DataFrame:
     return df.select("id", s.alias("resolved"), (some & s.isin("FAILED", "WARNING")).alias("warns"))
 
 
+def severity(vectors: DataFrame, prompts: list[tuple[str, list[float]]], least: float = 0.2, most: int = 64) -> DataFrame:
+    """vectors(id, embedding) -> (id, level, prompt, similarity): the level of the prompt that is nearest by cosine, the first of
+    equal ones; level and prompt are null where none reaches `least`, all three for a vector that is null, zero or of another
+    length. Prompts (level, vector), `most` at most, are a matrix of literals: one projection, no join. Vectors of texts and
+    prompts are made elsewhere: there is no model here."""
+    if not prompts or len(prompts) > most or len({len(v) for _, v in prompts}) > 1:
+        raise ValueError(f"1 to {most} prompts of one length")
+    unit = [[float(x) / (math.sqrt(sum(float(y) ** 2 for y in v)) or 1.0) for x in v] for _, v in prompts]
+    matrix, levels = F.array(*[F.array(*[F.lit(x) for x in v]) for v in unit]), F.array(*[F.lit(name) for name, _ in prompts])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    good = (F.size("embedding") == len(unit[0])) & (size > 0)
+    rows = vectors.select("id", F.when(good, F.transform(matrix, lambda p: F.round(dot(F.col("embedding"), p) / size, 6))).alias("all"))
+    best = rows.select("id", "all", F.array_max("all").alias("similarity"))
+    at = F.array_position("all", F.col("similarity")).cast("int")
+    near = F.col("similarity") >= least
+    return best.select("id", F.when(near, F.element_at(levels, at)).alias("level"), F.when(near, at - 1).alias("prompt"), "similarity")
+
+
 def walk(steps: DataFrame, start: str, most: int = 20) -> DataFrame:
     """steps(src, dst) of a process -> (step, node) in order from start, the least next one at each."""
     spark = steps.sparkSession

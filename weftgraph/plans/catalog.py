@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from ..operators import enrich, graph, ontology, propagation, search, series, views
+from ..operators import enrich, forest, graph, ontology, propagation, recursion, search, series, views
 from ..sources import ingest
 from ..sources import star_graph as star
 from ..streaming import events as stream
@@ -309,8 +309,33 @@ add("channel_detect", lambda s, d: enrich.channels(_channel_tokens(s, d)), CHN +
 LET = "'ABCDEFGHJKLMNPQRSTUVWXY'"
 EXC = "('A01', 'A02', 'A23', 'A24', 'Y01', 'Y02', 'Y23', 'Y24')"
 GRID = f"gr AS (SELECT substr({LET}, CAST(r + 1 AS INT), 1) || lpad(CAST(c AS VARCHAR), 2, '0') AS channel_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS column FROM range(0, 23) a(r), range(1, 26) b(c))"
-add("grid_letters", lambda s, d: enrich.letter_grid(s), f"WITH {GRID} SELECT channel_id, row, \"column\" FROM gr WHERE channel_id NOT IN {EXC}", False)
-add("grid_even", lambda s, d: enrich.even_grid(s), "SELECT lpad(CAST(r AS VARCHAR), 2, '0') || lpad(CAST(c AS VARCHAR), 2, '0') AS channel_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS \"column\" FROM range(2, 99, 2) a(r), range(2, 99, 2) b(c) WHERE r <> 50 AND c <> 50", False)
+
+
+def _busy(s: SparkSession, d: str, channel) -> DataFrame:
+    """(channel_id, events): each user of the events has a channel by number."""
+    return T(s, d, "events").filter("user_id IS NOT NULL").groupBy(channel(F.col("user_id").cast("long")).alias("channel_id")).agg(F.count("*").alias("events"))
+
+
+def _lettered(u):
+    return F.concat(F.substring(F.lit(enrich.ROW_LETTERS), (u % len(enrich.ROW_LETTERS)).cast("int") + 1, F.lit(1)), F.lpad((F.floor(u / len(enrich.ROW_LETTERS)) % enrich.LAST_COLUMN + 1).cast("string"), 2, "0"))
+
+
+def _evenly(u):
+    return F.format_string("%02d%02d", u % 49 * 2 + 2, F.floor(u / 49) % 49 * 2 + 2)
+
+
+add(
+    "grid_letters",
+    lambda s, d: F.broadcast(enrich.letter_grid(s)).join(_busy(s, d, _lettered), "channel_id"),
+    f"WITH {GRID}, bu AS (SELECT substr({LET}, CAST(user_id % 23 + 1 AS INT), 1) || lpad(CAST((user_id // 23) % 25 + 1 AS VARCHAR), 2, '0') AS channel_id, count(*) AS events FROM events WHERE user_id IS NOT NULL GROUP BY 1) SELECT channel_id, row, \"column\", events FROM gr JOIN bu USING (channel_id) WHERE channel_id NOT IN {EXC}",
+    False,
+)
+add(
+    "grid_even",
+    lambda s, d: F.broadcast(enrich.even_grid(s)).join(_busy(s, d, _evenly), "channel_id"),
+    "WITH bu AS (SELECT CAST(user_id % 49 * 2 + 2 AS INTEGER) AS row, CAST((user_id // 49) % 49 * 2 + 2 AS INTEGER) AS \"column\", count(*) AS events FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2) SELECT lpad(CAST(row AS VARCHAR), 2, '0') || lpad(CAST(\"column\" AS VARCHAR), 2, '0') AS channel_id, row, \"column\", events FROM bu WHERE row <> 50 AND \"column\" <> 50",
+    False,
+)
 
 # --- propagation
 
@@ -331,28 +356,74 @@ add("propagate_matrix_hops", lambda s, d: _hops(s, d).withColumn("influence", F.
 # --- search, status, matching
 
 add("text_semantic", lambda s, d: search.cosine(T(s, d, "embeddings"), T(s, d, "embeddings").filter("vec_id = 0"), 0.1, 8), "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS similarity FROM embeddings, q WHERE vec_id <> 0) SELECT * FROM c WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 8", False)
-add("node_text", lambda s, d: search.node_text(N(s, d).filter("type <> 'order'"), P(s, d).filter("d_val IS NULL AND type <> 'order'")), with_("t AS (SELECT node_id, string_agg(prop || ': ' || s_val, ' | ' ORDER BY prop) AS t FROM p WHERE d_val IS NULL GROUP BY 1)") + "SELECT node_id, 'type: ' || type || ' | value: ' || value || coalesce(' | ' || t, '') AS text FROM n LEFT JOIN t USING (node_id) WHERE type <> 'order'")
-add("edge_text", lambda s, d: search.edge_text(E(s, d, GEO), N(s, d)), "SELECT e.src, e.dst, edge_type, src_type || ':' || x.value || ' ' || edge_type || ' ' || dst_type || ':' || y.value AS text FROM e JOIN n x ON x.node_id = e.src JOIN n y ON y.node_id = e.dst WHERE edge_type IN ('in_nation', 'in_region')")
 #: The same over all nodes, properties and edges; node_text and edge_text are on parts of them.
-add("node_text_full", lambda s, d: search.node_text(N(s, d), P(s, d)), with_("t AS (SELECT node_id, string_agg(prop || ': ' || s_val, ' | ' ORDER BY prop) AS t FROM p GROUP BY 1)") + "SELECT node_id, 'type: ' || type || ' | value: ' || value || coalesce(' | ' || t, '') AS text FROM n LEFT JOIN t USING (node_id)")
-add("edge_text_full", lambda s, d: search.edge_text(E(s, d), N(s, d)), "SELECT e.src, e.dst, edge_type, src_type || ':' || x.value || ' ' || edge_type || ' ' || dst_type || ':' || y.value AS text FROM e JOIN n x ON x.node_id = e.src JOIN n y ON y.node_id = e.dst")
+add("node_text", lambda s, d: search.node_text(N(s, d), P(s, d)), with_("t AS (SELECT node_id, string_agg(prop || ': ' || s_val, ' | ' ORDER BY prop) AS t FROM p GROUP BY 1)") + "SELECT node_id, 'type: ' || type || ' | value: ' || value || coalesce(' | ' || t, '') AS text FROM n LEFT JOIN t USING (node_id)")
+add("edge_text", lambda s, d: search.edge_text(E(s, d), N(s, d)), "SELECT e.src, e.dst, edge_type, src_type || ':' || x.value || ' ' || edge_type || ' ' || dst_type || ':' || y.value AS text FROM e JOIN n x ON x.node_id = e.src JOIN n y ON y.node_id = e.dst")
+
+
+
 
+def process_steps(s: SparkSession, d: str) -> DataFrame:
+    """Steps between classes: which segments order at which priorities, which of these come to which status, and so on."""
+    o, li = T(s, d, "orders"), T(s, d, "lineitem")
+    ordered = o.join(T(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("src"), F.col("o_orderpriority").alias("dst"))
+    settled = o.select(F.col("o_orderpriority").alias("src"), F.col("o_orderstatus").alias("dst"))
+    shipped = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderstatus").alias("src"), F.col("l_returnflag").alias("dst"))
+    every = ordered.distinct().union(settled.distinct()).union(shipped.distinct()).filter("src IS NOT NULL AND dst IS NOT NULL")
+    return every.withColumn("method", F.concat(F.lit("To"), F.regexp_replace("dst", r"\W", "")))
 
 
+STEPS_SQL = """m AS MATERIALIZED (SELECT DISTINCT src, dst, 'To' || regexp_replace(dst, '\\W', '', 'g') AS method FROM (SELECT c_mktsegment AS src, o_orderpriority AS dst FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT o_orderpriority, o_orderstatus FROM orders UNION ALL SELECT o_orderstatus, l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE src IS NOT NULL AND dst IS NOT NULL)"""
+add(
+    "process_walk",
+    lambda s, d: recursion.walk(process_steps(s, d), "BUILDING"),
+    f"WITH RECURSIVE {STEPS_SQL}, l AS (SELECT src, min(dst) AS dst FROM m GROUP BY 1), w AS (SELECT 0 AS step, 'BUILDING' AS node UNION ALL SELECT step + 1, l.dst FROM w JOIN l ON l.src = w.node) SELECT * FROM w",
+    False,
+)
+UP = "up AS (SELECT src AS node_id, dst AS parent, 1 AS level FROM {0} UNION ALL SELECT up.node_id, x.dst, level + 1 FROM up JOIN {0} x ON x.src = up.parent)"
+add("graph_ancestors", lambda s, d: recursion.ancestors(E(s, d, ("in_nation", "in_region"))), with_("ie AS MATERIALIZED (SELECT src, dst FROM e WHERE edge_type IN ('in_nation', 'in_region'))", UP.format("ie")) + "SELECT DISTINCT node_id, parent, level FROM up")
+ORACLES["graph_ancestors"] = ORACLES["graph_ancestors"].replace("WITH ", "WITH RECURSIVE ", 1)
+PATH_EDGES = "pe AS MATERIALIZED (SELECT node_id AS src, regexp_replace(node_id, '/[^/]*$', '') AS dst FROM pn WHERE depth > 0)"
+
+
+def _path_edges(s: SparkSession, d: str) -> DataFrame:
+    return ingest.path_edges(_paths(s, d)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
-STEPS = [("start", "load"), ("load", "check"), ("check", "fix"), ("check", "report"), ("fix", "report"), ("report", "end")]
-add("process_walk", lambda s, d: search.walk(s.createDataFrame(STEPS, "src string, dst string"), "start"), "SELECT * FROM (VALUES (0, 'start'), (1, 'load'), (2, 'check'), (3, 'fix'), (4, 'report'), (5, 'end')) v(step, node)", False)
+
+def _path_forest(s: SparkSession, d: str) -> DataFrame:
+    e = _path_edges(s, d).distinct()
+    return ingest.path_nodes(_paths(s, d)).select("node_id").distinct().join(e.select(F.col("src").alias("node_id"), F.col("dst").alias("parent")), "node_id", "left")
+
+
+add("path_ancestors", lambda s, d: recursion.ancestors(_path_edges(s, d)), PATHS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f", {PATH_EDGES}, {UP.format('pe')} SELECT DISTINCT node_id, parent, level FROM up", False)
+FOREST_SQL = PATHS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f", {PATH_EDGES}, {UP.format('pe')}, "
+add(
+    "forest_tour",
+    lambda s, d: forest.tour(_path_forest(s, d)).select("node_id", "root", "depth", "size", (F.col("exit") - F.col("entry") + 1).alias("interval")),
+    FOREST_SQL + "de AS (SELECT node_id, max(level) AS depth FROM up GROUP BY 1), si AS (SELECT parent AS node_id, count(*) AS below FROM up GROUP BY 1) SELECT node_id, split_part(node_id, '/', 1) AS root, coalesce(de.depth, 0) AS depth, 1 + coalesce(below, 0) AS size, 1 + coalesce(below, 0) AS interval FROM (SELECT DISTINCT node_id FROM pn) LEFT JOIN de USING (node_id) LEFT JOIN si USING (node_id)",
+    False,
+)
+add(
+    "forest_descendants",
+    lambda s, d: (lambda t: forest.descendants(t, t.filter("depth = 1")))(forest.tour(_path_forest(s, d))),
+    FOREST_SQL + "de AS (SELECT node_id, max(level) AS depth FROM up GROUP BY 1) SELECT parent AS node_id, up.node_id AS below FROM up JOIN de ON de.node_id = up.parent WHERE depth = 1 UNION ALL SELECT node_id, node_id FROM de WHERE depth = 1",
+    False,
+)
 
 # --- views, streams
 
-add("naming_score", lambda s, d: views.naming(N(s, d), P(s, d)).filter("type <> 'order' AND prop NOT IN ('c_acctbal', 's_acctbal', 'p_retailprice')"), with_(PC, "ln AS (SELECT type, prop, avg(length(s_val)) AS l FROM p GROUP BY 1, 2)") + f"SELECT type, prop, round(CASE {UNI} WHEN 'unique' THEN 10.0::DOUBLE WHEN 'variable' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + present / CAST(total AS DOUBLE) * 10 + CASE WHEN l <= 30 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS score FROM pc JOIN ln USING (type, prop) WHERE type <> 'order' AND prop NOT IN ('c_acctbal', 's_acctbal', 'p_retailprice')")
-add("naming_score_full", lambda s, d: views.naming(N(s, d), P(s, d)), with_(PC, "ln AS (SELECT type, prop, avg(length(s_val)) AS l FROM p GROUP BY 1, 2)") + f"SELECT type, prop, round(CASE {UNI} WHEN 'unique' THEN 10.0::DOUBLE WHEN 'variable' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + present / CAST(total AS DOUBLE) * 10 + CASE WHEN l <= 30 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS score FROM pc JOIN ln USING (type, prop)")
+add("naming_score", lambda s, d: views.naming(N(s, d), P(s, d)), with_(PC, "ln AS (SELECT type, prop, avg(length(s_val)) AS l FROM p GROUP BY 1, 2)") + f"SELECT type, prop, round(CASE {UNI} WHEN 'unique' THEN 10.0::DOUBLE WHEN 'variable' THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END + present / CAST(total AS DOUBLE) * 10 + CASE WHEN l <= 30 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS score FROM pc JOIN ln USING (type, prop)")
 add("hierarchy_buckets", lambda s, d: views.hierarchy_buckets(E(s, d)), "SELECT CASE WHEN contains(edge_type, 'contains') OR contains(edge_type, 'has') OR contains(edge_type, 'in_') THEN 'containment' WHEN edge_type = 'placed' THEN 'ownership' WHEN edge_type = 'supplies' THEN 'supply' ELSE 'other' END AS kind, edge_type, count(*) AS n FROM e GROUP BY 1, 2")
 add("categorization", lambda s, d: views.categories(N(s, d), P(s, d), E(s, d)), with_(REL, "rt AS (SELECT type, count(*) AS relationships FROM (SELECT src_type AS type, edge_type, src_type, dst_type FROM r UNION SELECT dst_type, edge_type, src_type, dst_type FROM r) GROUP BY 1)", "ns AS (SELECT type, round(count(*) FILTER (k) / CAST(count(*) AS DOUBLE), 6) AS numeric_share FROM (SELECT type, prop, bool_or(d_val IS NOT NULL) AS k FROM p GROUP BY 1, 2) GROUP BY 1)", "ty AS (SELECT DISTINCT type FROM n)", "z AS (SELECT type, coalesce(relationships, 0) AS relationships, coalesce(numeric_share, 0.0::DOUBLE) AS numeric_share FROM ty LEFT JOIN rt USING (type) LEFT JOIN ns USING (type))") + "SELECT *, CAST(CASE WHEN relationships > 2 THEN 2 ELSE 0 END + CASE WHEN numeric_share > 0.3 THEN 1 ELSE 0 END AS INTEGER) AS score FROM z")
 add("measurement_ranges", lambda s, d: views.ranges(P(s, d)), with_("q AS (SELECT type, prop, d_val, min(d_val) OVER (PARTITION BY type, prop) AS a, max(d_val) OVER (PARTITION BY type, prop) AS b FROM p WHERE d_val IS NOT NULL)") + "SELECT type, prop, CAST(CASE WHEN a = b THEN 0 ELSE least(3, floor((d_val - a) * 4 / (b - a))) END AS INTEGER) AS part, count(*) AS n FROM q GROUP BY 1, 2, 3")
 add("parent_context", lambda s, d: views.parents(E(s, d, ("in_nation", "in_region")), ("in_nation", "in_region")), "SELECT src AS node_id, dst AS parent, 1 AS level FROM e WHERE edge_type = 'in_nation' UNION ALL SELECT x.src, y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.edge_type = 'in_nation' AND y.edge_type = 'in_region'")
-METHODS = [("file", "extension", "FileExtension"), ("token", "timestamp", "DateDetection"), ("file", "token", "Tokenize"), ("timestamp", "timeline", "Timeline"), ("timeline", "file", "Export")]
-add("process_paths", lambda s, d: views.method_paths(s.createDataFrame(METHODS, "src string, dst string, method string"), 3), "WITH RECURSIVE m(src, dst, method) AS (VALUES ('file', 'extension', 'FileExtension'), ('token', 'timestamp', 'DateDetection'), ('file', 'token', 'Tokenize'), ('timestamp', 'timeline', 'Timeline'), ('timeline', 'file', 'Export')), w AS (SELECT [src, dst] AS nodes, [method] AS methods FROM m UNION ALL SELECT list_append(nodes, dst), list_append(methods, method) FROM w JOIN m ON m.src = nodes[-1] WHERE NOT list_contains(nodes, dst) AND len(methods) < 3) SELECT array_to_string(nodes, '>') AS path, array_to_string(methods, '>') AS methods FROM w", False)
+add(
+    "process_paths",
+    lambda s, d: recursion.paths(process_steps(s, d), 3).drop("length"),
+    f"WITH RECURSIVE {STEPS_SQL}, w AS (SELECT [src, dst] AS nodes, [method] AS methods FROM m UNION ALL SELECT list_append(nodes, dst), list_append(methods, method) FROM w JOIN m ON m.src = nodes[-1] WHERE NOT list_contains(nodes, dst) AND len(methods) < 3) SELECT array_to_string(nodes, '>') AS path, array_to_string(methods, '>') AS methods FROM w",
+    False,
+)
 add("channel_activity", lambda s, d: T(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).groupBy(columns.activity(F.col("n")).alias("activity")).agg(F.count("*").alias("channels")), "SELECT CASE WHEN n <= 2 THEN 'low' WHEN n <= 9 THEN 'medium' ELSE 'high' END AS activity, count(*) AS channels FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) GROUP BY 1", False)
 add("parse_times", lambda s, d: T(s, d, "orders").select("o_orderkey", columns.parse_time(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("t")), "SELECT o_orderkey, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS t FROM orders", False)
 add("turbofan_downsample", lambda s, d: ingest.every_second(T(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), "l_suppkey", ["l_orderkey", "l_linenumber"]).groupBy("l_suppkey").agg(F.count("*").alias("n")), "SELECT l_suppkey, CASE WHEN count(*) > 100 THEN (count(*) + 1) // 2 ELSE count(*) END AS n FROM lineitem GROUP BY 1", False)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import views
+from ..operators import recursion, views
 from ..operators.tables import shared_base
 from ..sources import export, files, ingest, semantic
-from .catalog import GEO, METHODS, REL, E, N, P, T, _paths, add, with_
+from .catalog import GEO, REL, STEPS_SQL, E, N, P, T, _paths, add, process_steps, with_
 from .ontology_queries import RICH, _rich, profile_sql
 
 
@@ -130,22 +130,22 @@ def _schema(s: SparkSession, d: str) -> DataFrame:
 add("json_schema", _schema, with_(RICH, *profile_sql("px", "pf")) + "SELECT type, prop, CASE WHEN kind = 'text' THEN 'string' WHEN pattern = 'integer' THEN 'integer' ELSE 'number' END AS kind, present = total AS required FROM pf JOIN (SELECT type, count(*) AS total FROM n GROUP BY 1) USING (type)")
 
 
-def _processes(s: SparkSession) -> DataFrame:
-    return export.process_turtle(views.method_paths(s.createDataFrame(METHODS, "src string, dst string, method string"), 3))
+def _processes(s: SparkSession, d: str) -> DataFrame:
+    return export.process_turtle(recursion.paths(process_steps(s, d), 3).drop("length"))
 
 
-def _read_processes(s: SparkSession) -> DataFrame:
-    return semantic.read_processes(s, _written(_processes(s), "line", ["process", "line"])).select("process", "name", "steps")
+def _read_processes(s: SparkSession, d: str) -> DataFrame:
+    return semantic.read_processes(s, _written(_processes(s, d), "line", ["process", "line"])).select("process", "name", "steps")
 
 
-#: The simple paths of up to three methods over the five steps of METHODS.
-PATHS = """WITH RECURSIVE m(src, dst, method) AS (VALUES ('file', 'extension', 'FileExtension'), ('token', 'timestamp', 'DateDetection'), ('file', 'token', 'Tokenize'), ('timestamp', 'timeline', 'Timeline'), ('timeline', 'file', 'Export')),
+#: The simple paths of up to three methods.
+PATHS = f"WITH RECURSIVE {STEPS_SQL}, " + """
 w AS (SELECT [src, dst] AS c, [method] AS m FROM m UNION ALL SELECT list_append(c, dst), list_append(w.m, method) FROM w JOIN m ON c[-1] = src WHERE len(w.m) < 3 AND NOT list_contains(c, dst)),
 z AS (SELECT *, 'process:' || regexp_replace(array_to_string(list_concat(list_concat([c[1]], m), [c[-1]]), '_'), '\\W', '', 'g') AS process FROM w) """
-add("process_files", lambda s, d: _read_processes(s), PATHS + "SELECT process, c[1] || ' to ' || c[-1] AS name, CAST(len(m) AS INTEGER) AS steps FROM z", False)
+add("process_files", lambda s, d: _read_processes(s, d), PATHS + "SELECT process, c[1] || ' to ' || c[-1] AS name, CAST(len(m) AS INTEGER) AS steps FROM z", False)
 add(
     "process_turtle",
-    lambda s, d: _processes(s),
+    lambda s, d: _processes(s, d),
     PATHS + """SELECT process, process || ' rdf:type process:Process .' AS line FROM z UNION ALL SELECT process, process || ' rdfs:label "' || c[1] || ' to ' || c[-1] || '" .' FROM z UNION ALL SELECT process, process || ' process:startsWith ' || process || '_Step1 .' FROM z
     UNION ALL SELECT process, process || ' process:hasStep ' || array_to_string(list_transform(generate_series(1, len(m)), lambda i: process || '_Step' || i), ', ') || ' .' FROM z
     UNION ALL SELECT process, process || '_Step' || i || ' rdf:type process:Step ; process:usesMethod :' || m[i] || CASE WHEN i < len(m) THEN ' ; process:followedBy ' || process || '_Step' || (i + 1) ELSE '' END || ' .' FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM z)""",

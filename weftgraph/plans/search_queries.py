@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,26 @@ rs AS (SELECT id, told, CASE WHEN NOT told THEN 'INFORMATIONAL' WHEN v THEN 'PAS
 add("status_resolution", _statuses, STATUS + "SELECT id, resolved, told AND resolved IN ('FAILED', 'WARNING') AS warns FROM rs", False)
 add("status_rollup", lambda s, d: _statuses(s, d).groupBy("resolved").agg(F.count("*").alias("n"), F.count_if("warns").alias("warnings")), STATUS + "SELECT resolved, count(*) AS n, count(*) FILTER (told AND resolved IN ('FAILED', 'WARNING')) AS warnings FROM rs GROUP BY 1", False)
 
+LEVELS = ("critical", "warning", "informational")
+
+
+def _severity(s: SparkSession, d: str) -> DataFrame:
+    """Vectors against 18 prompts, for which the first 18 vectors stand in, six of each level."""
+    v = T(s, d, "embeddings")
+    prompts = [(LEVELS[r["vec_id"] // 6], list(r["embedding"])) for r in v.filter("vec_id BETWEEN 0 AND 17").orderBy("vec_id").collect()]
+    return search.severity(v.select(F.col("vec_id").alias("id"), "embedding"), prompts)
+
+
+add(
+    "warning_severity",
+    _severity,
+    """WITH q AS (SELECT vec_id AS prompt, embedding AS q FROM embeddings WHERE vec_id BETWEEN 0 AND 17),
+    c AS (SELECT e.vec_id AS id, prompt, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS similarity FROM embeddings e, q),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, prompt) = 1)
+    SELECT id, CASE WHEN similarity >= 0.2 THEN ['critical', 'warning', 'informational'][prompt // 6 + 1] END AS level, CASE WHEN similarity >= 0.2 THEN prompt::INTEGER END AS prompt, similarity FROM b""",
+    False,
+)
+
 # --- matching
 
 
@@ -117,31 +139,66 @@ add(
     with_(BOTH, "f5 AS (SELECT node_id, type FROM n QUALIFY row_number() OVER (PARTITION BY type ORDER BY node_id) <= 5)", "nn AS (SELECT DISTINCT f5.type, f5.node_id, other FROM f5 LEFT JOIN b USING (node_id))")
     + "SELECT nn.type AS class, count(other) / CAST(count(DISTINCT nn.node_id) AS DOUBLE) AS degree, count(DISTINCT n.type) AS diversity FROM nn LEFT JOIN n ON n.node_id = other GROUP BY 1",
 )
-TRIPLES = [
-    (":DateMethod", "a", "owl:Class"), (":DateMethod", ":appliesTo", ":order"), (":DateMethod", ":produces", ":Timestamp"), (":DateMethod", ":isImplementable", '"true"^^xsd:boolean'),
-    (":SizeMethod", "a", "owl:Class"), (":SizeMethod", ":worksOn", ":part"), (":SizeMethod", ":produces", ":Size"), (":worksOn", "rdfs:subPropertyOf", ":appliesTo"),
-    (":Report", "a", "owl:Class"), (":Report", ":appliesTo", ":Timestamp"), (":Report", "rdfs:comment", '"a report"@en'), (":order", "a", "owl:Class"), (":part", "a", "owl:Class"), (":Timestamp", "a", "owl:Class"), (":OtherMethod", "a", "owl:Class"),
-]
-USES = [("p1", ":DateMethod"), ("p1", ":Report"), ("p2", "SizeMethod"), ("p3", ":Nothing")]
 
 
-def _triples(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(TRIPLES, "s string, p string, o string")
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return T(s, d, "items").filter("item_id IS NOT NULL AND brand IS NOT NULL AND kind IS NOT NULL")
+
+
+def _triples(s: SparkSession, d: str) -> DataFrame:
+    """The shop's items as an ontology: a method of each brand applies to the kinds it makes (by a subproperty where the price
+    is low), produces what its names end in, and is implementable if an item of size 40 is among them."""
+    i = _items(s, d)
+    method, kind = F.concat(F.lit(":"), "brand", F.lit("Method")), F.concat(F.lit(":"), "kind")
 
+    def triple(a, p, o):
+        return i.select(a.alias("s"), p.alias("p"), o.alias("o"))
 
-def _uses(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(USES, "process string, method string")
+    is_class = (F.lit("a"), F.lit("owl:Class"))
+    applies = F.when(F.col("price") < 50, ":worksOn").otherwise(":appliesTo")
+    every = [
+        triple(method, *is_class), triple(kind, *is_class), triple(method, applies, kind), triple(F.lit(":worksOn"), F.lit("rdfs:subPropertyOf"), F.lit(":appliesTo")),
+        triple(method, F.lit(":produces"), F.concat(F.lit(":"), F.element_at(F.split("name", " "), -1))).filter("o IS NOT NULL"), triple(method, F.lit("rdfs:comment"), F.concat(F.lit('"'), "brand", F.lit('"@en'))),
+        triple(method, F.lit(":isImplementable"), F.when(F.col("size") == 40, F.lit('"true"^^xsd:boolean'))).filter("o IS NOT NULL"),
+    ]
+    return reduce(DataFrame.union, every).distinct()
 
 
+def _uses(s: SparkSession, d: str) -> DataFrame:
+    """A sale is a process whose lines use the methods of their items' brands, by the whole id or what follows the colon."""
+    j = T(s, d, "sale_lines").filter("sale_id IS NOT NULL").join(_items(s, d).select("item_id", "brand"), "item_id")
+    return j.select(F.concat(F.lit("sale"), "sale_id").alias("process"), F.concat(F.when(F.col("line_no") % 2 == 0, F.lit("")).otherwise(F.lit(":")), "brand", F.lit("Method")).alias("method"))
+
+
+SHOP = """WITH it AS MATERIALIZED (SELECT *, ':' || brand || 'Method' AS method FROM items WHERE item_id IS NOT NULL AND brand IS NOT NULL AND kind IS NOT NULL),
+us AS (SELECT 'sale' || sale_id AS process, CASE WHEN line_no % 2 = 0 THEN '' ELSE ':' END || brand || 'Method' AS method FROM sale_lines JOIN it USING (item_id) WHERE sale_id IS NOT NULL),
+mc AS (SELECT method, coalesce(string_agg(DISTINCT ':' || kind, ',' ORDER BY ':' || kind), '') AS applies_to, coalesce(string_agg(DISTINCT ':' || split_part(name, ' ', -1), ',' ORDER BY ':' || split_part(name, ' ', -1)), '') AS produces, bool_or(coalesce(size = 40, FALSE)) AS implementable FROM it GROUP BY 1) """
 add(
     "method_catalog",
-    lambda s, d: matching.method_catalog(_triples(s)).select("method", F.array_join("applies_to", ",").alias("applies_to"), F.array_join("produces", ",").alias("produces"), "implementable"),
-    "SELECT * FROM (VALUES (':DateMethod', ':order', ':Timestamp', TRUE), (':SizeMethod', ':part', ':Size', FALSE), (':Report', ':Timestamp', '', FALSE), (':OtherMethod', '', '', FALSE)) v(method, applies_to, produces, implementable)",
+    lambda s, d: matching.method_catalog(_triples(s, d)).select("method", F.array_join("applies_to", ",").alias("applies_to"), F.array_join("produces", ",").alias("produces"), "implementable"),
+    SHOP + "SELECT * FROM mc",
+    False,
+)
+add("methods_for_classes", lambda s, d: matching.methods_for(matching.method_catalog(_triples(s, d)), [":toys", ":office"]).select("method"), SHOP + "SELECT DISTINCT method FROM it WHERE kind IN ('toys', 'office')", False)
+add(
+    "processes_with_methods",
+    lambda s, d: matching.processes_with(_uses(s, d), matching.method_catalog(_triples(s, d)).filter("implementable")).select("process", F.array_join("methods", ",").alias("methods")),
+    SHOP + "SELECT process, string_agg(DISTINCT us.method, ',' ORDER BY us.method) AS methods FROM us JOIN mc ON mc.method = ':' || ltrim(us.method, ':') WHERE implementable GROUP BY 1",
     False,
 )
-add("methods_for_classes", lambda s, d: matching.methods_for(matching.method_catalog(_triples(s)), [":order", ":Timestamp"]).select("method"), "SELECT * FROM (VALUES (':DateMethod'), (':Report')) v(method)", False)
-add("processes_with_methods", lambda s, d: matching.processes_with(_uses(s), matching.method_catalog(_triples(s)).filter("method <> ':Report'")).select("process", F.array_join("methods", ",").alias("methods")), "SELECT * FROM (VALUES ('p1', ':DateMethod'), ('p2', 'SizeMethod')) v(process, methods)", False)
-add("process_catalog", lambda s, d: matching.processes(_uses(s)), "SELECT * FROM (VALUES ('p1', 2::BIGINT, 2::BIGINT), ('p2', 1, 1), ('p3', 1, 1)) v(process, steps, methods)", False)
-add("ontology_properties", lambda s, d: matching.properties(_triples(s)), "SELECT * FROM (VALUES (':DateMethod', ':appliesTo', ':order'), (':DateMethod', ':produces', ':Timestamp'), (':SizeMethod', ':worksOn', ':part'), (':Report', ':appliesTo', ':Timestamp')) v(src, property, dst)", False)
+add("process_catalog", lambda s, d: matching.processes(_uses(s, d)), SHOP + "SELECT process, count(*) AS steps, count(DISTINCT method) AS methods FROM us GROUP BY 1", False)
+add(
+    "ontology_properties",
+    lambda s, d: matching.properties(_triples(s, d)),
+    SHOP + "SELECT DISTINCT method AS src, CASE WHEN price < 50 THEN ':worksOn' ELSE ':appliesTo' END AS property, ':' || kind AS dst FROM it UNION SELECT method, ':produces', ':' || split_part(name, ' ', -1) FROM it WHERE split_part(name, ' ', -1) IN (SELECT kind FROM it)",
+    False,
+)
+add("method_annotations", lambda s, d: matching.annotations(_triples(s, d), ":B8Method"), SHOP + "SELECT DISTINCT 'rdfs:comment' AS p, brand AS value FROM it WHERE brand = 'B8' UNION SELECT ':isImplementable', 'true' FROM it WHERE brand = 'B8' AND size = 40", False)
 add("inferred_types", lambda s, d: matching.inferred_types(N(s, d)), "SELECT type, count(*) AS n, 1.0::DOUBLE AS confidence FROM n GROUP BY 1")
-add("reasoning_bundle", lambda s, d: matching.reasoning(N(s, d), _triples(s), _uses(s)), "SELECT 'type' AS kind, type AS name, CAST(count(*) AS VARCHAR) AS detail FROM n GROUP BY 2 UNION ALL SELECT * FROM (VALUES ('method', ':DateMethod', ':order'), ('method', ':SizeMethod', ':part'), ('process', 'p1', ':DateMethod'), ('process', 'p2', 'SizeMethod')) v(kind, name, detail)")
+add(
+    "reasoning_bundle",
+    lambda s, d: matching.reasoning(_items(s, d).select(F.col("item_id").alias("node_id"), F.col("kind").alias("type")), _triples(s, d), _uses(s, d)),
+    SHOP + """SELECT 'type' AS kind, it.kind AS name, CAST(count(*) AS VARCHAR) AS detail FROM it GROUP BY 2 UNION ALL SELECT 'method', method, applies_to FROM mc
+    UNION ALL SELECT 'process', process, string_agg(DISTINCT method, ',' ORDER BY method) FROM us GROUP BY 2""",
+    False,
+)

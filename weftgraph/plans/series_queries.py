@@ -119,12 +119,27 @@ add(
 )
 
 
-def _sensors(s: SparkSession) -> DataFrame:
-    rows = [("T2", "temperature_sensor", "T2", None, None), ("own", "speed_sensor", "x", 0.0, 5.0), ("a", "temperature_sensor", "T2", None, None), ("b", "flow_sensor", "Nf", None, None), ("c", "bleed_sensor", None, None, 3.0), ("d", "odd", None, None, None), ("farB", None, None, None, None)]
-    return s.createDataFrame(rows, "sensor string, type string, sensor_type string, low double, high double")
+#: Sensors that each rule of the cascade knows, and one that none does.
+KINDS = [("T2", "temperature_sensor", "T2", None, None), ("own", "speed_sensor", "x", 0.0, 5.0), ("a", "temperature_sensor", "T2", None, None), ("b", "flow_sensor", "Nf", None, None), ("c", "bleed_sensor", None, None, 3.0), ("d", "odd", None, None, None), ("farB", None, None, None, None)]
 
 
-add("sensor_bounds_cascade", lambda s, d: series.bounds_of(_sensors(s)), "SELECT * FROM (VALUES ('T2', 515.0::DOUBLE, 525.0::DOUBLE, '°R', 'T2_specification'), ('own', 0.0, 5.0, 'unknown', 'own_x'), ('a', 60.0, 90.0, '°C', 'temperature_generic_bounds'), ('b', 2300.0, 2500.0, 'rpm', 'default_bounds_NF'), ('c', 0.0, 5.0, 'kg/s', 'default_bounds_BLEED'), ('farB', 0.02, 0.05, 'ratio', 'FARB_specification')) v(sensor, low, high, unit, source)", False)
+def _sensors(s: SparkSession, d: str) -> DataFrame:
+    """A sensor for each user of the events, of a kind by number; one with a range of its own has that of its events."""
+    at = (F.col("user_id") % len(KINDS)).cast("int") + 1
+    of = lambda i, kind: F.element_at(F.array(*[F.lit(k[i]).cast(kind) for k in KINDS]), at)
+    users = T(s, d, "events").filter("user_id IS NOT NULL").groupBy("user_id").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    own = of(0, "string") == "own"
+    return users.select(of(0, "string").alias("sensor"), of(1, "string").alias("type"), of(2, "string").alias("sensor_type"), F.when(own, F.col("least")).otherwise(of(3, "double")).alias("low"), F.when(own, F.col("most")).otherwise(of(4, "double")).alias("high"))
+
+
+add(
+    "sensor_bounds_cascade",
+    lambda s, d: series.bounds_of(_sensors(s, d)),
+    """WITH us AS (SELECT user_id % 7 AS k, min(value) AS least, max(value) AS most FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+    SELECT sensor, CASE WHEN us.k = 1 THEN least ELSE low END AS low, CASE WHEN us.k = 1 THEN most ELSE high END AS high, unit, source FROM us
+    JOIN (VALUES (0, 'T2', 515.0::DOUBLE, 525.0::DOUBLE, '°R', 'T2_specification'), (1, 'own', 0.0, 5.0, 'unknown', 'own_x'), (2, 'a', 60.0, 90.0, '°C', 'temperature_generic_bounds'), (3, 'b', 2300.0, 2500.0, 'rpm', 'default_bounds_NF'), (4, 'c', 0.0, 5.0, 'kg/s', 'default_bounds_BLEED'), (6, 'farB', 0.02, 0.05, 'ratio', 'FARB_specification')) v(k, sensor, low, high, unit, source) USING (k)""",
+    False,
+)
 
 
 def _temporal(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
