@@ -97,6 +97,29 @@ def test_lm_children_by_pointers(spark):
     assert second == pytest.approx(6 / 7, rel=0.02) and third == pytest.approx(2 / 8, rel=0.02) and rest == pytest.approx(2 / 8, rel=0.02)
 
 
+def test_lm_beyond_what_is_kept_open(spark, monkeypatch):
+    """With more shards than may stay open the scores are the same, and what is open isn't opened again."""
+    import pyarrow as pa
+
+    from .conftest import prose
+
+    texts = [prose(i, 60, " ".join(f"w{k}" for k in range(80))) for i in range(40)]
+    meta = lm_trie.train(make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    opened = Counter()
+    real = lm_trie._open
+    monkeypatch.setattr(lm_trie, "_open", lambda uri: (opened.update([uri]), real(uri))[1])
+    batches = [pa.array(texts[i : i + 10]) for i in range(0, 40, 10)]
+    scores = {}
+    for most in (1, 100):
+        monkeypatch.setattr(lm_trie, "MOST_OPEN", most)
+        opened.clear()
+        model = lm_trie.Model(meta)
+        scores[most] = [model.score(b)[3].tolist() for b in batches]
+        assert len(opened) > 1 and min(opened.values()) == 1 and max(opened.values()) == (len(batches) if most == 1 else 1)
+        assert len(model.shards) <= most
+    assert scores[1] == scores[100]
+
+
 @pytest.mark.parametrize("texts", [["a b c"], ["a b c", "d e f"], ["", None], ["a a b b"]])
 def test_lm_of_few_words_is_finite(spark, texts):
     docs = make(spark, [(i + 1, t, "en", "s") for i, t in enumerate(texts)] + [(50, "a q", None, None)])

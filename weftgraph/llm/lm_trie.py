@@ -41,9 +41,11 @@ CHUNK_BYTES = 4_500_000
 SHARD_TOKENS = 2_000_000
 COUNTED_WORDS = 800_000
 COUNTED_CHARS = 2_000_000
-#: N-gram rows of a shard that wait for being added up, and files that a task keeps open.
+#: N-gram rows of a shard that wait for being added up.
 WAITING = 4_000_000
-MOST_OPEN = 256
+#: Shards, and pieces of the vocabulary, that a process keeps open: maps of two files each, of which a process may have 65,530.
+#: Shards of a million tokens reach this at about 50 GB of text, pieces never do.
+MOST_OPEN = 8_192
 SCORE_ROWS = 1024
 ALPHA = 0.1
 
@@ -201,6 +203,17 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- the vocabulary
 
 
+def _kept_open(kept: dict, k: int, make):
+    """kept[k], made if it isn't there. Each batch asks for nearly all, in the same order: once there are too many, those that
+    are open stay open and only the others are opened anew."""
+    if k in kept:
+        return kept[k]
+    x = make()
+    if len(kept) < MOST_OPEN:
+        kept[k] = x
+    return x
+
+
 class Vocabulary:
     """Ids, counts and followers of words. Pieces are opened when asked for."""
 
@@ -214,12 +227,11 @@ class Vocabulary:
 
     def piece(self, k: int) -> tuple:
         """(hashes, counts, followers) of a piece."""
-        if k not in self.opened:
-            if len(self.opened) >= MOST_OPEN:  # maps, not memory
-                self.opened.clear()
+        def open_piece() -> tuple:
             words = mapped(f"{self.meta['folder']}/vocab-{k}")
-            self.opened[k] = words["h"], words["c"], mapped(f"{self.meta['folder']}/followers-{k}")["t"] if self.with_followers else None
-        return self.opened[k]
+            return words["h"], words["c"], mapped(f"{self.meta['folder']}/followers-{k}")["t"] if self.with_followers else None
+
+        return _kept_open(self.opened, k, open_piece)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, counts, followers): first of the end of a text, then of words."""
@@ -561,12 +573,11 @@ class Model:
         self.shards: dict[int, Shard | None] = {}
 
     def shard(self, k: int) -> Shard | None:
-        if k not in self.shards:
-            if len(self.shards) >= MOST_OPEN:  # maps, not memory
-                self.shards.clear()
+        def open_shard() -> Shard | None:
             x = _open(f"{self.meta['folder']}/shard-{k}")
-            self.shards[k] = None if x is None else Shard(x, mapped(f"{self.meta['folder']}/second-{k}"), self.vocabulary.universe)
-        return self.shards[k]
+            return None if x is None else Shard(x, mapped(f"{self.meta['folder']}/second-{k}"), self.vocabulary.universe)
+
+        return _kept_open(self.shards, k, open_shard)
 
     def score(self, texts):
         """(tokens, known tokens, base score, score) of each text of an Arrow array."""
