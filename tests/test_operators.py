@@ -307,3 +307,25 @@ def test_severity_by_the_nearest_prompt(spark):
     assert got == {1: ("high", 1), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("low", 0), 6: (None, None)}
     with pytest.raises(ValueError, match="prompts"):
         search.severity(v, [])
+
+
+def test_moments_against_all_pairs(spark):
+    """Carried as sums, a node's weight by distance and its whole mean are those of all pairs; a component's mean is one of its
+    interval; rows are bounded by intervals."""
+    r = random.Random(9)
+    ids = [f"s{i}" for i in range(300)]
+    pairs = [(x, f"m{r.randrange(6)}") for x in ids] + [(f"m{i}", f"t{j}") for i in range(6) for j in range(3) if r.random() < 0.7] + [("m0", "s1")]
+    src, e = _sources(spark, {x: r.random() * 90 for x in ids}), edges(spark, pairs)
+    pairwise = propagation.hops(src, e, 3, 0.8, cut=0.0).join(src.select(F.col("node_id").alias("source"), "x"), "source")
+    want = {(k.node_id, k.distance): (k.w, k.wx, k.wxx) for k in pairwise.groupBy("node_id", "distance").agg(F.sum("influence").alias("w"), F.sum(F.col("influence") * F.col("x")).alias("wx"), F.sum(F.col("influence") * F.col("x") ** 2).alias("wxx")).collect()}
+    carried = propagation.moments(src, e, 3, 0.8, bins=8)
+    got = {(k.node_id, k.distance): (k.w, k.wx, k.wxx) for k in carried.groupBy("node_id", "distance").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx")).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    assert carried.groupBy("node_id", "distance").count().agg(F.max("count")).first()[0] <= 8 < pairwise.groupBy("node_id", "distance").count().agg(F.max("count")).first()[0]
+    for k in carried.collect():
+        assert k.bin / 8 - 1e-9 <= k.wx / k.w <= (k.bin + 1) / 8 + 1e-9
+    for k in propagation.merged_mixtures(carried).collect():
+        w, wx = (sum(v[i] for (n, _), v in want.items() if n == k.node_id) for i in (0, 1))
+        assert sum(c.w for c in k.c) == pytest.approx(1) and len(k.c) <= 5
+        if len(k.c) < 5:  # none was replaced
+            assert sum(c.w * c.m for c in k.c) == pytest.approx(wx / w)

@@ -22,6 +22,8 @@ KEEP = 0.05
 METHODS = ("matrix", "belief", "spectral", "heat")
 #: Nodes that all others are compared with at most.
 MOST_QUERIES = 2_000
+#: Intervals of the values that a mixture is carried in from hop to hop.
+BINS = 32
 #: Order of the polynomials that stand for spectral filters; bumps of .15 of the spectrum are then met to about 1e-5.
 ORDER = 16
 
@@ -62,6 +64,35 @@ def signals(src: DataFrame, edges: DataFrame, depth: int, decay: float, digits:
     return _walked(now, ["x"], src, edges, depth, decay, 0.0)
 
 
+def moments(src: DataFrame, edges: DataFrame, depth: int, decay: float, bins: int = BINS) -> DataFrame:
+    """(bin, node_id, distance, w, wx, wxx): the mixture that reaches each node, as sums that add up: the influence of sources
+    whose x lies in one of `bins` equal intervals, and the sums of it with x and its square. A hop is one join with the edges and
+    one sum, made in part before the shuffle, with at most `bins` rows a node however many sources there are. Nothing is cut."""
+    own = F.least(F.floor(F.col("x") * bins), F.lit(bins - 1)).cast("int")
+    sums = ["w", "wx", "wxx"]
+    now = src.groupBy(own.alias("bin"), "node_id").agg(F.count("*").cast("double").alias("w"), F.sum("x").alias("wx"), F.sum(F.col("x") * F.col("x")).alias("wxx"))
+    e, stop, found = weighted(edges), src.select(F.col("node_id").alias("_s")).distinct(), None
+    for d in range(1, depth + 1):
+        sent = now.join(e, F.col("node_id") == F.col("src"))
+        step = sent.groupBy("bin", F.col("dst").alias("node_id")).agg(*[(F.sum(F.col(c) * F.col("weight")) * decay).alias(c) for c in sums])
+        now = step.join(stop, F.col("node_id") == F.col("_s"), "left_anti")
+        kept = now.select("bin", "node_id", F.lit(d).alias("distance"), *sums)
+        found = kept if found is None else found.union(kept)
+    return found
+
+
+def merged_mixtures(reached: DataFrame, most: int = 5, near: float = 0.05) -> DataFrame:
+    """moments() -> (node_id, c), components folded in order of mean and distance. Weights, and the mean of a node's whole
+    mixture, are those of mixtures() of all pairs (with nothing cut); a component stands for values of one interval, so that its
+    mean is within 1 / bins of each of theirs, and their spread is in its deviation."""
+    m = F.col("wx") / F.col("w")
+    spread = F.greatest(F.col("wxx") / F.col("w") - m * m, F.lit(0.0))
+    s = F.sqrt(F.pow(0.025 + 0.015 * F.col("distance"), 2) + spread)
+    r = F.array_sort(F.collect_list(F.struct(F.round(m, 12).alias("m"), F.col("distance").alias("d"), F.col("w").alias("w"), s.alias("s"))))
+    listed = reached.filter("w > 0").groupBy("node_id").agg(r.alias("r"))  # at most bins times depth
+    return listed.select("node_id", normalised(folded(F.col("r"), most, near, True)).alias("c"))
+
+
 def _walked(now: DataFrame, key: list[str], src: DataFrame, edges: DataFrame, depth: int, decay: float, cut: float) -> DataFrame:
     e, stop, found = weighted(edges), src.select(F.col("node_id").alias("_s")).distinct(), None
     for d in range(1, depth + 1):

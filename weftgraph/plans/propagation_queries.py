@@ -51,6 +51,23 @@ COMPONENTS = "SELECT node_id, kind, CAST(i - 1 AS INTEGER) AS place, round(c[i].
 add("propagate_values", lambda s, d: propagation.values_of(_mixed(s, d), _src(s, d)).withColumn("value", F.round("value", 2)), with_(*MIXED) + "SELECT node_id, kind, round(value, 2) AS value FROM mv")
 add("propagate_mixtures", lambda s, d: propagation.components_of(_mixed(s, d)), with_(*MIXED) + COMPONENTS.format("mx"))
 add("propagate_signals", lambda s, d: propagation.signals(_src(s, d), E(s, d, GEO), 2, 0.7, 2).withColumn("influence", F.round("influence", 4)), with_(*MIXED) + "SELECT round(x, 2) AS x, hp.node_id, distance, round(sum(influence), 4) AS influence FROM hp JOIN sx ON sx.node_id = source GROUP BY 1, 2, 3")
+BINNED = (
+    *MIXED[:3],
+    "mo AS (SELECT CAST(least(floor(sx.x * 32), 31) AS INTEGER) AS bin, hp.node_id, distance, sum(influence) AS w, sum(influence * sx.x) AS wx, sum(influence * sx.x * sx.x) AS wxx FROM hp JOIN sx ON sx.node_id = source GROUP BY 1, 2, 3)",
+    "mq AS (SELECT node_id, distance AS d, w, round(wx / w, 12) AS m, sqrt((0.025::DOUBLE + 0.015::DOUBLE * distance) ** 2 + greatest(wxx / w - (wx / w) * (wx / w), 0.0::DOUBLE)) AS s FROM mo)",
+    "mf AS (SELECT node_id, " + fold_sql("list(struct_pack(m := m, w := w, s := s) ORDER BY m, d)", 5, "0.05::DOUBLE", True) + " AS f FROM mq GROUP BY node_id)",
+    f"ml AS (SELECT node_id, {NORMAL.format('f')} AS c FROM mf)",
+)
+add(
+    "propagate_moments",
+    lambda s, d: propagation.moments(_src(s, d), E(s, d, GEO), 2, 0.7).select("bin", "node_id", "distance", *[F.round(c, 6).alias(c) for c in ("w", "wx", "wxx")]),
+    with_(*BINNED[:4]) + "SELECT bin, node_id, distance, round(w, 6) AS w, round(wx, 6) AS wx, round(wxx, 6) AS wxx FROM mo",
+)
+add(
+    "propagate_merged_mixtures",
+    lambda s, d: propagation.merged_mixtures(propagation.moments(_src(s, d), E(s, d, GEO), 2, 0.7)).select("node_id", F.posexplode("c").alias("place", "q")).select("node_id", "place", *[F.round(f"q.{k}", 6).alias(n) for k, n in (("w", "weight"), ("m", "mean"), ("s", "std"))]),
+    with_(*BINNED) + "SELECT node_id, CAST(i - 1 AS INTEGER) AS place, round(c[i].w, 6) AS weight, round(c[i].m, 6) AS mean, round(c[i].s, 6) AS std FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM ml)",
+)
 add("propagate_top_values", lambda s, d: propagation.top_values(propagation.values_of(_mixed(s, d), _src(s, d))).withColumn("value", F.round("value", 2)), with_(*MIXED) + "SELECT node_id, kind, round(value, 2) AS value FROM mv WHERE kind = 'inferred' ORDER BY mv.value DESC, node_id LIMIT 20")
 add("propagate_page", lambda s, d: propagation.page(propagation.values_of(_mixed(s, d), _src(s, d)), 1, 50).select("node_id", "kind"), with_(*MIXED) + "SELECT node_id, kind FROM mx ORDER BY node_id LIMIT 50 OFFSET 50")
 add(
