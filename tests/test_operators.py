@@ -329,3 +329,8 @@ def test_moments_against_all_pairs(spark):
         assert sum(c.w for c in k.c) == pytest.approx(1) and len(k.c) <= 5
         if len(k.c) < 5:  # none was replaced
             assert sum(c.w * c.m for c in k.c) == pytest.approx(wx / w)
+
+
+def test_belief_says_whether_it_settled(spark):
+    src, e = _sources(spark, {"a": 1}), edges(spark, [("a", "b"), ("b", "c"), ("c", "b")])
+    assert [propagation.belief(src, e, rounds=n)[1] for n in (2, 60)] == [False, True]

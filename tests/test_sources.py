@@ -150,3 +150,15 @@ def test_commands(spark, tmp_path):
     assert rows(search.vectors_info(search.kept_vectors(spark, str(tmp_path), "g"))) == [(2, 2, 2)]
     found = search.search(n, e, texts, texts.limit(0), "nothing like it", v, [0.0, 1.0])
     assert [(r.tier, r.id, r.similarity) for r in found.collect()] == [("semantic", "b", 1.0)]
+
+
+def test_graph_lines_there_and_back(spark, tmp_path):
+    n = spark.createDataFrame([("a", "t", 'v "x"\n', 1), ("b", None, None, None)], "node_id string, type string, value string, level int")
+    e = spark.createDataFrame([("a", "b", "e", 0.5)], "src string, dst string, edge_type string, weight double")
+    export.save_graph_lines(n, e, f"{tmp_path}/g.jsonl")
+    (tmp_path / "g.jsonl" / "odd.txt").write_text("no object\n[1]\n{}\n")
+    got, more = ingest.read_graph_lines(spark, f"{tmp_path}/g.jsonl")
+    assert {r.node_id: (r.type, r.value, r.attrs.get("level")) for r in got.collect()} == {"a": ("t", 'v "x"\n', "1"), "b": (None, None, None)}
+    assert [(r.src, r.dst, r.edge_type, r.attrs["weight"]) for r in more.collect()] == [("a", "b", "e", "0.5")]
+    nodes, edges = files.read_any(spark, f"{tmp_path}/g.jsonl")
+    assert nodes.columns == ["node_id", "type", "value"] and edges.count() == 1

@@ -319,7 +319,7 @@ def edge_attribute_index(edges: DataFrame, attribute: str, most: int = 100) -> D
     """(value, src, dst, n): the first `most` edges of each value of an attribute that several edges have."""
     n = edges.groupBy(F.col(attribute).alias("value")).agg(F.count("*").alias("n")).filter("n > 1")
     ranked = edges.select(F.col(attribute).alias("value"), "src", "dst").withColumn("k", F.row_number().over(W.partitionBy("value").orderBy("src", "dst"))).filter(F.col("k") <= most)
-    return ranked.join(F.broadcast(n), "value").select("value", "src", "dst", "n")
+    return ranked.join(n, "value").select("value", "src", "dst", "n")
 
 
 def tree_reach(edges: DataFrame, start: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ with the types and not with the graph; reports are joins and aggregates of these
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import ontology, rules
+from . import ontology, rules, selection
 from .tables import materialise
 
 #: Terms of hierarchies in edge names.
@@ -21,17 +23,45 @@ KEY = ["src_type", "edge_type", "dst_type"]
 
 def extract(nodes: DataFrame, edges: DataFrame, props: DataFrame) -> dict[str, DataFrame]:
     """The ontology of a graph. Its frames are written once, as every report reads them several times."""
-    profiled = materialise(rules.profile(props))
+    profiled, related = materialise(rules.profile(props)), materialise(ontology.relationships(edges))
     return {
         "types": materialise(nodes.groupBy(F.coalesce("type", F.lit("Unknown")).alias("type")).agg(F.count("*").alias("n"))),
         "type_props": profiled.select("type", "prop"),
-        "edge_types": materialise(edges.groupBy("edge_type").agg(F.count("*").alias("n"))),
-        "relationships": materialise(ontology.relationships(edges)),
+        "edge_types": materialise(related.groupBy("edge_type").agg(F.sum("n").alias("n"))),
+        "relationships": related,
         "profile": profiled,
         "choices": materialise(rules.choices(props, profiled)),
     }
 
 
+def type_analysis(nodes: DataFrame, edges: DataFrame, props: DataFrame) -> DataFrame:
+    """(type, section, name, value, share): all that is told of a type, as one table. Sections: nodes (how many there are, their
+    share of all); hierarchy (how many at each level, their share of the type); property (how many have it, their share);
+    outgoing and incoming (edges by relationship, their share of the type's edges that way); degree (least, greatest, mean and
+    median number of edge ends of a node, those without edges among them)."""
+    n = nodes.groupBy("type").agg(F.count("*").alias("n"))
+    total = F.broadcast(n)  # a row per type
+    every = n.agg(F.sum("n").alias("every"))
+    row = lambda df, section, name, value, share: df.select("type", F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("double").alias("value"), share.cast("double").alias("share"))
+    share = F.col("k") / F.col("n")
+    found = [row(n.crossJoin(every), "nodes", F.lit("count"), F.col("n"), F.col("n") / F.col("every"))]
+    level = nodes.groupBy("type", "hierarchy").agg(F.count("*").alias("k")).join(total, "type")
+    found.append(row(level, "hierarchy", F.coalesce(F.col("hierarchy").cast("string"), F.lit("none")), F.col("k"), share))
+    have = props.select("type", "prop", "node_id").distinct().groupBy("type", "prop").agg(F.count("*").alias("k")).join(total, "type")
+    found.append(row(have, "property", F.col("prop"), F.col("k"), share))
+    r = materialise(ontology.relationships(edges))
+    for section, mine, other in (("outgoing", "src_type", "dst_type"), ("incoming", "dst_type", "src_type")):
+        mine_all = F.sum("n").over(W.partitionBy(mine))  # a row per relationship
+        x = r.withColumn("m", mine_all).withColumnRenamed(mine, "type")
+        found.append(row(x, section, F.concat_ws(" ", "edge_type", other), F.col("n"), F.col("n") / F.col("m")))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("d"))
+    d = materialise(nodes.select("node_id", "type").join(ends, "node_id", "left").select("type", F.coalesce("d", F.lit(0)).alias("d")))
+    stats = d.groupBy("type").agg(F.min("d").alias("least"), F.max("d").alias("greatest"), F.avg("d").alias("mean")).join(selection.quantile(d, ["type"], "d", 0.5, "median"), "type")
+    each = stats.select("type", F.explode(F.create_map(*[x for c in ("least", "greatest", "mean", "median") for x in (F.lit(c), F.col(c).cast("double"))])).alias("name", "v"))
+    found.append(row(each, "degree", F.col("name"), F.col("v"), F.lit(None)))
+    return reduce(DataFrame.union, found)
+
+
 def extraction_summary(o: dict[str, DataFrame]) -> DataFrame:
     """One row: how many nodes, edges, types of both and relationships."""
     t = o["types"].agg(F.count("*").alias("node_types"), F.sum("n").alias("nodes"))

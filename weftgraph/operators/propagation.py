@@ -342,10 +342,10 @@ def propagate(nodes: DataFrame, edges: DataFrame, props: DataFrame, types: list[
     return assembled(nodes, src, spectral_mixtures(reached, p["components"]))
 
 
-def belief_influences(src: DataFrame, edges: DataFrame, damping: float = 0.1, gain: float = 0.85, rounds: int = 15, least: float = 1e-3) -> DataFrame:
-    """(source, node_id, influence): each source's x <- damping * x + (1 - damping) * gain * (sum over incoming edges), its own
-    node held at 1 and those of other sources at 0, until no value moves by `least` or the rounds are over. Each round is
-    written out."""
+def belief(src: DataFrame, edges: DataFrame, damping: float = 0.1, gain: float = 0.85, rounds: int = 15, least: float = 1e-3) -> tuple[DataFrame, bool]:
+    """((source, node_id, influence), settled): each source's x <- damping * x + (1 - damping) * gain * (sum over incoming edges), its own
+    node held at 1 and those of other sources at 0, until no value moves by `least` or the rounds are over, which settled
+    tells apart. Each round is written out. There is a row for each source and node that it reaches: `moments` has bounded ones."""
     from .tables import materialise
 
     e = materialise(weighted(edges))
@@ -360,8 +360,13 @@ def belief_influences(src: DataFrame, edges: DataFrame, damping: float = 0.1, ga
         moved = step.agg(F.max(F.abs(F.col("influence") - F.col("old")))).first()[0]
         now = step.filter("influence > 0").select("source", "node_id", "influence")
         if moved is None or moved < least:
-            break
-    return now
+            return now, True
+    return now, False
+
+
+def belief_influences(src: DataFrame, edges: DataFrame, damping: float = 0.1, **given) -> DataFrame:
+    """The influences of belief(), settled or not."""
+    return belief(src, edges, damping, **given)[0]
 
 
 def believed(nodes: DataFrame, src: DataFrame, reached: DataFrame, most: int = 20, near: float = 0.08, cut: float = KEEP, digits: int = 4) -> DataFrame:

@@ -45,6 +45,11 @@ def profile(props: DataFrame) -> DataFrame:
     return j.withColumn("kind", kind).withColumn("pattern", pattern).drop("integral", *[f"is_{k}" for k in SHOWN])
 
 
+def edge_profile(props: DataFrame) -> DataFrame:
+    """props(edge_id, edge_type, prop, s_val, d_val) -> per (edge_type, prop) what profile() has of nodes' properties."""
+    return profile(props.select(F.col("edge_id").alias("node_id"), F.col("edge_type").alias("type"), "prop", "s_val", "d_val")).withColumnRenamed("type", "edge_type")
+
+
 def choices(props: DataFrame, profiled: DataFrame) -> DataFrame:
     """(type, prop, choices): the values of enumerations, in order."""
     small = F.broadcast(profiled.filter("pattern = 'enumeration'").select("type", "prop"))
@@ -202,20 +207,34 @@ def implication_problems(props: DataFrame, cross: DataFrame) -> DataFrame:
 def edge_problems(nodes: DataFrame, edges: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
     """Edges without a source or target (high); of the others, unknown types (high), unknown relationships (medium) and
     nodes that break a relationship's cardinality (medium)."""
-    e = edges.select("src", "dst", "edge_type", "src_type", "dst_type").withColumn("edge", F.concat_ws(" ", "src", "edge_type", "dst"))
-    ids = nodes.select(F.col("node_id").alias("id"))
-    no_source = _rows(e.join(ids, F.col("src") == F.col("id"), "left_anti"), "invalid_edge_source", "high", "edge", None, F.col("src"))
-    no_target = _rows(e.join(ids, F.col("dst") == F.col("id"), "left_anti"), "invalid_edge_target", "high", "edge", None, F.col("dst"))
-    whole = e.join(ids, F.col("src") == F.col("id"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_semi")
-    unknown = _rows(whole.join(F.broadcast(rules["edge_types"]), "edge_type", "left_anti"), "invalid_edge_type", "high", "edge", None, F.col("edge_type"))
-    typed = whole.join(F.broadcast(rules["edge_types"]), "edge_type", "left_semi")
-    unseen = _rows(typed.join(F.broadcast(rules["observed"]), ["src_type", "edge_type", "dst_type"], "left_anti"), "invalid_relationship_pattern", "medium", "edge", None, F.concat_ws(" ", "src_type", "edge_type", "dst_type"))
-    ruled = whole.join(F.broadcast(rules["cardinality"]), ["src_type", "edge_type", "dst_type"])
-    sides = []
-    for node, other, kinds, violation in (("src", "dst", ("one-to-one", "many-to-one"), "one-to-many"), ("dst", "src", ("one-to-one", "one-to-many"), "many-to-one")):
-        many = ruled.filter(F.col("cardinality").isin(*kinds)).groupBy("src_type", "edge_type", "dst_type", node).agg(F.count_distinct(other).alias("n")).filter("n > 1")
-        sides.append(_rows(many, "cardinality_violation", "medium", node, F.col("edge_type"), F.lit(violation)))
-    return no_source.union(no_target).union(unknown).union(unseen).union(sides[0]).union(sides[1])
+    triple = ["src_type", "edge_type", "dst_type"]
+    e = edges.select("src", "dst", *triple)
+    ids = nodes.select(F.col("node_id").alias("id")).distinct()
+    for end in ("src", "dst"):  # each end is looked up once
+        there = ids.select(F.col("id").alias(end), F.lit(True).alias(f"{end}_is"))
+        e = e.join(there, end, "left").withColumn(f"{end}_is", F.coalesce(f"{end}_is", F.lit(False)))
+    e = materialise(e)
+    kinds = F.broadcast(rules["edge_types"].distinct().withColumn("kind_is", F.lit(True)))  # a row per edge type and relationship
+    seen = F.broadcast(rules["observed"].distinct().withColumn("seen_is", F.lit(True)))
+    j = e.join(kinds, "edge_type", "left").join(seen, triple, "left")
+    whole, known = F.col("src_is") & F.col("dst_is"), F.col("kind_is").isNotNull()
+
+    def found(name: str, severity: str, when: Column, detail: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("problem"), F.lit(severity).alias("severity"), detail.alias("detail")))
+
+    each = F.array(
+        found("invalid_edge_source", "high", ~F.col("src_is"), F.col("src")),
+        found("invalid_edge_target", "high", ~F.col("dst_is"), F.col("dst")),
+        found("invalid_edge_type", "high", whole & ~known, F.col("edge_type")),
+        found("invalid_relationship_pattern", "medium", whole & known & F.col("seen_is").isNull(), F.concat_ws(" ", *triple)),
+    )
+    hit = j.select(F.concat_ws(" ", "src", "edge_type", "dst").alias("edge"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
+    rows = hit.select("x.problem", "x.severity", F.col("edge").alias("subject"), F.lit(None).cast("string").alias("property"), F.col("x.detail").alias("detail"))
+    ruled = e.filter("src_is AND dst_is").join(F.broadcast(rules["cardinality"]), triple)
+    for node, other, those, violation in (("src", "dst", ("one-to-one", "many-to-one"), "one-to-many"), ("dst", "src", ("one-to-one", "one-to-many"), "many-to-one")):
+        many = ruled.filter(F.col("cardinality").isin(*those)).groupBy(*triple, node).agg(F.count_distinct(other).alias("n")).filter("n > 1")
+        rows = rows.union(_rows(many, "cardinality_violation", "medium", node, F.col("edge_type"), F.lit(violation)))
+    return rows
 
 
 def inconsistencies(nodes: DataFrame, props: DataFrame, edges: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:

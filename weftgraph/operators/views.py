@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import ranks
+
 from ..functions.columns import hierarchy_kind, naming_score
 from .ontology import property_classes
 
@@ -70,8 +72,10 @@ def sorted_by(nodes: DataFrame, edges: DataFrame, props: DataFrame, how: str, pr
         order = [turn(F.lower("value"))]
     else:
         raise ValueError(f"{how!r} is none of property, parent, children, name")
-    placed = rows.withColumn("place", F.row_number().over(W.partitionBy("type").orderBy(*order, "node_id")))
-    return (placed if most is None else placed.filter(F.col("place") <= most)).select("type", "node_id", "place")
+    if most is None:
+        return ranks.placed(rows, "type", [*order, F.col("node_id").asc()]).select("type", "node_id", "place")
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy("type").orderBy(*order, "node_id")))
+    return first.filter(F.col("place") <= most).select("type", "node_id", "place")
 
 
 def sort_strategy(nodes: DataFrame, edges: DataFrame, props: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators import recursion, views
 from ..operators.tables import shared_base
-from ..sources import export, files, ingest, semantic
+from ..sources import export, files, ingest, owl_xml, semantic
 from .catalog import GEO, REL, STEPS_SQL, E, N, P, T, _paths, add, process_steps, with_
 from .ontology_queries import RICH, _rich, profile_sql
 
@@ -151,3 +151,43 @@ add(
     UNION ALL SELECT process, process || '_Step' || i || ' rdf:type process:Step ; process:usesMethod :' || m[i] || CASE WHEN i < len(m) THEN ' ; process:followedBy ' || process || '_Step' || (i + 1) ELSE '' END || ' .' FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM z)""",
     False,
 )
+
+
+def _schema_triples(s: SparkSession, d: str) -> DataFrame:
+    """The graph's types, relationships and properties as an ontology."""
+    n, e, p = N(s, d), E(s, d), P(s, d)
+    colon = lambda c: F.concat(F.lit(":"), F.col(c))
+    say = lambda df, a, b, c: df.select(a.alias("s"), F.lit(b).alias("p"), c.alias("o"))
+    types, rel = n.groupBy("type").agg(F.count("*").alias("n")), e.select("src_type", "edge_type", "dst_type").distinct()
+    own = p.groupBy("type", "prop").agg(F.bool_or(F.col("d_val").isNotNull()).alias("number"))
+    found = say(types, colon("type"), "a", F.lit("owl:Class")).union(say(types, colon("type"), "rdfs:subClassOf", F.lit(":node"))).union(say(types, colon("type"), "rdfs:comment", F.concat(F.lit('"'), F.col("n").cast("string"), F.lit(' & more <nodes>"'))))
+    found = found.union(say(rel, colon("edge_type"), "a", F.lit("owl:ObjectProperty"))).union(say(rel, colon("edge_type"), "rdfs:domain", colon("src_type"))).union(say(rel, colon("edge_type"), "rdfs:range", colon("dst_type")))
+    found = found.union(say(own, colon("prop"), "a", F.lit("owl:DatatypeProperty"))).union(say(own, colon("prop"), "rdfs:domain", colon("type"))).union(say(own, colon("prop"), "rdfs:range", F.when(F.col("number"), "xsd:double").otherwise("xsd:string")))
+    return found.distinct()
+
+
+def _owl_xml(s: SparkSession, d: str) -> DataFrame:
+    folder = f"{shared_base(s)}/weft-owl-{uuid.uuid4().hex[:12]}"
+    owl_xml.write(_schema_triples(s, d), folder)
+    return owl_xml.read(s, f"{folder}/*")
+
+
+add(
+    "owl_xml_triples",
+    _owl_xml,
+    with_("ty AS (SELECT type, count(*) AS k FROM n GROUP BY 1)", "re AS (SELECT DISTINCT src_type, edge_type, dst_type FROM e)", "ow AS (SELECT type, prop, bool_or(d_val IS NOT NULL) AS number FROM p GROUP BY 1, 2)")
+    + """SELECT ':' || type AS s, 'a' AS p, 'owl:Class' AS o FROM ty UNION SELECT ':' || type, 'rdfs:subClassOf', ':node' FROM ty UNION SELECT ':' || type, 'rdfs:comment', '"' || k || ' & more <nodes>"' FROM ty
+    UNION SELECT ':' || edge_type, 'a', 'owl:ObjectProperty' FROM re UNION SELECT ':' || edge_type, 'rdfs:domain', ':' || src_type FROM re UNION SELECT ':' || edge_type, 'rdfs:range', ':' || dst_type FROM re
+    UNION SELECT ':' || prop, 'a', 'owl:DatatypeProperty' FROM ow UNION SELECT ':' || prop, 'rdfs:domain', ':' || type FROM ow UNION SELECT ':' || prop, 'rdfs:range', CASE WHEN number THEN 'xsd:double' ELSE 'xsd:string' END FROM ow""",
+)
+
+
+def _lines(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    folder = f"{shared_base(s)}/weft-lines-{uuid.uuid4().hex[:12]}.jsonl"
+    export.save_graph_lines(N(s, d), E(s, d), folder)
+    return ingest.read_graph_lines(s, folder)
+
+
+attribute = lambda c: F.col("attrs")[c].alias(c)
+add("graph_lines_nodes", lambda s, d: _lines(s, d)[0].select("node_id", "type", "value", F.col("attrs")["hierarchy"].cast("int").alias("hierarchy")), "SELECT * FROM n")
+add("graph_lines_edges", lambda s, d: _lines(s, d)[1].select("src", "dst", "edge_type", attribute("src_type"), attribute("dst_type")), "SELECT * FROM e")

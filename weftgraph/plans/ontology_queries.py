@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ontology, ontology_reports, rules
+from ..sources import star_graph as star
 from .catalog import REL, REQ, UNI, E, N, P, T, add, with_
 
 # --- a graph with formats, mixed kinds and rare properties
@@ -102,6 +103,7 @@ CARD = """cd AS (SELECT src_type, edge_type, dst_type, CASE WHEN o <= 1 AND i <=
   (SELECT src_type, edge_type, dst_type FROM fe GROUP BY 1, 2, 3 HAVING count(*) >= 5) USING (src_type, edge_type, dst_type) WHERE cardinality <> 'many-to-many')"""
 
 add("property_profile", lambda s, d: rules.profile(_rich(s, d)), with_(RICH, *profile_sql("px", "pf")) + "SELECT * FROM pf")
+add("edge_property_profile", lambda s, d: rules.edge_profile(star.edge_props(s, d)), with_(f"ep AS ({star.edge_props_sql()})", *profile_sql("ep", "pf")) + "SELECT * RENAME (type AS edge_type) FROM pf")
 add("property_report", lambda s, d: ontology_reports.property_report(N(s, d), _rich(s, d)), with_(RICH, *profile_sql("px", "pf")) + f"SELECT *, round(present / CAST(total AS DOUBLE), 6) AS coverage, {REQ} AS requirement, {UNI} AS uniqueness FROM pf JOIN (SELECT type, count(*) AS total FROM n GROUP BY 1) USING (type)")
 add("property_rules", lambda s, d: rules.property_rules(N(s, d), _rich(s, d)), with_(RICH, *profile_sql("px", "pf"), *rules_sql("n", "px", "pf", "ru")) + "SELECT * FROM ru")
 add("array_rules", lambda s, d: rules.array_rules(T(s, d, "embeddings"), "label", "embedding"), "SELECT CAST(label AS VARCHAR) AS type, 'embedding' AS prop, unnest(['array', 'array_length', 'array_items']) AS rule, unnest([NULL, min(len(embedding)), NULL])::DOUBLE AS low, unnest([NULL, max(len(embedding)), NULL])::DOUBLE AS high, unnest([NULL, NULL, 'float']) AS detail FROM embeddings WHERE embedding IS NOT NULL GROUP BY label", False)
@@ -320,3 +322,16 @@ def _twins(s: SparkSession, d: str) -> DataFrame:
 
 
 add("value_samples", lambda s, d: ontology.diverse_samples(P(s, d)), with_("q AS (SELECT *, row_number() OVER (PARTITION BY type, prop ORDER BY d_val NULLS FIRST, s_val) - 1 AS i, count(*) OVER (PARTITION BY type, prop) AS n FROM (SELECT DISTINCT type, prop, s_val, d_val FROM p))") + "SELECT type, prop, s_val FROM q WHERE n <= 10 OR i = 0 OR i = n - 1 OR i IN (SELECT CAST(floor(n / CAST(8 AS DOUBLE) * k) AS BIGINT) FROM range(1, 9) r(k) WHERE floor(n / CAST(8 AS DOUBLE) * k) < n)")
+
+add(
+    "type_analysis",
+    lambda s, d: ontology_reports.type_analysis(N(s, d), E(s, d), P(s, d)).select("type", "section", "name", F.round("value", 6).alias("value"), F.round("share", 6).alias("share")),
+    with_(REL, "tt AS (SELECT type, count(*) AS n FROM n GROUP BY 1)", "en AS (SELECT node_id, count(*) AS d FROM (SELECT src AS node_id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)", "dd AS (SELECT type, coalesce(d, 0) AS d FROM n LEFT JOIN en USING (node_id))",
+          "ds AS (SELECT type, min(d) AS a, max(d) AS b, avg(d) AS c, median(d) AS m FROM dd GROUP BY 1)")
+    + """SELECT type, 'nodes' AS section, 'count' AS name, n::DOUBLE AS value, round(n / CAST((SELECT sum(n) FROM tt) AS DOUBLE), 6) AS share FROM tt
+    UNION ALL SELECT type, 'hierarchy', CAST(hierarchy AS VARCHAR), count(*), round(count(*) / CAST(any_value(tt.n) AS DOUBLE), 6) FROM n JOIN tt USING (type) GROUP BY type, hierarchy
+    UNION ALL SELECT type, 'property', prop, count(DISTINCT node_id), round(count(DISTINCT node_id) / CAST(any_value(tt.n) AS DOUBLE), 6) FROM p JOIN tt USING (type) GROUP BY type, prop
+    UNION ALL SELECT src_type, 'outgoing', edge_type || ' ' || dst_type, n, round(n / CAST(sum(n) OVER (PARTITION BY src_type) AS DOUBLE), 6) FROM r
+    UNION ALL SELECT dst_type, 'incoming', edge_type || ' ' || src_type, n, round(n / CAST(sum(n) OVER (PARTITION BY dst_type) AS DOUBLE), 6) FROM r
+    UNION ALL SELECT type, 'degree', unnest(['least', 'greatest', 'mean', 'median']), round(unnest([a, b, c, m]::DOUBLE[]), 6), NULL FROM ds""",
+)

@@ -13,9 +13,10 @@ from .io_queries import PG
 # --- sorting, grouping, options
 
 add("sorted_by_children", lambda s, d: views.sorted_by(N(s, d), E(s, d), P(s, d), "children", reverse=True), "SELECT type, node_id, row_number() OVER (PARTITION BY type ORDER BY coalesce(c, 0) DESC, node_id) AS place FROM n LEFT JOIN (SELECT dst AS node_id, count(*) AS c FROM e GROUP BY 1) USING (node_id)")
-add("sorted_by_property", lambda s, d: views.sorted_by(N(s, d), E(s, d), P(s, d), "property", "c_acctbal", most=25), "SELECT type, node_id, row_number() OVER (PARTITION BY type ORDER BY d_val NULLS LAST, node_id) AS place FROM n LEFT JOIN (SELECT node_id, d_val FROM p WHERE prop = 'c_acctbal') USING (node_id) QUALIFY place <= 25")
+add("sorted_by_property", lambda s, d: views.sorted_by(N(s, d), E(s, d), P(s, d), "property", "c_acctbal"), "SELECT type, node_id, row_number() OVER (PARTITION BY type ORDER BY d_val NULLS LAST, node_id) AS place FROM n LEFT JOIN (SELECT node_id, d_val FROM p WHERE prop = 'c_acctbal') USING (node_id)")
+add("first_by_property", lambda s, d: views.sorted_by(N(s, d), E(s, d), P(s, d), "property", "c_acctbal", most=25), "SELECT type, node_id, row_number() OVER (PARTITION BY type ORDER BY d_val NULLS LAST, node_id) AS place FROM n LEFT JOIN (SELECT node_id, d_val FROM p WHERE prop = 'c_acctbal') USING (node_id) QUALIFY place <= 25")
 UP = "up AS (SELECT src AS node_id, src_type AS type, edge_type, dst AS parent, dst_type AS parent_type, value AS parent_value FROM e JOIN n ON n.node_id = dst)"
-add("sorted_by_parent", lambda s, d: views.sorted_by(N(s, d).filter("type <> 'order'"), E(s, d, ("in_nation", "in_region")), P(s, d), "parent"), with_(UP, "fp AS (SELECT node_id, min((parent, parent_type, parent_value)) AS p FROM up WHERE edge_type IN ('in_nation', 'in_region') GROUP BY 1)") + "SELECT type, node_id, row_number() OVER (PARTITION BY type ORDER BY p[2] NULLS LAST, p[3] NULLS LAST, node_id) AS place FROM n LEFT JOIN fp USING (node_id) WHERE type <> 'order'")
+add("sorted_by_parent", lambda s, d: views.sorted_by(N(s, d), E(s, d, ("in_nation", "in_region")), P(s, d), "parent"), with_(UP, "fp AS (SELECT node_id, min((parent, parent_type, parent_value)) AS p FROM up WHERE edge_type IN ('in_nation', 'in_region') GROUP BY 1)") + "SELECT type, node_id, row_number() OVER (PARTITION BY type ORDER BY p[2] NULLS LAST, p[3] NULLS LAST, node_id) AS place FROM n LEFT JOIN fp USING (node_id)")
 add("sorted_by_name", lambda s, d: views.sorted_by(N(s, d), E(s, d), P(s, d), "name"), "SELECT type, node_id, row_number() OVER (PARTITION BY type ORDER BY lower(value), node_id) AS place FROM n")
 add("sort_strategy", lambda s, d: views.sort_strategy(N(s, d), E(s, d), P(s, d)), with_("tt AS (SELECT type, count(*) AS total FROM n GROUP BY 1)", "bp AS (SELECT type, min(prop) AS prop FROM (SELECT type, prop, count(*) AS c, count(d_val) AS k, count(DISTINCT d_val) AS v FROM p GROUP BY 1, 2) JOIN tt USING (type) WHERE c >= 0.7 * total AND c = k AND v > 0.3 * c GROUP BY 1)", "kd AS (SELECT src_type AS type, count(DISTINCT dst_type) AS kinds FROM e GROUP BY 1)") + "SELECT type, CASE WHEN prop IS NOT NULL THEN 'property' WHEN kinds > 1 THEN 'parent' ELSE 'name' END AS strategy, prop FROM tt LEFT JOIN bp USING (type) LEFT JOIN kd USING (type)")
 add("parents_listing", lambda s, d: views.parents_of(E(s, d), N(s, d)), with_(UP) + "SELECT * FROM up")

@@ -27,6 +27,13 @@ def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.union(edges.select(F.lit("edges"), F.concat_ws("|", "src", "dst"), F.to_json(F.struct(*[c for c in edges.columns if c not in ("src", "dst")]))))
 
 
+def save_graph_lines(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """The graph as JSON lines, a node or an edge each with its part and all its columns, which `ingest.read_graph_lines` reads:
+    text files that are written and read in many tasks."""
+    line = lambda df, part: df.select(F.to_json(F.struct(F.lit(part).alias("part"), *df.columns)).alias("value"))
+    line(nodes, "nodes").union(line(edges, "edges")).write.text(folder)
+
+
 def schema_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the schema: a node per type with its count; of the relationships of two types the most frequent is an
     edge, each further one a node Rel_... with SOURCE_OF and TARGET_OF edges."""

@@ -79,7 +79,7 @@ def is_graph_json(path: str, first: int = 3) -> bool:
 
 
 def read_any(spark: SparkSession, path: str, rules: list[ingest.ColumnRule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a CSV file by its column rules, of a graph in JSON, or of a JSON tree."""
+    """(nodes, edges) of a CSV file by its column rules, of a graph in JSON or JSON lines, or of a JSON tree."""
     end = path.rsplit(".", 1)[-1].lower()
     if end == "csv":
         if not rules:
@@ -88,6 +88,9 @@ def read_any(spark: SparkSession, path: str, rules: list[ingest.ColumnRule] | No
         if said := ingest.validate(rules, df.columns):
             raise ValueError("; ".join(said))
         return ingest.frame_nodes(df, rules), ingest.frame_edges(df, rules)
+    if end == "jsonl":
+        n, e = ingest.read_graph_lines(spark, path)
+        return n.select("node_id", "type", "value"), e.select("src", "dst", "edge_type")
     if end != "json":
         raise ValueError(f"{path}: neither CSV nor JSON")
     if is_graph_json(path):

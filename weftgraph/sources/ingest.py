@@ -141,6 +141,16 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return n, e
 
 
+def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as read_graph_json() has them, of the lines that `export.save_graph_lines` writes: files are split at lines,
+    and no row holds more than a node or an edge. Lines that are no objects, or of no part, are left out."""
+    x = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("a"))
+    own = lambda *names: F.map_filter("a", lambda k, v: ~k.isin("part", *names))
+    n = x.filter(F.col("a")["part"] == "nodes").select(*[F.col("a")[c].alias(c) for c in ("node_id", "type", "value")], own("node_id").alias("attrs"))
+    e = x.filter(F.col("a")["part"] == "edges").select(*[F.col("a")[c].alias(c) for c in ("src", "dst", "edge_type")], own("src", "dst").alias("attrs"))
+    return n, e
+
+
 def json_nodes(df: DataFrame, column: str) -> DataFrame:
     """(doc, path, type, value) of each value in JSON texts, however deep, containers without value; `doc` is kept from df.
     Each level is one generator over the level above, which is written, and the last is the one without rows."""

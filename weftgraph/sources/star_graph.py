@@ -94,6 +94,29 @@ def props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(found)
 
 
+#: Columns that are properties of edges: (table, edge type, source, target, place among edges of equal ends, numbers, texts).
+EDGE_PROPS = (("lineitem", "contains", ("order", "l_orderkey"), ("part", "l_partkey"), "l_linenumber", ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), ("l_returnflag", "l_linestatus")),)
+
+
+def edge_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(edge_id, edge_type, prop, s_val, d_val): one row per property of an edge, of each of several edges of equal ends."""
+    found = []
+    for t, kind, a, b, place, numbers, texts in EDGE_PROPS:
+        both = [F.struct(F.lit(c).alias("prop"), F.col(c).cast("string").alias("s_val"), (F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("d_val")) for c in (*numbers, *texts)]
+        own = F.concat_ws(" ", node_id(a[0], F.col(a[1])), F.lit(kind), node_id(b[0], F.col(b[1])), F.col(place).cast("string"))
+        rows = table(spark, sf_dir, t).select(own.alias("edge_id"), F.lit(kind).alias("edge_type"), F.explode(F.array(*both)).alias("p"))
+        found.append(rows.select("edge_id", "edge_type", "p.prop", "p.s_val", "p.d_val").filter("s_val IS NOT NULL"))
+    return union(found)
+
+
+def edge_props_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{a[0]}:' || {a[1]} || ' {kind} {b[0]}:' || {b[1]} || ' ' || {place} AS node_id, '{kind}' AS type, '{c}' AS prop, CAST({c} AS VARCHAR) AS s_val, {c + '::DOUBLE' if c in numbers else 'CAST(NULL AS DOUBLE)'} AS d_val FROM {t} WHERE {c} IS NOT NULL"
+        for t, kind, a, b, place, numbers, texts in EDGE_PROPS
+        for c in (*numbers, *texts)
+    )
+
+
 # --- by key: filters and counts on the tables' own keys, before ids are made of them
 
 
