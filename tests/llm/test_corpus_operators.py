@@ -339,4 +339,4 @@ def test_bounds_never_lose_a_pair():
 
 
 def test_queries_are_named():
-    assert {q.split("_")[0] for q in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.queries()} == {f"op{i}" for i in range(1, 14)}
