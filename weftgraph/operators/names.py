@@ -42,9 +42,10 @@ def _ordered(sets: DataFrame, rarity: DataFrame) -> DataFrame:
     return t.groupBy("id").agg(o.alias("tokens"))
 
 
-def candidates(a: DataFrame, b: DataFrame, least: Column, needed) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, least: Column, needed, ordered: bool = False) -> DataFrame:
     """(x, y, u, v, overlap) of a(id, tokens) and b(id, tokens), sets without repeated tokens: pairs with at least `needed(n, m)`
-    common tokens, for sets of n and m. `least` says by column n how many of a set's tokens any partner must share."""
+    common tokens, for sets of n and m. `least` says by column n how many of a set's tokens any partner must share. With `ordered`
+    only pairs with x < y. Prefixes are all that is shuffled; pairs that fail are never written out."""
     every = a.select("tokens").union(b.select("tokens"))
     rarity = every.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
@@ -56,20 +57,22 @@ def candidates(a: DataFrame, b: DataFrame, least: Column, needed) -> DataFrame:
 
     p, q = prefix(a, "x", "u", "i"), prefix(b, "y", "v", "j")
     need = needed(F.col("n_x"), F.col("n_y"))
-    room = 1 + F.least(F.col("n_x") - F.col("i"), F.col("n_y") - F.col("j")) - 1
+    room = F.least(F.col("n_x") - F.col("i"), F.col("n_y") - F.col("j"))
     met = p.join(q, "token").filter((F.least("n_x", "n_y") >= need) & (room >= need))
-    # a pair may meet at several tokens: one of them is enough
-    first = met.groupBy("x", "y").agg(F.first("u").alias("u"), F.first("v").alias("v"))
-    shared = first.withColumn("overlap", F.size(F.array_intersect("u", "v")))
-    return shared.filter(F.col("overlap") >= needed(F.size("u"), F.size("v")))
+    met = met.filter("x < y") if ordered else met
+    # a pair meets at each token common to both prefixes, the rarest common one among them: there it is kept, and checked in place
+    common = F.array_intersect("u", "v")
+    kept = met.filter((F.get(common, F.lit(0)) == F.col("token")) & (F.size(common) >= need))
+    return kept.select("x", "y", "u", "v", F.size(common).alias("overlap"))
 
 
-def similar_sets(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(x, y, similarity) of a(id, tokens) and b(id, tokens): sets whose common tokens are at least `threshold` of all theirs."""
+def similar_sets(a: DataFrame, b: DataFrame, threshold: float, ordered: bool = False) -> DataFrame:
+    """(x, y, similarity) of a(id, tokens) and b(id, tokens): sets whose common tokens are at least `threshold` of all theirs; with
+    `ordered` those with x < y only."""
     if not 0 < threshold <= 1:
         raise ValueError("a threshold above 0 and up to 1")
     exact = lambda x: F.ceil(x - 1e-9)  # noqa: E731  rounding mustn't ask for one more
-    found = candidates(a, b, exact(F.col("n") * threshold), lambda n, m: exact((n + m) * (threshold / (1 + threshold))))
+    found = candidates(a, b, exact(F.col("n") * threshold), lambda n, m: exact((n + m) * (threshold / (1 + threshold))), ordered)
     s = F.col("overlap") / (F.size("u") + F.size("v") - F.col("overlap"))
     return found.select("x", "y", s.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
 
@@ -80,7 +83,7 @@ def similar_names(names: DataFrame, threshold: float = 0.6, q: int = 3) -> DataF
     n = names.select("name").filter("name IS NOT NULL").distinct()
     padded = F.concat(F.lit(" " * (q - 1)), F.lower("name"), F.lit(" " * (q - 1)))
     sets = n.select(F.col("name").alias("id"), F.array_distinct(grams(padded, q)).alias("tokens"))
-    return similar_sets(sets, sets, threshold).filter("x < y")
+    return similar_sets(sets, sets, threshold, ordered=True)
 
 
 def letters(name: Column) -> Column:
