@@ -81,3 +81,34 @@ def test_fuzzy_match_on_the_tables(spark):
         scored = sorted(((s, y, why) for y in vendors for s, why in [matching.name_score(x, y)] if why and s >= 0.5), key=lambda t: (-round(t[0], 3), t[1]))
         want += [(x, y, round(s, 3), why) for s, y, why in scored[:3]]
     assert sorted(map(tuple, all_queries.QUERIES["fuzzy_match"](spark, SF).collect())) == sorted(want)
+
+
+def _subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
+    return row[-1]
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (5, 9), (64, 40), (63, 130)])
+def test_common_subsequences(n, m):
+    words = lambda k, size: ["".join(R.choice("abcde") for _ in range(size)) for _ in range(k)]
+    xs, ys = words(7, n), words(5, m)
+    assert names.common_subsequences(xs, ys).tolist() == [[_subsequence(x, y) for x in xs] for y in ys]
+
+
+def test_long_names_and_several_blocks(spark, monkeypatch):
+    """Names beyond 64 letters on either side and on both, in blocks of a few names; q-grams likewise, each pair once."""
+    monkeypatch.setattr(names, "LEAST_BLOCK", 3)
+    monkeypatch.setattr(names, "AT_ONCE", 2)
+    long = ["".join(R.choice(["an", "jo", "ri", "ke", "el"]) for _ in range(R.choice([7, 7, 8, 26, 33, 33, 40]))) for _ in range(40)]
+    some = sorted({*long, *(x[:-3] + "xyz" for x in long), *(x + "e" for x in long)})
+    a, b = some[::2], some[1::2]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "class string")
+    got = {(r["x"], r["y"]): (pytest.approx(r["score"]), r["reason"]) for r in names.scored(frame(a), frame(b)).collect()}
+    assert got == {(x, y): s for x in a for y in b if (s := matching.name_score(x, y))[1]}
+    grams = {x: {f"  {x}  "[i : i + 3] for i in range(len(x) + 2)} for x in some}
+    want = [(x, y) for x in some for y in some if x < y and len(grams[x] & grams[y]) / len(grams[x] | grams[y]) >= 0.6 - 1e-12]
+    assert sorted((r["x"], r["y"]) for r in names.similar_names(frame(some).withColumnRenamed("class", "name")).collect()) == want
