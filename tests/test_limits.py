@@ -26,3 +26,12 @@ def test_turbofan_means_round_as_sql_does(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = sorted(tuple("-" if x is None else x for x in r) for r in con.execute(all_queries.ORACLES["turbofan_nodes"]).fetchall())
     assert got == want
+
+
+def test_overlapping_spans_meet_on_one_side_only(spark):
+    """A span is in one bucket on one side, so that long ones don't meet each other in each of theirs."""
+    df = spark.createDataFrame([(f"a{i}", i % 7, 100 + i) for i in range(60)], "asset string, created long, destroyed long")
+    found = series.overlaps(df, 1)
+    assert found.count() == 60 * 59 // 2 == found.select("a", "b").distinct().count()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert [tuple(r) for r in found.filter("a = 'a1' AND b = 'a5'").collect()] == [("a1", "a5", 5, 101, 96)]
