@@ -1,6 +1,6 @@
 """Plans that keep what a task or a shuffle holds from growing with the whole graph."""
 
-from weftgraph.operators import ontology
+from weftgraph.operators import graph, ontology
 
 KIND = "src string, dst string, edge_type string, src_type string, dst_type string"
 
@@ -16,3 +16,10 @@ def test_dangling_edges_look_for_their_ends_once(spark):
     found = ontology.dangling(spark.createDataFrame([("a",), ("b",)], "node_id string"), e)
     assert sorted(map(str, found.select("src", "dst").collect())) == sorted(map(str, e.select("src", "dst").distinct().filter("NOT (src <=> 'a' AND dst <=> 'b')").collect()))
     assert "LeftAnti" not in _plan(found)
+
+
+def test_capped_neighbors_leave_other_ends_out_first(spark):
+    e = spark.createDataFrame([("h", f"n{i}", "e", "t", "t") for i in range(9)] + [("n1", "g", "e", "t", "t")], KIND)
+    found = graph.capped_neighbors(e, spark.createDataFrame([("h", 0.95), ("g", 0.5), ("n8", 0.1)], "node_id string, similarity double"))
+    assert sorted(map(tuple, found.collect())) == [("g", "n1"), *[("h", f"n{i}") for i in range(5)], ("n8", "h")]
+    assert "LeftSemi" in _plan(found)
