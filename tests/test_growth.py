@@ -1,5 +1,7 @@
 """Plans that keep what a task or a shuffle holds from growing with the whole graph."""
 
+from pyspark.sql import functions as F
+
 from weftgraph.operators import graph, ontology
 
 KIND = "src string, dst string, edge_type string, src_type string, dst_type string"
@@ -23,3 +25,11 @@ def test_capped_neighbors_leave_other_ends_out_first(spark):
     found = graph.capped_neighbors(e, spark.createDataFrame([("h", 0.95), ("g", 0.5), ("n8", 0.1)], "node_id string, similarity double"))
     assert sorted(map(tuple, found.collect())) == [("g", "n1"), *[("h", f"n{i}") for i in range(5)], ("n8", "h")]
     assert "LeftSemi" in _plan(found)
+
+
+def test_samples_have_no_type_in_one_task(spark):
+    n = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("node_id"), F.when(F.col("id") < 4, "rare").otherwise("many").alias("type"))
+    e = n.select(F.col("node_id").alias("src"), F.lit("n0").alias("dst"), F.lit("e").alias("edge_type"))
+    found = graph.sampled(n, e, 300)
+    assert found.count() == 100 and {r[0] for r in found.collect()} >= {"n0", "n1", "n2", "n3", "n10", "n100"}
+    assert _plan(found, True).count("WindowGroupLimit") >= 4
