@@ -58,3 +58,14 @@ def test_trigrams_of_a_long_text(spark):
 def test_an_empty_index(spark):
     nothing = text_index.build(spark.createDataFrame([(1, None)], "id long, text string"))
     assert text_index.containing(nothing, "abc").count() == 0 == text_index.containing(nothing, "a").count()
+
+
+def test_postings_are_of_blocks(spark, monkeypatch):
+    """Each block has a trigram once, however many of its texts do, and blocks end by their length."""
+    monkeypatch.setattr(text_index, "BLOCK", 1_000)
+    texts = spark.createDataFrame([(i, f"text number {i % 10} of many") for i in range(1_000)], "id long, text string")
+    built = text_index.build(texts, buckets=2)
+    blocks = built.texts.select("place", "block").distinct().count()
+    assert 21 <= blocks <= 44  # a task that has both places deals a block to both
+    assert built.postings.filter("gram = 'num'").count() == blocks
+    assert sorted(r["id"] for r in text_index.containing(built, "number 7 ").collect()) == list(range(7, 1_000, 10))
