@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import graph, ontology
+from weftgraph.operators import graph, ontology, search
+from weftgraph.sources import star_graph
 
 KIND = "src string, dst string, edge_type string, src_type string, dst_type string"
 
@@ -33,3 +34,13 @@ def test_samples_have_no_type_in_one_task(spark):
     found = graph.sampled(n, e, 300)
     assert found.count() == 100 and {r[0] for r in found.collect()} >= {"n0", "n1", "n2", "n3", "n10", "n100"}
     assert _plan(found, True).count("WindowGroupLimit") >= 4
+
+
+def test_edge_texts_move_keys_and_no_ids(spark):
+    d = "/root/testdata/sf0.001"
+    valued = star_graph.edge_values(spark, d)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(search.text_of_edges(valued)) == rows(search.edge_text(star_graph.edges(spark, d), star_graph.nodes(spark, d)))
+    moved = [line for line in _plan(valued, True).splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("src#" in line or "dst#" in line or ":" in line.split("hashpartitioning")[1] for line in moved)
+    assert sum("REPARTITION" in line for line in moved) == 2  # lineitem's pairs, which are then made distinct and joined where they are
