@@ -44,3 +44,11 @@ def test_edge_texts_move_keys_and_no_ids(spark):
     moved = [line for line in _plan(valued, True).splitlines() if "Exchange hashpartitioning" in line]
     assert moved and not any("src#" in line or "dst#" in line or ":" in line.split("hashpartitioning")[1] for line in moved)
     assert sum("REPARTITION" in line for line in moved) == 2  # lineitem's pairs, which are then made distinct and joined where they are
+
+
+def test_context_brings_few_hits_to_the_edges(spark):
+    e = spark.createDataFrame([("h", f"n{i}", "e", "t", "t") for i in range(9)] + [("n1", "g", "e", "t", "t")], KIND).distinct()
+    n = spark.createDataFrame([(f"n{i}", "file" if i > 6 else "t") for i in range(9)] + [("g", "t"), ("h", "t")], "node_id string, type string")
+    found = search.context(e, n, spark.createDataFrame([("h", 0.9), ("h", 0.9), ("g", 0.9)], "id string, similarity double"), 3)
+    assert list(map(tuple, found.collect())) == [("n7", 0.85), ("n8", 0.85), ("n0", 0.7)]
+    assert "Aggregate" not in _plan(found)  # the edges were read once, before
