@@ -61,3 +61,17 @@ def test_what_is_no_forest(spark, parents, said):
 
 def test_an_empty_forest(spark):
     assert forest.tour(spark.createDataFrame([], "node_id string, parent string")).count() == 0
+
+
+def test_rounds_bring_no_nodes_to_the_driver(spark, monkeypatch):
+    plans = []
+    write = forest.materialise
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(forest, "materialise", noted)
+    arcs = spark.createDataFrame([(f"a{i}", f"a{i + 1}" if i < 5 else None, 1) for i in range(6)], "arc string, next string, weight long")
+    assert sorted(map(tuple, forest._jumped(arcs).collect())) == [(f"a{i}", 6 - i) for i in range(6)]
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
