@@ -52,3 +52,16 @@ def test_context_brings_few_hits_to_the_edges(spark):
     found = search.context(e, n, spark.createDataFrame([("h", 0.9), ("h", 0.9), ("g", 0.9)], "id string, similarity double"), 3)
     assert list(map(tuple, found.collect())) == [("n7", 0.85), ("n8", 0.85), ("n0", 0.7)]
     assert "Aggregate" not in _plan(found)  # the edges were read once, before
+
+
+def test_pairs_are_made_distinct_in_pieces_that_follow_the_rows(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, star_graph.edges(spark, d).collect()))
+    lines = star_graph.table(spark, d, "lineitem").count()
+    monkeypatch.setattr(star_graph, "AT_ONCE", 500)
+    e = star_graph.edges(spark, d)
+    moved = [line for line in _plan(e, True).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and all(f", {-(-lines // 500)}), REPARTITION_BY_NUM" in line for line in moved)
+    assert sorted(map(tuple, e.collect())) == want and len(set(want)) == len(want)
+    # no task packs lines before they are dealt
+    assert all("Aggregate" not in below.split("FileScan")[0] for below in _plan(e, True).split("Exchange hashpartitioning")[1:])
