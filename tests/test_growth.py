@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import graph, ontology, search
+from weftgraph.operators import adjacency, graph, ontology, propagation, search, tables
 from weftgraph.sources import star_graph
 
 KIND = "src string, dst string, edge_type string, src_type string, dst_type string"
@@ -65,3 +65,19 @@ def test_pairs_are_made_distinct_in_pieces_that_follow_the_rows(spark, monkeypat
     assert sorted(map(tuple, e.collect())) == want and len(set(want)) == len(want)
     # no task packs lines before they are dealt
     assert all("Aggregate" not in below.split("FileScan")[0] for below in _plan(e, True).split("Exchange hashpartitioning")[1:])
+
+
+def test_spectral_terms_are_added_up_and_dropped_as_they_come(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i * 7 % 30}", "e", "t", "t", 1.0) for i in range(1, 30)], KIND + ", weight double")
+    kept = adjacency.keep(e)
+    degree = kept.ends.groupBy("node_id").agg(F.sum("weight").alias("d"))
+    start = spark.createDataFrame([("n1", 1.0, 0.0), ("n2", 0.0, 1.0)], "node_id string, v0 double, v1 double")
+    terms = [propagation.chebyshev(f, 20.0, 4) for f in propagation.filters(20.0, 2, True)]
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    found = []
+    for fold in (2, 100):
+        with tables.few_shuffle_files(spark):
+            found.append({r[0]: [round(x, 9) for x in r[1:]] for r in propagation._sums(kept, degree, start, ["v0", "v1"], 20.0, terms, fold).collect()})
+    assert found[0] == found[1] and len(found[0]) > 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("weft_round_")]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == was
