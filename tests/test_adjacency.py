@@ -70,3 +70,12 @@ def test_the_edges_stay_where_they_are(spark):
         for c, v in old.items():
             spark.conf.set(c, v)
     assert adjacency.neighbors_of_one(k, "n3").count() == 2
+
+
+@pytest.mark.parametrize("most", [8, 45, 46, 1_000])
+def test_nodes_are_counted_only_in_full_slots(spark, monkeypatch, most):
+    """The hub has 46 ends; in four slots, others are counted with it."""
+    monkeypatch.setattr(adjacency, "SLOTS", 4)
+    hubs, total = adjacency._hubs(adjacency._ends(edges(spark, PAIRS)), most)
+    assert total == 2 * len(PAIRS) and (rows(hubs) if hubs else []) == ([("hub", -(-46 // most))] if most < 46 else [])
+    assert adjacency._hubs(adjacency._ends(edges(spark, PAIRS[:1]).limit(0)), most) == (None, 0)
