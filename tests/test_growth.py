@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import adjacency, graph, ontology, propagation, search, tables
+from weftgraph.operators import adjacency, graph, ontology, ontology_reports, propagation, search, tables
 from weftgraph.sources import star_graph
 
 KIND = "src string, dst string, edge_type string, src_type string, dst_type string"
@@ -81,3 +81,12 @@ def test_spectral_terms_are_added_up_and_dropped_as_they_come(spark):
     assert found[0] == found[1] and len(found[0]) > 2
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("weft_round_")]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == was
+
+
+def test_ends_of_edge_types_are_made_distinct_in_pieces_that_follow_the_edges(spark, monkeypatch):
+    pairs = [(f"n{i % 40}", f"m{i % 7}") for i in range(200)] + [(None, "m1"), ("n1", None)]
+    e = spark.createDataFrame([(a, b, "e", "t", "u") for a, b in pairs] + [(None, "x", "f", "t", "u")], KIND)
+    monkeypatch.setattr(ontology_reports, "AT_ONCE", 20)
+    found = ontology_reports.edge_type_details(e)
+    assert sorted(tuple(r[c] for c in ("edge_type", "n", "sources", "targets", "type_pairs")) for r in found.collect()) == [("e", 202, 40, 7, 1), ("f", 1, 0, 1, 1)]
+    assert [line.split("REPARTITION")[0].rstrip(", )").rsplit(", ", 1)[1] for line in set(_plan(ontology_reports.edge_type_details(e), True).splitlines()) if "REPARTITION_BY_NUM" in line] == ["21"]  # 406 ends
