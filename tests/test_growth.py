@@ -90,3 +90,19 @@ def test_ends_of_edge_types_are_made_distinct_in_pieces_that_follow_the_edges(sp
     found = ontology_reports.edge_type_details(e)
     assert sorted(tuple(r[c] for c in ("edge_type", "n", "sources", "targets", "type_pairs")) for r in found.collect()) == [("e", 202, 40, 7, 1), ("f", 1, 0, 1, 1)]
     assert [line.split("REPARTITION")[0].rstrip(", )").rsplit(", ", 1)[1] for line in set(_plan(ontology_reports.edge_type_details(e), True).splitlines()) if "REPARTITION_BY_NUM" in line] == ["21"]  # 406 ends
+
+
+def test_degrees_are_counted_in_pieces_and_bins_of_equal_values(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    want = sorted(tuple(r) for r in graph.degrees(star_graph.edges(spark, d)).collect())
+    monkeypatch.setattr(star_graph, "AT_ONCE", 500)
+    found = star_graph.degrees(spark, d)
+    ends = sum(2 * star_graph.table(spark, d, e.table).count() for e in star_graph.EDGES)
+    moved = [line for line in _plan(found, True).splitlines() if "Exchange hashpartitioning" in line]
+    # the pairs of lineitem twice, and all ends once
+    assert sum(f", {-(-ends // 500)}), REPARTITION_BY_NUM" in line for line in moved) == 1 and len(moved) == 3
+    assert sorted(tuple(r) for r in found.select("node_id", "out_degree", "in_degree", "total_degree").collect()) == want
+    values = spark.createDataFrame([("a", v) for v in (0, 0, 5, 10, None)] + [("b", 3), ("b", 3)], "t string, v long")
+    bins = ontology.histogram(values, "t", "v", 10)
+    assert sorted(map(tuple, bins.collect())) == [("a", 0, 2), ("a", 5, 1), ("a", 9, 2), ("b", 0, 2)]
+    assert "LocalRelation" not in _plan(bins) and "LogicalRDD" not in _plan(bins)  # of what was written, so that degrees are made once
