@@ -35,3 +35,11 @@ def test_overlapping_spans_meet_on_one_side_only(spark):
     assert found.count() == 60 * 59 // 2 == found.select("a", "b").distinct().count()
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
     assert [tuple(r) for r in found.filter("a = 'a1' AND b = 'a5'").collect()] == [("a1", "a5", 5, 101, 96)]
+
+
+def test_overlaps_of_few_bytes_are_made_in_many_tasks(spark):
+    df = spark.createDataFrame([(f"a{i}", i, i + 9) for i in range(60)], "asset string, created long, destroyed long")
+    found = series.overlaps(df, 1)
+    assert found.count() == sum(min(8, 59 - i) for i in range(60))
+    made = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert made > spark.sparkContext.defaultParallelism
