@@ -152,6 +152,15 @@ def test_commands(spark, tmp_path):
     assert [(r.tier, r.id, r.similarity) for r in found.collect()] == [("semantic", "b", 1.0)]
 
 
+def test_graph_lines_are_packed(spark, tmp_path):
+    e = spark.range(20_000).selectExpr("'customer:' || id AS src", "'order:' || id AS dst", "'placed' AS edge_type", "'customer' AS src_type", "'order' AS dst_type")
+    n = spark.createDataFrame([("a", "t", "v")], "node_id string, type string, value string")
+    export.save_graph_lines(n, e, f"{tmp_path}/g.jsonl")
+    _, more = ingest.read_graph_lines(spark, f"{tmp_path}/g.jsonl")
+    assert more.count() == 20_000 and more.filter("substring(src, 10) = substring(dst, 7) AND attrs['dst_type'] = 'order'").count() == 20_000
+    assert sum(f.stat().st_size for f in (tmp_path / "g.jsonl").glob("part-*")) < 20_000 * 30  # a line has some 110 bytes
+
+
 def test_graph_lines_there_and_back(spark, tmp_path):
     n = spark.createDataFrame([("a", "t", 'v "x"\n', 1), ("b", None, None, None)], "node_id string, type string, value string, level int")
     e = spark.createDataFrame([("a", "b", "e", 0.5)], "src string, dst string, edge_type string, weight double")
