@@ -1,8 +1,10 @@
 """Plans that keep what a task or a shuffle holds from growing with the whole graph."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import adjacency, graph, ontology, ontology_reports, propagation, search, tables
+from weftgraph.operators import adjacency, blocks, graph, ontology, ontology_reports, propagation, search, tables
 from weftgraph.sources import star_graph
 
 KIND = "src string, dst string, edge_type string, src_type string, dst_type string"
@@ -83,6 +85,64 @@ def test_spectral_terms_are_added_up_and_dropped_as_they_come(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == was
 
 
+def _shuffled(spark):
+    """Records that all stages until now have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_spectral_terms_move_no_edges(spark):
+    """Terms are made of files: with more of them no more is shuffled."""
+    e = spark.createDataFrame([(f"n{i}", f"n{i * 7 % 300}", "e", "t", "t") for i in range(1, 300)], KIND).cache()
+    n, src = spark.createDataFrame([(f"n{i}",) for i in range(300)], "node_id string").cache(), spark.createDataFrame([("n1", 0.1), ("n5", 0.9)], "node_id string, x double").cache()
+    moved = []
+    for order in (4, 4, 12):
+        at = _shuffled(spark)
+        propagation.spectral_influences(n, e, src, order=order).write.format("noop").mode("overwrite").save()
+        moved.append(_shuffled(spark) - at)
+    assert 0 < moved[2] <= moved[1] + 50
+
+
+@pytest.mark.parametrize("heat", [False, True])
+def test_blocks_give_what_tables_give(spark, heat, monkeypatch):
+    """Parallel edges with weights, loops, ends that are no nodes, nulls, nodes without edges and repeated sources, in three parts;
+    and two nodes of one hash, for which another hash is taken."""
+    rows = [(f"n{i % 50}", f"n{i * i % 53}", "e", "t", "t", 1.0 + i % 3) for i in range(120)] + [("n1", None, "e", "t", "t", 1.0), (None, "n1", "e", "t", "t", 1.0), ("n3", "n4", "e", "t", "t", None)]
+    e = spark.createDataFrame(rows, KIND + ", weight double")
+    n = spark.createDataFrame([(f"n{i}",) for i in range(51)] + [("alone",), (None,)], "node_id string")
+    src = spark.createDataFrame([("n1", 0.1), ("n1", 0.3), ("n7", 0.3), ("n7", 0.3), ("n52", 0.9), ("alone", 0.5)], "node_id string, x double")
+    xs = [0.1, 0.3, 0.5, 0.9]
+    real, whole = F.xxhash64, blocks.Blocks.__init__
+    monkeypatch.setattr(blocks.F, "xxhash64", lambda *c: real(c[0], F.when(c[0] == 0, F.substring(c[1], 1, 2)).otherwise(F.col(c[1]))) if len(c) == 2 else real(*c))
+    monkeypatch.setattr(blocks.Blocks, "__init__", lambda self, a, b: whole(self, a, b, 3))
+    terms = lambda top: [propagation.chebyshev(f, top, 5) for f in propagation.filters(top, 2, heat)]
+    got, want = ({(r.x, r.node_id, r.distance): r.z for r in way(n, e, src, xs, terms, 0.9, heat, 1e-6).collect()} for way in (propagation._by_blocks, propagation._by_tables))
+    assert len(want) > 10 and got == {k: pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in want.items()}
+
+
+def test_products_of_pairs_that_come_in_pieces(tmp_path, monkeypatch):
+    """Tiles of several pieces, and more pairs than are gathered at once."""
+    r, sizes = np.random.default_rng(3), (40, 30)
+    monkeypatch.setattr(blocks, "NUMBERS", 21)
+    whole = np.zeros((70, 70))
+    for p, n in enumerate(sizes):
+        np.arange(n, dtype=np.int64).tofile(tmp_path / f"nodes.{p}")
+    for p, q in ((0, 0), (0, 1), (1, 1)):
+        with open(tmp_path / f"tile.{p * 2 + q}", "wb") as f:
+            pairs = [(i, j) for i in range(sizes[p]) for j in range(sizes[q]) if (p < q or i < j) and r.random() < 0.2]
+            for at in range(0, len(pairs), 50):
+                u, v = np.array(pairs[at : at + 50]).T
+                w = r.random(len(u))
+                for a in (np.array([len(u)], np.int64), u.astype(np.int32), v.astype(np.int32), w):
+                    f.write(a.tobytes())
+                whole[40 * p + u, 40 * q + v] = whole[40 * q + v, 40 * p + u] = w
+    x = r.random((3, 70))
+    for p, own in ((0, slice(0, 40)), (1, slice(40, 70))):
+        got = blocks._product(str(tmp_path), p, 2, True, 3, lambda q: x[:, :40] if q == 0 else x[:, 40:])
+        assert np.allclose(got, x @ whole[:, own])
+
+
 def test_ends_of_edge_types_are_made_distinct_in_pieces_that_follow_the_edges(spark, monkeypatch):
     pairs = [(f"n{i % 40}", f"m{i % 7}") for i in range(200)] + [(None, "m1"), ("n1", None)]
     e = spark.createDataFrame([(a, b, "e", "t", "u") for a, b in pairs] + [(None, "x", "f", "t", "u")], KIND)
