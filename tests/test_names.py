@@ -1,9 +1,11 @@
 """Similarity joins of names against all pairs: no pair is lost, none is added, nothing is crossed."""
 
+import difflib
 import os
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from weftgraph.operators import matching, names
@@ -112,3 +114,62 @@ def test_long_names_and_several_blocks(spark, monkeypatch):
     grams = {x: {f"  {x}  "[i : i + 3] for i in range(len(x) + 2)} for x in some}
     want = [(x, y) for x in some for y in some if x < y and len(grams[x] & grams[y]) / len(grams[x] | grams[y]) >= 0.6 - 1e-12]
     assert sorted((r["x"], r["y"]) for r in names.similar_names(frame(some).withColumnRenamed("class", "name")).collect()) == want
+
+
+@pytest.mark.parametrize("q", [1, 2, 3, 5])
+def test_grams_of_texts_as_shared_numbers(q):
+    sets = lambda texts: [{t[i : i + q] for i in range(len(t) - q + 1)} for t in texts]
+    a, b = ["abcabcd", "bcdeabc\U0001f600"[:7], "é\U0001f600abcde"], ["xbcdefgab", "aabcdefgh"]
+    a, b = ([t for t, s in zip(side, sets(side)) if len(s) == len(sets(side)[0])] for side in (a, b))
+    x, y = names._gram_numbers(a, b, q)
+    for text, row in zip((*sets(a), *sets(b)), (*x.tolist(), *y.tolist())):
+        assert len(set(row)) == len(row) == len(text)
+        for other, too in zip((*sets(a), *sets(b)), (*x.tolist(), *y.tolist())):
+            assert len(text & other) == len(set(row) & set(too))
+
+
+def test_rare_grams_lose_no_pair_and_add_none(monkeypatch):
+    """A block with itself and with another, in many pieces."""
+    some = [n for n in NAMES if len(n) > 2]
+    grams = lambda p: frozenset(p[i : i + 3] for i in range(len(p) - 2))
+    texts = sorted({f"  {n.lower()}  " for n in some})
+    by = {}
+    for t in texts:
+        by.setdefault(len(grams(t)), []).append(t)
+    block = lambda ts: pa.StructArray.from_arrays([pa.array(ts), pa.array(ts)], names=["id", "p"])
+    monkeypatch.setattr(names, "CELLS", 40)
+    compare, found = names._near_sets(0.6, 3), 0
+    for n, xs in by.items():
+        for m, ys in by.items():
+            got = compare(block(xs), block(ys), n == m).to_pydict()
+            want = {(s, t): len(grams(s) & grams(t)) / len(grams(s) | grams(t)) for i, s in enumerate(xs) for j, t in enumerate(ys) if (n != m or i < j)}
+            want = {k: pytest.approx(v) for k, v in want.items() if v >= 0.6 - 1e-12}
+            assert dict(zip(zip(got["x"], got["y"]), got["similarity"])) == want and len(got["x"]) == len(want)
+            found += len(want)
+    assert found > 50
+
+
+def test_names_are_scored_once(spark, monkeypatch):
+    """Scores are read twice, and comparing is the work."""
+    frame = lambda xs: {"classes": spark.createDataFrame([(x,) for x in xs], "class string")}
+    plan = matching.matches(frame(["CustomerOrder", "banana"]), frame(["OrdersCustomer", "bananas"]))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan
+
+
+def test_letters_are_counted_before_subsequences(monkeypatch):
+    """Pairs with too few letters in common aren't looked at further; long words on either side or both are."""
+    looked = []
+    real = names._common_of_pairs
+    monkeypatch.setattr(names, "_common_of_pairs", lambda p, q, i, j: looked.append(len(i)) or real(p, q, i, j))
+    block = lambda ws: pa.StructArray.from_arrays([pa.array(ws), pa.array(ws)], names=["id", "w"])
+    R2 = random.Random(8)
+    word = lambda n, of: "".join(R2.choice(of) for _ in range(n))
+    for n, m, of in ((9, 8, "abcd"), (70, 60, "ab"), (60, 70, "ab"), (70, 72, "ab")):
+        xs, ys = [word(n, of) for _ in range(20)], [word(m, of) for _ in range(15)]
+        ys[0] = (xs[0] * 2)[:m]
+        got = names._near_letters(block(xs), block(ys), False).to_pydict()
+        want = {(x, y): r for x in xs for y in ys if (r := difflib.SequenceMatcher(None, x, y).ratio()) > names.RATIO}
+        assert dict(zip(zip(got["x"], got["y"]), got["ratio"])) == want and want
+    looked.clear()
+    names._near_letters(block(["abcdefgh"] * 50), block(["ijklmnop"] * 50), False)
+    assert sum(looked) == 0
